@@ -1,0 +1,97 @@
+import math
+from collections import Counter, defaultdict
+
+import pytest
+from spanmill.llm.mixing import emit, mix, source_targets
+from spanmill.llm.sharding import shard
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], SCHEMA)
+
+
+def corpus():
+    rows = [(i, "w " * (i % 37 + 1), "a" if i % 3 else "b") for i in range(900)]
+    rows += [(900 + i, "x y z " * 40, None) for i in range(60)] + [(960, None, "c"), (961, "", "c"), (961, "", "c"), (None, "q r", "d"), (None, "q r", "d"), (962, "one", "e")]
+    return rows
+
+
+def filled(sizes, weights, cap):
+    """Targets by repeated resharing."""
+    out, left, open_ = {}, sum(sizes.values()), set(sizes)
+    while open_:
+        total = sum(weights[s] for s in open_)
+        over = {s for s in open_ if left * weights[s] / total >= cap * sizes[s]}
+        if not over:
+            return out | {s: left * weights[s] / total for s in open_}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 30, None: 5}, {"a": 5}, {"a": 0, "b": 7, "é": 7, "z": 100}, {"a": 0}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, source_size long, n long")
+    got = {r.source: r.target for r in source_targets(df).collect()}
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    want = filled(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 3)
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[s], want[s], abs_tol=1e-9) for s in want)
+
+
+def test_mix(spark):
+    got = mix(docs(spark, corpus())).collect()
+    assert len(got) == len(corpus())
+    by = defaultdict(list)
+    for r in got:
+        assert 0 <= r.copies <= 3 and r.taken == r.copies * r.size
+        by[r.source].append(r)
+    for rows in by.values():
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 16 * max(r.size for r in rows) + 1
+        rate = rows[0].target / rows[0].source_size if rows[0].source_size else 0
+        assert all(math.floor(rate - 1e-6) <= r.copies <= math.ceil(rate + 1e-6) for r in rows)
+    again = mix(docs(spark, corpus()[::-1]).repartition(3)).collect()
+    key = lambda rs: Counter((r.doc_id, r.source, r.size, r.copies) for r in rs)
+    assert key(got) == key(again)
+
+
+def test_emit_keeps_columns_even_clashing(spark):
+    df = docs(spark, corpus()).selectExpr("*", "'k' as size", "1 as copies", "2 as _row")
+    out = emit(df)
+    assert out.columns == df.columns
+    want = sum(r.copies for r in mix(docs(spark, corpus())).collect())
+    assert out.count() == want and {r.size for r in out.collect()} == {"k"}
+
+
+def test_empty(spark):
+    assert mix(docs(spark, [])).count() == 0 and shard(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 700])
+def test_shards(spark, hot):
+    rows = [(i, f"text {i // 3}", "s") for i in range(600)] + [(1000 + i, "hot", "s") for i in range(hot)] + [(None, None, "s"), (None, "", "s")]
+    got = shard(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    count = Counter(r.shard for r in got)
+    assert set(count) == set(range(24)) and max(count.values()) - min(count.values()) <= 1
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
+    text = {i: t or "" for i, t, _ in rows}
+    parted = defaultdict(set)
+    for r in got:
+        parted[text[r.doc_id]].add(r.shard)
+        assert r.size == len(text[r.doc_id].encode()) + 8
+    # a hash deal parts nearly all 200 triples; a cut may part one text per boundary, and quotas a few more
+    assert sum(len(v) - 1 for k, v in parted.items() if k.startswith("text")) <= 60
+    if hot:
+        assert len(parted["hot"]) <= 24
+    assert Counter(map(tuple, got)) == Counter(map(tuple, shard(docs(spark, rows[::-1])).collect()))
+
+
+def test_fewer_documents_than_shards(spark):
+    got = shard(docs(spark, [(i, "t", "s") for i in range(5)])).collect()
+    assert len({r.shard for r in got}) == 5 and {r.slot for r in got} == {0}
