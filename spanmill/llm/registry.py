@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .gif import op8_gif
 from .mixing import OP3_SQL, op3_mixing
+from .pii import op9_pii
 from .sharding import op4_sharding
 from .simhash import op5_simhash
+from .token_files import op10_token_files
 
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
+    "op8_gif": op8_gif,
+    "op9_pii": op9_pii,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL = {"op3_mixing": OP3_SQL}
