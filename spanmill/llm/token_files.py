@@ -7,8 +7,10 @@ reports them, with their counts, only when they are complete; so a task that ran
 reads. The reports become the manifest, whose running sum of counts gives each file's base in the whole.
 Readers memory-map local files; other stores are read through their file system.
 
-A text is encoded in pieces between single spaces. The pre-tokenizer of a byte-level BPE never joins text
-across them, so the ids are those of the whole text; the pieces' ids are remembered, up to a bound.
+A text is encoded in pieces which the pre-tokenizer of a byte-level BPE never joins, so the ids are those of
+the whole text: runs of letters, digits, other signs or white space where all characters are in Latin
+blocks, else runs between white space. The pieces' ids are remembered, up to a bound; new pieces that
+start with a space go to the library as one text, whose ids part where a token starts with a space.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first and are stored as the
 smallest int64; rows with equal doc_ids are in the order of their texts; an empty table gives an empty
@@ -37,20 +39,13 @@ LONGEST = 64
 TEXTS_AT_ONCE = 64
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, name string, width int, n_docs long, n_ids long"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LATIN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_OTHER = re.compile(f"[^\t-\r -~{_LETTERS}]")
 _ODD = re.compile("[\x1c-\x1f\x85\ud800-\udfff]")
 
 
-class _Ids(dict):
-    """Ids of pieces as bytes; what doesn't fit stays for one call in ``rest``."""
-
-    def __init__(self):
-        self.rest: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.rest[piece]
-
-
 class Encoder:
     """Texts to ids with a tokenizers file."""
 
@@ -64,25 +59,45 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.ids = _Ids()
+        self.ids: dict[str, bytes] = {}
+        spaced = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.spaced[spaced] = True
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each start with their only white space, a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(pieces):
+            return self._plain(pieces)
+        raw, cuts = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes of ``width`` each."""
         out: list[bytes] = []
-        known, get = self.ids, self.ids.__getitem__
+        known = self.ids
         for at in range(0, len(texts), TEXTS_AT_ONCE):
-            pieces = [[] if not t else [t] if _ODD.search(t) else _PIECES.findall(t) for t in texts[at : at + TEXTS_AT_ONCE]]
-            new = list({p for x in pieces for p in x if p not in known})
-            known.rest = {}
-            for p, ids in zip(new, self._plain(new), strict=True):
+            pieces = [[] if not t else _LATIN.findall(t) if not _OTHER.search(t) else [t] if _ODD.search(t) else _PIECES.findall(t) for t in texts[at : at + TEXTS_AT_ONCE]]
+            every = [p for x in pieces for p in x]
+            coded = list(map(known.get, every))
+            missing = [i for i, x in enumerate(coded) if x is None]
+            new = {every[i] for i in missing}
+            spaced = [p for p in new if p[0] == " " and len(p) > 1 and not p[1:2].isspace()]
+            plain = list(new.difference(spaced))
+            found = dict(zip(plain + spaced, self._plain(plain) + self._joined(spaced), strict=True))
+            for i in missing:
+                coded[i] = found[every[i]]
+            for p, ids in found.items():
                 if len(known) < REMEMBERED and len(p) <= LONGEST:
                     known[p] = ids
-                else:
-                    known.rest[p] = ids
-            out += [b"".join([*map(get, x), self.end]) for x in pieces]
+            start = 0
+            for x in pieces:
+                out.append(b"".join([*coded[start : start + len(x)], self.end]))
+                start += len(x)
         return out
 
 
