@@ -1,0 +1,52 @@
+import random
+
+import pytest
+from spanmill.llm.html_text import extract, main_text, ranges
+
+CASES = {
+    "template": ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>a</li></ul></nav><div class='ad'>Buy</div><article><h1>Head</h1><p><b>One<br><p>Two &amp; three</p></article><footer>F</footer></body></html>", "Head\nOne\nTwo & three"),
+    "no article": ("<body><div id='header'>Site</div><ul class='menu'><li><a href=x>Home</a></li></ul><div><p>Real text of the page.</p><p>More.</p></div><div class='sidebar'>Side</div></body>", "Real text of the page.\nMore."),
+    "ad inside": ("<article><p>A</p><div class='advert banner'><p>Buy</p></div><p>B</p><aside>x</aside><p>C</p></article>", "A\nB\nC"),
+    "comments": ("<main><h1>H</h1><p>text</p><section id='comments'><article class='comment'><p>reader</p></article></section></main>", "H\ntext"),
+    "form and notice": ("<body><div class='cookie-notice'>We use</div><main><p>x   y\n z</p><form><label>Mail</label><input></form></main></body>", "x y z"),
+    "entities": ("<article><p>a&nbsp;&lt;b&gt; &#233;&#x41; &unknown; 1 < 2</p></article>", "a <b> éA &unknown; 1 < 2"),
+    "script with markup": ("<article><script>var t='</p><p>no</p>';</script><p>yes</p><!-- <p>no</p> --></article>", "yes"),
+    "unclosed ad": ("<body><article><div class=ad>Buy<p>now</article><article><p>ok</p></article>", "ok"),
+    "unclosed script": ("<article><p>a</p></article><script>x<p>b</p>", "a"),
+    "header in article": ("<header>Site</header><article><header><h1>Title</h1></header><p>t</p></article>", "Title\nt"),
+    "inline": ("<article><p>a<b>b</b>c <i>d</i>e</p>tail</article>", "abc de\ntail"),
+    "lists and tables": ("<article><ul><li>one<li>two</ul><table><tr><td>c1</td><td>c2</td></tr></table></article>", "one\ntwo\nc1\nc2"),
+    "hidden": ("<article><p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p><p>yes</p></article>", "yes"),
+    "quote in attribute": ("<article><p title='a > b'>x</p><a href=\"q>r\">y</a></article>", "x\ny"),
+    "broken quote": ("<article><p title=\"a>x</p><p>y</p></article>", "x\ny"),
+    "plain text": ("just text", "just text"),
+    "gap": ("<body><p>tiny</p><div class=ad>z</div><p>the longest part of all</p></body>", "the longest part of all"),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_cases(name):
+    page, want = CASES[name]
+    assert extract(page) == want
+
+
+@pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<p></p>", "<!--", "</div></div>", "<div" * 1000, "<div>" * 5000 + "x", "&" * 1000, '<a "' * 3000])
+def test_odd_pages(page):
+    assert isinstance(extract(page), str)
+
+
+def test_ranges():
+    assert ranges([0, 5, 0, 0, 7, 0, 0, 0, 2], 3) == [(1, 5), (8, 9)]
+    assert ranges([], 3) == [] and ranges([0, 0], 3) == [] and ranges([1], 3) == [(0, 1)]
+    rng = random.Random(1)
+    for _ in range(300):
+        a = [rng.choice([0, 0, 3]) for _ in range(rng.randrange(20))]
+        got = ranges(a, 3)
+        assert sum(sum(a[x:y]) for x, y in got) == sum(a)
+        assert all(not any(a[y : y + 3]) for _, y in got)
+
+
+def test_frames(spark):
+    rows = [(1, "u", "<article><p>é😀</p></article>"), (2, None, None), (2, None, None), (None, "v", "")]
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "é😀", 2), (2, None, "", 0), (2, None, "", 0), (None, "v", "", 0)], key=str)
