@@ -30,7 +30,7 @@ SCHEMA = ", ".join(["chrom string", "pos bigint", "ref string", "alt string", *(
 
 def indel_sites(variants: DataFrame) -> DataFrame:
     """Candidates from (chrom, pos, ref, alt array, ord): first ALT, length other than REF's."""
-    sites = variants.where("size(alt) >= 1").select("chrom", "pos", "ref", F.col("alt")[0].alias("alt"), F.col("ord").alias("site_ord"))
+    sites = variants.where("size(alt) >= 1").select("chrom", "pos", "ref", F.get("alt", F.lit(0)).alias("alt"), F.col("ord").alias("site_ord"))
     sites = sites.where("length(ref) != length(alt)").withColumn("indel_length", F.expr("cast(length(alt) - length(ref) as bigint)"))
     return sites.withColumns({"pos0": F.col("pos") - 1, "is_insertion": F.col("indel_length") > 0, "indel_size": F.abs("indel_length")})
 
@@ -87,12 +87,12 @@ def _features(pairs: DataFrame) -> DataFrame:
     p = pairs.withColumns({"is_alt": C.supports("is_insertion", "indel_size", "pos0"), "q": C.query_position("pos0"), "sig": C.signature("pos0")})
     p = p.withColumns(
         {
-            "ed": F.expr(f"cast(coalesce(least(q, greatest({read_size} - q, 0)), {read_size} div 2) as double)"),
+            "ed": F.expr(f"cast(if(q is not null, least(q, greatest({read_size} - q, 0)), {read_size} div 2) as double)"),
             "base": F.expr("if(q < length(seq), substring(seq, q + 1, 1), null)"),
             "nbq": F.expr(C.mean(C.aligned("quals", "pos0 - 4", "pos0 + 6"))),
             "fbq": F.expr(f"if({whole}, {C.mean(near_q)}, 0D)"),
             "al": F.expr(f"if({whole}, size({near_q}), 0)"),
-            "mm": F.expr(f"if({whole}, size(filter(arrays_zip({near_s} as b, {near_p} as p), z -> z.p - flank_start < length(flank) and z.b != substring(flank, cast(z.p - flank_start + 1 as int), 1))), 0)"),
+            "mm": F.expr(f"if({whole}, size(filter(zip_with({near_s}, {near_p}, (c, p) -> p - flank_start < length(flank) and c != substring(flank, cast(p - flank_start + 1 as int), 1)), z -> z)), 0)"),
             "fwd": F.expr("if(flag & 16 = 0, 1D, 0D)"),
             "pp": F.expr("if(flag & 2 != 0, 1D, 0D)"),
             "mate": F.expr("if(flag & 1 != 0 and flag & 8 = 0, 1D, 0D)"),

@@ -59,12 +59,12 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """qname, flag, chrom, start (0-based), mapq, cigar, isize, seq, quals, nm, ord."""
     f = F.split("value", "\t")
     rows = _lines(spark, path).where("value not like '@%' and value != ''")
-    seq = F.when(f[9] == "*", "").otherwise(f[9])
-    quals = F.when(f[10] == "*", F.array_repeat(F.lit(255), F.length(seq))).otherwise(F.transform(F.filter(F.split(f[10], ""), lambda c: c != ""), lambda c: F.ascii(c) - 33))
+    seq = F.when(F.get(f, F.lit(9)) == "*", "").otherwise(F.get(f, F.lit(9)))
+    quals = F.when(F.get(f, F.lit(10)) == "*", F.array_repeat(F.lit(255), F.length(seq))).otherwise(F.transform(F.filter(F.split(F.get(f, F.lit(10)), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33))
     nm = F.try_element_at(F.transform(F.filter(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: t.like("NM:i:%")), lambda t: F.substring(t, 6, 12).cast("long")), F.lit(1))
     return rows.select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("start"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),
-        f[8].cast("long").alias("isize"), seq.alias("seq"), quals.alias("quals"), nm.alias("nm"), "ord",
+        F.get(f, F.lit(0)).alias("qname"), F.get(f, F.lit(1)).cast("int").alias("flag"), F.get(f, F.lit(2)).alias("chrom"), (F.get(f, F.lit(3)).cast("long") - 1).alias("start"), F.get(f, F.lit(4)).cast("int").alias("mapq"), F.get(f, F.lit(5)).alias("cigar"),
+        F.get(f, F.lit(8)).cast("long").alias("isize"), seq.alias("seq"), quals.alias("quals"), nm.alias("nm"), "ord",
     )
 
 
@@ -72,11 +72,11 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """chrom, start (0-based), end (exclusive)."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where("value != '' and value not like '#%' and value not like 'track%' and value not like 'browser%'")
-    return rows.select(f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"))
+    return rows.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("start"), F.get(f, F.lit(2)).cast("long").alias("end"))
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """name, length (0 if it isn't a number), offset, line_bases, line_width."""
     f = F.split("value", "\t")
     number = lambda i: F.coalesce(F.try_element_at(f, F.lit(i)).try_cast("long"), F.lit(0))
-    return spark.read.text(path).where("value != ''").select(f[0].alias("name"), number(2).alias("length"), number(3).alias("offset"), number(4).alias("line_bases"), number(5).alias("line_width"))
+    return spark.read.text(path).where("value != ''").select(F.get(f, F.lit(0)).alias("name"), number(2).alias("length"), number(3).alias("offset"), number(4).alias("line_bases"), number(5).alias("line_width"))
