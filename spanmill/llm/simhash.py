@@ -10,6 +10,11 @@ subtrees are cut into chunks and joined chunk by chunk in separate tasks, withou
 
 The forests' trees are merged by alternating large-star and small-star rounds until nothing changes.
 
+``near_duplicates`` links fingerprints alone. ``near_copies`` also holds each link against the texts: it finds
+candidates by fingerprints of short shingles, which move less when a word changes, and accepts a link where sketches of
+the texts' five-word shingles put their similarity at ``SIMILAR`` or more. Only texts that have some candidate carry
+their sketch into the second join. A sketch keeps one byte for each of ``BINS`` bins: of the smallest hash in it.
+
 Defined results: a null or empty text, or one without words, has fingerprint 0 and is linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows are separate documents; null
 doc_ids take part but never name a component (null if a component has no other); an empty table gives
@@ -36,32 +41,69 @@ SLICE = 1 << 15
 CHUNK_ROWS = 50_000
 FRONTIER = 200_000
 EXPAND = 64
+COPY_WORDS, COPY_BUDGET = 2, 8
+SHINGLE, SIMILAR = 5, 0.76  # a similarity of 0.8, less the error of an estimate from BINS bins
+BINS = 128
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The unsigned fingerprint of one text."""
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def _hashes(tokens: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle, big-endian, in slices."""
     import xxhash
 
     hashed = xxhash.xxh64_intdigest
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not tokens:
-        return 0
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
     first = np.concatenate(([0], ends[: n - 1])).tolist()
     last = (ends[min(words, len(tokens)) - 1 :] - 1).tolist()
-    counts = np.zeros(BITS, np.int64)
     for at in range(0, n, SLICE):
-        h = np.array([hashed(joined[a:b], SEED) for a, b in zip(first[at : at + SLICE], last[at : at + SLICE], strict=True)], dtype=">u8")
+        yield np.array([hashed(joined[a:b], SEED) for a, b in zip(first[at : at + SLICE], last[at : at + SLICE], strict=True)], dtype=">u8")
+
+
+def _print(tokens: list[bytes], words: int) -> int:
+    if not tokens:
+        return 0
+    n, counts = 0, np.zeros(BITS, np.int64)
+    for h in _hashes(tokens, words):
+        n += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The unsigned fingerprint of one text."""
+    return _print(_tokens(text), words)
+
+
+def sketch(tokens: list[bytes], words: int = SHINGLE) -> bytes:
+    """One byte per bin; 0 where no shingle falls into the bin."""
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    for h in _hashes(tokens, words) if tokens else ():
+        h = np.unique(h.astype(np.uint64))
+        bins = (h % np.uint64(BINS)).astype(np.int64)
+        order = np.lexsort((h, bins))
+        first = np.flatnonzero(np.concatenate(([True], np.diff(bins[order]) != 0)))
+        at = bins[order][first]
+        least[at] = np.minimum(least[at], h[order][first])
+    value = (least // np.uint64(BINS)) % np.uint64(255) + np.uint64(1)
+    return np.where(least == np.iinfo(np.uint64).max, 0, value).astype(np.uint8).tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches; 1 where both are empty."""
+    used = ((a | b) > 0).sum(axis=1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    return np.where(used > 0, same / np.maximum(used, 1), 1.0)
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
@@ -73,6 +115,23 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
+def sketched(docs: DataFrame, words: int = COPY_WORDS) -> DataFrame:
+    """(doc_id, node, fp, sketch) of every row; node: a hash of the text's words, equal for copies."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(1):
+                tokens = _tokens(t.as_py())
+                rows.append((xxhash.xxh64_intdigest(b" ".join(tokens), SEED + 1), _print(tokens, words), sketch(tokens)))
+            node, fp, sk = zip(*rows, strict=True) if rows else ((), (), ())
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(node), signed(fp), pa.array(sk, pa.binary())], ["doc_id", "node", "fp", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, fp long, sketch binary")
+
+
 # ---------------------------------------------------------------- trie self-join inside a task
 
 
@@ -99,11 +158,12 @@ class _Sets:
         return (change[hi1 - 1] == change[lo1]) & (change[hi2 - 1] == change[lo2]) & (self.root[lo1] == self.root[lo2])
 
 
-def trie_forest(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget: int) -> np.ndarray:
+def trie_forest(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget: int, sketches: np.ndarray | None = None) -> np.ndarray:
     """Root position of each key after linking all keys in ``pairs`` of ranges that differ in <= budget bits.
 
     keys: uint64, ascending inside each range; pairs: arrays lo1, hi1, lo2, hi2 whose keys agree on the
-    first ``depth`` bits. Ranges are trie nodes: node pairs descend one bit at a time.
+    first ``depth`` bits. Ranges are trie nodes: node pairs descend one bit at a time; equal keys are halved below
+    the last bit. With ``sketches``, a link also needs similar ones.
     """
     sets = _Sets(len(keys))
     stack = [(depth, *pairs, np.zeros(len(pairs[0]), np.int8))]
@@ -117,20 +177,29 @@ def trie_forest(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, bud
         keep = ~((self_pair & (hi1 - lo1 <= 1)) | sets.same(lo1, hi1, lo2, hi2))
         lo1, hi1, lo2, hi2, err, self_pair = (x[keep] for x in (lo1, hi1, lo2, hi2, err, self_pair))
         n1, n2 = hi1 - lo1, hi2 - lo2
-        small = (n1 * n2 <= EXPAND) | (at >= BITS)
+        small = n1 * n2 <= EXPAND
         if small.any():
             a1, a2, m2, count = lo1[small], lo2[small], n2[small], (n1 * n2)[small]
             k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             m2 = np.repeat(m2, count)
             x, y = np.repeat(a1, count) + k // m2, np.repeat(a2, count) + k % m2
             near = (np.bitwise_count(keys[x] ^ keys[y]) <= budget) & (x != y)
-            sets.join(x[near], y[near])
+            x, y = x[near], y[near]
+            if sketches is not None:
+                apart = sets.root[x] != sets.root[y]
+                x, y = x[apart], y[apart]
+                near = similarity(sketches[x], sketches[y]) >= SIMILAR
+                x, y = x[near], y[near]
+            sets.join(x, y)
         lo1, hi1, lo2, hi2, err, self_pair = (x[~small] for x in (lo1, hi1, lo2, hi2, err, self_pair))
         if not len(lo1):
             continue
-        ones = np.concatenate(([0], np.cumsum((keys >> np.uint64(BITS - 1 - at)) & np.uint64(1), dtype=np.int64)))
-        mid1, mid2 = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2])
-        down = [(lo1, mid1, lo2, mid2, err), (mid1, hi1, mid2, hi2, err), (lo1, mid1, mid2, hi2, err + 1), *[tuple(x[~self_pair] for x in (mid1, hi1, lo2, mid2, err + 1))]]
+        if at < BITS:
+            ones = np.concatenate(([0], np.cumsum((keys >> np.uint64(BITS - 1 - at)) & np.uint64(1), dtype=np.int64)))
+            mid1, mid2, more = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2]), err + 1
+        else:
+            mid1, mid2, more = (lo1 + hi1) // 2, (lo2 + hi2) // 2, err
+        down = [(lo1, mid1, lo2, mid2, err), (mid1, hi1, mid2, hi2, err), (lo1, mid1, mid2, hi2, more), tuple(x[~self_pair] for x in (mid1, hi1, lo2, mid2, more))]
         a, b, c, d, e = (np.concatenate(x) for x in zip(*down, strict=True))
         keep = (b > a) & (d > c) & (e <= budget)
         if keep.any():
@@ -168,48 +237,55 @@ def _forest_of_partition(tables, budget: int):
             return
         rows = pd.concat(got, ignore_index=True)
         for t, part in rows.groupby("t"):
-            fp = part["fp"].to_numpy(np.int64).view(np.uint64)
+            fp, node = part["fp"].to_numpy(np.int64).view(np.uint64), part["node"].to_numpy(np.int64)
+            sketches = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(-1, BINS) if "sketch" in part else None
             chosen = tables[int(t)]
             depth = sum(w for _, w in chosen)
             turned = _rotated(fp, chosen)
             a, b, c = (part[x].to_numpy(np.int32) for x in ("a", "b", "c"))
             top = turned >> np.uint64(BITS - depth)
             order = np.lexsort((turned, c, b, a, top))
-            fp, turned, a, b, c, top = (x[order] for x in (fp, turned, a, b, c, top))
+            node, turned, a, b, c, top = (x[order] for x in (node, turned, a, b, c, top))
+            sketches = None if sketches is None else sketches[order]
             new = np.flatnonzero(np.concatenate(([True], (top[1:] != top[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))))
-            end = np.append(new[1:], len(fp))
+            end = np.append(new[1:], len(node))
             alone = a[new] == b[new]
             first = (~alone) & (c[new] == a[new])
             k = np.flatnonzero(first)
             k = k[k + 1 < len(new)]
             k = k[(top[new[k]] == top[new[k + 1]]) & (a[new[k]] == a[new[k + 1]]) & (b[new[k]] == b[new[k + 1]])]
             pairs = tuple(np.concatenate(x) for x in ((new[alone], new[k]), (end[alone], end[k]), (new[alone], new[k + 1]), (end[alone], end[k + 1])))
-            root = trie_forest(turned, pairs, depth, budget)
+            root = trie_forest(turned, pairs, depth, budget, sketches)
             moved = np.flatnonzero(root != np.arange(len(root)))
             if len(moved):
-                yield pd.DataFrame({"u": fp[moved].view(np.int64), "v": fp[root[moved]].view(np.int64)})
+                yield pd.DataFrame({"u": node[moved], "v": node[root[moved]]})
 
     return run
 
 
 def link_forest(fps: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
-    """Edges (u, v) that connect whatever of the distinct ``fps`` (fp) links lead to each other; at most tables x n."""
-    blocks = next(b for b in (budget + 1, budget + 2, budget + 3) if b == budget + 3 or n >> (BITS // b * (b - budget)) <= 2000)
+    """Edges (u, v) that connect whatever of the n rows of ``fps`` links lead to each other; at most tables x n.
+
+    fps: distinct fp, or distinct node with fp and sketch. Edges are between nodes (fingerprints if there are none).
+    """
+    blocks = next(b for b in range(budget + 1, budget + 4) if b == budget + 3 or n >> (BITS // b * (b - budget)) <= 2000)
     tables = _tables(blocks, budget)
+    own = ["fp", "node", "sketch"] if "sketch" in fps.columns else ["fp", "node"]
+    fps = fps if "node" in fps.columns else fps.withColumn("node", F.col("fp"))
     key = lambda chosen: F.xxhash64(*[F.expr(f"shiftrightunsigned(fp, {BITS - at - w}) & {(1 << w) - 1}L") for at, w in chosen])
-    rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), key(chosen).alias("k")) for t, chosen in enumerate(tables)])).alias("x")).select("fp", "x.t", "x.k")
+    rows = fps.select(*own, F.explode(F.array(*[F.struct(F.lit(t).alias("t"), key(chosen).alias("k")) for t, chosen in enumerate(tables)])).alias("x")).select(*own, "x.t", "x.k")
     # subtrees beyond a task's share: there are at most tables x n / CHUNK_ROWS of them
     large = settled(rows.groupBy("t", "k").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK_ROWS).select("t", "k", F.ceil(F.col("m") / CHUNK_ROWS).cast("int").alias("chunks")))
     found = large.count()
     one = F.lit(0)
     if found:
         rows = rows.join(F.broadcast(large) if found <= 10_000 else large, ["t", "k"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        rows = rows.withColumn("c", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.select("fp", "t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c")
+        rows = rows.select(*own, "t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c")
     else:
-        rows = rows.select("fp", "t", "k", one.alias("a"), one.alias("b"), one.alias("c"))
-    dealt = rows.repartition("t", "k", "a", "b").select("t", "fp", "a", "b", "c")
+        rows = rows.select(*own, "t", "k", one.alias("a"), one.alias("b"), one.alias("c"))
+    dealt = rows.repartition("t", "k", "a", "b").select("t", *own, "a", "b", "c")
     return dealt.mapInPandas(_forest_of_partition(tables, budget), "u long, v long")
 
 
@@ -245,9 +321,23 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, budget: int = BUDGET
     return marked.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def near_copies(docs: DataFrame, *, words: int = COPY_WORDS, budget: int = COPY_BUDGET) -> DataFrame:
+    """(doc_id, node, component_id) for every row of ``docs``; links: fingerprints within the budget, and similar sketches."""
+    marked = settled(sketched(docs, words))
+    nodes = settled(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    prints = settled(nodes.groupBy("fp").agg(F.count("*").alias("n")))
+    pairs = link_forest(prints.select("fp"), prints.count(), budget)
+    some = settled(pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(prints.where("n > 1").select("fp")).distinct())
+    few = settled(nodes.join(some, "fp", "left_semi").select("fp", "node", "sketch"))
+    roots = components(link_forest(few, few.count(), budget))
+    named = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+
+
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows that are not the first (smallest doc_id) of their component; null doc_ids stay."""
-    later = near_duplicates(docs, **how).where("doc_id != component_id").select("doc_id").distinct()
+    """``docs`` without the rows that are not the first (smallest doc_id) of their group of near copies; null doc_ids stay."""
+    later = near_copies(docs, **how).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 

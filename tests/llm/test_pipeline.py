@@ -6,7 +6,7 @@ from spanmill.llm import toxicity
 from spanmill.llm.mixing import mix
 from spanmill.llm.pieces import load
 from spanmill.llm.pii import masked
-from spanmill.llm.simhash import near_duplicates
+from spanmill.llm.simhash import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,7 +39,7 @@ def test_stages(spark, tmp_path):
     bad = [r for r in after.collect() if "vilest" in (r.text or "")]
     assert len(bad) <= 3 and after.count() >= before.count() - 70
     before, after = seen["near_duplicates"]
-    first = {r.doc_id: r.component_id for r in near_duplicates(before).collect()}
+    first = {r.doc_id: r.component_id for r in near_copies(before).collect()}
     assert texts(after) == sorted(str((r.doc_id, r.text)) for r in before.collect() if r.doc_id is None or first[r.doc_id] == r.doc_id)
     before, after = seen["personal_data"]
     assert texts(after) == sorted(str((r.doc_id, masked(r.text))) for r in before.collect())

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from spanmill.llm import simhash
-from spanmill.llm.simhash import components, deduplicate, fingerprint, link_forest, near_duplicates, trie_forest
+from spanmill.llm.simhash import components, deduplicate, fingerprint, link_forest, near_copies, near_duplicates, similarity, sketch, trie_forest
 
 
 def brute_print(text):
@@ -105,6 +105,64 @@ def test_documents(spark):
             want[g] = min(want.get(g, i), i)
     expect = sorted(((i, signed(p), want.get(g)) for (i, _), p, g in zip(rows, prints, root, strict=True)), key=str)
     assert sorted(map(tuple, got.collect()), key=str) == expect
-    kept = [r.doc_id for r in deduplicate(df).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted(i for (i, _), g in zip(rows, root, strict=True) if i is not None and want[g] == i)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_sketches():
+    rng = random.Random(8)
+    for n in (3, 40, 400):
+        for _ in range(20):
+            a = [str(rng.randrange(1000)).encode() for _ in range(n)]
+            b = [x if rng.random() < 0.97 else b"new" for x in a]
+            j = jaccard(shingles(b" ".join(a).decode()), shingles(b" ".join(b).decode()))
+            x, y = (np.frombuffer(sketch(t), np.uint8)[None] for t in (a, b))
+            assert abs(similarity(x, y)[0] - j) < 0.2
+    assert sketch([]) == bytes(128) and similarity(np.zeros((1, 128), np.uint8), np.zeros((1, 128), np.uint8))[0] == 1
+
+
+def test_equal_prints_are_held_apart():
+    keys = np.full(500, 77, np.uint64)
+    rng = np.random.default_rng(1)
+    sketches = np.repeat(rng.integers(1, 256, (5, 128)).astype(np.uint8), 100, axis=0)
+    one = np.array([0]), np.array([500]), np.array([0]), np.array([500])
+    assert trie_forest(keys, one, 0, 4, sketches).tolist() == [i // 100 * 100 for i in range(500)]
+    assert trie_forest(keys, one, 0, 4).tolist() == [0] * 500
+
+
+def test_near_copies(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randrange(60, 300))] for _ in range(150)]
+    texts = [" ".join(b) for b in base]
+    for b in base[:60]:
+        for share in (0.003, 0.012, 0.1):
+            texts.append(" ".join(x if rng.random() > share else rng.choice(vocabulary) for x in b))
+    texts += [texts[0].upper()] * 20 + [None, "", " ", "one two", "One  two"]
+    rows = list(enumerate(texts)) + [(None, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("sketch", F.lit(1))
+    got = {r.doc_id: r.component_id for r in near_copies(df).collect()}
+    assert len(got) == len(rows) and got.pop(None) == got[1]
+    sets = [shingles(t) for t in texts]
+    near = missed = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] & sets[j] and (s := jaccard(sets[i], sets[j])) >= 0.5:
+                if s >= 0.8:
+                    near += 1
+                    missed += got[i] != got[j]
+    assert near > 100 and missed / near < 0.05
+    for i, c in got.items():  # a group's texts have much in common
+        assert any(jaccard(sets[i], sets[k]) > 0.55 for k, d in got.items() if d == c)
+    kept = deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, c in got.items() if i == c)
+    assert near_copies(df.limit(0)).count() == 0
