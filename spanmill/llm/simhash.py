@@ -39,7 +39,8 @@ SEED = 42
 BITS = 64
 SLICE = 1 << 15
 CHUNK_ROWS = 50_000
-FRONTIER = 200_000
+FRONTIER = 40_000
+VERIFIED_AT_ONCE = 50_000
 EXPAND = 64
 COPY_WORDS, COPY_BUDGET = 2, 8
 SHINGLE, SIMILAR = 5, 0.76  # a similarity of 0.8, less the error of an estimate from BINS bins
@@ -185,12 +186,14 @@ def trie_forest(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, bud
             x, y = np.repeat(a1, count) + k // m2, np.repeat(a2, count) + k % m2
             near = (np.bitwise_count(keys[x] ^ keys[y]) <= budget) & (x != y)
             x, y = x[near], y[near]
-            if sketches is not None:
-                apart = sets.root[x] != sets.root[y]
-                x, y = x[apart], y[apart]
-                near = similarity(sketches[x], sketches[y]) >= SIMILAR
-                x, y = x[near], y[near]
-            sets.join(x, y)
+            if sketches is None:
+                sets.join(x, y)
+            for k in range(0, len(x) if sketches is not None else 0, VERIFIED_AT_ONCE):
+                i, j = x[k : k + VERIFIED_AT_ONCE], y[k : k + VERIFIED_AT_ONCE]
+                apart = sets.root[i] != sets.root[j]
+                i, j = i[apart], j[apart]
+                alike = similarity(sketches[i], sketches[j]) >= SIMILAR
+                sets.join(i[alike], j[alike])
         lo1, hi1, lo2, hi2, err, self_pair = (x[~small] for x in (lo1, hi1, lo2, hi2, err, self_pair))
         if not len(lo1):
             continue
