@@ -117,20 +117,20 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def sketched(docs: DataFrame, words: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, node, fp, sketch) of every row; node: a hash of the text's words, equal for copies."""
+    """(doc_id, own, node, fp, sketch) of every row; own: a hash of the text; node: of its words, equal for copies."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(1):
+            for t in b.column(2):
                 tokens = _tokens(t.as_py())
                 rows.append((xxhash.xxh64_intdigest(b" ".join(tokens), SEED + 1), _print(tokens, words), sketch(tokens)))
             node, fp, sk = zip(*rows, strict=True) if rows else ((), (), ())
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(node), signed(fp), pa.array(sk, pa.binary())], ["doc_id", "node", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(node), signed(fp), pa.array(sk, pa.binary())], ["doc_id", "own", "node", "fp", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, fp long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, own long, node long, fp long, sketch binary")
 
 
 # ---------------------------------------------------------------- trie self-join inside a task
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, budget: int = BUDGET
 
 
 def near_copies(docs: DataFrame, *, words: int = COPY_WORDS, budget: int = COPY_BUDGET) -> DataFrame:
-    """(doc_id, node, component_id) for every row of ``docs``; links: fingerprints within the budget, and similar sketches."""
+    """(doc_id, own, node, root, component_id) for every row of ``docs``, root naming its group; links: fingerprints within the budget, and similar sketches."""
     marked = settled(sketched(docs, words))
     nodes = settled(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
     prints = settled(nodes.groupBy("fp").agg(F.count("*").alias("n")))
@@ -335,13 +335,27 @@ def near_copies(docs: DataFrame, *, words: int = COPY_WORDS, budget: int = COPY_
     roots = components(link_forest(few, few.count(), budget))
     named = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+    return marked.select("doc_id", "own", "node").join(named.join(ids, "root"), "node").select("doc_id", "own", "node", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows that are not the first (smallest doc_id) of their group of near copies; null doc_ids stay."""
-    later = near_copies(docs, **how).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of near copies: of the smallest doc_id (nulls last), then of the smallest text hash.
+
+    A row is known by its doc_id and its text, so rows that share a doc_id but no group all stay, and of repeated rows one.
+    """
+    key = ["doc_id", "own"]
+    rows = settled(near_copies(docs, **how).groupBy(*key).agg(F.min("root").alias("root"), F.count("*").alias("n")))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("best"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["_id"]) & (a["own"] == b["_own"])
+    stay = best.select(F.col("best.doc_id").alias("_id"), F.col("best.own").alias("_own"))
+    gone = rows.join(stay, same(rows, stay), "left_anti").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("own"))
+    kept = keyed.join(gone, same(keyed, gone), "left_anti")
+    many = settled(rows.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own")))
+    if many.count():
+        again = kept.join(many, same(kept, many), "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        kept = kept.join(many, same(kept, many), "left_anti").select("row").unionByName(again.select("row"))
+    return kept.select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,5 +164,18 @@ def test_near_copies(spark):
         assert any(jaccard(sets[i], sets[k]) > 0.55 for k, d in got.items() if d == c)
     kept = deduplicate(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, c in got.items() if i == c)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in got.items() if i == c)
     assert near_copies(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, long), (4, "q r s t u v"), (4, long + " more"), (4, "q r s t u v"), (None, long)]
+    rows += [(None, "only null ids"), (None, "Only null ids"), (None, "only null ids"), (5, None), (6, ""), (6, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("own", F.lit("x"))
+    kept = deduplicate(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [(i, t) for i, t in got if i is not None] == [(1, "a b c d e f"), (3, long), (4, "q r s t u v"), (5, None)]
+    assert [(t or "").lower() for i, t in got if i is None] == ["only null ids"]
+    assert deduplicate(df.limit(0)).count() == 0
