@@ -10,10 +10,11 @@ subtrees are cut into chunks and joined chunk by chunk in separate tasks, withou
 
 The forests' trees are merged by alternating large-star and small-star rounds until nothing changes.
 
-``near_duplicates`` links fingerprints alone. ``near_copies`` also holds each link against the texts: it finds
-candidates by fingerprints of short shingles, which move less when a word changes, and accepts a link where sketches of
-the texts' five-word shingles put their similarity at ``SIMILAR`` or more. Only texts that have some candidate carry
-their sketch into the second join. A sketch keeps one byte for each of ``BINS`` bins: of the smallest hash in it.
+``near_duplicates`` links fingerprints alone. ``near_copies`` links texts whose sets of five-word shingles have a similarity
+of 0.8 or more. Candidates come from prefix filtering: in any fixed order of all shingles, two such sets share a
+shingle among the first ``n - ceil(0.8 n) + 1`` of each, so no link is lost. The order puts shingles that a sample of the texts
+holds more than once behind all others; it decides only how many candidates there are. A second pass, over the texts that have a
+candidate, orders by a sample of these. The candidates' components are then held against the whole shingle sets, each in one task.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0 and is linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows are separate documents; null
@@ -42,9 +43,12 @@ CHUNK_ROWS = 50_000
 FRONTIER = 40_000
 VERIFIED_AT_ONCE = 50_000
 EXPAND = 64
-COPY_WORDS, COPY_BUDGET = 2, 8
-SHINGLE, SIMILAR = 5, 0.76  # a similarity of 0.8, less the error of an estimate from BINS bins
+SHINGLE, SIMILAR = 5, 0.76
 BINS = 128
+SAMPLED, SHARE = 12_000, 0.05  # texts that shingles are counted in: as many, or that share of them if that is more
+FREQUENT = 1_000_000  # counted shingles that every task gets
+ALL_PAIRS = 64  # texts with a shingle in common, up to which each pair is looked at
+BROADCAST = 500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -116,23 +120,6 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def sketched(docs: DataFrame, words: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, own, node, fp, sketch) of every row; own: a hash of the text; node: of its words, equal for copies."""
-    import xxhash
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t in b.column(2):
-                tokens = _tokens(t.as_py())
-                rows.append((xxhash.xxh64_intdigest(b" ".join(tokens), SEED + 1), _print(tokens, words), sketch(tokens)))
-            node, fp, sk = zip(*rows, strict=True) if rows else ((), (), ())
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(node), signed(fp), pa.array(sk, pa.binary())], ["doc_id", "own", "node", "fp", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, own long, node long, fp long, sketch binary")
-
-
 # ---------------------------------------------------------------- trie self-join inside a task
 
 
@@ -324,27 +311,209 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, budget: int = BUDGET
     return marked.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, *, words: int = COPY_WORDS, budget: int = COPY_BUDGET) -> DataFrame:
-    """(doc_id, own, node, root, component_id) for every row of ``docs``, root naming its group; links: fingerprints within the budget, and similar sketches."""
-    marked = settled(sketched(docs, words))
-    nodes = settled(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    prints = settled(nodes.groupBy("fp").agg(F.count("*").alias("n")))
-    pairs = link_forest(prints.select("fp"), prints.count(), budget)
-    some = settled(pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(prints.where("n > 1").select("fp")).distinct())
-    few = settled(nodes.join(some, "fp", "left_semi").select("fp", "node", "sketch"))
-    roots = components(link_forest(few, few.count(), budget))
-    named = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+# ---------------------------------------------------------------- near copies
+
+
+def shingle_set(tokens: list[bytes], words: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending; none where there are no words."""
+    return np.unique(np.concatenate([h.astype(np.uint64) for h in _hashes(tokens, words)])) if tokens else np.zeros(0, np.uint64)
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _node(tokens: list[bytes]) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b" ".join(tokens), SEED + 1)
+
+
+def marked_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, node) of every row; own: a hash of the text; node: of its words, equal for copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed([_node(_tokens(t.as_py())) for t in b.column(2)])], ["doc_id", "own", "node"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, own long, node long")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, set) of every row with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                tokens = [x for t in b.column(0).slice(at, 500) if (x := _tokens(t.as_py()))]
+                yield pa.RecordBatch.from_arrays([_signed([_node(x) for x in tokens]), pa.array([shingle_set(x).tobytes() for x in tokens], pa.binary())], ["node", "set"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, set binary")
+
+
+def frequent_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the n sets holds more than once, ascending, and how often it does."""
+    share = min(1.0, max(SHARE, SAMPLED / max(n, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_of = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.int64)
+            h, m = np.unique(all_of, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(m.astype(np.int64))], ["h", "m"])
+
+    some = sets if share == 1 else sets.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    counted = some.mapInArrow(run, "h long, m long").groupBy("h").agg(F.sum("m").alias("m")).where("m > 1")
+    found = counted.orderBy(F.desc("m"), "h").limit(FREQUENT).toArrow()
+    h, m = found.column("h").to_numpy().view(np.uint64), found.column("m").to_numpy()
+    order = np.argsort(h)
+    return h[order], m[order]
+
+
+def _rare_first(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set: any set with a similarity of 0.8 or more has one of them among its own first."""
+    h, m = frequent
+    count = np.zeros(len(shingles), np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+        count = np.where(h[at] == shingles, m[at], 0)
+    return shingles[np.lexsort((shingles, count))[: len(shingles) + (-4 * len(shingles) // 5) + 1]]
+
+
+def _candidates_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) that connect all texts which may be similar by some shingle of the partition."""
+    got = list(batches)
+    if not sum(b.num_rows for b in got):
+        return
+    token, node, n, rest = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
+    order = np.lexsort((node, n, token))
+    token, node, n, rest = (x[order] for x in (token, node, n, rest))
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))
+    token, node, n, rest = (x[new].astype(np.int64) for x in (token, node, n, rest))
+    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    size = np.diff(np.append(first, len(token)))
+    size = np.repeat(size, size)
+    several = size > 1
+    token, node, n, rest, size = (x[several] for x in (token, node, n, rest, size))
+    names, at = np.unique(node, return_inverse=True)
+    sets = _Sets(len(names))
+    for lag in range(1, min(ALL_PAIRS, len(token))):
+        # a large group is only a chain by length, which connects all whose lengths are near enough
+        may = (token[lag:] == token[:-lag]) & (5 * n[:-lag] >= 4 * n[lag:])
+        both = 9 * np.minimum(rest[lag:], rest[:-lag]) >= 4 * (n[lag:] + n[:-lag])
+        may &= both & (size[lag:] <= ALL_PAIRS) | (size[lag:] > ALL_PAIRS) & (lag == 1)
+        sets.join(at[lag:][may], at[:-lag][may])
+    moved = np.flatnonzero(sets.root != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[sets.root[moved]])], ["u", "v"])
+
+
+def candidates(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Edges (u, v) whose components hold every pair of nodes with a similarity of 0.8 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, firsts = [], []
+            for x in b.column(1):
+                shingles = np.frombuffer(x.as_py(), np.uint64)
+                sizes.append(len(shingles))
+                firsts.append(_rare_first(shingles, frequent))
+            taken = np.array([len(x) for x in firsts], np.int64)
+            if not len(taken):
+                continue
+            n = np.repeat(np.array(sizes, np.int64), taken)
+            before = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+            columns = [_signed(np.concatenate(firsts)), pa.array(np.repeat(b.column(0).to_numpy(), taken)), pa.array(n.astype(np.int32)), pa.array((n - before).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "rest"])
+
+    return sets.mapInArrow(run, "token long, node long, n int, rest int").repartition("token").mapInArrow(_candidates_of_partition, "u long, v long")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a similarity of SIMILAR or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def linked(sets: list[np.ndarray]) -> list[int]:
+    """For each set the position of its group's first one, all that are alike being linked.
+
+    Sets that share one of their first shingles are compared unless they are already connected; under a shingle, those
+    known to be connected stand together.
+    """
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    counted = np.unique(np.concatenate(sets), return_counts=True)
+    under: dict[int, dict[int, list[int]]] = {}
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        apart: set[int] = set()
+        for shingle in _rare_first(sets[i], counted).tolist():
+            parts: dict[int, list[int]] = {}
+            for r, members in under.get(shingle, {}).items():
+                parts.setdefault(find(r), []).extend(members)
+            for r, members in parts.items():
+                if find(r) == find(i):
+                    continue
+                for j in members:
+                    if j in apart or 5 * len(sets[j]) < 4 * len(sets[i]):
+                        continue
+                    if alike(sets[i], sets[j]):
+                        a, b = find(i), find(j)
+                        root[max(a, b)] = min(a, b)
+                        break
+                    apart.add(j)
+            own = next((r for r in parts if find(r) == find(i)), None)
+            if own is None:
+                parts[i] = [i]
+            else:
+                parts[own].append(i)
+            under[shingle] = parts
+    return [find(i) for i in range(len(sets))]
+
+
+def _links_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, root) of the nodes of each component; rows come ordered by component, one component is held at a time."""
+    from itertools import groupby
+
+    rows = ((c, u, s) for b in batches for c, u, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+    for _, part in groupby(rows, key=lambda r: r[0]):
+        nodes, sets = zip(*((u, np.frombuffer(s.as_py(), np.uint64)) for _, u, s in part), strict=True)
+        least: dict[int, int] = {}
+        roots = linked(list(sets))
+        for u, r in zip(nodes, roots, strict=True):
+            least[r] = min(least.get(r, u), u)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[r] for r in roots], pa.int64())], ["u", "root"])
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, node, root, component_id) for every row of ``docs``, root naming its group; links: a similarity of 0.8 or more."""
+    marked = settled(marked_rows(docs))
+    sets = shingle_sets(docs)
+    few = None
+    for _ in range(2):
+        edges = settled(candidates(sets, frequent_shingles(sets, (marked if few is None else few).count())))
+        few = settled(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        sets = sets.join(F.broadcast(few) if few.count() <= BROADCAST else few, "node", "left_semi")
+        sets = settled(sets.dropDuplicates(["node"]))
+    whole = components(edges)
+    named = sets.join(whole.withColumnRenamed("u", "node").withColumnRenamed("root", "whole"), "node", "left").select(F.coalesce("whole", "node").alias("whole"), "node", "set")
+    roots = settled(named.repartition("whole").sortWithinPartitions("whole").mapInArrow(_links_of_partition, "u long, root long"))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"))
+    named = settled(nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.select("doc_id", "own", "node").join(named.join(ids, "root"), "node").select("doc_id", "own", "node", "root", "component_id")
+    return marked.join(named.join(ids, "root"), "node").select("doc_id", "own", "node", "root", "component_id")
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
+def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: of the smallest doc_id (nulls last), then of the smallest text hash.
 
     A row is known by its doc_id and its text, so rows that share a doc_id but no group all stay, and of repeated rows one.
     """
     key = ["doc_id", "own"]
-    rows = settled(near_copies(docs, **how).groupBy(*key).agg(F.min("root").alias("root"), F.count("*").alias("n")))
+    rows = settled(near_copies(docs).groupBy(*key).agg(F.min("root").alias("root"), F.count("*").alias("n")))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("best"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["_id"]) & (a["own"] == b["_own"])
     stay = best.select(F.col("best.doc_id").alias("_id"), F.col("best.own").alias("_own"))

@@ -179,3 +179,27 @@ def test_one_row_of_each_group_stays(spark):
     assert [(i, t) for i, t in got if i is not None] == [(1, "a b c d e f"), (3, long), (4, "q r s t u v"), (5, None)]
     assert [(t or "").lower() for i, t in got if i is None] == ["only null ids"]
     assert deduplicate(df.limit(0)).count() == 0
+
+
+def added(rng, n, more):
+    a = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    return " ".join(a), " ".join(a + [f"v{rng.randrange(10**6)}" for _ in range(more)])
+
+
+def held_against_brute_force(spark, texts):
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets, want = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert [got[i] for i in range(len(texts))] == want
+    return want
+
+
+def test_added_passages_and_short_texts(spark):
+    rng = random.Random(11)
+    pairs = [added(rng, n, more) for n, more in ((100, 15), (400, 80), (1000, 200), (40, 5), (10, 1)) for _ in range(15)]
+    want = held_against_brute_force(spark, [t for pair in pairs for t in pair])
+    assert len(set(want)) == len(pairs)
