@@ -11,7 +11,7 @@ subtrees are cut into chunks and joined chunk by chunk in separate tasks, withou
 The forests' trees are merged by alternating large-star and small-star rounds until nothing changes.
 
 ``near_duplicates`` links fingerprints alone. ``near_copies`` links texts whose sets of five-word shingles have a similarity
-of 0.8 or more. Candidates come from prefix filtering: in any fixed order of all shingles, two such sets share a
+of 0.8 or more, and no others. Candidates come from prefix filtering: in any fixed order of all shingles, two such sets share a
 shingle among the first ``n - ceil(0.8 n) + 1`` of each, so no link is lost. The order puts shingles that a sample of the texts
 holds more than once behind all others; it decides only how many candidates there are. A second pass, over the texts that have a
 candidate, orders by a sample of these. The candidates' components are then held against the whole shingle sets, each in one task.
@@ -428,9 +428,8 @@ def candidates(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have a similarity of SIMILAR or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILAR * (len(a) + len(b) - both)
+    """Whether two sets have a similarity of 0.8 or more."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
 def linked(sets: list[np.ndarray]) -> list[int]:

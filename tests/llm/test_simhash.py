@@ -203,3 +203,15 @@ def test_added_passages_and_short_texts(spark):
     pairs = [added(rng, n, more) for n, more in ((100, 15), (400, 80), (1000, 200), (40, 5), (10, 1)) for _ in range(15)]
     want = held_against_brute_force(spark, [t for pair in pairs for t in pair])
     assert len(set(want)) == len(pairs)
+
+
+def test_less_similar_texts_are_not_linked(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in [40] * 30 + [35] * 30:  # one word changed: 0.756 and 0.722
+        a = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(a), " ".join([*a[: n // 2], "other", *a[n // 2 + 1 :]])]
+    for n, more in ((44, 10), (44, 11)):  # exactly 0.8, and just below
+        texts += added(rng, n, more)
+    want = held_against_brute_force(spark, texts)
+    assert len(set(want)) == len(texts) - 1
