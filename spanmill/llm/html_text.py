@@ -4,8 +4,9 @@ Markup is stripped first: comments, scripts, styles and the head go; menus, head
 adverts and reader comments, known by their element, role or name, leave a gap of empty lines; each block
 element is a line. Text lengths are then summed over windows of ``WINDOW`` lines. A surge is the first line where
 the sum rises from zero, a dive the line where it falls back to zero; the text between a surge and its dive is a
-candidate. Candidates inside an article or main element win, all of them; otherwise the one with the most text that isn't
-links. All of a candidate's lines are kept.
+candidate. Candidates inside an article or main element win, all of them; otherwise all that aren't mostly links, but for single
+words that stand in no container other than the body, and the one with the most text that isn't links in any case. All of a
+candidate's lines are kept.
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed and empty ones go.
 
@@ -42,6 +43,7 @@ NAMES = frozenset(
     "replies respond sharing share shares sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar tracking widget widgets".split()
 )
 PARENTS = frozenset(("article", "main", "body", "html"))
+CONTAINERS = frozenset("blockquote center dd details div dl dt figure li ol section table tbody td tr ul".split())
 CONTENT_NAMES = frozenset("article content entry main post story".split())
 
 _ATTRS = r"""(?>[^>"']+|"[^"]*"|'[^']*')*"""
@@ -75,11 +77,11 @@ def around(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, in an article) of each line, gaps as empty lines."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, in an article, in a container) of each line, gaps as empty lines."""
+    out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, hides, holds an article
-    hidden = articles = links = linked = 0
+    hidden = articles = links = linked = contained = 0
     buffer: list[str] = []
 
     def flush(gap: int = 0) -> None:
@@ -87,15 +89,16 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
         buffer.clear()
         if text:
-            out.append((text, linked, articles > 0))
+            out.append((text, linked, articles > 0, contained > 0))
         linked = 0
-        out.extend([("", 0, articles > 0)] * gap)
+        out.extend([("", 0, articles > 0, contained > 0)] * gap)
 
     def close(upto: int) -> None:
-        nonlocal hidden, articles, links
+        nonlocal hidden, articles, links, contained
         while len(stack) > upto:
             name, hides, holds = stack.pop()
             links -= name == "a"
+            contained -= name in CONTAINERS
             if holds:
                 flush(WINDOW)
                 articles -= 1
@@ -144,6 +147,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         links += name == "a"
         if not attrs.endswith("/") or name in BLOCKS:
             stack.append((name, hides, holds))
+            contained += name in CONTAINERS
         else:
             hidden -= hides
             links -= name == "a"
@@ -177,11 +181,15 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     rows = lines(page)
-    found = ranges([len(t) for t, _, _ in rows])
+    found = ranges([len(t) for t, _, _, _ in rows])
     inside = [r for r in found if any(rows[i][2] for i in range(*r))]
     if not inside and found:
-        inside = [max(found, key=lambda r: sum(max(0, len(t) - link) for t, link, _ in rows[r[0] : r[1]]))]
-    return "\n".join(t for a, b in inside for t, _, _ in rows[a:b] if t)
+        own = [sum(max(0, len(t) - link) for t, link, _, _ in rows[a:b]) for a, b in found]
+        whole = [sum(len(t) for t, _, _, _ in rows[a:b]) for a, b in found]
+        text = [any(held or " " in t for t, _, _, held in rows[a:b] if t) for a, b in found]
+        most = own.index(max(own))
+        inside = [r for i, r in enumerate(found) if i == most or text[i] and 2 * own[i] >= whole[i]]
+    return "\n".join(t for a, b in inside for t, _, _, _ in rows[a:b] if t)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

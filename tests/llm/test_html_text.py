@@ -50,3 +50,17 @@ def test_frames(spark):
     rows = [(1, "u", "<article><p>é😀</p></article>"), (2, None, None), (2, None, None), (None, "v", "")]
     got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "é😀", 2), (2, None, "", 0), (2, None, "", 0), (None, "v", "", 0)], key=str)
+
+
+DIVIDED = {
+    "advert between paragraphs": ("<body><div class='menu'><a href=x>Home</a></div><div id=content><p>First part.</p><div class=ad>Buy</div><p>The second part is longer.</p></div><div class=footer>F</div></body>", "First part.\nThe second part is longer."),
+    "several hidden blocks": ("<div><p>One.</p><aside>x</aside><p>Two</p><form>y</form><p>Three is the longest.</p><div class='notice'>z</div><p>Four.</p></div>", "One.\nTwo\nThree is the longest.\nFour."),
+    "advert in the body": ("<body><p>A first paragraph.</p><div class=ad>z</div><p>A second paragraph, longer.</p></body>", "A first paragraph.\nA second paragraph, longer."),
+    "list of links": ("<body><div><a href=x>One page</a> <a href=y>another page</a></div><div class=ad>z</div><div><p>Text.</p></div></body>", "Text."),
+}
+
+
+@pytest.mark.parametrize("name", DIVIDED)
+def test_all_parts_without_an_article(name):
+    page, want = DIVIDED[name]
+    assert extract(page) == want
