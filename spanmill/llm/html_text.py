@@ -11,7 +11,8 @@ candidate's lines are kept.
 Character references are decoded, white space inside a line becomes one space, lines are trimmed and empty ones go.
 
 Defined results: null and empty pages, and pages without text, give an empty text; unclosed elements end where their
-parent does; an unclosed script or comment runs to the end; rows are independent; other columns don't matter.
+parent does, an unclosed head at the first element or text that belongs to a body, a self-closed svg or math element at
+once; an unclosed script or comment runs to the end; rows are independent; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from .common import table
 WINDOW = 3
 
 # Element names of the HTML standard, and names that page authors give to parts around an article.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "title", "head")
+RAW = frozenset("iframe noscript script style textarea title".split())  # hold no markup
+UNSEEN = RAW | frozenset("audio canvas head math object select svg template video".split())
+METADATA = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
@@ -48,10 +52,11 @@ CONTENT_NAMES = frozenset("article content entry main post story".split())
 
 _ATTRS = r"""(?>[^>"']+|"[^"]*"|'[^']*')*"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){_ATTRS}>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?=[\s/>]){_ATTRS}|[^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -81,6 +86,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, in an article, in a container) of each line, gaps as empty lines."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, hides, holds an article
+    opened = dict.fromkeys(("head", *FOREIGN), 0)
+    endless: set[str] = set()  # raw elements without a further end tag
     hidden = articles = links = linked = contained = 0
     buffer: list[str] = []
 
@@ -99,16 +106,28 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             name, hides, holds = stack.pop()
             links -= name == "a"
             contained -= name in CONTAINERS
+            if name in opened:
+                opened[name] -= 1
             if holds:
                 flush(WINDOW)
                 articles -= 1
             if hides:
                 hidden -= 1
-                if not hidden:
+                if not hidden and name not in UNSEEN:
                     flush(0 if articles else WINDOW)
 
+    def leave_head() -> None:
+        """End a head that only unclosed titles and the like keep open."""
+        k = len(stack) - 1
+        while k >= 0 and stack[k][0] in RAW:
+            k -= 1
+        if k >= 0 and stack[k][0] == "head":
+            close(k)
+
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
+        if hidden and stack[-1][0] == "head" and page[at : m.start()].strip():
+            close(len(stack) - 1)
         if not hidden and m.start() > at:
             text = page[at : m.start()]
             buffer.append(text)
@@ -125,7 +144,18 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 flush()
             if found is not None:
                 close(found)
+                if name in BLOCKS and not hidden:
+                    flush()
             continue
+        if hidden:
+            if opened["head"] and name == "body":
+                close(next(i for i, x in enumerate(stack) if x[0] == "head"))
+            elif opened["head"] and name not in METADATA:
+                leave_head()
+            if name in BLOCKS and (opened["svg"] or opened["math"]):
+                k = max(i for i, x in enumerate(stack) if x[0] in FOREIGN)
+                if all(x[0] != "foreignobject" for x in stack[k:]):
+                    close(k)
         if name == "br":
             buffer.append(" ")
             continue
@@ -134,10 +164,18 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 flush()
             continue
         attrs = m["attrs"] or ""
+        if name in RAW and name not in endless and not (attrs.endswith("/") and (opened["svg"] or opened["math"])):
+            if ends := _RAW_END[name].search(page, at):
+                at = ends.end()
+                continue
+            if name == "script":
+                at = len(page)
+                break
+            endless.add(name)
         if name in ("p", "li") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
-        hides = around(name, attrs, articles > 0)
-        if not hidden and (name in BLOCKS or hides):
+        hides = name in UNSEEN or around(name, attrs, articles > 0)
+        if not hidden and (name in BLOCKS or hides and name not in UNSEEN):
             flush(WINDOW if hides and not articles else 0)
         holds = name in ("article", "main") and not hides and not hidden
         if holds:
@@ -148,9 +186,13 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if not attrs.endswith("/") or name in BLOCKS:
             stack.append((name, hides, holds))
             contained += name in CONTAINERS
+            if name in opened:
+                opened[name] += 1
         else:
             hidden -= hides
             links -= name == "a"
+    if hidden and stack[-1][0] == "head" and page[at:].strip():
+        close(len(stack) - 1)
     if not hidden and at < len(page):
         buffer.append(page[at:])
     flush()

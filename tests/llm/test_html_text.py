@@ -64,3 +64,23 @@ DIVIDED = {
 def test_all_parts_without_an_article(name):
     page, want = DIVIDED[name]
     assert extract(page) == want
+
+
+UNCLOSED = {
+    "head": ("<html><head><title>t</title><meta charset=x><body><article><p>a</p></article></body></html>", "a"),
+    "head and body": ("<head><title>t</title><style>p{}</style><article><p>a</p></article>", "a"),
+    "head before text": ("<head><title>t</title>only text", "only text"),
+    "title": ("<head><title>t<body><p>a</p></body>", "a"),
+    "self-closed svg": ("<article><p>one <svg class='i'/>two</p><p>three<math/></p><svg><path d=''/></svg><p>four</p></article>", "one two\nthree\nfour"),
+    "svg": ("<article><p>one<svg><path></p><p>two</p><svg><g><p>three</p></article>", "one\ntwo\nthree"),
+    "style in svg": ("<article><svg><style/><path/></svg><p>a</p><style>b</style><p>c</p></article>", "a\nc"),
+    "video": ("<article><div><video>no</div><p>a</p><div><select><option>no</div><p>b</p></article>", "a\nb"),
+    "object in object": ("<article><object>no<object>no</object>no</object><p>a</p></article>", "a"),
+    "iframe": ("<article><div><iframe>no</div><p>a</p></article>", "a"),
+}
+
+
+@pytest.mark.parametrize("name", UNCLOSED)
+def test_unclosed_elements_end_with_their_parent(name):
+    page, want = UNCLOSED[name]
+    assert extract(page) == want
