@@ -3,7 +3,7 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, digits, URL schemes and words that
 announce an identifier. At each anchor a deterministic local parser expands to the left or right and
 validates: e-mail addresses, IPv4 addresses, payment cards (Luhn), phone numbers, and beyond these the
-user part of a URL (``credential``) and announced account numbers (``account``: IBAN with its check
+user part of a URL (``credential``, schemes in any case) and announced account numbers (``account``: IBAN with its check
 digits, US social security numbers).
 
 A parser keeps the place where its last match ended, and tries each possible start in order, so its spans are
@@ -39,8 +39,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+:[^\s/@]+(?=@)")
-_ACCOUNT = re.compile(r"[\s:#=]*(?i:number|no\.?)?[\s:#=]*(?P<id>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4})")
+_USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++:[^\s/@]++(?=@)")
+_ACCOUNT = re.compile(r"[\s:#=]*+(?i:number|no\.?)?[\s:#=]*+(?P<id>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4})")
 
 
 @cache
@@ -52,8 +52,7 @@ def _anchors():
         found.add_word(d, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
-    for s in SCHEMES:
-        found.add_word(s, ("scheme", len(s)))
+    found.add_word("://", ("scheme", 3))
     for c in CUES:
         for form in {c, c.upper(), c.title(), c.capitalize()}:
             found.add_word(form, ("cue", len(form)))
@@ -107,9 +106,9 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                     out["phone"].append(m.span())
         elif anchor == "scheme":
-            if m := _USER.match(text, end + 1, end + 513):
+            if text[max(0, at - 5) : end + 1].lower().endswith(SCHEMES) and (m := _USER.match(text, end + 1)):
                 out["credential"].append(m.span())
-        elif at >= account and (m := _ACCOUNT.match(text, end + 1, end + 129)):
+        elif at >= account and (m := _ACCOUNT.match(text, end + 1)):
             s = m["id"]
             while "-" not in s and not iban(s) and " " in s:  # capitals may follow the number
                 s = s.rpartition(" ")[0]

@@ -68,3 +68,14 @@ def test_frames(spark):
     assert out.schema == df.schema
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "<EMAIL> <IP>", 12), (2, None, None), (3, "", 0), (3, "", 0), (None, "<PHONE>", 7)], key=str)
     assert spans(df.limit(0)).count() == 0
+
+
+def test_added_kinds_have_no_windows():
+    for scheme, secret in (("https://", "s" * 5000), ("HTTPS://", "secret"), ("Ftp://", "x"), ("ssh://", "a+b:c")):
+        t = f"see {scheme}me:{secret}@host/x and a@b.co"
+        assert [t[a:b] for a, b in find(t)["credential"]] == [f"me:{secret}"]
+    assert find("http://host/a:b@c gopher://me:x@h http://a:b c@d")["credential"] == []
+    t = "IBAN:" + " " * 500 + "NO93 8601 1117 947"
+    assert [t[a:b] for a, b in find(t)["account"]] == ["NO93 8601 1117 947"]
+    for text in ("http://" + "a" * 300_000, "http://a:" + "b" * 300_000, "https://a:b" * 50_000, "iban" + " " * 300_000, "iban no " * 50_000):
+        assert find(text)["credential"] == [] and find(text)["account"] == []
