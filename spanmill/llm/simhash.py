@@ -49,6 +49,8 @@ SAMPLED, SHARE = 12_000, 0.05  # texts that shingles are counted in: as many, or
 FREQUENT = 1_000_000  # counted shingles that every task gets
 ALL_PAIRS = 64  # texts with a shingle in common, up to which each pair is looked at
 BROADCAST = 500_000
+AT_ONCE = 500
+TEXTS_A_PART = 4_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -339,29 +341,46 @@ def marked_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, own long, node long")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def _of_texts(batches: Iterator[pa.RecordBatch], only: np.ndarray | None = None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Nodes and shingle sets of texts with words, some at a time; ``only``: the nodes wanted, ascending."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            rows = [(_node(x), x) for t in b.column(0).slice(at, AT_ONCE) if (x := _tokens(t.as_py()))]
+            if only is not None and len(only) and rows:
+                signed = np.array([u for u, _ in rows], np.uint64).view(np.int64)
+                there = only[np.minimum(np.searchsorted(only, signed), len(only) - 1)] == signed
+                rows = [x for x, y in zip(rows, there, strict=True) if y]
+            if rows and (only is None or len(only)):
+                yield [u for u, _ in rows], [shingle_set(x) for _, x in rows]
+
+
+def _of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            part = b.slice(at, AT_ONCE)
+            yield part.column(0).to_numpy().view(np.uint64).tolist(), [np.frombuffer(x.as_py(), np.uint64) for x in part.column(1)]
+
+
+def shingle_sets(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
     """(node, set) of every row with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                tokens = [x for t in b.column(0).slice(at, 500) if (x := _tokens(t.as_py()))]
-                yield pa.RecordBatch.from_arrays([_signed([_node(x) for x in tokens]), pa.array([shingle_set(x).tobytes() for x in tokens], pa.binary())], ["node", "set"])
+        for nodes, sets in _of_texts(batches, only):
+            yield pa.RecordBatch.from_arrays([_signed(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "set"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, set binary")
 
 
-def frequent_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the n sets holds more than once, ascending, and how often it does."""
+def frequent_shingles(rows: DataFrame, n: int, read) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the n rows holds more than once, ascending, and how often it does."""
     share = min(1.0, max(SHARE, SAMPLED / max(n, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            all_of = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.int64)
-            h, m = np.unique(all_of, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(m.astype(np.int64))], ["h", "m"])
+        for _, sets in read(batches):
+            h, m = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(m.astype(np.int64))], ["h", "m"])
 
-    some = sets if share == 1 else sets.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = rows if share == 1 else rows.where(F.pmod(F.xxhash64(rows.columns[0], F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
     counted = some.mapInArrow(run, "h long, m long").groupBy("h").agg(F.sum("m").alias("m")).where("m > 1")
     found = counted.orderBy(F.desc("m"), "h").limit(FREQUENT).toArrow()
     h, m = found.column("h").to_numpy().view(np.uint64), found.column("m").to_numpy()
@@ -406,25 +425,21 @@ def _candidates_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[sets.root[moved]])], ["u", "v"])
 
 
-def candidates(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def candidates(rows: DataFrame, n: int, read) -> DataFrame:
     """Edges (u, v) whose components hold every pair of nodes with a similarity of 0.8 or more."""
+    frequent = frequent_shingles(rows, n, read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, firsts = [], []
-            for x in b.column(1):
-                shingles = np.frombuffer(x.as_py(), np.uint64)
-                sizes.append(len(shingles))
-                firsts.append(_rare_first(shingles, frequent))
+        for nodes, sets in read(batches):
+            firsts = [_rare_first(x, frequent) for x in sets]
             taken = np.array([len(x) for x in firsts], np.int64)
-            if not len(taken):
-                continue
-            n = np.repeat(np.array(sizes, np.int64), taken)
+            size = np.repeat(np.array([len(x) for x in sets], np.int64), taken)
             before = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
-            columns = [_signed(np.concatenate(firsts)), pa.array(np.repeat(b.column(0).to_numpy(), taken)), pa.array(n.astype(np.int32)), pa.array((n - before).astype(np.int32))]
+            columns = [_signed(np.concatenate(firsts)), _signed(np.repeat(np.array(nodes, np.uint64), taken)), pa.array(size.astype(np.int32)), pa.array((size - before).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "rest"])
 
-    return sets.mapInArrow(run, "token long, node long, n int, rest int").repartition("token").mapInArrow(_candidates_of_partition, "u long, v long")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TEXTS_A_PART)
+    return rows.mapInArrow(run, "token long, node long, n int, rest int").repartition(parts, "token").mapInArrow(_candidates_of_partition, "u long, v long")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -490,13 +505,15 @@ def _links_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, own, node, root, component_id) for every row of ``docs``, root naming its group; links: a similarity of 0.8 or more."""
     marked = settled(marked_rows(docs))
-    sets = shingle_sets(docs)
-    few = None
-    for _ in range(2):
-        edges = settled(candidates(sets, frequent_shingles(sets, (marked if few is None else few).count())))
-        few = settled(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        sets = sets.join(F.broadcast(few) if few.count() <= BROADCAST else few, "node", "left_semi")
-        sets = settled(sets.dropDuplicates(["node"]))
+    edges = settled(candidates(docs.select(F.col("text").cast("string")), marked.count(), _of_texts))
+    few = settled(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    if few.count() <= BROADCAST:
+        sets = shingle_sets(docs, np.sort(few.toArrow().column(0).to_numpy()))
+    else:
+        sets = shingle_sets(docs).join(few, "node", "left_semi")
+    sets = settled(sets.dropDuplicates(["node"]))
+    edges = settled(candidates(sets, sets.count(), _of_sets))
+    sets = sets.join(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
     whole = components(edges)
     named = sets.join(whole.withColumnRenamed("u", "node").withColumnRenamed("root", "whole"), "node", "left").select(F.coalesce("whole", "node").alias("whole"), "node", "set")
     roots = settled(named.repartition("whole").sortWithinPartitions("whole").mapInArrow(_links_of_partition, "u long, root long"))
