@@ -1,4 +1,4 @@
-"""Shared helpers: lineage cuts and the folder that all executors share."""
+"""Shared helpers: lineage cuts, the folder that all executors share, joins on hot keys, bounded memos."""
 
 from __future__ import annotations
 
@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
+MEMO_BYTES = 16 << 20
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set, on a local master."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
-        told = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spanmill-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = "file://" + tempfile.mkdtemp(prefix="spanmill-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(told)
     return told.rstrip("/")
@@ -37,3 +42,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of runs of anything but ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def spread_join(rows: DataFrame, named: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``named``, which has one row for each key and in ``n`` how many rows share the key.
+
+    Keys with more than HOT_ROWS rows and more than a HOT_KEYSth part of all ``total`` rows are broadcast: that is at
+    most HOT_KEYS keys, whatever the data. All other keys are shuffled, and none of them fills a task.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = named.where(F.col(n) > most).drop(n), named.where(F.col(n) <= most).drop(n)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+class Memo(dict):
+    """A dict from text that starts anew when its keys and values exceed ``limit`` bytes, counted roughly."""
+
+    def __init__(self, limit: int = MEMO_BYTES):
+        super().__init__()
+        self.limit = self.room = limit
+
+    def keep(self, key: str, value) -> None:
+        self.room -= 170 + len(key) + (len(value) if isinstance(value, bytes) else 24)
+        if self.room < 0:
+            self.clear()
+            self.room = self.limit
+        self[key] = value

@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Memo, table
 
 UNKNOWN = 10.0
-REMEMBERED = 500_000
 LONGEST = 64
 TEXTS_AT_ONCE = 64
 SPACE = "▁"
@@ -56,7 +55,7 @@ class Codec:
         self.text_of = [bytes([bytes_of[i]]) if i in bytes_of else b"" if i in silent else p.replace(SPACE, " ").encode("utf-8") for i, (p, _) in enumerate(pieces)]
         if unknown_id >= 0:
             self.text_of[unknown_id] = " ⁇ ".encode()
-        self.known: dict[str, bytes] = {}
+        self.known = Memo()
 
     def viterbi(self, chunk: str) -> list[int]:
         n = len(chunk)
@@ -94,8 +93,8 @@ class Codec:
             if x is None:
                 c = chunks[i]
                 coded[i] = x = self.known.get(c) or np.array(self.viterbi(c), "<i4").tobytes()
-                if len(c) <= LONGEST and len(self.known) < REMEMBERED:
-                    self.known[c] = x
+                if len(c) <= LONGEST:
+                    self.known.keep(c, x)
         return np.frombuffer(b"".join(coded), "<i4")
 
     def decode(self, ids) -> str:

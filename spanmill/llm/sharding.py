@@ -8,11 +8,12 @@ row per shard.
 
 Quotas may be loose while labels move, since a last sweep makes sizes even: documents ranked by (label, text) are cut into equal runs, so counts
 differ by one at most and a cut parts at most one text per boundary. Ranks come from counts of cells and
-ranks inside cells; a frequent text is dealt over several cells.
+ranks inside cells; a frequent text is dealt over several cells, and rows with one doc_id and text are one row with a count
+until the end.
 
 Defined results: a null text counts as an empty one; null doc_ids and repeated rows are documents of
-their own; an empty table gives an empty result; with fewer documents than shards some shards are empty.
-Only doc_id and text are read, so other columns don't matter.
+their own; texts are read whole, however long; an empty table gives an empty result; with fewer documents than shards some
+shards are empty. Only doc_id and text are read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -56,8 +57,9 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, slack:
     """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``; counts of shards differ by one at most."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp"))
+    base = base.groupBy(*base.columns).agg(F.count("*").alias("m"))
     base = settled(base.withColumn("start", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(shards)).cast("int")))
-    blocks = base.groupBy("grp", "start").agg(F.count("*").alias("n")).withColumn("copies", F.sum("n").over(Window.partitionBy("grp")))
+    blocks = base.groupBy("grp", "start").agg(F.sum("m").alias("n")).withColumn("copies", F.sum("n").over(Window.partitionBy("grp")))
     blocks = settled(blocks)
     total = blocks.agg(F.sum("n")).first()[0] or 0
     linked = blocks.where("copies > 1")
@@ -71,12 +73,14 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS, slack:
     rows = rows.withColumn("part", F.when(F.col("copies") > CELL_ROWS // 10, F.pmod(F.xxhash64("doc_id", "text_crc32"), F.ceil(F.col("copies") / (CELL_ROWS // 10)))).otherwise(0))
     cell = ["label", "strip", "part"]
     of_label = Window.partitionBy("label").orderBy("strip", "part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("n"))
+    cells = rows.groupBy(*cell).agg(F.sum("m").alias("n"))
     # one row per label: at most as many as there are shards
     starts = cells.groupBy("label").agg(F.sum("n").alias("n")).select("label", F.coalesce(F.sum("n").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("label_start"))
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("n").over(of_label), F.lit(0))).drop("n").join(F.broadcast(starts), "label")
-    rows = rows.withColumn("in_cell", F.row_number().over(Window.partitionBy(*cell).orderBy("copies", "grp", "doc_id")) - 1)
-    rows = rows.join(cells, cell).withColumn("rank", F.col("label_start") + F.col("cell_start") + F.col("in_cell"))
+    before = Window.partitionBy(*cell).orderBy("copies", "grp", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("in_cell", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    rows = rows.join(cells, cell).withColumn("again", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    rows = rows.withColumn("rank", F.col("label_start") + F.col("cell_start") + F.col("in_cell") + F.col("again"))
     rows = rows.withColumn("shard", F.expr(f"int(rank * {shards} div {max(1, total)})"))
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
     return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - first).cast("long").alias("slot"))

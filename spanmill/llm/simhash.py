@@ -3,22 +3,25 @@
 Fingerprints are made in Arrow batches, whole texts, shingles in slices of bounded size. The join runs
 on distinct fingerprints. The 64 bits fall into blocks; two fingerprints that differ in at most ``budget``
 bits agree on some choice of ``blocks - budget`` blocks, so for each choice the fingerprints that share
-those bits form one subtree, and every link lies in some subtree. A task walks its subtrees as a self-join
+those bits form one subtree, and every link lies in some subtree. A task walks its subtrees, some at a time, as a self-join
 of tries: node pairs go down together, add up differing bits, and go when the budget is exceeded or when
-both sides are already known to be connected. A task returns a spanning forest, never all pairs. Larger
+both sides are already known to be connected. A task returns spanning forests, never all pairs. Larger
 subtrees are cut into chunks and joined chunk by chunk in separate tasks, without loss.
 
 The forests' trees are merged by alternating large-star and small-star rounds until nothing changes.
 
 ``near_duplicates`` links fingerprints alone. ``near_copies`` links texts whose sets of five-word shingles have a similarity
-of 0.8 or more, and no others. Candidates come from prefix filtering: in any fixed order of all shingles, two such sets share a
-shingle among the first ``n - ceil(0.8 n) + 1`` of each, so no link is lost. The order puts shingles that a sample of the texts
-holds more than once behind all others; it decides only how many candidates there are. A second pass, over the texts that have a
-candidate, orders by a sample of these. The candidates' components are then held against the whole shingle sets, each in one task.
+of 0.8 or more, and no others. The trie join of their fingerprints comes first: its edges are held against the whole shingle
+sets, in groups of bounded size, and what holds is connected from then on, large groups of copies mostly as a whole. But a
+similarity of 0.8 may shift any number of bits; so prefix filtering gives the rest: in any fixed order of all shingles, two such
+sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, and no link is lost. The order puts shingles that a sample
+of the texts holds more than once behind all others; it decides only how many candidates there are. A second pass, over the texts
+that have a candidate, orders by a sample of these and leaves out what is already connected. Components of the candidates that
+are left are held against the whole shingle sets, each in one task.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0 and is linked like any
-other; a text with fewer words than a shingle is one shingle; repeated rows are separate documents; null
-doc_ids take part but never name a component (null if a component has no other); an empty table gives
+other; a text with fewer words than a shingle is one shingle; a very long text is read whole; repeated rows are separate
+documents; null doc_ids take part but never name a component (null if a component has no other); an empty table gives
 an empty result; other columns don't matter.
 """
 
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import settled, spread_join, table
 
 WORDS = 4
 BUDGET = 4
@@ -41,16 +44,17 @@ BITS = 64
 SLICE = 1 << 15
 CHUNK_ROWS = 50_000
 FRONTIER = 40_000
-VERIFIED_AT_ONCE = 50_000
+ROWS_AT_ONCE = 300_000
 EXPAND = 64
-SHINGLE, SIMILAR = 5, 0.76
-BINS = 128
+SHINGLE = 5
 SAMPLED, SHARE = 12_000, 0.05  # texts that shingles are counted in: as many, or that share of them if that is more
 FREQUENT = 1_000_000  # counted shingles that every task gets
 ALL_PAIRS = 64  # texts with a shingle in common, up to which each pair is looked at
 BROADCAST = 500_000
 AT_ONCE = 500
+SEEN = 100_000  # texts of a task that are known to have been read
 TEXTS_A_PART = 4_000
+STAR_ROWS = 2_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -90,27 +94,6 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return _print(_tokens(text), words)
 
 
-def sketch(tokens: list[bytes], words: int = SHINGLE) -> bytes:
-    """One byte per bin; 0 where no shingle falls into the bin."""
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    for h in _hashes(tokens, words) if tokens else ():
-        h = np.unique(h.astype(np.uint64))
-        bins = (h % np.uint64(BINS)).astype(np.int64)
-        order = np.lexsort((h, bins))
-        first = np.flatnonzero(np.concatenate(([True], np.diff(bins[order]) != 0)))
-        at = bins[order][first]
-        least[at] = np.minimum(least[at], h[order][first])
-    value = (least // np.uint64(BINS)) % np.uint64(255) + np.uint64(1)
-    return np.where(least == np.iinfo(np.uint64).max, 0, value).astype(np.uint8).tobytes()
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of sketches; 1 where both are empty."""
-    used = ((a | b) > 0).sum(axis=1)
-    same = ((a == b) & (a > 0)).sum(axis=1)
-    return np.where(used > 0, same / np.maximum(used, 1), 1.0)
-
-
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
@@ -148,12 +131,12 @@ class _Sets:
         return (change[hi1 - 1] == change[lo1]) & (change[hi2 - 1] == change[lo2]) & (self.root[lo1] == self.root[lo2])
 
 
-def trie_forest(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget: int, sketches: np.ndarray | None = None) -> np.ndarray:
+def trie_forest(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget: int) -> np.ndarray:
     """Root position of each key after linking all keys in ``pairs`` of ranges that differ in <= budget bits.
 
     keys: uint64, ascending inside each range; pairs: arrays lo1, hi1, lo2, hi2 whose keys agree on the
     first ``depth`` bits. Ranges are trie nodes: node pairs descend one bit at a time; equal keys are halved below
-    the last bit. With ``sketches``, a link also needs similar ones.
+    the last bit.
     """
     sets = _Sets(len(keys))
     stack = [(depth, *pairs, np.zeros(len(pairs[0]), np.int8))]
@@ -175,14 +158,7 @@ def trie_forest(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, bud
             x, y = np.repeat(a1, count) + k // m2, np.repeat(a2, count) + k % m2
             near = (np.bitwise_count(keys[x] ^ keys[y]) <= budget) & (x != y)
             x, y = x[near], y[near]
-            if sketches is None:
-                sets.join(x, y)
-            for k in range(0, len(x) if sketches is not None else 0, VERIFIED_AT_ONCE):
-                i, j = x[k : k + VERIFIED_AT_ONCE], y[k : k + VERIFIED_AT_ONCE]
-                apart = sets.root[i] != sets.root[j]
-                i, j = i[apart], j[apart]
-                alike = similarity(sketches[i], sketches[j]) >= SIMILAR
-                sets.join(i[alike], j[alike])
+            sets.join(x, y)
         lo1, hi1, lo2, hi2, err, self_pair = (x[~small] for x in (lo1, hi1, lo2, hi2, err, self_pair))
         if not len(lo1):
             continue
@@ -220,37 +196,48 @@ def _tables(blocks: int, budget: int) -> list[tuple[tuple[int, int], ...]]:
     return list(combinations(parts, blocks - budget))
 
 
-def _forest_of_partition(tables, budget: int):
-    def run(batches):
-        import pandas as pd
-
-        got = list(batches)
-        if not got or not sum(map(len, got)):
-            return
-        rows = pd.concat(got, ignore_index=True)
-        for t, part in rows.groupby("t"):
-            fp, node = part["fp"].to_numpy(np.int64).view(np.uint64), part["node"].to_numpy(np.int64)
-            sketches = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(-1, BINS) if "sketch" in part else None
-            chosen = tables[int(t)]
-            depth = sum(w for _, w in chosen)
-            turned = _rotated(fp, chosen)
-            a, b, c = (part[x].to_numpy(np.int32) for x in ("a", "b", "c"))
-            top = turned >> np.uint64(BITS - depth)
-            order = np.lexsort((turned, c, b, a, top))
-            node, turned, a, b, c, top = (x[order] for x in (node, turned, a, b, c, top))
-            sketches = None if sketches is None else sketches[order]
-            new = np.flatnonzero(np.concatenate(([True], (top[1:] != top[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))))
-            end = np.append(new[1:], len(node))
-            alone = a[new] == b[new]
-            first = (~alone) & (c[new] == a[new])
-            k = np.flatnonzero(first)
-            k = k[k + 1 < len(new)]
-            k = k[(top[new[k]] == top[new[k + 1]]) & (a[new[k]] == a[new[k + 1]]) & (b[new[k]] == b[new[k + 1]])]
-            pairs = tuple(np.concatenate(x) for x in ((new[alone], new[k]), (end[alone], end[k]), (new[alone], new[k + 1]), (end[alone], end[k + 1])))
-            root = trie_forest(turned, pairs, depth, budget, sketches)
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            if len(moved):
-                yield pd.DataFrame({"u": node[moved], "v": node[root[moved]]})
+def _slices(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns as arrays, some whole groups at a time; rows come ordered by the first ``keys`` columns."""
+    held, rows, enough = [], 0, ROWS_AT_ONCE
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            rows += b.num_rows
+        if rows >= enough:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = np.logical_and.reduce([c == c[-1] for c in columns[:keys]])
+            first = 0 if last.all() else rows - int(np.argmin(last[::-1]))
+            if first:
+                yield [c[:first] for c in columns]
+            held, rows = [[c[first:] for c in columns]], rows - first
+            enough = max(ROWS_AT_ONCE, 2 * rows)
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _forests(tables, budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _slices(batches, 4):
+            cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                t, _, a, b, c, fp, node = (x[start:stop] for x in columns)
+                chosen = tables[int(t[0])]
+                depth = sum(w for _, w in chosen)
+                turned = _rotated(fp.view(np.uint64), chosen)
+                top = turned >> np.uint64(BITS - depth)
+                order = np.lexsort((turned, c, b, a, top))
+                node, turned, a, b, c, top = (x[order] for x in (node, turned, a, b, c, top))
+                new = np.flatnonzero(np.concatenate(([True], (top[1:] != top[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))))
+                end = np.append(new[1:], len(node))
+                alone = a[new] == b[new]
+                first = (~alone) & (c[new] == a[new])
+                k = np.flatnonzero(first)
+                k = k[k + 1 < len(new)]
+                k = k[(top[new[k]] == top[new[k + 1]]) & (a[new[k]] == a[new[k + 1]]) & (b[new[k]] == b[new[k + 1]])]
+                pairs = tuple(np.concatenate(x) for x in ((new[alone], new[k]), (end[alone], end[k]), (new[alone], new[k + 1]), (end[alone], end[k + 1])))
+                root = trie_forest(turned, pairs, depth, budget)
+                moved = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["u", "v"])
 
     return run
 
@@ -258,11 +245,11 @@ def _forest_of_partition(tables, budget: int):
 def link_forest(fps: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
     """Edges (u, v) that connect whatever of the n rows of ``fps`` links lead to each other; at most tables x n.
 
-    fps: distinct fp, or distinct node with fp and sketch. Edges are between nodes (fingerprints if there are none).
+    fps: distinct fp, or distinct node with fp. Edges are between nodes (fingerprints if there are none).
     """
     blocks = next(b for b in range(budget + 1, budget + 4) if b == budget + 3 or n >> (BITS // b * (b - budget)) <= 2000)
     tables = _tables(blocks, budget)
-    own = ["fp", "node", "sketch"] if "sketch" in fps.columns else ["fp", "node"]
+    own = ["fp", "node"]
     fps = fps if "node" in fps.columns else fps.withColumn("node", F.col("fp"))
     key = lambda chosen: F.xxhash64(*[F.expr(f"shiftrightunsigned(fp, {BITS - at - w}) & {(1 << w) - 1}L") for at, w in chosen])
     rows = fps.select(*own, F.explode(F.array(*[F.struct(F.lit(t).alias("t"), key(chosen).alias("k")) for t, chosen in enumerate(tables)])).alias("x")).select(*own, "x.t", "x.k")
@@ -277,8 +264,8 @@ def link_forest(fps: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
         rows = rows.select(*own, "t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c")
     else:
         rows = rows.select(*own, "t", "k", one.alias("a"), one.alias("b"), one.alias("c"))
-    dealt = rows.repartition("t", "k", "a", "b").select("t", *own, "a", "b", "c")
-    return dealt.mapInPandas(_forest_of_partition(tables, budget), "u long, v long")
+    dealt = rows.repartition("t", "k", "a", "b").select("t", "k", "a", "b", "c", *own).sortWithinPartitions("t", "k", "a", "b")
+    return dealt.mapInArrow(_forests(tables, budget), "u long, v long")
 
 
 # ---------------------------------------------------------------- components
@@ -306,11 +293,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; component_id: smallest doc_id that links lead to."""
     marked = settled(fingerprints(docs, words))
-    fps = settled(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(link_forest(fps.select("fp"), fps.count(), budget))
-    named = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    fps = settled(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    n, rows = fps.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    roots = components(link_forest(fps.select("fp"), n, budget))
+    named = settled(fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")))
+    ids = settled(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")))
+    named = spread_join(named, ids, "root", "members", n)
+    return spread_join(marked, settled(named.select("fp", "copies", "component_id")), "fp", "copies", rows).select("doc_id", "fp", "component_id")
 
 
 # ---------------------------------------------------------------- near copies
@@ -332,43 +321,46 @@ def _node(tokens: list[bytes]) -> int:
 
 
 def marked_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, node) of every row; own: a hash of the text; node: of its words, equal for copies."""
+    """(doc_id, own, node, fp) of every row; own: a hash of the text; node: of its words, equal for copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed([_node(_tokens(t.as_py())) for t in b.column(2)])], ["doc_id", "own", "node"])
+            tokens = [_tokens(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed([_node(x) for x in tokens]), _signed([_print(x, SHINGLE) for x in tokens])], ["doc_id", "own", "node", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, own long, node long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, own long, node long, fp long")
 
 
-def _of_texts(batches: Iterator[pa.RecordBatch], only: np.ndarray | None = None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Nodes and shingle sets of texts with words, some at a time; ``only``: the nodes wanted, ascending."""
+def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], None]]:
+    """Nodes and shingle sets of texts with words, some at a time; of a task's copies mostly one."""
+    seen: set[int] = set()
     for b in batches:
         for at in range(0, b.num_rows, AT_ONCE):
-            rows = [(_node(x), x) for t in b.column(0).slice(at, AT_ONCE) if (x := _tokens(t.as_py()))]
-            if only is not None and len(only) and rows:
-                signed = np.array([u for u, _ in rows], np.uint64).view(np.int64)
-                there = only[np.minimum(np.searchsorted(only, signed), len(only) - 1)] == signed
-                rows = [x for x, y in zip(rows, there, strict=True) if y]
-            if rows and (only is None or len(only)):
-                yield [u for u, _ in rows], [shingle_set(x) for _, x in rows]
+            rows = {_node(x): x for t in b.column(0).slice(at, AT_ONCE) if (x := _tokens(t.as_py()))}
+            rows = {u: x for u, x in rows.items() if u not in seen}
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(rows)
+            if rows:
+                yield list(rows), [shingle_set(x) for x in rows.values()], None
 
 
-def _of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def _of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], np.ndarray]]:
+    """Nodes, shingle sets and labels, some at a time."""
     for b in batches:
         for at in range(0, b.num_rows, AT_ONCE):
             part = b.slice(at, AT_ONCE)
-            yield part.column(0).to_numpy().view(np.uint64).tolist(), [np.frombuffer(x.as_py(), np.uint64) for x in part.column(1)]
+            yield part.column(0).to_numpy().view(np.uint64).tolist(), [np.frombuffer(x.as_py(), np.uint64) for x in part.column(1)], part.column(2).to_numpy()
 
 
-def shingle_sets(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """(node, set) of every row with words."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, set) of every text with words; copies may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, sets in _of_texts(batches, only):
+        for nodes, sets, _ in _of_texts(batches):
             yield pa.RecordBatch.from_arrays([_signed(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "set"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, set binary")
+    return texts.mapInArrow(run, "node long, set binary")
 
 
 def frequent_shingles(rows: DataFrame, n: int, read) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +368,7 @@ def frequent_shingles(rows: DataFrame, n: int, read) -> tuple[np.ndarray, np.nda
     share = min(1.0, max(SHARE, SAMPLED / max(n, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in read(batches):
+        for _, sets, _ in read(batches):
             h, m = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(h), pa.array(m.astype(np.int64))], ["h", "m"])
 
@@ -399,47 +391,72 @@ def _rare_first(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -
 
 
 def _candidates_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) that connect all texts which may be similar by some shingle of the partition."""
-    got = list(batches)
-    if not sum(b.num_rows for b in got):
-        return
-    token, node, n, rest = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(4))
-    order = np.lexsort((node, n, token))
-    token, node, n, rest = (x[order] for x in (token, node, n, rest))
-    new = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))
-    token, node, n, rest = (x[new].astype(np.int64) for x in (token, node, n, rest))
-    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    size = np.diff(np.append(first, len(token)))
-    size = np.repeat(size, size)
-    several = size > 1
-    token, node, n, rest, size = (x[several] for x in (token, node, n, rest, size))
-    names, at = np.unique(node, return_inverse=True)
-    sets = _Sets(len(names))
-    for lag in range(1, min(ALL_PAIRS, len(token))):
-        # a large group is only a chain by length, which connects all whose lengths are near enough
-        may = (token[lag:] == token[:-lag]) & (5 * n[:-lag] >= 4 * n[lag:])
-        both = 9 * np.minimum(rest[lag:], rest[:-lag]) >= 4 * (n[lag:] + n[:-lag])
-        may &= both & (size[lag:] <= ALL_PAIRS) | (size[lag:] > ALL_PAIRS) & (lag == 1)
-        sets.join(at[lag:][may], at[:-lag][may])
-    moved = np.flatnonzero(sets.root != np.arange(len(names)))
-    yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[sets.root[moved]])], ["u", "v"])
+    """Edges (u, v) that connect all texts which may be similar by some shingle; rows come ordered by shingle and size.
+
+    A shingle of many texts is only a chain by size, which connects all whose sizes are near enough; so it can be cut
+    anywhere, and ``going`` is the one that was. A fourth column has labels: texts under one are connected already.
+    """
+
+    def edges(columns: list[np.ndarray], going) -> pa.RecordBatch:
+        token, label = columns[0], columns[-1]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        count = np.diff(np.append(first, len(token)))
+        chain = np.repeat(count > ALL_PAIRS, count) | (token == going if going is not None else False)
+        mixed = np.logical_or.reduceat(label != np.repeat(label[first], count), first) if len(columns) == 4 else count > 1
+        keep = np.repeat(mixed, count)
+        token, node, sizes, label, chain = (x[keep] for x in (token, columns[1], columns[2], label, chain))
+        n, rest = sizes >> 32, sizes & 0xFFFFFFFF
+        names, at = np.unique(node, return_inverse=True)
+        sets = _Sets(len(names))
+        for lag in range(1, min(ALL_PAIRS, len(token))):
+            may = (token[lag:] == token[:-lag]) & (5 * n[:-lag] >= 4 * n[lag:])
+            pair = may & ~chain[lag:] & (9 * np.minimum(rest[lag:], rest[:-lag]) >= 4 * (n[lag:] + n[:-lag]))
+            if len(columns) == 4:
+                pair &= label[lag:] != label[:-lag]
+            if lag == 1:
+                pair |= may & chain[lag:]
+            sets.join(at[lag:][pair], at[:-lag][pair])
+        moved = np.flatnonzero(sets.root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[moved], pa.int64()), pa.array(names[sets.root[moved]], pa.int64())], ["u", "v"])
+
+    held, rows, going = [], 0, None
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            rows += b.num_rows
+        if rows >= ROWS_AT_ONCE:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            token = columns[0]
+            last = rows - int(np.searchsorted(token, token[-1]))
+            chained = last > ALL_PAIRS or token[-1] == going
+            cut = rows if chained else rows - last
+            yield edges([x[:cut] for x in columns], going)
+            going, keep = (token[-1], rows - 1) if chained else (None, cut)
+            held, rows = [[x[keep:] for x in columns]], rows - keep
+    if rows:
+        yield edges([np.concatenate(x) for x in zip(*held, strict=True)], going)
 
 
 def candidates(rows: DataFrame, n: int, read) -> DataFrame:
-    """Edges (u, v) whose components hold every pair of nodes with a similarity of 0.8 or more."""
+    """Edges (u, v) whose components, with the labels that are known, hold every pair of nodes with a similarity of 0.8 or more."""
     frequent = frequent_shingles(rows, n, read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, sets in read(batches):
+        for nodes, sets, labels in read(batches):
             firsts = [_rare_first(x, frequent) for x in sets]
             taken = np.array([len(x) for x in firsts], np.int64)
             size = np.repeat(np.array([len(x) for x in sets], np.int64), taken)
             before = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
-            columns = [_signed(np.concatenate(firsts)), _signed(np.repeat(np.array(nodes, np.uint64), taken)), pa.array(size.astype(np.int32)), pa.array((size - before).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "rest"])
+            # a set's size, and how many of its shingles come from this one on
+            columns = [_signed(np.concatenate(firsts)), _signed(np.repeat(np.array(nodes, np.uint64), taken)), pa.array(size << 32 | size - before)]
+            names = ["token", "node", "sizes"]
+            if labels is not None:
+                columns, names = [*columns, pa.array(np.repeat(labels, taken))], [*names, "label"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TEXTS_A_PART)
-    return rows.mapInArrow(run, "token long, node long, n int, rest int").repartition(parts, "token").mapInArrow(_candidates_of_partition, "u long, v long")
+    schema = "token long, node long, sizes long" + ", label long" * (read is _of_sets)
+    return rows.mapInArrow(run, schema).repartition(parts, "token").sortWithinPartitions("token", "sizes", "node").mapInArrow(_candidates_of_partition, "u long, v long")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -447,8 +464,33 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def linked(sets: list[np.ndarray]) -> list[int]:
-    """For each set the position of its group's first one, all that are alike being linked.
+def _stars_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) between a star's centre v and the nodes that are alike; a centre's row comes before those of its star."""
+    centre = None
+    for b in batches:
+        found = [[], []]
+        for v, u, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            own = np.frombuffer(s.as_py(), np.uint64)
+            if u == v:
+                centre = own
+            elif alike(own, centre):
+                found[0].append(u)
+                found[1].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["u", "v"])
+
+
+def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (u, v) whose nodes are alike. Edges with one v are a star, dealt in groups of some STAR_ROWS with its set in each."""
+    stars = edges.groupBy("v").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    members = sets.join(edges.join(stars, "v").withColumnRenamed("u", "node"), "node").select("v", part.alias("part"), F.lit(1).alias("kind"), "node", "set")
+    heads = sets.join(stars.withColumnRenamed("v", "node"), "node").select(F.col("node").alias("v"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "set")
+    dealt = members.unionByName(heads).repartition("v", "part").sortWithinPartitions("v", "part", "kind")
+    return dealt.select("v", "node", "set").mapInArrow(_stars_of_partition, "u long, v long")
+
+
+def linked(sets: list[np.ndarray], labels: list[int] | None = None) -> list[int]:
+    """For each set the position of its group's first one, all that are alike being linked, and all of one label.
 
     Sets that share one of their first shingles are compared unless they are already connected; under a shingle, those
     known to be connected stand together.
@@ -460,6 +502,9 @@ def linked(sets: list[np.ndarray]) -> list[int]:
             root[i] = i = root[root[i]]
         return i
 
+    named: dict[int, int] = {}
+    for i, x in enumerate(labels or ()):
+        root[i] = named.setdefault(x, i)
     counted = np.unique(np.concatenate(sets), return_counts=True)
     under: dict[int, dict[int, list[int]]] = {}
     for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
@@ -489,38 +534,45 @@ def linked(sets: list[np.ndarray]) -> list[int]:
 
 
 def _links_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, root) of the nodes of each component; rows come ordered by component, one component is held at a time."""
+    """Edges (u, v) from the nodes of each component to their groups' first; rows come ordered by component, one is held at a time."""
     from itertools import groupby
 
-    rows = ((c, u, s) for b in batches for c, u, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True))
     for _, part in groupby(rows, key=lambda r: r[0]):
-        nodes, sets = zip(*((u, np.frombuffer(s.as_py(), np.uint64)) for _, u, s in part), strict=True)
-        least: dict[int, int] = {}
-        roots = linked(list(sets))
-        for u, r in zip(nodes, roots, strict=True):
-            least[r] = min(least.get(r, u), u)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[r] for r in roots], pa.int64())], ["u", "root"])
+        nodes, labels, sets = zip(*((u, x, np.frombuffer(s.as_py(), np.uint64)) for _, u, x, s in part), strict=True)
+        found = [(u, nodes[r]) for u, r in zip(nodes, linked(list(sets), list(labels)), strict=True) if u != nodes[r]]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, own, node, root, component_id) for every row of ``docs``, root naming its group; links: a similarity of 0.8 or more."""
     marked = settled(marked_rows(docs))
-    edges = settled(candidates(docs.select(F.col("text").cast("string")), marked.count(), _of_texts))
-    few = settled(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    if few.count() <= BROADCAST:
-        sets = shingle_sets(docs, np.sort(few.toArrow().column(0).to_numpy()))
-    else:
-        sets = shingle_sets(docs).join(few, "node", "left_semi")
-    sets = settled(sets.dropDuplicates(["node"]))
-    edges = settled(candidates(sets, sets.count(), _of_sets))
-    sets = sets.join(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
-    whole = components(edges)
-    named = sets.join(whole.withColumnRenamed("u", "node").withColumnRenamed("root", "whole"), "node", "left").select(F.coalesce("whole", "node").alias("whole"), "node", "set")
-    roots = settled(named.repartition("whole").sortWithinPartitions("whole").mapInArrow(_links_of_partition, "u long, root long"))
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = settled(nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(ids, "root"), "node").select("doc_id", "own", "node", "root", "component_id")
+    nodes = settled(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("one"), F.first("fp").alias("fp"), F.count("*").alias("copies")))
+    n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    texts = docs.select(F.col("text").cast("string"))
+    near = settled(link_forest(nodes.where("fp != 0").select("fp", "node"), n).where("u != v").distinct())
+    edges = settled(candidates(texts, n, _of_texts).unionByName(near))
+    few = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    few = settled(few.join(nodes, "node").select(F.col("one.doc_id").alias("_id"), F.col("one.own").alias("_own")))
+    keyed = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("own"))
+    known = few.count()
+    # one text of each node that has a candidate; tables of nodes are sent to all tasks only while they are a few MB
+    wanted = keyed.join(F.broadcast(few) if known <= BROADCAST else few, keyed["doc_id"].eqNullSafe(few["_id"]) & (keyed["own"] == few["_own"]), "left_semi")
+    sets = settled(shingle_sets(wanted.select("text")))
+    sure = settled(verified(near, sets))
+    labels = components(sure).withColumnRenamed("u", "node").withColumnRenamed("root", "label")
+    sets = sets.join(F.broadcast(labels) if known <= BROADCAST else labels, "node", "left").select("node", "set", F.coalesce("label", "node").alias("label"))
+    edges = settled(candidates(sets, known, _of_sets))
+    whole = components(edges.where("u != v"))
+    whole = settled(whole.unionByName(whole.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node").withColumnRenamed("root", "whole"))
+    named = sets.join(F.broadcast(whole) if known <= BROADCAST else whole, "node").select("whole", "node", "label", "set")
+    more = named.repartition("whole").sortWithinPartitions("whole").mapInArrow(_links_of_partition, "u long, v long")
+    roots = components(sure.unionByName(more))
+    named = settled(nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "copies", F.col("one.doc_id").alias("first"), F.coalesce("root", "node").alias("root")))
+    ids = settled(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")))
+    named = settled(spread_join(named, ids, "root", "members", n).select("node", "copies", "root", "component_id"))
+    return spread_join(marked, named, "node", "copies", rows).select("doc_id", "own", "node", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ reports them, with their counts, only when they are complete; so a task that ran
 reads. The reports become the manifest, whose running sum of counts gives each file's base in the whole.
 Readers memory-map local files; other stores are read through their file system.
 
-A text is encoded in pieces which the pre-tokenizer of a byte-level BPE never joins, so the ids are those of
+The library's defaults hold: the string of a special token in a text becomes that token. A text is encoded in pieces which the pre-tokenizer of a byte-level BPE never joins, so the ids are those of
 the whole text: runs of letters, digits, other signs or white space where all characters are in Latin
-blocks, else runs between white space. The pieces' ids are remembered, up to a bound; new pieces that
-start with a space go to the library as one text, whose ids part where a token starts with a space.
+blocks, else runs between white space; a text that holds a special token's string is encoded whole. The pieces' ids are
+remembered, up to a bound; new pieces that start with a space go to the library as one text, whose ids part where a token
+starts with a space. A file holds some 200,000 documents or 256 MB of text, and is read back in slices.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first and are stored as the
 smallest int64; rows with equal doc_ids are in the order of their texts; an empty table gives an empty
@@ -31,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, settled, table
+from .common import Memo, scratch, settled, table
 
-ROWS_PER_FILE = 200_000
-REMEMBERED = 600_000
+ROWS_PER_FILE, BYTES_PER_FILE = 200_000, 256 << 20
+IDS_AT_ONCE = 1 << 20
 LONGEST = 64
 TEXTS_AT_ONCE = 64
 NULL_ID = -(1 << 63)
@@ -55,11 +56,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.ids: dict[str, bytes] = {}
+        self.ids = Memo()
         spaced = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.spaced[spaced] = True
@@ -76,12 +77,17 @@ class Encoder:
         raw, cuts = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _pieces(self, text: str) -> list[str]:
+        if any(x in text for x in self.special):
+            return [text]
+        return _LATIN.findall(text) if not _OTHER.search(text) else [text] if _ODD.search(text) else _PIECES.findall(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes of ``width`` each."""
         out: list[bytes] = []
         known = self.ids
         for at in range(0, len(texts), TEXTS_AT_ONCE):
-            pieces = [[] if not t else _LATIN.findall(t) if not _OTHER.search(t) else [t] if _ODD.search(t) else _PIECES.findall(t) for t in texts[at : at + TEXTS_AT_ONCE]]
+            pieces = [self._pieces(t) if t else [] for t in texts[at : at + TEXTS_AT_ONCE]]
             every = [p for x in pieces for p in x]
             coded = list(map(known.get, every))
             missing = [i for i, x in enumerate(coded) if x is None]
@@ -92,8 +98,8 @@ class Encoder:
             for i in missing:
                 coded[i] = found[every[i]]
             for p, ids in found.items():
-                if len(known) < REMEMBERED and len(p) <= LONGEST:
-                    known[p] = ids
+                if len(p) <= LONGEST:
+                    known.keep(p, ids)
             start = 0
             for x in pieces:
                 out.append(b"".join([*coded[start : start + len(x)], self.end]))
@@ -148,7 +154,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) ->
     """Write ``docs`` (doc_id, text) below ``folder``; returns the manifest with each file's ``base``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_FILE))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_FILE), -(-size // BYTES_PER_FILE))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
     manifest = settled(dealt.mapInArrow(_write(folder, tokenizer, end_id), MANIFEST))
@@ -157,13 +164,15 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) ->
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _open(store, path: str):
+def _array(store, path: str, kind: str):
+    """A slicer (first, last) of a file's numbers; local files are mapped into memory, others read range by range."""
     from pyarrow import fs
 
     if isinstance(store, fs.LocalFileSystem):
-        return pa.memory_map(path).read_buffer()
-    with store.open_input_file(path) as f:
-        return f.read_buffer()
+        whole = np.frombuffer(pa.memory_map(path).read_buffer(), kind)
+        return lambda a, b: whole[a:b]
+    file, width = store.open_input_file(path), np.dtype(kind).itemsize
+    return lambda a, b: np.frombuffer(file.read_at((b - a) * width, a * width), kind)
 
 
 def _read(folder: str):
@@ -171,16 +180,18 @@ def _read(folder: str):
         store, top = _store(folder)
         for b in batches:
             for row in b.to_pylist():
-                ids, offsets, docs = (_open(store, f"{top}/{row['name']}.{x}") for x in ("ids", "offsets", "docs"))
-                ids, offsets, docs = np.frombuffer(ids, f"<u{row['width']}"), np.frombuffer(offsets, "<u8").astype(np.int64), np.frombuffer(docs, "<i8")
-                for at in range(0, len(docs), 10_000):
-                    part = docs[at : at + 10_000]
-                    ends = offsets[at : at + len(part) + 1].tolist()
-                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                ids, offsets, docs = (_array(store, f"{top}/{row['name']}.{x}", kind) for x, kind in (("ids", f"<u{row['width']}"), ("offsets", "<u8"), ("docs", "<i8")))
+                ends, at = offsets(0, row["n_docs"] + 1).astype(np.int64), 0
+                while at < row["n_docs"]:
+                    # as many documents as IDS_AT_ONCE ids, one at least
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + IDS_AT_ONCE, "right")) - 1)
+                    part, cuts, some = docs(at, to), (ends[at : to + 1] - ends[at]).tolist(), ids(ends[at], ends[to])
+                    crc = [zlib.crc32(some[x:y].astype("<u4").tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part, pa.int64(), mask=part == NULL_ID), pa.array(offsets[at : at + len(part)] + row["base"]), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
+                        [pa.array(part, pa.int64(), mask=part == NULL_ID), pa.array(ends[at:to] + row["base"]), pa.array(np.diff(ends[at : to + 1])), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
+                    at = to
 
     return run
 

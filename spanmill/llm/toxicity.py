@@ -14,7 +14,8 @@ prior is the toxic share of the labels outside the held-out fold. Scoring reads
 
 Defined results: null, empty and wordless texts score as the bias alone; without any positive label all
 scores are 0; a null doc_id counts as held out; label rows without a document and repeated rows are
-harmless; an empty table gives an empty result; other columns don't matter.
+harmless; of rows that share a doc_id, the one with the smallest features is learned from, all are scored; very long texts
+are read whole; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Memo, table
 
 POSITIVES = 4_000
 UNLABELLED = 8_000
@@ -44,7 +45,6 @@ BATCHES = 8
 RATE = 0.05
 DECAY = 1e-5
 SEED = 6
-REMEMBERED = 500_000
 LEAST_WEIGHT = 0.02
 LEAST_EVIDENCE = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -70,15 +70,17 @@ class Model:
     bias: float
 
     def __post_init__(self):
-        self.known: dict[str, float] = {}
+        self.known = Memo()
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "known": {}}
+        return {"weights": self.weights, "bias": self.bias}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, known=Memo())
 
     def word(self, word: str) -> float:
         s = sum(self.weights.get(f, 0.0) for f in features(word))
-        if len(self.known) < REMEMBERED:
-            self.known[word] = s
+        self.known.keep(word, s)
         return s
 
     def score(self, text: str | None) -> float:
@@ -181,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
 
     # ids: at most positives + unlabelled rows
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "kind", "text")
-    got = rows.mapInArrow(run, "doc_id long, kind int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("kind", "ascending"), ("found", "ascending")])
+    # one row for each of these ids, however many rows share it
+    found = rows.mapInArrow(run, "doc_id long, kind int, found binary").groupBy("doc_id", "kind").agg(F.min("found").alias("found"))
+    got = found.toArrow().sort_by([("doc_id", "ascending"), ("kind", "ascending")])
     kinds, found = got["kind"].to_pylist(), [np.frombuffer(x.as_py(), "<u4") for x in got["found"]]
     return fit([x for k, x in zip(kinds, found, strict=True) if k], [x for k, x in zip(kinds, found, strict=True) if not k], prior)
 
@@ -205,8 +209,7 @@ def _score_udf(model: Model):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the model predicts to be toxic."""
-    marked = docs.withColumn("_score", _score_udf(train(docs, labels))(F.col("text").cast("string")))
-    return marked.where("_score < 0.5").select(*docs.columns)
+    return docs.where(_score_udf(train(docs, labels))(F.col("text").cast("string")) < 0.5)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
+import hashlib
 import math
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from spanmill.llm.mixing import emit, mix, source_targets
-from spanmill.llm.sharding import shard
+from pyspark.sql import functions as F
+from spanmill.llm.mixing import emit, mix, op3_mixing, source_targets
+from spanmill.llm.sharding import op4_sharding, shard
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -95,3 +99,92 @@ def test_shards(spark, hot):
 def test_fewer_documents_than_shards(spark):
     got = shard(docs(spark, [(i, "t", "s") for i in range(5)])).collect()
     assert len({r.shard for r in got}) == 5 and {r.slot for r in got} == {0}
+
+
+def by_hand(rows, weights=(5, 2, 1), cap=3, runs=16):
+    """Copies of each row by one running sum over each source, written out."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    own = lambda i, t: int(hashlib.md5(f"{'' if i is None else i}|{t or ''}".encode()).hexdigest()[:8], 16)
+    sources = defaultdict(list)
+    for i, t, s in rows:
+        n = size(t)
+        shift = max(0, n.bit_length() - 4) if n else 0
+        sources[s].append((max(1, n.bit_length()) * 8 + (n >> shift), own(i, t) % runs, n, (i is not None, i or 0), own(i, t), i))
+    names = sorted((s for s in sources if s is not None), key=lambda s: s.encode()) + [None] * (None in sources)
+    total = {s: sum(x[2] for x in sources[s]) for s in names}
+    targets = filled(total, {s: weights[k % len(weights)] for k, s in enumerate(names)}, cap)
+    out = Counter()
+    for s, own_rows in sources.items():
+        rate = math.floor(targets[s] / total[s] * (1 << 24) + 0.5) if total[s] else 0
+        at = int(hashlib.md5(("mix-1" + ("n" if s is None else "s" + s)).encode()).hexdigest()[:6], 16)
+        for x in sorted(own_rows):
+            before, at = at >> 24, at + rate
+            out[x[5], s, x[2], (at >> 24) - before] += 1
+    return out
+
+
+def test_mix_by_hand(spark):
+    rows = corpus() + [(7, "one two", "a"), (7, "two one", "a"), (7, "three x", "a")] + [(8, "same text", "b")] * 400
+    got = Counter((r.doc_id, r.source, r.size, r.copies) for r in mix(docs(spark, rows)).collect())
+    assert got == by_hand(rows)
+
+
+def test_emit_by_hand(spark):
+    """A third of all rows are one row; rows with one id differ in another column only."""
+    rows = [(i, f"text {i} " * (i % 7 + 1), "ab"[i % 2]) for i in range(300)] + [(5, "hot row", "a")] * 150
+    df = docs(spark, rows).unionByName(docs(spark, rows[:20]).withColumn("lang", F.lit("de"))).withColumn("more", F.create_map(F.lit("k"), F.col("lang")))
+    out = emit(df)
+    assert out.columns == df.columns
+    want = Counter()
+    for (i, s, _, copies), n in by_hand(rows + rows[:20]).items():
+        want[i, s] += copies * n
+    got = Counter((r.doc_id, r.source) for r in out.collect())
+    assert got == +want
+    assert Counter(map(str, emit(df.repartition(5)).collect())) == Counter(map(str, out.collect()))
+
+
+def test_queries(spark, tmp_path):
+    rows = corpus() + [(3000, "very long " * 40_000, "a")]
+    docs(spark, rows).withColumn("size", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter((r.doc_id, r.source, r.size, r.copies) for r in op3_mixing(spark, str(tmp_path)).collect()) == by_hand(rows)
+    got = op4_sharding(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "rows", None) for i, t, _ in rows)
+    held_against_the_law(got, len(rows))
+
+
+def held_against_the_law(got, n):
+    count = Counter(r.shard for r in got)
+    assert sum(count.values()) == n and set(count) <= set(range(24)) and all(count[s] in (n // 24, -(-n // 24)) for s in range(24))
+    for s in count:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
+
+
+def best_cut(sizes, shards, room):
+    """The fewest texts parted when shards take at most ``room``: by trying all ways."""
+    if not sizes:
+        return 0
+    best = len(sizes)
+    for s in range(len(shards)):
+        if shards[s] + sizes[0] <= room and (s == 0 or shards[s] != shards[s - 1]):
+            best = min(best, best_cut(sizes[1:], shards[:s] + [shards[s] + sizes[0]] + shards[s + 1 :], room))
+    return min(best, 1 + best_cut(sizes[1:], shards, room))
+
+
+def test_cuts_are_few(spark):
+    """Against brute force on a few groups, and against a deal by hash on many: one text a boundary is parted at most."""
+    sizes = [6, 5, 4, 3, 3, 2, 1]
+    rows = [(100 * k + i, f"group {k}", "s") for k, n in enumerate(sizes) for i in range(n)]
+    got = shard(docs(spark, rows), shards=3).collect()
+    parted = defaultdict(set)
+    for r in got:
+        parted[r.doc_id // 100].add(r.shard)
+    assert best_cut(sizes, [0] * 3, 8) == 0 and sum(len(v) > 1 for v in parted.values()) <= 2
+    rows = [(10 * k + i, f"group {k}", "s") for k in range(400) for i in range(k % 5 + 1)] + [(10**6, "copy", "s")] * 300
+    got = shard(docs(spark, rows)).collect()
+    held_against_the_law(got, len(rows))
+    shards_of = defaultdict(set)
+    for r in got:
+        shards_of[r.text_crc32].add(r.shard)
+    dealt = sum(len({hash((k, i)) % 24 for i in range(k % 5 + 1)}) > 1 for k in range(400))
+    assert sum(len(v) > 1 for v in shards_of.values()) <= 60 < dealt
+    assert len(shards_of[zlib.crc32(b"copy")]) <= 24

@@ -63,7 +63,7 @@ def test_whole_equals_chunks(monkeypatch):
         text = " ".join(rng.choice(["alpha", "b,c", "", "Dd\nee", "é9"]) for _ in range(8))
         chunks = codec.encode(text).tolist()
         monkeypatch.setattr(codec, "whole", True)
-        monkeypatch.setattr(codec, "known", {})
+        monkeypatch.setattr(codec, "known", pieces.Memo())
         assert codec.encode(text).tolist() == chunks
         monkeypatch.undo()
 

@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from spanmill.llm.pii import BASE, find, listed, luhn, masked, redact, spans
+from spanmill.llm.pii import BASE, find, listed, luhn, masked, op9_pii, redact, spans
 
 RX = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -62,7 +62,7 @@ def test_frames(spark):
     rows = [(1, "a@b.co 10.0.0.1", 15), (2, None, None), (3, "", 0), (3, "", 0), (None, "+12345678", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
     got = sorted(map(tuple, spans(df).collect()), key=str)
-    want = [(i, *(len(find(t)[k]) for k in BASE), hashlib.sha256(listed(find(t), BASE).encode()).hexdigest(), listed(find(t))) for i, t, _ in rows]
+    want = [(i, *(len(find(t)[k]) for k in BASE), hashlib.sha256(listed(find(t), BASE).encode()).hexdigest(), listed(find(t)), sum(map(len, find(t).values()))) for i, t, _ in rows]
     assert got == sorted(want, key=str)
     out = redact(df)
     assert out.schema == df.schema
@@ -79,3 +79,28 @@ def test_added_kinds_have_no_windows():
     assert [t[a:b] for a, b in find(t)["account"]] == ["NO93 8601 1117 947"]
     for text in ("http://" + "a" * 300_000, "http://a:" + "b" * 300_000, "https://a:b" * 50_000, "iban" + " " * 300_000, "iban no " * 50_000):
         assert find(text)["credential"] == [] and find(text)["account"] == []
+
+
+def test_cues_in_any_case_and_secrets():
+    t = "sSn: 078-05-1120, iBaN DE89370400440532013000"
+    assert [t[a:b] for a, b in find(t)["account"]] == ["078-05-1120", "DE89370400440532013000"]
+    t = """TOKEN = "9233A8ECF7C5B09F", Api_Key: 'ab12-cd34.ef', access_token=x1y2z3w4v5 password is short1, pwd = abc12, token: 12345678, secret: wordswords"""
+    assert [t[a:b] for a, b in find(t)["credential"]] == ["9233A8ECF7C5B09F", "ab12-cd34.ef", "x1y2z3w4v5"]
+    t = "\u0130\u0130 token='a1b2c3d4e5' tokentoken=q1q2q3q4q5"  # lower case of the first letter is longer
+    assert [t[a:b] for a, b in find(t)["credential"]] == ["a1b2c3d4e5", "q1q2q3q4q5"]
+    assert masked(t) == "\u0130\u0130 token='<CREDENTIAL>' tokentoken=<CREDENTIAL>"
+    for text in ("token" * 60_000, "token=" * 60_000, "token " + " " * 300_000, "token='" + "a" * 300_000, "SSN" * 100_000):
+        assert find(text)["credential"] == []
+
+
+def test_query(spark, tmp_path):
+    rows = [(1, "a@b.co token = 'a1b2c3d4e5' 10.0.0.1"), (2, None), (None, "+12345678"), (None, "+12345678"), (3, "x" * 200_000 + " 10.1.1.1")]
+    spark.createDataFrame([(*r, "text") for r in rows], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9_pii(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in rows:
+        base = plain(t or "")
+        told = ",".join(f"{k}:{a}:{b}" for k in BASE for a, b in base[k])
+        want.append((i, *(len(base[k]) for k in BASE), hashlib.sha256(told.encode()).hexdigest()))
+    assert sorted((tuple(r)[:6] for r in got), key=str) == sorted(want, key=str)
+    assert sorted(r.n_spans for r in got) == [0, 1, 1, 1, 3] and [r.spans for r in got if r.doc_id == 1] == ["email:0:6,ip:28:36,credential:16:26"]
