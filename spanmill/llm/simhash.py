@@ -14,10 +14,12 @@ The forests' trees are merged by alternating large-star and small-star rounds un
 of 0.8 or more, and no others. The trie join of their fingerprints comes first: its edges are held against the whole shingle
 sets, in groups of bounded size, and what holds is connected from then on, large groups of copies mostly as a whole. But a
 similarity of 0.8 may shift any number of bits; so prefix filtering gives the rest: in any fixed order of all shingles, two such
-sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, and no link is lost. The order puts shingles that a sample
-of the texts holds more than once behind all others; it decides only how many candidates there are. A second pass, over the texts
-that have a candidate, orders by a sample of these and leaves out what is already connected. Components of the candidates that
-are left are held against the whole shingle sets, each in one task.
+sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, and ``l`` of them among ``l - 1`` more, so no link is lost.
+The order puts shingles that a sample of the texts holds more than once behind all others; it decides only how many candidates
+there are. The first pass finds the texts that have a candidate. The second orders by a sample of these, leaves out what is
+connected, and counts what pairs share; those that share enough are held against the whole sets, again in groups of bounded
+size. Only texts under a shingle of more than ``ALL_PAIRS`` texts, in both passes and not connected yet, are gathered by
+component, one component in a task.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0 and is linked like any
 other; a text with fewer words than a shingle is one shingle; a very long text is read whole; repeated rows are separate
@@ -44,7 +46,7 @@ BITS = 64
 SLICE = 1 << 15
 CHUNK_ROWS = 50_000
 FRONTIER = 40_000
-ROWS_AT_ONCE = 300_000
+ROWS_AT_ONCE, PAIRED_AT_ONCE = 300_000, 60_000
 EXPAND = 64
 SHINGLE = 5
 SAMPLED, SHARE = 12_000, 0.05  # texts that shingles are counted in: as many, or that share of them if that is more
@@ -55,6 +57,7 @@ AT_ONCE = 500
 SEEN = 100_000  # texts of a task that are known to have been read
 TEXTS_A_PART = 4_000
 STAR_ROWS = 2_000
+SHARED = 64  # a pair shares one shingle more among the first for so many shingles of its smaller set
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -380,83 +383,122 @@ def frequent_shingles(rows: DataFrame, n: int, read) -> tuple[np.ndarray, np.nda
     return h[order], m[order]
 
 
-def _rare_first(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a set: any set with a similarity of 0.8 or more has one of them among its own first."""
+def _rare_first(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], more: int = 0) -> np.ndarray:
+    """The first shingles of a set: any set with a similarity of 0.8 or more has 1 + ``more`` of them among its own first."""
     h, m = frequent
     count = np.zeros(len(shingles), np.int64)
     if len(h):
         at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
         count = np.where(h[at] == shingles, m[at], 0)
-    return shingles[np.lexsort((shingles, count))[: len(shingles) + (-4 * len(shingles) // 5) + 1]]
+    return shingles[np.lexsort((shingles, count))[: len(shingles) + (-4 * len(shingles) // 5) + 1 + more]]
 
 
-def _candidates_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) that connect all texts which may be similar by some shingle; rows come ordered by shingle and size.
+def _by_shingle(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of many rows at once, and which rows are under a shingle of many texts; rows come ordered by shingle and size.
 
-    A shingle of many texts is only a chain by size, which connects all whose sizes are near enough; so it can be cut
-    anywhere, and ``going`` is the one that was. A fourth column has labels: texts under one are connected already.
+    Such a shingle's texts are only taken as a chain by size, so it may be cut anywhere; its last row then comes again.
     """
+    held, rows, going = [], 0, None
 
-    def edges(columns: list[np.ndarray], going) -> pa.RecordBatch:
-        token, label = columns[0], columns[-1]
-        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        count = np.diff(np.append(first, len(token)))
-        chain = np.repeat(count > ALL_PAIRS, count) | (token == going if going is not None else False)
-        mixed = np.logical_or.reduceat(label != np.repeat(label[first], count), first) if len(columns) == 4 else count > 1
-        keep = np.repeat(mixed, count)
-        token, node, sizes, label, chain = (x[keep] for x in (token, columns[1], columns[2], label, chain))
-        n, rest = sizes >> 32, sizes & 0xFFFFFFFF
-        names, at = np.unique(node, return_inverse=True)
-        sets = _Sets(len(names))
-        for lag in range(1, min(ALL_PAIRS, len(token))):
-            may = (token[lag:] == token[:-lag]) & (5 * n[:-lag] >= 4 * n[lag:])
-            pair = may & ~chain[lag:] & (9 * np.minimum(rest[lag:], rest[:-lag]) >= 4 * (n[lag:] + n[:-lag]))
-            if len(columns) == 4:
-                pair &= label[lag:] != label[:-lag]
-            if lag == 1:
-                pair |= may & chain[lag:]
-            sets.join(at[lag:][pair], at[:-lag][pair])
-        moved = np.flatnonzero(sets.root != np.arange(len(names)))
-        return pa.RecordBatch.from_arrays([pa.array(names[moved], pa.int64()), pa.array(names[sets.root[moved]], pa.int64())], ["u", "v"])
+    def with_chain(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        token = columns[0]
+        count = np.diff(np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token)))
+        return columns, np.repeat(count > ALL_PAIRS, count) | (token == going if going is not None else False)
 
-    held, rows, going = [], 0, None
     for b in batches:
         if b.num_rows:
             held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
             rows += b.num_rows
-        if rows >= ROWS_AT_ONCE:
+        while rows >= at_once:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            token = columns[0]
-            last = rows - int(np.searchsorted(token, token[-1]))
+            token = columns[0][:at_once]
+            last = at_once - int(np.searchsorted(token, token[-1]))
             chained = last > ALL_PAIRS or token[-1] == going
-            cut = rows if chained else rows - last
-            yield edges([x[:cut] for x in columns], going)
-            going, keep = (token[-1], rows - 1) if chained else (None, cut)
+            cut = at_once if chained else at_once - last
+            yield with_chain([x[:cut] for x in columns])
+            going, keep = (token[-1], cut - 1) if chained else (None, cut)
             held, rows = [[x[keep:] for x in columns]], rows - keep
     if rows:
-        yield edges([np.concatenate(x) for x in zip(*held, strict=True)], going)
+        yield with_chain([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
-def candidates(rows: DataFrame, n: int, read) -> DataFrame:
-    """Edges (u, v) whose components, with the labels that are known, hold every pair of nodes with a similarity of 0.8 or more."""
-    frequent = frequent_shingles(rows, n, read)
+def _candidates_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) that connect all texts which may be similar by some shingle: pairs near enough in size, with enough left behind the shingle."""
+    for (token, node, sizes), chain in _by_shingle(batches, ROWS_AT_ONCE):
+        n, rest = sizes >> 32, sizes & 0xFFFFFFFF
+        names, at = np.unique(node, return_inverse=True)
+        sets = _Sets(len(names))
+        for lag in range(1, min(ALL_PAIRS, len(token))):
+            same = (token[lag:] == token[:-lag]) & (5 * n[:-lag] >= 4 * n[lag:])
+            pair = same & ~chain[lag:] & (9 * np.minimum(rest[lag:], rest[:-lag]) >= 4 * (n[lag:] + n[:-lag]))
+            if lag == 1:
+                pair |= same & chain[lag:]
+            if not same.any():
+                break
+            sets.join(at[lag:][pair], at[:-lag][pair])
+        moved = np.flatnonzero(sets.root != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[moved], pa.int64()), pa.array(names[sets.root[moved]], pa.int64())], ["u", "v"])
+
+
+def _pairs_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, shared, need): pairs with different labels, how many of these rows' shingles they share and how many they must in all.
+
+    Neighbours in the chain of a shingle of many texts come with need 0; under it all pairs that are near enough in size stand.
+    """
+    for (token, node, sizes, label), chain in _by_shingle(batches, PAIRED_AT_ONCE):
+        n = sizes >> 32
+        found = []
+        for lag in range(1, min(ALL_PAIRS, len(token))):
+            same = (token[lag:] == token[:-lag]) & (5 * n[:-lag] >= 4 * n[lag:])
+            if not same.any():
+                break
+            k = np.flatnonzero(same & ~chain[lag:] & (label[lag:] != label[:-lag]) & (node[lag:] != node[:-lag]))
+            found.append((k, k + lag, 1 + n[k] // SHARED))
+            if lag == 1:
+                k = np.flatnonzero(same & chain[lag:] & (node[lag:] != node[:-lag]))
+                found.append((k, k + 1, np.zeros(len(k), np.int64)))
+        if not found:
+            continue
+        a, b, need = (np.concatenate(x) for x in zip(*found, strict=True))
+        u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+        order = np.lexsort((need, v, u))
+        u, v, need = u[order], v[order], need[order]
+        first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (need[1:] != need[:-1])))) if len(u) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(np.diff(np.append(first, len(u)))), pa.array(need[first])], ["u", "v", "shared", "need"])
+
+
+def _by_shingles(rows: DataFrame, n: int, read) -> DataFrame:
+    """Rows of shingle, node, its set's size and what is left of it from the shingle on, and perhaps label, dealt by shingle."""
+    frequent, labelled = frequent_shingles(rows, n, read), read is _of_sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, sets, labels in read(batches):
-            firsts = [_rare_first(x, frequent) for x in sets]
+            firsts = [_rare_first(x, frequent, len(x) // SHARED if labelled else 0) for x in sets]
             taken = np.array([len(x) for x in firsts], np.int64)
             size = np.repeat(np.array([len(x) for x in sets], np.int64), taken)
             before = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
-            # a set's size, and how many of its shingles come from this one on
             columns = [_signed(np.concatenate(firsts)), _signed(np.repeat(np.array(nodes, np.uint64), taken)), pa.array(size << 32 | size - before)]
             names = ["token", "node", "sizes"]
-            if labels is not None:
+            if labelled:
                 columns, names = [*columns, pa.array(np.repeat(labels, taken))], [*names, "label"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TEXTS_A_PART)
-    schema = "token long, node long, sizes long" + ", label long" * (read is _of_sets)
-    return rows.mapInArrow(run, schema).repartition(parts, "token").sortWithinPartitions("token", "sizes", "node").mapInArrow(_candidates_of_partition, "u long, v long")
+    made = rows.mapInArrow(run, "token long, node long, sizes long" + ", label long" * labelled)
+    return made.repartition(parts, "token").sortWithinPartitions("token", "sizes", "node")
+
+
+def candidates(texts: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v) whose components hold every pair of texts with a similarity of 0.8 or more."""
+    return _by_shingles(texts, n, _of_texts).mapInArrow(_candidates_of_partition, "u long, v long")
+
+
+def pairs(sets: DataFrame, n: int) -> DataFrame:
+    """(u, v, chain): every pair of ``sets`` (node, set, label) with different labels and a similarity of 0.8 or more is there,
+    or both stand in one chain; edges of chains have chain set."""
+    found = _by_shingles(sets, n, _of_sets).mapInArrow(_pairs_of_partition, "u long, v long, shared long, need long")
+    found = found.groupBy("u", "v").agg(F.sum(F.when(F.col("need") > 0, F.col("shared"))).alias("shared"), F.min(F.when(F.col("need") > 0, F.col("need"))).alias("need"), F.bool_or(F.col("need") == 0).alias("chain"))
+    return found.where("chain or shared >= need").select("u", "v", "chain", F.coalesce(F.expr("shared >= need"), F.lit(False)).alias("enough"))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -552,7 +594,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     texts = docs.select(F.col("text").cast("string"))
     near = settled(link_forest(nodes.where("fp != 0").select("fp", "node"), n).where("u != v").distinct())
-    edges = settled(candidates(texts, n, _of_texts).unionByName(near))
+    edges = settled(candidates(texts, n).unionByName(near))
     few = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     few = settled(few.join(nodes, "node").select(F.col("one.doc_id").alias("_id"), F.col("one.own").alias("_own")))
     keyed = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("own"))
@@ -563,8 +605,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sure = settled(verified(near, sets))
     labels = components(sure).withColumnRenamed("u", "node").withColumnRenamed("root", "label")
     sets = sets.join(F.broadcast(labels) if known <= BROADCAST else labels, "node", "left").select("node", "set", F.coalesce("label", "node").alias("label"))
-    edges = settled(candidates(sets, known, _of_sets))
-    whole = components(edges.where("u != v"))
+    found = settled(pairs(sets, known))
+    sure = sure.unionByName(verified(found.where("enough").select("u", "v"), sets.select("node", "set")))
+    whole = components(found.where("chain").select("u", "v"))
     whole = settled(whole.unionByName(whole.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node").withColumnRenamed("root", "whole"))
     named = sets.join(F.broadcast(whole) if known <= BROADCAST else whole, "node").select("whole", "node", "label", "set")
     more = named.repartition("whole").sortWithinPartitions("whole").mapInArrow(_links_of_partition, "u long, v long")

@@ -199,7 +199,7 @@ def test_less_similar_texts_are_not_linked(spark):
 @pytest.mark.parametrize(("rows", "pairs", "star"), [(300_000, 64, 2000), (50, 3, 4)])
 def test_hot_group_of_near_copies(spark, monkeypatch, rows, pairs, star):
     """A third of all rows are near copies of one text, by chains of edits too; with small limits everything is cut."""
-    for name, value in (("ROWS_AT_ONCE", rows), ("ALL_PAIRS", pairs), ("STAR_ROWS", star), ("CHUNK_ROWS", rows)):
+    for name, value in (("ROWS_AT_ONCE", rows), ("PAIRED_AT_ONCE", rows), ("ALL_PAIRS", pairs), ("STAR_ROWS", star), ("CHUNK_ROWS", rows)):
         monkeypatch.setattr(simhash, name, value)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
     rng = random.Random(13)
