@@ -1,13 +1,15 @@
 """GIF media columns: LZW streams, palettes, disposal and transparency, timed frames with colour histograms.
 
-``decode`` reads any GIF87a/89a file: global and local palettes, interlaced images, graphic control
-(delay, transparent index, disposal 0 to 3). LZW streams that use no table entry (literals and clear codes
-only, so all codes have one width) are unpacked by array operations; all others go through the table
-decoder. ``encode`` writes such literal streams: lossless, at 9/8 of the samples plus a fixed header.
+``frames`` reads any GIF87a/89a file frame by frame: global and local palettes, interlaced images, graphic control
+(delay, transparent index, disposal 0 to 3), LZW streams of any code width through the string table. ``encode`` writes
+such streams: codes grow with the table up to 12 bits, and a clear code starts a new table when it is full. Loops run over bytes
+and codes; bits are packed and unpacked by array operations, some thousand codes at a time, since a code's width follows from its
+place behind the last clear code.
 
 Defined results: a null or undecodable file gives null frames and the reason in ``error``; a file cut off
 inside an image is undecodable. Payloads are the UTF-8 bytes (null: none) padded with zero bytes to a
-positive multiple of 64; any length is stored, in frames of at most ``ROWS`` rows.
+positive multiple of 64; any length is stored, in frames of at most ``ROWS`` rows, one of which is held at a time. Rows are
+independent, so repeated rows give equal results and an empty table an empty one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ from .common import table
 WIDTH = 64
 ROWS = 1024
 DELAY_CS = 10
-LITERALS = 250
 BINS = 8
+FULL = 1 << 12
+CODES_AT_ONCE = 1 << 12
 FRAMES = "array<struct<start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,hist:array<long>>>"
 
 
@@ -55,109 +59,125 @@ class Gif:
 # ---------------------------------------------------------------- LZW
 
 
-def _unpack9(data: np.ndarray) -> np.ndarray:
-    """9-bit codes, lowest bit first."""
-    n = len(data) * 8 // 9
-    groups = -(-n // 8)
-    b = np.zeros(groups * 9, np.uint16)
-    b[: min(len(data), groups * 9)] = data[: groups * 9]
-    b = b.reshape(-1, 9)
-    out = np.empty((groups, 8), np.uint16)
-    for k in range(8):
-        out[:, k] = ((b[:, k] >> k) | (b[:, k + 1] << (8 - k))) & 511
-    return out.reshape(-1)[:n]
-
-
-def _pack9(codes: np.ndarray) -> np.ndarray:
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, np.uint16)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):
-        out[:, k] = ((c[:, k - 1] >> (9 - k)) | (c[:, k] << k)) & 255
-    out[:, 8] = c[:, 7] >> 1
-    return out.reshape(-1)[: -(-n * 9 // 8)]
-
-
-def _literals_only(data: np.ndarray) -> np.ndarray | None:
-    """The samples of an 8-bit stream of literals and clear codes, or None if it has other codes."""
-    codes = _unpack9(data)
-    other = np.flatnonzero(codes >= 256)
-    stop = other[codes[other] == 257]
-    end = int(stop[0]) if len(stop) else len(codes)
-    other = other[other < end]
-    if not len(stop) or (codes[other] != 256).any() or not len(other) or other[0] != 0:
-        return None
-    if (np.diff(np.append(other, end)) > 255).any():
-        return None
-    keep = np.ones(end, bool)
-    keep[other] = False
-    return codes[:end][keep].astype(np.uint8)
-
-
-def lzw_decode(data: bytes, code_size: int, n: int) -> np.ndarray:
+@cache
+def _template(size: int) -> np.ndarray:
+    """Bits of the codes behind a clear code, as the reader's table then asks for, until they stay at 12."""
+    entries = np.arange(FULL) + (1 << size) + 1
+    return np.minimum(12, np.maximum(size + 1, np.floor(np.log2(entries)).astype(np.int64) + 1))
+
+
+def _widths(first: int, n: int, size: int) -> np.ndarray:
+    """Bits of the codes ``first``, ``first`` + 1, .. behind a clear code."""
+    known = _template(size)[first : first + n]
+    return known if len(known) == n else np.concatenate((known, np.full(n - len(known), 12)))
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes as bits, lowest first."""
+    ends = np.cumsum(widths)
+    at = ends - widths
+    byte, value, size = at >> 3, codes << (at & 7), int(ends[-1] + 7 >> 3)
+    # no two codes share a bit, so sums are unions
+    return sum(np.bincount(byte + k, value >> 8 * k & 255, size + 2) for k in range(3)).astype(np.uint8)[:size].tobytes()
+
+
+def _unpacked(data: np.ndarray, at: int, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole codes from bit ``at`` on that have these widths, and the place behind each; data: the bytes and two more."""
+    ends = at + np.cumsum(widths)
+    ends = ends[: np.searchsorted(ends, 8 * (len(data) - 2), "right")]
+    widths = widths[: len(ends)]
+    start = ends - widths
+    byte = start >> 3
+    return (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (start & 7) & (1 << widths) - 1, ends
+
+
+def _strings(codes: np.ndarray, size: int, before: np.ndarray) -> np.ndarray:
+    """The samples of the codes behind one clear code. ``before`` are codes behind it that were read earlier.
+
+    The table's entry m is the string of code m and its successor's first sample, so it stands in the output where code m
+    starts; each sample of a table code points to the sample that it repeats, and pointers are followed to a literal.
+    """
+    every = np.concatenate((before, codes)) if len(before) else codes
+    base, place = (1 << size) + 2, np.arange(len(every))
+    entry = every - base
+    literal = entry < 0
+    if (every[literal] >= 1 << size).any() or (entry >= np.minimum(place, FULL - base)).any():
+        raise ValueError("code without an entry")
+    parent, length = np.where(literal, place, entry), np.ones(len(every), np.int64)
+    step, count = parent, (~literal).astype(np.int64)
+    while True:  # a code's length is 1 more than its parent's: doubling
+        more = count[step]
+        if not more.any():
+            break
+        count, step = count + more, step[step]
+    length += count
+    start = np.cumsum(length) - length
+    of = np.repeat(place, length)
+    inside = np.arange(len(of)) - start[of]
+    source = start[parent[of]] + inside
+    # the last sample of a code that repeats its predecessor's entry lies in the code itself, still before its own place
+    while True:
+        again = source[source]
+        if (again == source).all():
+            break
+        source = again
+    out = every[of[source]].astype(np.uint8)
+    return out[start[len(before)] :] if len(before) < len(every) else out[:0]
+
+
+def lzw_decode(data: bytes, size: int, n: int) -> np.ndarray:
     """``n`` samples of a code stream; raises ValueError if it is broken or short."""
-    if code_size == 8 and (fast := _literals_only(np.frombuffer(data, np.uint8))) is not None and len(fast) >= n:
-        return fast[:n]
-    clear, stop = 1 << code_size, (1 << code_size) + 1
-    entries: list[bytes] = []
-    out, made, width, last = [], 0, code_size + 1, None
-    bits = have = 0
-    for byte in data:
-        bits |= byte << have
-        have += 8
-        while have >= width:
-            code = bits & ((1 << width) - 1)
-            bits >>= width
-            have -= width
-            if code == clear or not entries:
-                entries = [bytes([i]) for i in range(clear)] + [b"", b""]
-                width, last = code_size + 1, None
-                if code == clear:
-                    continue
-            if code == stop or made >= n:
-                have = -1
-                break
-            if last is None:
-                if code >= clear:
-                    raise ValueError("code without an entry")
-                word = entries[code]
-            else:
-                if code < len(entries):
-                    word = entries[code]
-                elif code == len(entries):
-                    word = last + last[:1]
-                else:
-                    raise ValueError("code without an entry")
-                if len(entries) < 4096:
-                    entries.append(last + word[:1])
-                    if len(entries) == 1 << width and width < 12:
-                        width += 1
-            out.append(word)
-            made += len(word)
-            last = word
-        if have < 0:
+    clear, stop = 1 << size, (1 << size) + 1
+    bits = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int64)
+    # codes behind the last clear code that later ones may refer to: as many as a table has entries
+    before, out, made, at, since = np.zeros(0, np.int64), [], 0, 0, 0
+    while made < n:
+        codes, ends = _unpacked(bits, at, _widths(since, min(CODES_AT_ONCE, 8 * len(data) // (size + 1) + 1), size))
+        if not len(codes):
+            raise ValueError("code stream ends early")
+        special = np.flatnonzero((codes == clear) | (codes == stop))
+        upto = int(special[0]) if len(special) else len(codes)
+        out.append(_strings(codes[:upto], size, before))
+        made += len(out[-1])
+        if upto == len(codes):
+            at, since, before = int(ends[-1]), since + len(codes), np.concatenate((before, codes))[:FULL]
+        elif codes[upto] == stop:
             break
+        else:
+            at, since, before = int(ends[upto]), 0, before[:0]
     if made < n:
         raise ValueError("code stream ends early")
-    return np.frombuffer(b"".join(out), np.uint8)[:n]
-
-
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """An 8-bit code stream of literals, with a clear code before each run of LITERALS."""
-    n = len(samples)
-    runs = max(1, -(-n // LITERALS))
-    codes = np.full(runs * (LITERALS + 1), 256, np.uint16)
-    grid = codes.reshape(runs, LITERALS + 1)
-    full = n // LITERALS
-    grid[:full, 1:] = samples[: full * LITERALS].reshape(full, LITERALS)
-    rest = n - full * LITERALS
-    if rest:
-        grid[full, 1 : rest + 1] = samples[full * LITERALS :]
-    codes = codes[: full * (LITERALS + 1) + (rest + 1 if rest else 0)] if n else codes[:1]
-    return _pack9(np.append(codes, np.uint16(257))).tobytes()
+    return np.concatenate(out)[:n] if out else np.zeros(0, np.uint8)
+
+
+def lzw_encode(samples: bytes, size: int = 8) -> bytes:
+    """A code stream of the samples, each below 2 ** size: the longest known string each time, tables up to 4096 entries."""
+    clear = 1 << size
+    table: dict[int, int] = {}
+    codes, starts, free = [clear], [1], clear + 2
+    get, put, samples = table.get, codes.append, iter(samples)
+    word = next(samples, -1)
+    for sample in samples:
+        key = word << 8 | sample
+        code = get(key)
+        if code is not None:
+            word = code
+            continue
+        put(word)
+        word = sample
+        if free < FULL:
+            table[key] = free
+            free += 1
+        else:
+            put(clear)
+            starts.append(len(codes))
+            table, free = {}, clear + 2
+            get = table.get
+    if word >= 0:
+        put(word)
+    put(clear + 1)
+    starts.append(len(codes))
+    return _packed(np.array(codes, np.int64), np.concatenate([[size + 1], *(_widths(0, b - a, size) for a, b in zip(starts[:-1], starts[1:], strict=True))]))
 
 
 # ---------------------------------------------------------------- files
@@ -183,7 +203,7 @@ def encode(samples: np.ndarray, *, width: int = WIDTH, rows: int = ROWS, delay_c
         h = min(rows, height - at)
         out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2, delay_cs, 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, h, 0) + b"\x08")
-        out.append(_blocks(lzw_literals(samples[at * width : (at + h) * width])))
+        out.append(_blocks(lzw_encode(samples[at * width : (at + h) * width].tobytes())))
     return b"".join([*out, b"\x3b"])
 
 
@@ -204,24 +224,32 @@ def _palette(data: bytes, at: int, packed: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
 
 
-def decode(data: bytes, compose: bool = True) -> Gif:
+def decode(data: bytes) -> Gif:
     """All frames of a file; raises ValueError if it isn't whole."""
+    seen = list(frames(data))
+    width, height = struct.unpack("<HH", data[6:10])
+    return Gif(width, height, seen)
+
+
+def frames(data: bytes) -> Iterator[Frame]:
+    """A file's frames, each composed on what its predecessors leave; raises ValueError if the file isn't whole."""
     try:
-        return _decode(data, compose)
+        yield from _frames(data)
     except (IndexError, struct.error) as e:
         raise ValueError("file ends early") from e
 
 
-def _decode(data: bytes, compose: bool) -> Gif:
+def _frames(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, packed, _, _ = struct.unpack("<HHBBB", data[6:13])
     common, at = _palette(data, 13, packed) if packed & 0x80 else (None, 13)
-    gif, delay, disposal, transparent = Gif(width, height), 0, 0, None
+    canvas = np.zeros((height, width, 4), np.uint8)
+    delay, disposal, transparent = 0, 0, None
     while True:
         kind = data[at]
         if kind == 0x3B:
-            break
+            return
         if kind == 0x21:
             label = data[at + 1]
             body, at = _sub_blocks(data, at + 2)
@@ -243,41 +271,46 @@ def _decode(data: bytes, compose: bool) -> Gif:
                 straight = np.empty_like(samples)
                 straight[order] = samples
                 samples = straight
-            gif.frames.append(Frame(left, top, samples, own, delay, disposal, transparent))
+            frame = Frame(left, top, samples, own, delay, disposal, transparent)
+            canvas = _composed(frame, canvas)
+            yield frame
             delay, disposal, transparent = 0, 0, None
         else:
             raise ValueError("unknown block")
-    if compose:
-        _compose(gif)
-    return gif
-
-
-def _compose(gif: Gif) -> None:
-    """Fill in each frame's canvas: what is seen while it shows."""
-    canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
-    for f in gif.frames:
-        before = canvas
-        canvas = canvas.copy()
-        h, w = max(0, min(f.samples.shape[0], gif.height - f.top)), max(0, min(f.samples.shape[1], gif.width - f.left))
-        part = f.samples[:h, :w]
-        colours = np.zeros((256, 4), np.uint8)
-        colours[: len(f.palette), :3] = f.palette
-        colours[:, 3] = 255
-        spot = canvas[f.top : f.top + h, f.left : f.left + w]
-        drawn = np.ones(part.shape, bool) if f.transparent is None else part != f.transparent
+
+
+def _composed(f: Frame, canvas: np.ndarray) -> np.ndarray:
+    """Fill in the frame's canvas, what is seen while it shows; returns what it leaves to the next."""
+    height, width = canvas.shape[:2]
+    f.canvas = canvas.copy()
+    h, w = max(0, min(f.samples.shape[0], height - f.top)), max(0, min(f.samples.shape[1], width - f.left))
+    part = f.samples[:h, :w]
+    colours = np.zeros((256, 4), np.uint8)
+    colours[: len(f.palette), :3] = f.palette
+    colours[:, 3] = 255
+    spot = f.canvas[f.top : f.top + h, f.left : f.left + w]
+    if f.transparent is None:
+        spot[...] = colours[part]
+    else:
+        drawn = part != f.transparent
         spot[drawn] = colours[part[drawn]]
-        f.canvas = canvas
-        if f.disposal == 2:
-            canvas = canvas.copy()
-            canvas[f.top : f.top + h, f.left : f.left + w] = 0
-        elif f.disposal == 3:
-            canvas = before
+    if f.disposal == 3:
+        return canvas
+    if f.disposal == 2:
+        canvas = f.canvas.copy()
+        canvas[f.top : f.top + h, f.left : f.left + w] = 0
+        return canvas
+    return f.canvas
+
+
+_CHANNELS = np.arange(3, dtype=np.uint8) * BINS
 
 
 def histogram(frame: Frame) -> list[int]:
     """Counts of the composed frame's visible pixels by 3 x BINS channel bins: red, green, blue."""
-    seen = frame.canvas[frame.canvas[..., 3] > 0]
-    return [int(x) for c in range(3) for x in np.bincount(seen[:, c] * BINS // 256 if seen.dtype != np.uint8 else seen[:, c] >> 5, minlength=BINS)]
+    pixels = frame.canvas.reshape(-1, 4)
+    seen = pixels if pixels[:, 3].all() else pixels[pixels[:, 3] > 0]
+    return np.bincount((seen[:, :3] // (256 // BINS) + _CHANNELS).reshape(-1), minlength=3 * BINS).tolist()
 
 
 def media_columns(df: DataFrame, column: str = "gif") -> DataFrame:
@@ -291,7 +324,7 @@ def media_columns(df: DataFrame, column: str = "gif") -> DataFrame:
                     if not x.is_valid:
                         raise ValueError("null")
                     start, rows = 0, []
-                    for f in decode(x.as_py()).frames:
+                    for f in frames(x.as_py()):
                         rows.append({"start_ms": start, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "width": f.samples.shape[1], "height": f.samples.shape[0], "hist": histogram(f)})
                         start += f.delay_ms
                     found.append(rows)
@@ -317,15 +350,21 @@ def payload(text: str | None) -> bytes:
 
 
 def stored(text: str | None) -> tuple:
-    """(n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from the file read back."""
+    """(n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from the file read back.
+
+    feature: size, number of frames and time, and the histogram of all composed frames' colours.
+    """
     data = payload(text)
     media = encode(np.frombuffer(data, np.uint8))
-    gif = decode(media, compose=False)
-    read = np.concatenate([f.samples.reshape(-1) for f in gif.frames]).tobytes()
-    grey = np.bincount(np.frombuffer(read, np.uint8), minlength=256).reshape(BINS, -1).sum(axis=1)
-    feature = f"{gif.width}x{gif.height}x{len(gif.frames)}@{sum(f.delay_ms for f in gif.frames)}:" + "-".join(map(str, grey.tolist()))
+    width, height = struct.unpack("<HH", media[6:10])
+    read, size, tail, shown, lasts, colours = hashlib.sha256(), 0, b"", 0, 0, np.zeros(3 * BINS, np.int64)
+    for f in frames(media):
+        raw = f.samples.tobytes()
+        read.update(raw)
+        size, tail, shown, lasts, colours = size + len(raw), raw[-WIDTH:], shown + 1, lasts + f.delay_ms, colours + histogram(f)
+    feature = f"{width}x{height}x{shown}@{lasts}:" + "-".join(map(str, colours.tolist()))
     n = len((text or "").encode("utf-8", "surrogatepass"))
-    return n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return n, size, read.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

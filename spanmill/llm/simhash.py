@@ -8,7 +8,8 @@ of tries: node pairs go down together, add up differing bits, and go when the bu
 both sides are already known to be connected. A task returns spanning forests, never all pairs. Larger
 subtrees are cut into chunks and joined chunk by chunk in separate tasks, without loss.
 
-The forests' trees are merged by alternating large-star and small-star rounds until nothing changes.
+The forests' trees are merged by alternating large-star and small-star rounds until nothing changes; up to a fixed number of
+edges one task merges them, with the same result.
 
 ``near_duplicates`` links fingerprints alone. ``near_copies`` links texts whose sets of five-word shingles have a similarity
 of 0.8 or more, and no others. The trie join of their fingerprints comes first: its edges are held against the whole shingle
@@ -57,6 +58,7 @@ AT_ONCE = 500
 SEEN = 100_000  # texts of a task that are known to have been read
 TEXTS_A_PART = 4_000
 STAR_ROWS = 2_000
+FEW_EDGES = 500_000  # 8 MB: up to so many, one task merges them
 SHARED = 64  # a pair shares one shingle more among the first for so many shingles of its smaller set
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -274,9 +276,23 @@ def link_forest(fps: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, root) of all edges together."""
+    got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if got:
+        u, v = (np.concatenate(x) for x in zip(*got, strict=True))
+        names, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        sets = _Sets(len(names))
+        sets.join(at[: len(u)], at[len(u) :])
+        moved = np.flatnonzero(sets.root != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[sets.root[moved]])], ["u", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of ``edges`` (u, v) but the roots; root: the smallest node of its component."""
     state = settled(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if state.count() <= FEW_EDGES:
+        return settled(state.coalesce(1).mapInArrow(_merged, "u long, root long"))
     mark = None
     while True:
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from spanmill.llm import gif
-from spanmill.llm.gif import decode, encode, lzw_decode, lzw_literals, media_columns, op8_gif, payload, stored
+from spanmill.llm.gif import decode, encode, lzw_decode, lzw_encode, media_columns, op8_gif, payload
 
 
 def lzw(samples, size):
@@ -72,13 +72,70 @@ def test_table_streams(size):
             assert lzw_decode(lzw(a.tolist(), size), size, n).tolist() == a.tolist()
 
 
-@pytest.mark.parametrize("n", [1, 64, 249, 250, 251, 500, 65536])
-def test_literal_streams(n, monkeypatch):
-    a = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
-    data = lzw_literals(a)
-    assert (lzw_decode(data, 8, n) == a).all()
-    monkeypatch.setattr(gif, "_literals_only", lambda _: None)
-    assert (lzw_decode(data, 8, n) == a).all()  # the table decoder agrees
+def plain_decode(data, size, n):
+    """A reader that takes one bit at a time; also how many codes came from the table, and how many clear codes there were."""
+    bits = [b >> k & 1 for b in data for k in range(8)]
+    clear, at, width, out, table, last, strings, clears = 1 << size, 0, size + 1, b"", None, None, 0, 0
+    while len(out) < n:
+        code = sum(bit << k for k, bit in enumerate(bits[at : at + width]))
+        at += width
+        if code == clear:
+            table, last, width, clears = {i: bytes([i]) for i in range(clear)} | {clear: b"", clear + 1: b""}, None, size + 1, clears + 1
+            continue
+        assert code != clear + 1
+        strings += code > clear
+        word = table[code] if code in table else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table[len(table)] = last + word[:1]
+        if len(table) == 1 << width and width < 12:
+            width += 1
+        out, last = out + word, word
+    assert sum(bit << k for k, bit in enumerate(bits[at : at + width])) == clear + 1
+    return out[:n], strings, clears
+
+
+TEXT = ("The quick brown fox jumps over the lazy dog; " * 3 + "0123456789 sphinx of black quartz, judge my vow. ") * 400
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 64, 255, 256, 257, 4000, 65536])
+@pytest.mark.parametrize("kind", ["random", "text", "zeros"])
+def test_written_streams(n, kind):
+    a = {"random": np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes(), "text": TEXT.encode()[:n], "zeros": bytes(n)}[kind]
+    data = lzw_encode(a)
+    assert lzw_decode(data, 8, n).tobytes() == a and lzw(a, 8)[: len(data)] == data if n else lzw_decode(data, 8, 0).tobytes() == a
+    if n:
+        got, strings, clears = plain_decode(data, 8, n)  # 3839 codes fill a table
+        assert got == a and (n < 255 or kind == "random" or strings > 10) and (clears > 1) == (kind == "random" and n >= 4000)
+        assert kind == "random" or n < 255 or len(data) < 0.8 * n
+
+
+@pytest.mark.parametrize("size", [2, 3, 5])
+def test_small_code_sizes(size):
+    a = np.random.default_rng(size).integers(0, 1 << size, 30_000).astype(np.uint8).tobytes()
+    assert lzw_decode(lzw_encode(a, size), size, len(a)).tobytes() == a == plain_decode(lzw_encode(a, size), size, len(a))[0]
+
+
+def test_streams_that_never_clear():
+    """A full table may stay in use, and a new one may start early."""
+    a = TEXT.encode()[:40_000]
+    table, codes, word = {bytes([i]): i for i in range(256)}, [256], b""
+    for s in a:
+        s = bytes([s])
+        if word + s in table:
+            word += s
+            continue
+        codes.append(table[word])
+        if len(table) + 2 < 4096:
+            table[word + s] = len(table) + 2
+        word = s
+    codes += [table[word], 257]
+    data = gif._packed(np.array(codes), np.concatenate(([9], gif._widths(0, len(codes) - 1, 8))))
+    assert lzw_decode(data, 8, len(a)).tobytes() == a == plain_decode(data, 8, len(a))[0]
+    early = gif._packed(np.array([256, 65, 66, 256, 67, 257]), np.full(6, 9))
+    assert lzw_decode(early, 8, 3).tobytes() == b"ABC"
+    for broken in (b"", data[:50], gif._packed(np.array([256, 65, 300]), np.full(3, 9)), gif._packed(np.array([256, 300]), np.full(2, 9)), gif._packed(np.array([256, 65, 257]), np.full(3, 9))):
+        with pytest.raises(ValueError):
+            lzw_decode(broken, 8, 40_000)
 
 
 def test_composition():
@@ -99,16 +156,6 @@ def test_interlace():
     assert decode(file([(0, 0, rows, 0, 0, None, None, 1)], 2, 11, RGB)).frames[0].samples.tolist() == rows
 
 
-@pytest.mark.parametrize("text", [None, "", "é" * 32, "x" * 65, "long text " * 30_000])
-def test_round_trip(text):
-    data = payload(text)
-    assert len(data) % 64 == 0 and len(data) > 0
-    n, size, sha, crc, media_size, media_sha, _ = stored(text)
-    assert (n, size, sha, crc) == (len((text or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
-    media = encode(np.frombuffer(data, np.uint8))
-    assert (media_size, media_sha) == (len(media), hashlib.sha256(media).hexdigest())
-
-
 def test_columns(spark):
     good = file([(0, 0, [[0, 1], [2, 3]], 5, 1, None, None, 0), (0, 0, [[1]], 7, 0, None, None, 0)], 2, 2, RGB)
     rows = [(1, good, "a"), (2, None, "b"), (3, b"", "c"), (4, good[:-9], "d"), (5, b"GIF89a\1", "e")]
@@ -119,8 +166,32 @@ def test_columns(spark):
     assert media_columns(spark.createDataFrame([], "gif binary")).count() == 0
 
 
+def by_hand(text):
+    """The digests by plain means, and the stored file read by the reader above."""
+    raw = (text or "").encode()
+    data = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+    media = encode(np.frombuffer(data, np.uint8))
+    assert media[:6] == b"GIF89a" and media[13 : 13 + 768] == bytes(i for i in range(256) for _ in range(3)) and media[-1:] == b"\x3b"
+    at, read, frames, strings = 13 + 768, b"", 0, 0
+    while media[at] != 0x3B:
+        assert media[at : at + 3] == b"\x21\xf9\x04" and media[at + 3] >> 2 & 7 == 2 and media[at + 8] == 0x2C
+        w, h = struct.unpack("<HH", media[at + 13 : at + 17])
+        at, body = at + 19, b""
+        while media[at]:
+            body, at = body + media[at + 1 : at + 1 + media[at]], at + 1 + media[at]
+        at += 1
+        part, some, _ = plain_decode(body, 8, w * h)
+        read, frames, strings = read + part, frames + 1, strings + some
+    assert read == data and (strings > 0 or len(data) > 640 or len(set(data)) > 40)
+    colours = [sum(b // 32 == k for b in data) for k in range(8)]
+    feature = f"64x{min(1024, len(data) // 64)}x{frames}@{100 * frames}:" + "-".join(map(str, colours * 3))
+    return len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+
 def test_query(spark, tmp_path):
-    rows = [(1, "a"), (2, "a"), (None, None), (3, ""), (3, "")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(1, "a"), (2, "a"), (None, None), (3, ""), (3, ""), (4, "é" * 32), (5, "x" * 65), (6, TEXT), (7, "long text " * 20_000)]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, feature int").write.parquet(f"{tmp_path}/documents.parquet")
     got = op8_gif(spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(i, *stored(t)) for i, t in rows], key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(i, *by_hand(t)) for i, t in rows], key=str)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op8_gif(spark, f"{tmp_path}/none").count() == 0

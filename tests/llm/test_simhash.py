@@ -82,7 +82,9 @@ def test_join_loses_no_link(spark, monkeypatch, chunk, n):
     assert all(len(v) == 1 for v in same.values()) and len({min(v) for v in same.values()}) == len(same)
 
 
-def test_components_chain(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_EDGES", few)
     e = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)] + [(200, x) for x in range(201, 260)]
     random.Random(4).shuffle(e)
     got = {r.u: r.root for r in components(spark.createDataFrame(e, "u long, v long")).collect()}
@@ -202,6 +204,7 @@ def test_hot_group_of_near_copies(spark, monkeypatch, rows, pairs, star):
     for name, value in (("ROWS_AT_ONCE", rows), ("PAIRED_AT_ONCE", rows), ("ALL_PAIRS", pairs), ("STAR_ROWS", star), ("CHUNK_ROWS", rows)):
         monkeypatch.setattr(simhash, name, value)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(simhash, "FEW_EDGES", 500_000 if rows > 50 else 0)
     rng = random.Random(13)
     base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
     texts, chain = [], list(base)
