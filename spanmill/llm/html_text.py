@@ -1,25 +1,31 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped first: comments, scripts, styles and the head go; menus, headers, footers, sidebars, forms, notices,
-adverts and reader comments, known by their element, role or name, leave a gap of empty lines; each block
-element is a line. Text lengths are then summed over windows of ``WINDOW`` lines. A surge is the first line where
-the sum rises from zero, a dive the line where it falls back to zero; the text between a surge and its dive is a
-candidate. Candidates inside an article or main element win, all of them; otherwise all that aren't mostly links, but for single
-words that stand in no container other than the body, and the one with the most text that isn't links in any case. All of a
-candidate's lines are kept.
+Markup is stripped first: comments, scripts, styles and the head go, and so do menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments, known by their element, their role, or a class or id word that says only that. Each block
+element is a line. The lengths of text outside links are then summed over windows of ``WINDOW`` lines. A surge is the first line
+of a run of windows with text, a dive the line where the sums fall back to zero; a run counts if some window in it reaches
+``SURGE`` characters, or a tenth of the page's fullest window if that is less. The text between surge and dive is kept, all
+its lines.
+
+Lines in article and main elements are taken together, links too, if they hold at least as much text as the largest run of the
+lines outside; then the windows run over them alone and any text is a surge. If they hold less, or there are none, the
+windows run over the lines outside. A page with no text but links is kept as it is.
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed and empty ones go.
 
 Defined results: null and empty pages, and pages without text, give an empty text; unclosed elements end where their
-parent does, an unclosed head at the first element or text that belongs to a body, a self-closed svg or math element at
-once; an unclosed script or comment runs to the end; rows are independent; other columns don't matter.
+parent does, an unclosed head at the first element or text that belongs to a body, an unclosed script or comment at the page's end;
+an end tag without a start is a line break at most; very long pages take linear time; rows are independent, so repeated rows give
+equal results and an empty table an empty one; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-WINDOW = 3
+WINDOW, SURGE = 3, 80
 
-# Element names of the HTML standard, and names that page authors give to parts around an article.
+# Element names of the HTML standard, and words that page authors give to the parts that go.
 RAW = frozenset("iframe noscript script style textarea title".split())  # hold no markup
-UNSEEN = RAW | frozenset("audio canvas head math object select svg template video".split())
+UNSEEN = RAW | frozenset("head select template".split())
 METADATA = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,15 +46,14 @@ BLOCKS = frozenset(
     "p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 AROUND = frozenset("nav aside footer form menu button dialog fieldset".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
-NAMES = frozenset(
-    "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright discussion disqus dropdown "
-    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted recommended related "
-    "replies respond sharing share shares sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar tracking widget widgets".split()
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner breadcrumb breadcrumbs nav navbar navigation menu masthead topbar sidebar sidenav "
+    "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login form comment comments commentlist discussion disqus replies header footer".split()
 )
-PARENTS = frozenset(("article", "main", "body", "html"))
-CONTAINERS = frozenset("blockquote center dd details div dl dt figure li ol section table tbody td tr ul".split())
-CONTENT_NAMES = frozenset("article content entry main post story".split())
+BEFORE = frozenset("site page global main top bottom left right primary secondary user reader header footer side".split())
+BEHIND = frozenset("area bar block bottom box container inner item items left links list section slot top unit wrap wrapper".split())
+NAMED_ELEMENTS = frozenset("article aside center dd details div dl dt figure footer header iframe ins li main menu nav ol p section span table tbody td th tr ul".split())
 
 _ATTRS = r"""(?>[^>"']+|"[^"]*"|'[^']*')*"""
 _TOKEN = re.compile(
@@ -57,64 +62,70 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+_NAMED = re.compile(r"""\b(class|id|role)\b\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+def says_around(word: str, inside: bool) -> bool:
+    """Whether a class or id word names a part that goes, and nothing else: words of WORDS, perhaps with a place before or a kind behind them."""
+    parts = [p.lower() for p in _PART.findall(word) if not p.isdigit()]
+    while parts and parts[-1] in BEHIND:
+        parts.pop()
+    own = [p for p in parts if p in WORDS]
+    if inside and set(own) <= {"header"}:  # an article's own header belongs to it
+        return False
+    while parts and parts[0] in BEFORE and parts[1:]:
+        parts.pop(0)
+    return bool(own) and all(p in WORDS for p in parts)
+
+
 def around(name: str, attrs: str, inside: bool) -> bool:
     """Whether an element holds what is around an article; inside: it is in an article or main element."""
     if name in AROUND or (name == "header" and not inside):
         return True
-    if not attrs or name in PARENTS and not inside:
+    if not attrs or name not in NAMED_ELEMENTS or name in ("article", "main") and not inside:
         return False
     for key, a, b, c in _NAMED.findall(attrs):
-        key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if key == "role" and value.strip() in ROLES:
+        value = a or b or c
+        if key.lower() == "role":
+            if value.strip().lower() in ROLES:
+                return True
+        elif any(says_around(word, inside) for word in value.split()):
             return True
-        if key in ("class", "id"):
-            for word in (a or b or c).split():
-                parts = [p.lower() for p in _PART.findall(word)]
-                if word.lower() in NAMES or parts and NAMES.intersection(parts) and not (CONTENT_NAMES & set(parts) and not NAMES & {parts[-1]}):
-                    return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in an article, in a container) of each line, gaps as empty lines."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, characters outside links but for white space, in an article or main element) of each line."""
+    out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, hides, holds an article
-    opened = dict.fromkeys(("head", *FOREIGN), 0)
+    opened: Counter[str] = Counter()
     endless: set[str] = set()  # raw elements without a further end tag
-    hidden = articles = links = linked = contained = 0
+    hidden = articles = plain = 0
     buffer: list[str] = []
 
-    def flush(gap: int = 0) -> None:
-        nonlocal linked
+    def flush() -> None:
+        nonlocal plain
         text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
         buffer.clear()
         if text:
-            out.append((text, linked, articles > 0, contained > 0))
-        linked = 0
-        out.extend([("", 0, articles > 0, contained > 0)] * gap)
+            out.append((text, plain, articles > 0))
+        plain = 0
 
     def close(upto: int) -> None:
-        nonlocal hidden, articles, links, contained
+        nonlocal hidden, articles
         while len(stack) > upto:
             name, hides, holds = stack.pop()
-            links -= name == "a"
-            contained -= name in CONTAINERS
-            if name in opened:
-                opened[name] -= 1
-            if holds:
-                flush(WINDOW)
-                articles -= 1
-            if hides:
-                hidden -= 1
-                if not hidden and name not in UNSEEN:
-                    flush(0 if articles else WINDOW)
+            opened[name] -= 1
+            if not hidden and (holds or name in BLOCKS):
+                flush()
+            articles -= holds
+            hidden -= hides
+
+    def place(name: str) -> int:
+        """Of the innermost open element so called."""
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
 
     def leave_head() -> None:
         """End a head that only unclosed titles and the like keep open."""
@@ -131,31 +142,24 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if not hidden and m.start() > at:
             text = page[at : m.start()]
             buffer.append(text)
-            if links:
-                linked += len(text)
+            if not opened["a"]:
+                plain += len(_SPACE.sub("", html.unescape(text)))
         at = m.end()
         name = m["name"]
         if not name:
             continue
         name = name.lower()
         if m["end"]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name in BLOCKS and not hidden:
                 flush()
-            if found is not None:
-                close(found)
-                if name in BLOCKS and not hidden:
-                    flush()
+            if opened[name]:
+                close(place(name))
             continue
-        if hidden:
-            if opened["head"] and name == "body":
-                close(next(i for i, x in enumerate(stack) if x[0] == "head"))
-            elif opened["head"] and name not in METADATA:
+        if hidden and opened["head"]:
+            if name == "body":
+                close(place("head"))
+            elif name not in METADATA:
                 leave_head()
-            if name in BLOCKS and (opened["svg"] or opened["math"]):
-                k = max(i for i, x in enumerate(stack) if x[0] in FOREIGN)
-                if all(x[0] != "foreignobject" for x in stack[k:]):
-                    close(k)
         if name == "br":
             buffer.append(" ")
             continue
@@ -164,7 +168,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 flush()
             continue
         attrs = m["attrs"] or ""
-        if name in RAW and name not in endless and not (attrs.endswith("/") and (opened["svg"] or opened["math"])):
+        closed = attrs.endswith("/") and (name in FOREIGN or opened["svg"] or opened["math"])
+        if name in RAW and name not in endless and not closed:
             if ends := _RAW_END[name].search(page, at):
                 at = ends.end()
                 continue
@@ -172,66 +177,62 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 at = len(page)
                 break
             endless.add(name)
+        if closed:
+            continue
         if name in ("p", "li") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
         hides = name in UNSEEN or around(name, attrs, articles > 0)
-        if not hidden and (name in BLOCKS or hides and name not in UNSEEN):
-            flush(WINDOW if hides and not articles else 0)
+        if not hidden and name in BLOCKS:
+            flush()
         holds = name in ("article", "main") and not hides and not hidden
-        if holds:
-            flush(WINDOW)
-            articles += 1
+        articles += holds
         hidden += hides
-        links += name == "a"
-        if not attrs.endswith("/") or name in BLOCKS:
-            stack.append((name, hides, holds))
-            contained += name in CONTAINERS
-            if name in opened:
-                opened[name] += 1
-        else:
-            hidden -= hides
-            links -= name == "a"
+        stack.append((name, hides, holds))
+        opened[name] += 1
     if hidden and stack[-1][0] == "head" and page[at:].strip():
         close(len(stack) - 1)
     if not hidden and at < len(page):
         buffer.append(page[at:])
+        plain += 0 if opened["a"] else len(_SPACE.sub("", html.unescape(page[at:])))
     flush()
     return out
 
 
-def ranges(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) of each run of lines that the block sums hold together."""
-    sums = [0] * (len(lengths) + window)
-    total = 0
-    for i in range(len(lengths) + window):  # sums[i]: lines i - window + 1 .. i
-        total += (lengths[i] if i < len(lengths) else 0) - (lengths[i - window] if i >= window else 0)
-        sums[i] = total
-    out, surge = [], None
-    for i, s in enumerate(sums):
-        if s and surge is None:
-            surge = i
-        elif not s and surge is not None:
-            out.append((surge, i - window + 1))
-            surge = None
-    if surge is not None:
-        out.append((surge, len(lengths)))
+def ranges(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(surge, dive) of each run of lines that the window sums hold together and in which one reaches ``surge``."""
+    out, start, last, risen, total = [], None, 0, False, 0
+    for i in range(len(weights) + window):  # total: lines i - window + 1 .. i
+        new = weights[i] if i < len(weights) else 0
+        total += new - (weights[i - window] if i >= window else 0)
+        if new:
+            start, last = i if start is None else start, i
+        risen |= total >= surge
+        if not total and start is not None:
+            if risen:
+                out.append((start, last + 1))
+            start, risen = None, False
     return out
 
 
+def fullest(weights: list[int], window: int = WINDOW) -> int:
+    """The largest sum of ``window`` lines."""
+    sums = [0, *accumulate(weights)]
+    return max((sums[min(i + window, len(weights))] - sums[i] for i in range(len(weights))), default=0)
+
+
 def extract(page: str | None) -> str:
     """The main text, one block a line."""
-    if not page:
-        return ""
-    rows = lines(page)
-    found = ranges([len(t) for t, _, _, _ in rows])
-    inside = [r for r in found if any(rows[i][2] for i in range(*r))]
-    if not inside and found:
-        own = [sum(max(0, len(t) - link) for t, link, _, _ in rows[a:b]) for a, b in found]
-        whole = [sum(len(t) for t, _, _, _ in rows[a:b]) for a, b in found]
-        text = [any(held or " " in t for t, _, _, held in rows[a:b] if t) for a, b in found]
-        most = own.index(max(own))
-        inside = [r for i, r in enumerate(found) if i == most or text[i] and 2 * own[i] >= whole[i]]
-    return "\n".join(t for a, b in inside for t, _, _, _ in rows[a:b] if t)
+    rows = lines(page) if page else []
+    inside = [len(t) if held else 0 for t, _, held in rows]
+    weights = [0 if held else plain for _, plain, held in rows]
+    found = ranges(weights, max(1, min(SURGE, fullest(weights) // 10)))
+    outside = max((sum(weights[a:b]) for a, b in found), default=0)
+    held = any(inside) and sum(plain for _, plain, held in rows if held) >= outside
+    if held:
+        found = ranges(inside, 1)
+    elif not found:
+        found = ranges([len(t) for t, _, _ in rows], 1)
+    return "\n".join(t for a, b in found for t, _, inner in rows[a:b] if inner == held)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 import random
+import time
 
 import pytest
-from spanmill.llm.html_text import extract, main_text, ranges
+from spanmill.llm.html_text import extract, fullest, main_text, op7_html, ranges
 
 CASES = {
     "template": ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>a</li></ul></nav><div class='ad'>Buy</div><article><h1>Head</h1><p><b>One<br><p>Two &amp; three</p></article><footer>F</footer></body></html>", "Head\nOne\nTwo & three"),
@@ -16,11 +17,16 @@ CASES = {
     "header in article": ("<header>Site</header><article><header><h1>Title</h1></header><p>t</p></article>", "Title\nt"),
     "inline": ("<article><p>a<b>b</b>c <i>d</i>e</p>tail</article>", "abc de\ntail"),
     "lists and tables": ("<article><ul><li>one<li>two</ul><table><tr><td>c1</td><td>c2</td></tr></table></article>", "one\ntwo\nc1\nc2"),
-    "hidden": ("<article><p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p><p>yes</p></article>", "yes"),
+    "hidden is not in the list": ("<article><p hidden>one</p><p style='display: none'>two</p><p aria-hidden=true>three</p><p>four</p></article>", "one\ntwo\nthree\nfour"),
     "quote in attribute": ("<article><p title='a > b'>x</p><a href=\"q>r\">y</a></article>", "x\ny"),
     "broken quote": ("<article><p title=\"a>x</p><p>y</p></article>", "x\ny"),
     "plain text": ("just text", "just text"),
-    "gap": ("<body><p>tiny</p><div class=ad>z</div><p>the longest part of all</p></body>", "the longest part of all"),
+    "no gap": ("<body><p>tiny</p><div class=ad>z</div><p>the longest part of all</p></body>", "tiny\nthe longest part of all"),
+    "generated ids": ("<article><h1>T</h1><h2 id='related-work'>Related work</h2><h2 id='a-comment-on-method'>A</h2><h2 id='notice'>Notice</h2><section id='social-history'><p>s</p></section><p class='share'>of the whole</p><div class='section-header'>H</div><div class='tags toc pagination copyright'>c</div></article>", "T\nRelated work\nA\nNotice\ns\nof the whole\nH\nc"),
+    "whole words": ("<body><div class='site-header'>no</div><div id=mainMenu>no</div><div class='x left-sidebar'>no</div><div class='cookie-notice'>no</div><div class='ad-slot-3'>no</div><div class='content comments-free'><p>A text that stays, with some more words in it.</p></div><div class='user-comments'>no</div><div class='comment-list'>no</div><div id='page_footer'>no</div></body>", "A text that stays, with some more words in it."),
+    "fallbacks and formulas": ("<article><p>a <math><mi>x</mi></math> b</p><object><p>kept</p></object><svg><text>label</text></svg></article>", "a x b\nkept\nlabel"),
+    "unclosed head": ("<html><head><title>T</title><body><article><p>Main text here.", "Main text here."),
+    "teaser in a box": ("<body><div class='box'><article><p>Read this too.</p></article></div><div><p>" + "The long text of the page. " * 20 + "</p><p>End.</p></div></body>", ("The long text of the page. " * 20).strip() + "\nEnd."),
 }
 
 
@@ -35,15 +41,66 @@ def test_odd_pages(page):
     assert isinstance(extract(page), str)
 
 
+def slow_ranges(weights, surge, window):
+    """By the definition: windows with text that touch, and whether one of them reaches the surge."""
+    n, out, run = len(weights), [], []
+    sums = {i: sum(weights[max(0, i) : max(0, i + window)]) for i in range(1 - window, n)}
+    for i in range(1 - window, n + 1):
+        if sums.get(i):
+            run.append(i)
+        elif run:
+            covered = [k for k in range(max(0, run[0]), min(n, run[-1] + window)) if weights[k]]
+            if max(sums[k] for k in run) >= surge:
+                out.append((covered[0], covered[-1] + 1))
+            run = []
+    return out
+
+
 def test_ranges():
-    assert ranges([0, 5, 0, 0, 7, 0, 0, 0, 2], 3) == [(1, 5), (8, 9)]
-    assert ranges([], 3) == [] and ranges([0, 0], 3) == [] and ranges([1], 3) == [(0, 1)]
+    assert ranges([0, 5, 0, 0, 7, 0, 0, 0, 2], 1) == [(1, 5), (8, 9)] and ranges([0, 5, 0, 0, 7, 0, 0, 0, 2], 6) == [(1, 5)]
+    assert ranges([], 1) == [] and ranges([0, 0], 1) == [] and ranges([1], 1) == [(0, 1)] and ranges([1], 2) == []
     rng = random.Random(1)
+    for _ in range(2000):
+        a = [rng.choice([0, 0, 0, 1, 3, 9]) for _ in range(rng.randrange(20))]
+        surge, window = rng.randrange(1, 14), rng.randrange(1, 5)
+        assert ranges(a, surge, window) == slow_ranges(a, surge, window)
+        assert fullest(a, window) == max((sum(a[i : i + window]) for i in range(len(a))), default=0)
+
+
+def test_windows_decide_without_an_article():
+    """Random pages of plain div elements: runs of text, of links, and of a few short words; against the definition."""
+    rng = random.Random(5)
+    kept = left = 0
     for _ in range(300):
-        a = [rng.choice([0, 0, 3]) for _ in range(rng.randrange(20))]
-        got = ranges(a, 3)
-        assert sum(sum(a[x:y]) for x, y in got) == sum(a)
-        assert all(not any(a[y : y + 3]) for _, y in got)
+        rows = []
+        for _ in range(rng.randrange(1, 7)):
+            kind = rng.choice(["text", "links", "short"])
+            for _ in range(rng.randrange(1, 6)):
+                rows.append((kind, " ".join(rng.choice(["some", "plain", "words"]) for _ in range({"text": rng.randrange(8, 40), "links": 3, "short": 1}[kind]))))
+        page = "<body>" + "".join(f"<div><a href=x>{t}</a></div>" if k == "links" else f"<div>{t}</div>" for k, t in rows) + "</body>"
+        weights = [0 if k == "links" else len(t.replace(" ", "")) for k, t in rows]
+        surge = max(1, min(80, max(sum(weights[i : i + 3]) for i in range(len(weights))) // 10))
+        want = slow_ranges(weights, surge, 3) or [(0, len(rows))]
+        assert extract(page) == "\n".join(t for a, b in want for _, t in rows[a:b])
+        kept += sum(b - a for a, b in want)
+        left += len(rows) - sum(b - a for a, b in want)
+    assert left > 200 and kept > 1000
+
+
+def test_long_pages_take_linear_time():
+    began = time.process_time()
+    for page in ("<div>" * 60_000 + "</p>" * 60_000 + "x", "</div>" * 200_000 + "x", "<p>a" * 100_000, "<a>" * 60_000 + "<b></a>" * 60_000, "<title>" * 60_000 + "x", "<article><p>x</p>" * 40_000):
+        extract(page)
+    assert time.process_time() - began < 30
+
+
+def test_query(spark, tmp_path):
+    rows = [(1, "u", "<article><p>é😀</p></article>"), (2, None, None), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "long " * 100_000)]
+    spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    texts = {1: "é😀", 2: "", None: "", 3: ("long " * 100_000).strip()}
+    got = op7_html(spark, str(tmp_path))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, u, texts[i], len(texts[i])) for i, u, _ in rows], key=str)
 
 
 def test_frames(spark):
@@ -74,8 +131,8 @@ UNCLOSED = {
     "self-closed svg": ("<article><p>one <svg class='i'/>two</p><p>three<math/></p><svg><path d=''/></svg><p>four</p></article>", "one two\nthree\nfour"),
     "svg": ("<article><p>one<svg><path></p><p>two</p><svg><g><p>three</p></article>", "one\ntwo\nthree"),
     "style in svg": ("<article><svg><style/><path/></svg><p>a</p><style>b</style><p>c</p></article>", "a\nc"),
-    "video": ("<article><div><video>no</div><p>a</p><div><select><option>no</div><p>b</p></article>", "a\nb"),
-    "object in object": ("<article><object>no<object>no</object>no</object><p>a</p></article>", "a"),
+    "select": ("<article><div><video>see</div><p>a</p><div><select><option>no</div><p>b</p></article>", "see\na\nb"),
+    "object in object": ("<article><object>one <object>two</object> three</object><p>a</p></article>", "one two three\na"),
     "iframe": ("<article><div><iframe>no</div><p>a</p></article>", "a"),
 }
 
