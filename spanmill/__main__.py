@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("build")
     for a in ("features", "out"):
         p.add_argument(f"--{a}", required=True)
-    for a in ("tp", "fp", "vcf", "truth", "bed"):
+    for a in ("tp", "fp", "vcf", "truth", "bed", "ref"):
         p.add_argument(f"--{a}")
     p = sub.add_parser("train")
     for a in ("data", "out"):
@@ -42,7 +42,7 @@ def main(args: list[str] | None = None) -> None:
         workflow.require(a.vcf, a.bam, a.ref, a.ref + ".fai")
         workflow.extract(spark, a.vcf, a.bam, a.ref, a.out, chroms=a.chroms, mode=a.mode, chunk=a.chunk_size)
     elif a.command == "build":
-        print(json.dumps(workflow.build(spark, a.features, a.out, tp=a.tp, fp=a.fp, vcf=a.vcf, truth=a.truth, bed=a.bed)))
+        print(json.dumps(workflow.build(spark, a.features, a.out, tp=a.tp, fp=a.fp, vcf=a.vcf, truth=a.truth, bed=a.bed, ref=a.ref)))
     elif a.command == "train":
         print(json.dumps(workflow.train(spark, a.data, a.out, by_chromosome=a.split_by_chrom, rounds=a.rounds)))
     else:

@@ -37,13 +37,15 @@ def annotate(variants: DataFrame, scores: DataFrame, threshold: float, *, info_i
     list of found probabilities, the quality of the best, and the filter name if the best is below the threshold; a
     filter is left alone on records that pass. n_miss: indel ALTs without a score.
     """
-    alts = variants.select("ord", "chrom", "pos", "ref", F.posexplode("alt").alias("_i", "alt")).where("length(ref) != length(alt)")
-    found = alts.join(scores.select(*KEY, "prob"), KEY, "left").groupBy("ord").agg(
-        F.array_sort(F.collect_list(F.when(F.col("prob").isNotNull(), F.struct("_i", "prob")))).alias("_found"), F.count_if(F.col("prob").isNull()).alias("n_miss")
-    )
-    out = variants.join(found, "ord", "left").withColumn("n_miss", F.coalesce("n_miss", F.lit(0)))
-    best, has = F.array_max(F.col("_found.prob")), F.coalesce(F.size("_found"), F.lit(0)) > 0
-    text = F.concat(F.lit(f"{info_id}="), F.array_join(F.transform(F.col("_found.prob"), lambda x: F.format_string("%.4f", x)), ","))
+    # a site and REF have a few scores; one join, and the rest inside the row
+    site = KEY[:3]
+    known = scores.groupBy(*site).agg(F.collect_list(F.struct("alt", "prob")).alias("_known"))
+    out = variants.join(known.select(*[F.col(c).alias(f"_{c}") for c in site], "_known"), [variants[c] == F.col(f"_{c}") for c in site], "left").drop(*[f"_{c}" for c in site])
+    of = F.expr("transform(filter(alt, a -> length(a) != length(ref)), a -> try_element_at(filter(_known, k -> k.alt = a), 1).prob)")
+    out = out.withColumn("_all", F.coalesce(of, F.array().cast("array<double>"))).drop("_known")
+    out = out.withColumns({"_found": F.filter("_all", lambda x: x.isNotNull()), "n_miss": F.size(F.filter("_all", lambda x: x.isNull())).cast("long")})
+    best, has = F.array_max("_found"), F.size("_found") > 0
+    text = F.concat(F.lit(f"{info_id}="), F.array_join(F.transform("_found", lambda x: F.format_string("%.4f", x)), ","))
     empty = F.col("info").isNull() | F.col("info").isin("", ".")
     out = out.withColumns(
         {

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +12,27 @@ from ..functions.scalar import ratio0
 
 
 def curve(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """(p, tp, fp, n_pos, n_neg) for each distinct score, counting what scores at least that.
+    """(p, tp, fp, n_pos, n_neg) for each distinct score, counting what scores at least that; null scores count for nothing.
 
-    The running sums go over distinct scores, after aggregation.
+    Distinct scores are dealt over buckets by quantiles. The driver gets one row per bucket, as many as there are shuffle
+    partitions, and adds these up; running sums inside a bucket are one task each, so no task ever holds all scores.
     """
-    steps = rows.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("dp"), F.sum(1 - F.col(y).cast("long")).alias("dn"))
-    down, every = Window.orderBy(F.desc("p")), Window.partitionBy()
-    return steps.select("p", "dp", "dn", F.sum("dp").over(down).alias("tp"), F.sum("dn").over(down).alias("fp"), F.sum("dp").over(every).alias("n_pos"), F.sum("dn").over(every).alias("n_neg"))
+    k = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(F.col(y).cast("long")).alias("dp"), F.sum(1 - F.col(y).cast("long")).alias("dn"))
+    bounds = steps.agg(F.percentile_approx("p", [i / k for i in range(1, k)] or [0.5], 10 * k)).first()[0] or []
+    splits = [float("-inf"), *(sorted({float(b) for b in bounds if math.isfinite(b)}) or [0.5]), float("inf")]
+    steps = Bucketizer(splits=splits, inputCol="p", outputCol="_b").transform(steps).withColumn("_b", F.col("_b").cast("int"))
+    sums = {r["_b"]: (r["tp"], r["fp"]) for r in steps.groupBy("_b").agg(F.sum("dp").alias("tp"), F.sum("dn").alias("fp")).collect()}
+    above, totals = [[0], [0]], [0, 0]
+    for b in range(len(splits) - 2, -1, -1):
+        for i in (0, 1):
+            totals[i] += sums.get(b, (0, 0))[i]
+            above[i].append(totals[i])
+    at = lambda i: F.element_at(F.lit(above[i][-2::-1]).cast("array<bigint>"), F.col("_b") + 1)
+    down = Window.partitionBy("_b").orderBy(F.desc("p"))
+    return steps.select(
+        "p", "dp", "dn", (at(0) + F.sum("dp").over(down)).alias("tp"), (at(1) + F.sum("dn").over(down)).alias("fp"), F.lit(totals[0]).cast("bigint").alias("n_pos"), F.lit(totals[1]).cast("bigint").alias("n_neg")
+    )
 
 
 def pr_curve(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -24,13 +41,15 @@ def pr_curve(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def auroc(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """One row; ties count half."""
-    area = F.sum(F.col("dn") * (F.col("tp") - F.col("dp") / 2.0)) / (F.max("n_pos") * F.max("n_neg"))
+    """One row; ties count half; null if one of the classes is missing."""
+    area = F.try_divide(F.sum(F.col("dn") * (F.col("tp") - F.col("dp") / 2.0)), F.max("n_pos").cast("double") * F.max("n_neg"))
     return curve(rows, y, p).agg(area.alias("auroc"))
 
 
 def average_precision(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    return curve(rows, y, p).agg(F.sum(F.col("dp") / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
+    """One row; 0 without positives."""
+    step = F.col("dp") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return curve(rows, y, p).agg(F.coalesce(F.try_divide(F.sum(step), F.max("n_pos").cast("double")), F.lit(0.0)).alias("average_precision"))
 
 
 def best_threshold(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

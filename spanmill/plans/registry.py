@@ -9,14 +9,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import sequence as S
 from ..functions.scalar import logistic, mean0, phred, ratio0, var0
 from ..operators import intervals, labels, metrics, pileup, splits
-from . import model, workflow
+from ..sources import text
+from . import model, sites, workflow
 
 HOUR = 3_600_000_000
 BIN = 6 * HOUR
@@ -145,6 +146,17 @@ def indel_predicate(spark, d):
     return pileup.indel_sites(v).select("pos", "ref", "alt", "indel_length", "is_insertion", "indel_size")
 
 
+@query(sites.sql("strict"))
+def extract_strict(spark, d):
+    """All 46 features of the operator itself."""
+    return sites.extracted(spark, d, "strict")
+
+
+@query(sites.sql("compat"))
+def extract_compat(spark, d):
+    return sites.extracted(spark, d, "compat")
+
+
 def _cigars(spark: SparkSession, d: str) -> DataFrame:
     li = t(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), F.col("l_quantity").cast("int").alias("m1"), (F.col("l_partkey") % 9 + 1).cast("int").alias("m2"),
@@ -327,6 +339,61 @@ def sigmoid(spark, d):
     return t(spark, d, "customer").select("c_custkey", r6(logistic(x)).alias("p"), r6(logistic(x, 0.5, 0.1)).alias("calibrated"))
 
 
+_ALTS = """with li as (select l_orderkey, l_linenumber, max(l_discount * 8 + 0.15) as prob from lineitem group by all),
+a as (select o_orderkey, o_orderstatus, unnest([1, 2, 3, 4]) as i from orders), j as (select a.*, prob from a left join li on l_orderkey = o_orderkey and l_linenumber = i),
+g as (select o_orderkey, any_value(o_orderstatus) as status, count(prob) as n, max(prob) as best, string_agg(printf('%.4f', prob), ',' order by i) filter (prob is not null) as probs from j group by 1)"""
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    orders = t(spark, d, "orders").select(
+        F.lit("c").alias("chrom"), F.col("o_orderkey").alias("pos"), F.lit(None).cast("string").alias("id"), F.lit("").alias("ref"), F.array(*[F.lit(x) for x in ("1", "2", "3", "4")]).alias("alt"),
+        F.lit(7.0).alias("qual"), F.col("o_orderstatus").alias("filter"), F.when(F.col("o_orderkey") % 2 == 0, "DP=3").alias("info"), F.lit("GT\t0/1").alias("rest"),
+        F.struct(F.lit("f").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("o_orderkey").alias("line")).alias("ord"),
+    )
+    scores = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_discount") * 8 + 0.15).alias("prob"))
+    scores = scores.select(F.lit("c").alias("chrom"), F.col("l_orderkey").alias("pos"), F.lit("").alias("ref"), F.col("l_linenumber").cast("string").alias("alt"), "prob")
+    return labels.annotate(orders, scores, 0.5)
+
+
+@query(_ALTS + """ select o_orderkey, case when n = 0 then case when o_orderkey % 2 = 0 then 'DP=3' else '' end else case when o_orderkey % 2 = 0 then 'DP=3;' else '' end || 'INDEL_PROB=' || probs end as info,
+n > 0 and best >= 0.5 as passed from g""")
+def annotate_text(spark, d):
+    """The added texts themselves."""
+    return _annotated(spark, d).select(F.col("pos").alias("o_orderkey"), F.coalesce("info", F.lit("")).alias("info"), F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
+@query(_ALTS + """ select o_orderkey as pos, 'c' as chrom, '.' as id, 'X' as ref, '1|2|3|4' as alts, case when n > 0 and best < 0.5 then 'INDEL_FILTERED' else status end as filter,
+case when n = 0 then case when o_orderkey % 2 = 0 then 'DP=3' else '.' end else case when o_orderkey % 2 = 0 then 'DP=3;' else '' end || 'INDEL_PROB=' || probs end as info, n = 0 as untouched,
+row_number() over (order by o_orderkey) as nth, 4::bigint as n_header from g""")
+def vcf_roundtrip(spark, d):
+    """Annotated records written as VCF, with header lines, and read again in their order."""
+    path = _folder(spark, "records")
+    head = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]
+    text.write_vcf(_annotated(spark, d).withColumn("ref", F.lit("X")), head, path)
+    back = text.read_vcf(spark, path)
+    nth = F.row_number().over(Window.orderBy("ord")).cast("long")
+    return back.select(
+        "pos", "chrom", "id", "ref", F.array_join("alt", "|").alias("alts"), "filter", "info", (F.col("qual") == 7).alias("untouched"), nth.alias("nth"), F.lit(len(text.vcf_header(spark, path))).cast("long").alias("n_header")
+    )
+
+
+@query("select n_name as name, case when n_nationkey % 5 = 0 then 0 else n_nationkey * 100 end::bigint as length from nation")
+def fai_scan(spark, d):
+    path = _folder(spark, "index")
+    length = F.when(F.col("n_nationkey") % 5 == 0, "x").otherwise((F.col("n_nationkey") * 100).cast("string"))
+    t(spark, d, "nation").select(F.concat_ws("\t", "n_name", length, F.lit("7"), F.lit("60")).alias("value")).write.text(path)
+    return text.read_fai(spark, path).select("name", "length")
+
+
+@query(_CURVE + """, z as (select count(*) filter (p >= 0.4 and y = 1) as tp, count(*) filter (p >= 0.4 and y = 0) as fp, count(*) filter (p < 0.4 and y = 1) as fn, count(*) as n, count(*) filter (y = 1) as n_pos, avg(pow(p - y, 2)) as b from x),
+m as (select sum(dn * (tp - dp / 2)) / (max(np) * max(nn)) as a, sum(dp / np * tp / (tp + fp)) as v from c)
+select round(tp / (tp + fp), 4) + 0 as precision, round(tp / (tp + fn), 4) + 0 as recall, round(2 * tp / (2 * tp + fp + fn), 4) + 0 as f1, round(a, 4) + 0 as auroc, round(v, 4) + 0 as auprc, round(b, 4) + 0 as brier, n, n_pos, n - n_pos as n_neg from z, m""")
+def evaluate(spark, d):
+    found = model.evaluate(_scored(spark, d), 0.4, "y", "p")
+    kinds = ", ".join(f"{k} {'bigint' if isinstance(v, int) else 'double'}" for k, v in found.items())
+    return spark.createDataFrame([tuple(found.values())], kinds)
+
+
 @query("select p_brand, count(*) as split, round(sum(p_retailprice), 2) + 0 as gain from part group by 1 order by gain desc, p_brand limit 10")
 def topk_importance(spark, d):
     g = t(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("split"), (F.round(F.sum("p_retailprice"), 2) + 0.0).alias("gain"))
@@ -334,8 +401,10 @@ def topk_importance(spark, d):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    root, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root or 'file://' + tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
 
 
 @query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")

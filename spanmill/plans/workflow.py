@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cigar as C
 from ..operators import intervals, labels, metrics, pileup, splits
 from ..sources import bam, fasta, files, text
 from . import model
 
+log = logging.getLogger(__name__)
 CHROMOSOMES = tuple(f"chr{i}" for i in range(1, 23))
 
 
@@ -27,18 +30,25 @@ def write_table(rows: DataFrame, path: str) -> None:
     out.parquet(path) if path.endswith(".parquet") else out.option("header", True).csv(path)
 
 
-def read_reads(spark: SparkSession, path: str) -> DataFrame:
+def read_reads(spark: SparkSession, path: str, chroms: Sequence[str] | None = None) -> DataFrame:
+    """Reads by suffix; of an indexed BAM file only the parts that hold ``chroms`` are read."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    return bam.read_bam(spark, path) if path.endswith(".bam") else text.read_sam(spark, path)
+    if path.endswith(".bam"):
+        return bam.read_bam(spark, path, **({"chroms": ",".join(chroms)} if chroms is not None else {}))
+    return text.read_sam(spark, path)
 
 
 def extract(spark: SparkSession, vcf: str, reads: str, ref: str, out: str, *, chroms: Sequence[str] = CHROMOSOMES, mode: str = "strict", chunk: int = pileup.CHUNK) -> None:
-    """Features of the indels of a VCF, as CSV or Parquet. Chromosomes that the index doesn't know are left out."""
+    """Features of the indels of a VCF, as CSV or Parquet, part files in site order. Chromosomes that the index doesn't know are left out with a warning."""
     known = [r.name for r in text.read_fai(spark, ref + ".fai").where(F.col("name").isin(list(chroms))).select("name").distinct().collect()]
+    for c in sorted(set(chroms) - set(known)):
+        log.warning("%s is not in the index of %s: left out", c, ref)
     on = lambda d: d.where(F.col("chrom").isin(known))
-    rows = pileup.extract(on(text.read_vcf(spark, vcf)), on(read_reads(spark, reads)), on(fasta.fasta_bins(spark, ref)), mode=mode, chunk=chunk)
-    write_table(rows, out)
+    aligned = on(read_reads(spark, reads, known))
+    size = intervals.good_bin_size(aligned.select("start", C.reference_end().alias("read_end")), "start", "read_end")
+    rows = pileup.extract(on(text.read_vcf(spark, vcf)), aligned, on(fasta.fasta_bins(spark, ref)), mode=mode, chunk=chunk, bin_size=size)
+    write_table(rows.sortWithinPartitions(*pileup.KEY), out)
 
 
 def trimmed(keys: DataFrame) -> DataFrame:
@@ -49,32 +59,62 @@ def trimmed(keys: DataFrame) -> DataFrame:
     return out.withColumn("_n", F.expr(first)).selectExpr("* except (pos, ref, alt, _n)", "pos + _n as pos", "substring(ref, _n + 1) as ref", "substring(alt, _n + 1) as alt")
 
 
-def compare(calls: DataFrame, truth: DataFrame, regions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(true, false) keys of the calls, by equality of trimmed alleles; inside ``regions`` (BED) if given."""
+def left_aligned(keys: DataFrame, bins: DataFrame) -> DataFrame:
+    """Trimmed keys moved to the left as far as the sequence allows: a lone inserted or deleted unit turns by one base a step.
+
+    ``bins``: (chrom, bin, bin_start, seq) as ``fasta_bins`` gives them. A key moves within its bin and margin; what reaches the
+    margin's start goes on in the next round, until nothing moves.
+    """
+    rows = trimmed(keys)
+    while True:
+        there = rows.withColumn("bin", F.expr(f"(pos - 1) div {pileup.FASTA_BIN}")).join(bins.select("chrom", "bin", "bin_start", F.upper("seq").alias("_seq")), ["chrom", "bin"], "left")
+        # the bases before the anchor, nearest first; the unit, last base first
+        there = there.withColumn("_left", F.expr("reverse(substring(_seq, 1, cast(pos - 1 - bin_start as int)))")).withColumn("_unit", F.expr("reverse(substring(if(length(ref) > length(alt), ref, alt), 2))"))
+        anchored = F.expr("least(length(ref), length(alt)) = 1 and length(ref) != length(alt) and left(ref, 1) = left(alt, 1) and _seq is not null")
+        # the unit's last base has to equal the anchor, then the base before it, and so on round the unit
+        run = F.expr("concat(left(ref, 1), _left)")
+        same = F.expr("aggregate(sequence(1, length(_run)), named_struct('n', 0, 'on', true), (a, i) -> named_struct('n', a.n + if(a.on and substring(_run, i, 1) = substring(_unit, (i - 1) % greatest(1, length(_unit)) + 1, 1), 1, 0), 'on', a.on and substring(_run, i, 1) = substring(_unit, (i - 1) % greatest(1, length(_unit)) + 1, 1)), a -> a.n)")
+        there = there.withColumn("_run", run).withColumn("_steps", F.when(anchored, F.least(F.coalesce(same, F.lit(0)), F.length("_left"))).otherwise(0))
+        turned = "concat(substring(_unit, _steps % greatest(1, length(_unit)) + 1), left(_unit, _steps % greatest(1, length(_unit))))"
+        moved = there.withColumn("_turned", F.expr(f"concat(substring(_run, _steps + 1, 1), reverse({turned}))")).withColumn("_anchor", F.expr("substring(_run, _steps + 1, 1)"))
+        out = moved.select(
+            *[c for c in rows.columns if c not in ("pos", "ref", "alt")], (F.col("pos") - F.col("_steps")).alias("pos"),
+            F.expr("if(_steps = 0, ref, if(length(ref) > length(alt), _turned, _anchor))").alias("ref"), F.expr("if(_steps = 0, alt, if(length(ref) > length(alt), _anchor, _turned))").alias("alt"),
+            (F.expr("_steps > 0 and _steps = length(_left) and pos - _steps > 1")).alias("_more"),
+        )
+        rows = out.drop("_more").select(*rows.columns)
+        if not out.where("_more").limit(1).count():
+            return rows
+
+
+def compare(calls: DataFrame, truth: DataFrame, regions: DataFrame | None = None, bins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(true, false) keys of the calls, by equality of trimmed alleles, left-aligned if ``bins`` of the sequence are given; inside ``regions`` (BED) if given."""
     own, known = labels.keys(calls), labels.keys(truth)
     if regions is not None:
         inside = lambda d: intervals.semi_range_join(d.withColumn("pos0", F.col("pos") - 1), regions, on=["chrom"], point="pos0", lo="start", hi="end").drop("pos0")
         own, known = inside(own), inside(known)
     own = own.withColumn("call", F.struct("pos", "ref", "alt"))
-    t = trimmed(known).select(*labels.KEY).distinct()
+    normal = (lambda d: left_aligned(d, bins)) if bins is not None else trimmed
+    t = normal(known).select(*labels.KEY).distinct()
     back = lambda d: d.select("chrom", "call.*").select(*labels.KEY)
-    mine = trimmed(own)
+    mine = normal(own)
     return back(mine.join(t, labels.KEY, "left_semi")), back(mine.join(t, labels.KEY, "left_anti"))
 
 
-def build(spark: SparkSession, features: str, out: str, *, tp: str | None = None, fp: str | None = None, vcf: str | None = None, truth: str | None = None, bed: str | None = None) -> dict:
-    """Labelled features, from a comparison's two VCFs or from calls and truth; returns counts."""
+def build(spark: SparkSession, features: str, out: str, *, tp: str | None = None, fp: str | None = None, vcf: str | None = None, truth: str | None = None, bed: str | None = None, ref: str | None = None) -> dict:
+    """Labelled features, from a comparison's two VCFs or from calls and truth (left-aligned if ``ref`` is given); returns counts."""
     if tp:
         true = labels.keys(text.read_vcf(spark, tp))
         false = labels.keys(text.read_vcf(spark, fp)) if fp else true.limit(0)
     elif vcf and truth:
-        true, false = compare(text.read_vcf(spark, vcf), text.read_vcf(spark, truth), text.read_bed(spark, bed) if bed else None)
+        true, false = compare(text.read_vcf(spark, vcf), text.read_vcf(spark, truth), text.read_bed(spark, bed) if bed else None, fasta.fasta_bins(spark, ref) if ref else None)
     else:
         raise ValueError("give tp (and fp), or vcf and truth")
     rows = labels.label(read_table(spark, features, pileup.SCHEMA), true, false)
-    write_table(rows.drop("matched"), out)
-    c = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0), F.count_if(~F.col("matched"))).first()
-    return {"n_pos": c[0], "n_neg": c[1], "n_unmatched": c[2]}
+    seen = Observation("build")
+    counts = [F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"), F.count_if(~F.col("matched")).alias("n_unmatched")]
+    write_table(rows.observe(seen, *counts).drop("matched"), out)
+    return dict(seen.get)
 
 
 def train(spark: SparkSession, data: str, out: str, *, by_chromosome: bool = False, **how) -> dict:
@@ -108,9 +148,13 @@ def predict(spark: SparkSession, features: str, vcf: str, model_dir: str, out: s
     scored = bundle.score(rows.withColumn("_row", F.monotonically_increasing_id()))
     scores = labels.last_wins(scored, labels.KEY, "prob", "_row")
     marked = labels.annotate(text.read_vcf(spark, vcf), scores, bundle.threshold)
-    text.write_vcf(marked, text.vcf_header(spark, vcf), out)
-    c = marked.agg(F.count_if(F.col("passed")), F.count_if(~F.col("passed")), F.sum("n_miss")).first()
-    return {"pass": c[0], "filtered": c[1], "no_match": c[2] or 0}
+    seen = Observation("predict")
+    counts = [F.count_if(F.col("passed")).alias("pass"), F.count_if(~F.col("passed")).alias("filtered"), F.coalesce(F.sum("n_miss"), F.lit(0)).alias("no_match")]
+    # settled first: the writer's sort samples its input, and a count belongs to one pass
+    marked.observe(seen, *counts).write.mode("overwrite").parquet(f"{out}.records")
+    text.write_vcf(spark.read.parquet(f"{out}.records"), text.vcf_header(spark, vcf), out)
+    files.remove(spark, f"{out}.records")
+    return dict(seen.get)
 
 
 def require(*paths: str) -> None:

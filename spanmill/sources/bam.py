@@ -1,7 +1,8 @@
 """BAM files as a Python data source: ``spark.read.format("bam").load(path)`` after ``register(spark)``.
 
 With an index (``path.bai``) a file is split at the record starts that its linear index names, about
-``split_bytes`` apart; without one it is read by a single task. Rows have the columns of the SAM reader.
+``split_bytes`` apart, and the option ``chroms`` (names with commas between) leaves out the ranges of other references;
+without one it is read by a single task. Rows have the columns of the SAM reader.
 """
 
 from __future__ import annotations
@@ -83,20 +84,20 @@ def header(blocks: Blocks) -> list[str]:
     return names
 
 
-def index_offsets(data: bytes) -> list[int]:
-    """Record starts that a .bai file's linear indexes name, ascending."""
+def index_offsets(data: bytes) -> list[list[int]]:
+    """For each reference the record starts that a .bai file's linear index names, ascending."""
     if data[:4] != b"BAI\1":
         raise ValueError("not a BAM index")
-    found, k = set(), 8
+    found, k = [], 8
     for _ in range(struct.unpack("<i", data[4:8])[0]):
         (bins,) = struct.unpack_from("<i", data, k)
         k += 4
         for _ in range(bins):
             k += 8 + 16 * struct.unpack_from("<i", data, k + 4)[0]
         (n,) = struct.unpack_from("<i", data, k)
-        found.update(struct.unpack_from(f"<{n}Q", data, k + 4))
+        found.append(sorted(set(struct.unpack_from(f"<{n}Q", data, k + 4)) - {0}))
         k += 4 + 8 * n
-    return sorted(found - {0})
+    return found
 
 
 def edit_distance(tags: bytes) -> int | None:
@@ -135,20 +136,39 @@ class BamReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.chroms = set(options["chroms"].split(",")) if options.get("chroms") is not None else None
 
     def partitions(self):
+        """Byte ranges of some ``split_bytes``; with an index and ``chroms``, only those that may hold reads of these."""
         with opened(self.path) as f:
             blocks = Blocks(f)
-            header(blocks)
-            cuts = [blocks.offset()]
-        if exists(self.path + ".bai"):
-            with opened(self.path + ".bai") as f:
-                for o in index_offsets(f.read()):
-                    if (o >> 16) - (cuts[-1] >> 16) >= self.split:
-                        cuts.append(o)
-        return [InputPartition((a, b)) for a, b in zip(cuts, [*cuts[1:], 1 << 62], strict=True)]
+            names = header(blocks)
+            first = blocks.offset()
+        if not exists(self.path + ".bai"):
+            return [InputPartition((first, 1 << 62))]
+        with opened(self.path + ".bai") as f:
+            offsets = index_offsets(f.read())
+        # a sorted file has one reference behind the other: each runs up to the next one's first record
+        starts = [(o[0], i) for i, o in enumerate(offsets) if o]
+        stops = {i: stop for (_, i), (stop, _) in zip(starts, [*starts[1:], (1 << 62, -1)], strict=True)}
+        if starts != sorted(starts) or not starts:
+            return [InputPartition((first, 1 << 62))]
+        ranges = []
+        for n, (start, i) in enumerate(starts):
+            cuts = [start if n else first]
+            cuts += [o for o in offsets[i] if o > cuts[0]]
+            if self.chroms is not None and names[i] not in self.chroms:
+                continue
+            kept = cuts[:1]
+            for o in cuts[1:]:
+                if (o >> 16) - (kept[-1] >> 16) >= self.split:
+                    kept.append(o)
+            ranges += zip(kept, [*kept[1:], stops[i]], strict=True)
+        return [InputPartition(r) for r in ranges]
 
     def read(self, partition) -> Iterator[tuple]:
+        if partition is None:  # no range holds what is asked for
+            return
         start, end = partition.value
         with opened(self.path) as f:
             names = header(Blocks(f))

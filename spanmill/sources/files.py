@@ -35,3 +35,8 @@ def write_json(path: str, value) -> None:
     store.create_dir(at.rpartition("/")[0], recursive=True)
     with store.open_output_stream(at) as f:
         f.write(json.dumps(value, indent=2).encode())
+
+
+def remove(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

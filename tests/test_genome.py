@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 from collections import Counter
 
 import pytest
@@ -43,6 +44,30 @@ def test_bam(spark, folder, name, parts):
     assert [r.asDict() for r in df.orderBy("ord").select(*COLUMNS).collect()] == [{c: x[c] for c in COLUMNS} for x in READS]
 
 
+def test_bam_regions(spark, tmp_path):
+    """With an index of each reference only the asked one's ranges are read."""
+    data, _ = bam(REF, READS)
+    blocks, starts, at = bgzf_starts()
+    index = b"BAI\1" + struct.pack("<i", 2)
+    for c in REF:
+        places = [p for p, x in zip(starts, READS, strict=True) if x["chrom"] == c]
+        index += struct.pack("<i", 0) + struct.pack("<i", len(places)) + struct.pack(f"<{len(places)}Q", *places)
+    (tmp_path / "c.bam").write_bytes(data)
+    (tmp_path / "c.bam.bai").write_bytes(index)
+    for chroms in (["chr1"], ["chr2"], ["chr1", "chr2"], ["chr9"]):
+        df = bam_source.read_bam(spark, f"{tmp_path}/c.bam", split_bytes=3_000, chroms=",".join(chroms))
+        assert [r.asDict() for r in df.orderBy("ord").select(*COLUMNS).collect()] == [{c: x[c] for c in COLUMNS} for x in READS if x["chrom"] in chroms]
+    whole = bam_source.read_bam(spark, f"{tmp_path}/c.bam", split_bytes=3_000)
+    assert whole.count() == len(READS) and whole.rdd.getNumPartitions() > 3
+
+
+def bgzf_starts():
+    """Places of the records, from the one-reference index."""
+    data, index = bam(REF, READS)
+    (n,) = struct.unpack_from("<i", index, 36)
+    return data, struct.unpack_from(f"<{n}Q", index, 40), n
+
+
 def test_fasta(spark, folder):
     got = {(r.chrom, r.bin): r for r in fasta_source.fasta_bins(spark, f"{folder}/ref.fa", bin_size=100, margin=7).collect()}
     assert len(got) == sum(-(-len(s) // 100) for s in REF.values())

@@ -96,3 +96,33 @@ def test_splits(spark):
     assert got == {(True, "train"): 70, (True, "val"): 15, (True, "test"): 15, (False, "train"): 630, (False, "val"): 135, (False, "test"): 135}
     c = spark.createDataFrame([("chr1",), ("chr19",), ("chr20",), (None,)], "chrom string")
     assert [r.split for r in splits.by_chromosome(c).collect()] == ["train", "val", "test", "train"]
+
+
+def test_metrics_without_one_class(spark):
+    for y, area, ap in (([0, 0, 0], None, 0.0), ([1, 1, 1], None, 1.0), ([], None, 0.0)):
+        df = rows(spark, y, [0.1, 0.5, 0.5][: len(y)])
+        assert metrics.auroc(df).first()[0] == area and metrics.average_precision(df).first()[0] == ap
+        assert metrics.best_threshold(df).count() == (1 if y else 0)
+
+
+def test_no_window_over_everything(spark):
+    """A third of all rows share one score, the others have one each."""
+    rng = random.Random(9)
+    y = [int(rng.random() < 0.4) for _ in range(3000)]
+    p = [0.5 if i % 3 == 0 else rng.random() for i in range(3000)]
+    df = rows(spark, y, p)
+    got = metrics.curve(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    for r in rng.sample(got.collect(), 60):
+        assert (r.tp, r.fp) == (sum(a for a, b in zip(y, p, strict=True) if b >= r.p), sum(1 - a for a, b in zip(y, p, strict=True) if b >= r.p)) and (r.n_pos, r.n_neg) == (sum(y), 3000 - sum(y))
+
+
+def test_split_of_a_large_label(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else 1) for i in range(3000)], "k int, label int").withColumn("split", F.lit("x"))
+    out = splits.stratified(df, ["k"])
+    assert out.columns == df.columns and "_label, _bucket" in (plan := out._jdf.queryExecution().optimizedPlan().toString()).replace("#", ", ") or "_bucket" in plan
+    got = {(r.label, r.split): r["count"] for r in out.groupBy("label", "split").count().collect()}
+    for label, n in ((None, 429), (1, 2571)):
+        assert abs(got[label, "train"] - 0.7 * n) < 1 and abs(got[label, "val"] - 0.15 * n) < 1
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, splits.stratified(df.repartition(7), ["k"]).collect()), key=str)
