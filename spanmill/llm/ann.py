@@ -9,12 +9,16 @@ The kd-tree has two levels. The upper one, at most ``MAX_CELLS`` cells, is fitte
 projections and places every row; a cell with many rows (whatever their values) is dealt over blocks by a hash, so a block
 holds about ``BLOCK_ROWS`` rows. Each block builds the lower tree over all its rows. A query first searches its own cell,
 which bounds its k-th distance; then it visits those other cells whose boxes pass the stopping test. Queries
-are sent to cells, data are never copied.
+are sent to cells, some ``ASKED_AT_ONCE`` to a block at a time.
+
+Equal vectors are one search, and at most the first rows of equal vectors are searched: no query takes more than its k nearest
+and its own, and ties go to smaller ids, so the result is the same, and a vector that a third of all rows share costs no more
+than another.
 
 Defined results: vectors that are null, zero, not finite, or not of the most frequent length (the shorter one on a tie)
 take no part, nor do null ids; rows that share the query's id are its own; a query row that occurs twice
-gets its list twice under one id only if the vectors differ; ties go to the smaller id; an empty table
-gives an empty result; other columns don't matter.
+gets its list twice under one id only if the vectors differ; rows that repeat are neighbours each; ties go to the smaller id;
+an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settled, table
 
 M = 8
 CONFIDENCE = 0.99
@@ -38,6 +42,7 @@ MAX_CELLS = 4_096
 BLOCK_ROWS = 16_384
 LEAF_ROWS = 64
 LEAVES_AT_ONCE = 4
+ASKED_AT_ONCE = 2_000
 K = 10
 
 
@@ -111,7 +116,7 @@ class Block:
         self.low = np.array([self.projected[a:b].min(axis=0) for a, b in leaves]).reshape(-1, projected.shape[1])
         self.high = np.array([self.projected[a:b].max(axis=0) for a, b in leaves]).reshape(-1, projected.shape[1])
 
-    def search(self, own: int, vector: np.ndarray, projected: np.ndarray, k: int, bound: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int | None, vector: np.ndarray, projected: np.ndarray, k: int, bound: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest found, at most ``bound`` away; stop: the chi-square quantile."""
         ids, dist = np.empty(0, np.int64), np.empty(0)
         lower = (np.maximum(np.maximum(self.low - projected, projected - self.high), 0) ** 2).sum(axis=1)
@@ -123,7 +128,7 @@ class Block:
                 break
             rows = np.concatenate([np.arange(*self.leaves[i]) for i in leaves])
             near = ((self.projected[rows] - projected) ** 2).sum(axis=1)
-            rows = rows[(near <= reach) & (self.ids[rows] != own)]
+            rows = rows[near <= reach] if own is None else rows[(near <= reach) & (self.ids[rows] != own)]
             d = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(axis=1))
             ids, dist = np.concatenate((ids, self.ids[rows])), np.concatenate((dist, d))
             keep = np.lexsort((ids, dist))[:k]
@@ -156,7 +161,7 @@ def _prepare(dim: int, splits: Splits | None):
 
 
 PREPARED = "vec_id long, vec binary, near array<double>, cell int"
-FOUND = "qkey long, query_id long, vec_id long, score double"
+FOUND = "qkey long, vec_id long, score double"
 
 
 def nearest(vectors: DataFrame, queries, *, k: int = K, confidence: float = CONFIDENCE) -> DataFrame:
@@ -172,18 +177,33 @@ def nearest(vectors: DataFrame, queries, *, k: int = K, confidence: float = CONF
     points = np.array([r["near"] for r in sampled.collect()]).reshape(-1, M)
     depth = min(int(math.log2(MAX_CELLS)), max(0, math.ceil(math.log2(max(1, n / CELL_ROWS)))))
     splits = Splits(points, depth)
-    placed = rows.mapInArrow(_prepare(dim, splits), PREPARED)
+    # of one vector's rows: as many ids as a query could take besides its own, and of one id as many rows
+    placed = settled(rows.mapInArrow(_prepare(dim, splits), PREPARED))
+    same = Window.partitionBy("vec", "vec_id").orderBy("cell")
+    few = placed.withColumn("again", F.row_number().over(same)).where(F.col("again") <= k)
+    few = settled(few.withColumn("nth", F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth"))
 
     # at most MAX_CELLS rows: count and box of each cell
     ends = [f(F.col("near")[i]).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(M)]
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), *ends).collect()
+    stats = few.groupBy("cell").agg(F.count("*").alias("n"), F.max("again").alias("again"), *ends).collect()
+    # a search that doesn't leave its own rows out finds them too
+    wanted = k + max((r["again"] for r in stats), default=1)
     blocks = {r["cell"]: -(-r["n"] // BLOCK_ROWS) for r in stats}
     cells = np.array([r["cell"] for r in stats], np.int64)
     low, high = (np.array([[r[f"{x}{i}"] for i in range(M)] for r in stats]).reshape(-1, M) for x in ("lo", "hi"))
 
-    counts = F.element_at(F.create_map(*[F.lit(x) for c, b in sorted(blocks.items()) for x in (int(c), int(b))]), F.col("cell")) if blocks else F.lit(1)
-    data = placed.select("vec_id", "vec", "near", "cell", F.pmod(F.xxhash64("vec_id", "vec"), F.coalesce(counts, F.lit(1))).cast("int").alias("block"))
-    asked = placed.where(queries).select(F.xxhash64("vec_id", "vec").alias("qkey"), F.col("vec_id").alias("query_id"), "vec", "near", "cell").dropDuplicates(["qkey"])
+    def of_cell(values: dict[int, int]) -> F.Column:
+        """A number for each cell, 1 where there is none."""
+        listed = [values.get(c, 1) for c in range(max(values, default=0) + 1)]
+        return F.element_at(F.lit(listed).cast("array<int>"), F.col("cell") + 1)
+
+    data = few.select("vec_id", "vec", "near", "cell", F.pmod(F.xxhash64("vec_id", "vec"), of_cell(blocks)).cast("int").alias("block"))
+    # ids with several vectors leave all their rows out; all other queries are asked by vector alone
+    several = few.select("vec_id", "vec").distinct().groupBy("vec_id").agg(F.count("*").alias("vectors")).where("vectors > 1").select(F.col("vec_id").alias("query_id"), F.lit(True).alias("several"))
+    queries_of = placed.where(queries).select(F.col("vec_id").alias("query_id"), "vec", "near", "cell").join(several, "query_id", "left")
+    queries_of = queries_of.withColumn("own", F.when(F.col("several"), F.col("query_id"))).withColumn("qkey", F.xxhash64("vec", "own"))
+    queries_of = settled(queries_of.groupBy("query_id", "qkey", "own", "vec", "near", "cell").agg(F.lit(1).alias("one")))
+    asked = settled(queries_of.groupBy("qkey", "own", "vec", "near", "cell").agg(F.lit(1).alias("one")).drop("one"))
 
     def route(home: bool):
         def run(frames):
@@ -193,40 +213,47 @@ def nearest(vectors: DataFrame, queries, *, k: int = K, confidence: float = CONF
                 out = []
                 for row in f.itertuples(index=False):
                     if home:
-                        go = [row.cell]
+                        go = [row.cell] if row.cell in blocks else []
                     else:
                         p = np.asarray(row.near)
                         lower = (np.maximum(np.maximum(low - p, p - high), 0) ** 2).sum(axis=1)
                         go = [int(c) for c in cells[lower <= stop * row.bound**2] if c != row.cell]
-                    out += [(c, b, row.qkey, row.query_id, row.vec, row.near, row.bound) for c in go for b in range(blocks[c])]
-                yield pd.DataFrame(out, columns=["cell", "block", "qkey", "query_id", "vec", "near", "bound"])
+                    out += [(c, row.qkey, row.own, row.vec, row.near, row.bound) for c in go]
+                yield pd.DataFrame(out, columns=["cell", "qkey", "own", "vec", "near", "bound"]).astype({"own": "Int64"})
 
         return run
 
-    routed = "cell int, block int, qkey long, query_id long, vec binary, near array<double>, bound double"
+    routed = "cell int, qkey long, own long, vec binary, near array<double>, bound double"
 
     def search(data, asked):
         import pandas as pd
 
         if not len(data) or not len(asked):
-            return pd.DataFrame({"qkey": [], "query_id": [], "vec_id": [], "score": []}).astype({"qkey": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"qkey": [], "vec_id": [], "score": []}).astype({"qkey": "int64", "vec_id": "int64", "score": "float64"})
         block = Block(data["vec_id"].to_numpy(np.int64), _matrix(data["vec"], dim), np.stack(list(data["near"])))
         vecs, near = _matrix(asked["vec"], dim), np.stack(list(asked["near"]))
-        keys, ids, bounds = asked["qkey"].to_numpy(np.int64), asked["query_id"].to_numpy(np.int64), asked["bound"].to_numpy(np.float64)
-        found = [block.search(ids[i], vecs[i], near[i], k, bounds[i], stop) for i in range(len(asked))]
-        size = [len(x) for x, _ in found]
-        return pd.DataFrame({"qkey": np.repeat(keys, size), "query_id": np.repeat(ids, size), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([d for _, d in found])})
+        keys, owns, bounds = asked["qkey"].to_numpy(np.int64), [None if pd.isna(x) else int(x) for x in asked["own"]], asked["bound"].to_numpy(np.float64)
+        found = [block.search(owns[i], vecs[i], near[i], wanted, bounds[i], stop) for i in range(len(asked))]
+        return pd.DataFrame({"qkey": np.repeat(keys, [len(x) for x, _ in found]), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([d for _, d in found])})
 
     def searched(asked):
-        return data.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(search, FOUND)
+        """All blocks of the cells; a block with many queries is there once for each part of them."""
+        parts = {r["cell"]: -(-r["n"] // ASKED_AT_ONCE) for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most MAX_CELLS rows
+        there = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1))).withColumn("part", F.pmod("qkey", of_cell(parts)).cast("int"))
+        held = data.where(F.col("cell").isin(list(parts))) if len(parts) < 100 else data
+        held = held.withColumn("part", F.explode(F.sequence(F.lit(0), of_cell(parts) - 1)))
+        return held.groupBy("cell", "block", "part").cogroup(there.groupBy("cell", "block", "part")).applyInPandas(search, FOUND)
 
     best = Window.partitionBy("qkey").orderBy("score", "vec_id")
-    first = searched(asked.withColumn("bound", F.lit(float("inf"))).mapInPandas(route(True), routed)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    bounds = first.groupBy("qkey").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("bound"))
+    ranked = lambda x: x.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= wanted)
+    first = settled(ranked(searched(settled(asked.withColumn("bound", F.lit(float("inf"))).mapInPandas(route(True), routed)))))
+    bounds = first.groupBy("qkey").agg(F.max(F.when(F.col("nth") == wanted, F.col("score"))).alias("bound"))
     again = asked.join(bounds, "qkey", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    second = searched(again.select("qkey", "query_id", "vec", "near", "cell", "bound").mapInPandas(route(False), routed))
-    every = first.drop("rank").unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return every.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    second = searched(settled(again.select("qkey", "own", "vec", "near", "cell", "bound").mapInPandas(route(False), routed)))
+    every = ranked(first.drop("nth").unionByName(second)).select("qkey", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id", "qkey").orderBy("score", "vec_id"))
+    out = queries_of.select("query_id", "qkey").join(every, "qkey").where("vec_id != query_id").withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
