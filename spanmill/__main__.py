@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from .plans import workflow
+from .plans import model, workflow
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     for a in ("data", "out"):
         p.add_argument(f"--{a}", required=True)
     p.add_argument("--split-by-chrom", action="store_true")
-    p.add_argument("--rounds", type=int, default=100)
+    p.add_argument("--rounds", type=int, default=model.ROUNDS)
     p = sub.add_parser("predict")
     for a in ("features", "vcf", "model", "out"):
         p.add_argument(f"--{a}", required=True)

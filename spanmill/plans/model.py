@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import logistic
 from ..operators import metrics
+from ..sources import files
 from ..sources.files import exists, read_json, write_json
 
 # Columns that are never features; of the first, none has to exist.
@@ -19,6 +20,7 @@ DROPPED = ("softclip_mean_alt",)
 ID_COLUMNS = ("chrom", "pos", "ref", "alt", "label", "split", "matched")
 ALIASES = {"read_pos_mean": "read_end_dist_mean", "read_pos_var": "read_end_dist_var"}
 DEFAULT_THRESHOLD = 0.5
+ROUNDS = 2000
 
 
 def feature_columns(rows: DataFrame) -> list[str]:
@@ -68,21 +70,43 @@ def best_prefix(losses: list[float], patience: int) -> int:
     return at + 1
 
 
-def boost(train: DataFrame, validation: DataFrame, names: list[str], *, rounds: int = 100, patience: int = 50, seed: int = 42, **more) -> tuple[GBTClassificationModel, int, float]:
-    """(model, rounds kept, class weight): fitted to the end, then again to the round with the lowest validation loss."""
+def shortened(gbt: GBTClassifier, model: GBTClassificationModel, kept: int) -> GBTClassificationModel:
+    """The model of the first ``kept`` rounds."""
+    java, context = model._java_obj, SparkSession.active().sparkContext
+    trees, weights = java.trees(), java.treeWeights()
+    first = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, kept)
+    share = context._gateway.new_array(context._jvm.double, kept)
+    for i in range(kept):
+        first[i], share[i] = trees[i], weights[i]
+    out = gbt._copyValues(GBTClassificationModel(context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), first, share, model.numFeatures, model.numClasses)))
+    out._transfer_params_to_java()
+    return out
+
+
+def boost(train: DataFrame, validation: DataFrame, names: list[str], *, rounds: int = ROUNDS, patience: int = 50, seed: int = 42, **more) -> tuple[GBTClassificationModel, int, float]:
+    """(model, rounds kept, class weight): the rounds up to the lowest validation loss that ``patience`` further ones don't improve on.
+
+    Fits of twice as many rounds each time, from twice the patience up to ``rounds``, until the patience is spent; the last is
+    cut to the best round, so all fits together cost at most two of the last.
+    """
     weight = metrics.class_weight(train, "label").first()[0]
     weighted = lambda d: assembled(d, names).withColumn("_w", F.when(F.col("label") == 1, float(weight)).otherwise(1.0)).withColumn("label", F.col("label").cast("double"))
     how = {"stepSize": 0.05, "maxDepth": 6, "featureSubsetStrategy": "0.8", "subsamplingRate": 0.8, "minInstancesPerNode": 50} | more
     gbt = GBTClassifier(labelCol="label", featuresCol="_features", weightCol="_w", seed=seed, **how)
-    rows = weighted(train).cache()
+    files.checkpoint_folder(train.sparkSession)  # the trainer cuts its lineage there every few rounds
+    rows, seen = weighted(train).cache(), weighted(validation).cache()
     try:
-        model = gbt.setMaxIter(rounds).fit(rows)
-        kept = best_prefix(model.evaluateEachIteration(weighted(validation)), patience)
-        if kept < rounds:
-            model = gbt.setMaxIter(kept).fit(rows)
+        n = min(rounds, 2 * patience)
+        while True:
+            model = gbt.setMaxIter(n).fit(rows)
+            kept = best_prefix(model.evaluateEachIteration(seen), patience)
+            if n == rounds or n - kept >= patience:
+                break
+            n = min(rounds, 2 * n)
     finally:
         rows.unpersist()
-    return model, kept, float(weight)
+        seen.unpersist()
+    return shortened(gbt, model, kept) if kept < n else model, kept, float(weight)
 
 
 def platt(rows: DataFrame, raw: str = "raw", label: str = "label") -> tuple[float, float]:

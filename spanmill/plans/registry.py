@@ -6,7 +6,6 @@ a position, its value a length in hours, its type an allele class; lineitem make
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +15,7 @@ from ..functions import cigar as C
 from ..functions import sequence as S
 from ..functions.scalar import logistic, mean0, phred, ratio0, var0
 from ..operators import intervals, labels, metrics, pileup, splits
-from ..sources import text
+from ..sources import files, text
 from . import model, sites, workflow
 
 HOUR = 3_600_000_000
@@ -401,10 +400,7 @@ def topk_importance(spark, d):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
-    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root or 'file://' + tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+    return f"{files.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")

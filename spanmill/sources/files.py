@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 
 def _store(path: str):
@@ -40,3 +41,17 @@ def write_json(path: str, value) -> None:
 def remove(spark, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_folder(spark) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset on a local master."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root or f"file://{tempfile.gettempdir()}"
+
+
+def checkpoint_folder(spark) -> None:
+    """Let the session write checkpoints below the shared folder, unless it does already."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

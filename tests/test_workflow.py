@@ -38,6 +38,24 @@ def test_command_line(spark, folder, capsys):
         main(["extract", "--vcf", f"{d}/none.vcf", "--bam", f"{d}/a.sam", "--ref", f"{d}/ref.fa", "--out", "x"])
 
 
+def test_rounds_grow_until_patience_is_spent(spark):
+    rng = random.Random(3)
+    rows = [(rng.random(), float(y := rng.random() < 0.4) * 0.6 + rng.random(), int(y)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "noise double, sign double, label int").repartition(2).cache()
+    train, val = df.where("noise < 0.7"), df.where("noise >= 0.7")
+    how = {"minInstancesPerNode": 5, "maxDepth": 3, "stepSize": 0.3, "names": ["noise", "sign"]}
+    full, kept, _ = model.boost(train, val, rounds=24, patience=24, **how)
+    losses = full.evaluateEachIteration(model.assembled(val, ["noise", "sign"]).withColumn("_w", F.lit(1.0)))
+    assert len(losses) == kept <= 24 and min(losses) == losses[-1]
+    short, early, _ = model.boost(train, val, rounds=24, patience=2, **how)
+    assert early <= kept and short.getNumTrees == early and len(short.featureImportances) == 2
+    # the shorter fit is the longer one's beginning
+    assert short.trees[0].toDebugString.split("\n")[1:] == full.trees[0].toDebugString.split("\n")[1:]
+    cut = model.shortened(model.GBTClassifier(labelCol="label", featuresCol="_features"), short, 1)
+    assert cut.getNumTrees == 1 and cut.treeWeights == short.treeWeights[:1] and cut.transform(model.assembled(val, ["noise", "sign"])).count() == val.count()
+    df.unpersist()
+
+
 def test_train_and_predict(spark, folder, tmp_path):
     d, _ = folder
     rng = random.Random(2)
