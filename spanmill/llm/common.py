@@ -63,15 +63,27 @@ def spread_join(rows: DataFrame, named: DataFrame, key: str, n: str, total: int)
 
 
 class Memo(dict):
-    """A dict from text that starts anew when its keys and values exceed ``limit`` bytes, counted roughly."""
+    """A dict from text of at most about ``limit`` bytes, in two generations of half of that each.
+
+    When the newer one is full it becomes the older one. ``again`` looks there and moves what it finds to the newer one, so
+    what is asked for often stays.
+    """
 
     def __init__(self, limit: int = MEMO_BYTES):
         super().__init__()
-        self.limit = self.room = limit
+        self.limit = self.room = limit // 2
+        self.older: dict = {}
+
+    def again(self, key: str):
+        value = self.older.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
 
     def keep(self, key: str, value) -> None:
         self.room -= 170 + len(key) + (len(value) if isinstance(value, bytes) else 24)
         if self.room < 0:
+            self.older = dict(self)
             self.clear()
             self.room = self.limit
         self[key] = value

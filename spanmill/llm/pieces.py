@@ -30,6 +30,7 @@ from .common import Memo, table
 
 UNKNOWN = 10.0
 LONGEST = 64
+REMEMBERED = 64 << 20  # bytes
 TEXTS_AT_ONCE = 64
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -55,7 +56,7 @@ class Codec:
         self.text_of = [bytes([bytes_of[i]]) if i in bytes_of else b"" if i in silent else p.replace(SPACE, " ").encode("utf-8") for i, (p, _) in enumerate(pieces)]
         if unknown_id >= 0:
             self.text_of[unknown_id] = " ⁇ ".encode()
-        self.known = Memo()
+        self.known = Memo(REMEMBERED)
 
     def viterbi(self, chunk: str) -> list[int]:
         n = len(chunk)
@@ -83,6 +84,16 @@ class Codec:
             at -= length
         return out[::-1]
 
+    def remembered(self, chunk: str) -> bytes:
+        """The ids of a chunk that the newer memo doesn't hold."""
+        found = self.known.again(chunk)
+        if found is not None:
+            return found
+        found = np.array(self.viterbi(chunk), "<i4").tobytes()
+        if len(chunk) <= LONGEST:
+            self.known.keep(chunk, found)
+        return found
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<i4")
@@ -92,9 +103,7 @@ class Codec:
         for i, x in enumerate(coded):
             if x is None:
                 c = chunks[i]
-                coded[i] = x = self.known.get(c) or np.array(self.viterbi(c), "<i4").tobytes()
-                if len(c) <= LONGEST:
-                    self.known.keep(c, x)
+                coded[i] = self.known.get(c) or self.remembered(c)
         return np.frombuffer(b"".join(coded), "<i4")
 
     def decode(self, ids) -> str:

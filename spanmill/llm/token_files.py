@@ -92,11 +92,13 @@ class Encoder:
             coded = list(map(known.get, every))
             missing = [i for i, x in enumerate(coded) if x is None]
             new = {every[i] for i in missing}
+            older = {p: x for p in new if (x := known.again(p)) is not None}
+            new.difference_update(older)
             spaced = [p for p in new if p[0] == " " and len(p) > 1 and not p[1:2].isspace()]
             plain = list(new.difference(spaced))
             found = dict(zip(plain + spaced, self._plain(plain) + self._joined(spaced), strict=True))
             for i in missing:
-                coded[i] = found[every[i]]
+                coded[i] = found[every[i]] if every[i] in found else older[every[i]]
             for p, ids in found.items():
                 if len(p) <= LONGEST:
                     known.keep(p, ids)

@@ -79,8 +79,10 @@ class Model:
         self.__dict__.update(state, known=Memo())
 
     def word(self, word: str) -> float:
-        s = sum(self.weights.get(f, 0.0) for f in features(word))
-        self.known.keep(word, s)
+        s = self.known.again(word)
+        if s is None:
+            s = sum(self.weights.get(f, 0.0) for f in features(word))
+            self.known.keep(word, s)
         return s
 
     def score(self, text: str | None) -> float:

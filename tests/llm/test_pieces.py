@@ -3,7 +3,8 @@ import random
 import public_tokenizers
 import pytest
 from spanmill.llm import pieces
-from spanmill.llm.pieces import Codec, decode, encode, load
+from spanmill.llm.common import Memo
+from spanmill.llm.pieces import Codec, decode, encode, load, op2_sentencepiece
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -77,3 +78,25 @@ def test_frames(spark, monkeypatch):
     assert len(got) == 5 and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
     assert sorted(r.text for r in got) == sorted(["hello world", "", "", "", "a" * 20_000 + "  "])
     assert encode(df.limit(0), PATH).count() == 0
+
+
+def test_memo():
+    memo = Memo(2_000)
+    for i in range(40):
+        memo.keep(f"k{i}", b"y" + b"x" * i)
+        assert (memo.get("k0") or memo.again("k0")) == b"y"  # asked for again and again, so it stays
+        assert len(memo) + len(memo.older) <= 12
+    assert memo.get("k5") is None and memo.again("k5") is None
+
+
+def test_query(spark, tmp_path):
+    """Against an encoder that remembers nothing and takes every text whole."""
+    rng = random.Random(5)
+    words = ["alpha", "b,c", "", "Dd\nee", "é9", "12.5", "中文", "😀"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9))), f"s{i % 3}") for i in range(60)]
+    rows += [(7, rows[7][1], "s1"), (61, None, None), (62, "", "s0"), (None, "no id", "s2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "0 as ids").write.parquet(f"{tmp_path}/documents.parquet")
+    codec = load(PATH)
+    want = [(i, s, codec.viterbi("▁" + t.replace(" ", "▁")) if t else [], True) for i, t, s in rows]
+    got = op2_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.source, list(r.ids), r.round_trip)) for r in got) and all(r.n_tokens == len(r.ids) for r in got)

@@ -1,9 +1,10 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from spanmill.llm.toxicity import Model, drop_toxic, features, fit, fold, scores, train, words
+from spanmill.llm.toxicity import Model, drop_toxic, features, fit, fold, op6_toxicity, scores, train, words
 
 
 def corpus(n=3000):
@@ -67,3 +68,24 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert drop_toxic(d, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_query(spark, tmp_path):
+    docs, labels = corpus(600)
+    docs += [(9000, None), (9001, ""), (9001, "")]
+    d, rows = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    d.selectExpr("*", "'x' as score").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.write.parquet(f"{tmp_path}/labels.parquet")
+    model = train(d, rows)
+
+    def by_hand(text):
+        """The model's sum over distinct words, without its memo."""
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in words(text) for f in features(w))
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+    got = sorted(op6_toxicity(spark, str(tmp_path)).collect())
+    assert [r.doc_id for r in got] == sorted(i for i, _ in docs)
+    text = dict(docs)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert abs(r.score - by_hand(text[r.doc_id])) < 1e-6 and r.predicted == (r.score >= 0.5)
