@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table
+from .common import MEMO_BYTES, Memo, table
 
 UNKNOWN = 10.0
 LONGEST = 64
@@ -56,7 +56,7 @@ class Codec:
         self.text_of = [bytes([bytes_of[i]]) if i in bytes_of else b"" if i in silent else p.replace(SPACE, " ").encode("utf-8") for i, (p, _) in enumerate(pieces)]
         if unknown_id >= 0:
             self.text_of[unknown_id] = " ⁇ ".encode()
-        self.known = Memo(REMEMBERED)
+        self.known = Memo()
 
     def viterbi(self, chunk: str) -> list[int]:
         n = len(chunk)
@@ -112,8 +112,8 @@ class Codec:
 
 
 @cache
-def load(path: str) -> Codec:
-    """A codec for a SentencePiece model file."""
+def load(path: str, remembered: int = MEMO_BYTES) -> Codec:
+    """A codec for a SentencePiece model file; ``remembered``: bytes of chunks that it may keep."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -121,14 +121,16 @@ def load(path: str) -> Codec:
     names = [sp.id_to_piece(i) for i in range(n)]
     byte_ids = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
     silent = frozenset(i for i in range(n) if sp.is_control(i) or sp.is_unused(i) or sp.is_unknown(i))
-    return Codec([(names[i], sp.get_score(i)) for i in range(n)], byte_ids, silent, sp.unk_id())
+    codec = Codec([(names[i], sp.get_score(i)) for i in range(n)], byte_ids, silent, sp.unk_id())
+    codec.known = Memo(remembered)
+    return codec
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, remembered: int = MEMO_BYTES) -> DataFrame:
     """(doc_id, source, n_tokens, ids, round_trip) of every row; source is null where ``docs`` has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path)
+        codec = load(path, remembered)
         for b in batches:
             for at in range(0, b.num_rows, TEXTS_AT_ONCE):
                 part = b.slice(at, TEXTS_AT_ONCE)
@@ -159,4 +161,4 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     import public_tokenizers
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(model))
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(model), remembered=REMEMBERED)
