@@ -37,6 +37,7 @@ from .common import Memo, scratch, settled, table
 ROWS_PER_FILE, BYTES_PER_FILE = 200_000, 256 << 20
 IDS_AT_ONCE = 1 << 20
 LONGEST = 64
+REMEMBERED = 64 << 20  # bytes of pieces and their ids
 TEXTS_AT_ONCE = 64
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, name string, width int, n_docs long, n_ids long"
@@ -60,7 +61,7 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.ids = Memo()
+        self.ids = Memo(REMEMBERED)
         spaced = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.spaced[spaced] = True
