@@ -1,0 +1,123 @@
+import hashlib
+import random
+import time
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from spanmill.llm import periodic
+from spanmill.llm.periodic import collapse, op12_periodic_runs, periodic_runs, suffix_array
+
+
+def brute(w):
+    """All runs by their definition: for each period all maximal stretches, the smallest period of each."""
+    out = {}
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            n = i + q - s
+            if n >= max(6, 4 * q):
+                out.setdefault((s, n), q)
+    return sorted((s, n, q) for (s, n), q in out.items())
+
+
+def left(w, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def some_words(rng, most=70):
+    k, n = rng.choice([1, 2, 3, 5, 40]), rng.randint(0, most)
+    w = [f"w{rng.randrange(k)}" for _ in range(n)]
+    if n and rng.random() < 0.7:
+        a = rng.randrange(n)
+        p = rng.randint(1, max(1, (n - a) // 3))
+        w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)] + w[: rng.randint(0, 5)]
+    return w
+
+
+def test_runs_of_batches():
+    rng = random.Random(5)
+    for _ in range(600):
+        group = [some_words(rng) for _ in range(rng.randint(1, 6))]
+        for w, (runs, text) in zip(group, collapse([[x.encode() for x in w] for w in group]), strict=True):
+            assert sorted(runs) == brute(w) and text.decode() == left(w, runs)
+
+
+def test_arrays_and_loops_agree(monkeypatch):
+    rng = random.Random(6)
+    group = [[x.encode() for x in some_words(rng, 300)] for _ in range(40)]
+    loops = collapse(group)
+    monkeypatch.setattr(periodic, "MANY", 1)
+    assert collapse(group) == loops
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 200):
+        s = np.concatenate((rng.integers(0, 3, n), [9]))
+        order, rank = suffix_array(s)
+        assert order.tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist()) and (rank[order] == np.arange(n + 1)).all()
+
+
+def test_several_runs():
+    w = "a b a b a b a b x x x x x x y a a a a a a b".split()
+    ((runs, text),) = collapse([[x.encode() for x in w]])
+    assert runs == [(0, 8, 2), (8, 6, 1), (15, 6, 1)] and text == b"a b x y a b"
+    # three periods, or five words, are no run; a run of period 2 isn't one of period 4
+    assert [r for r, _ in collapse([b"a b c a b c a b c d".split(), b"a a a a a".split(), b"a b a b a b a b a b a b a b a b".split()])] == [[], [], [(0, 16, 2)]]
+
+
+@pytest.mark.parametrize("words", [[b"a"] * 200_000, [b"%d" % (i % 1000) for i in range(100_000)], [b"%d" % i for i in range(300_000)]])
+def test_very_long_texts(words):
+    began = time.time()
+    ((runs, _),) = collapse([words])
+    assert runs == brute_of_one(words) and time.time() - began < 20
+
+
+def brute_of_one(words):
+    p = next((p for p in (1, 1000) if words[:-p] == words[p:]), None)
+    return [(0, len(words), p)] if p else []
+
+
+def planted(i, w):
+    n, h = len(w), zlib.crc32(str(i).encode()) if i is not None else None
+    if h is None or h % 10 or not n:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [x if j < a else w[a + (j - a) % p] for j, x in enumerate(w)]
+
+
+def test_query(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, " ".join(some_words(rng)), "x") for i in range(300)]
+    rows += [(1000, None, "x"), (1001, "", "x"), (1002, " \t\n ", "x"), (1003, "é é é é é" + " é" * 9, "x"), (1004, "a\r\nb\x0ba " * 8, "x"), (None, "q " * 12, "x"), (7, rows[7][1], "x"), (7, rows[7][1], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, runs string").withColumn("collapsed", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op12_periodic_runs(spark, str(tmp_path)).collect()), key=str)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for i, text, _ in rows:
+        w = [x.decode() for x in (text or "").encode().split()]
+        w = planted(i, w)
+        runs = brute(w)
+        best = min(((-n, s, q) for s, n, q in runs), default=None)
+        top = (best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else (None,) * 4
+        want.append((i, len(runs), *top, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(left(w, runs))))
+    assert got == sorted(want, key=str)
+    assert sum(r[1] > 0 for r in got) > 50
+
+
+def test_operator_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "a a a a a a b", 5), (2, None, 6)], "doc_id long, body string, `runs` int").withColumn("a b", F.lit("z"))
+    got = {r.doc_id: r for r in periodic_runs(df, "body").collect()}
+    assert [tuple(x) for x in got[1].runs] == [(0, 6, 1)] and got[1].collapsed == "a b" and got[1]["a b"] == "z" and got[2].collapsed == "" and got[2].runs == []
+    assert periodic_runs(df.limit(0), "body").count() == 0
