@@ -9,9 +9,13 @@ LONGEST_UNIT = 6
 
 
 def entropy(s: str) -> Column:
-    """Base-2 entropy of a string's characters; 0 for an empty one."""
-    share = f"(length({s}) - length(replace({s}, c, ''))) / length({s})"
-    return F.expr(f"coalesce(aggregate(array_distinct(split({s}, '')), 0D, (a, c) -> a - if(c = '', 0D, {share} * log2({share}))), 0D) + 0D")
+    """Base-2 entropy of a string's characters; 0 for an empty one.
+
+    Each distinct character is counted by removing it, so what is left to read gets shorter at each step.
+    """
+    step = "transform(array(replace(a.rest, c, '')), r -> named_struct('rest', r, 'n', length(r), 'sum', a.sum + (a.n - length(r)) * log2(a.n - length(r))))[0]"
+    sums = f"aggregate(array_distinct(split({s}, '')), named_struct('rest', {s}, 'n', length({s}), 'sum', 0D), (a, c) -> if(c = '', a, {step}), a -> a.sum)"
+    return F.expr(f"coalesce(if(length({s}) > 0, log2(length({s})) - {sums} / length({s}), 0D), 0D) + 0D")
 
 
 def gc_fraction(s: str) -> Column:

@@ -117,12 +117,11 @@ def platt(rows: DataFrame, raw: str = "raw", label: str = "label") -> tuple[floa
 
 
 def evaluate(rows: DataFrame, threshold: float, y: str = "label", p: str = "prob") -> dict:
-    c = metrics.confusion(rows, threshold, y, p).first().asDict()
-    out = {k: round(c[k], 4) for k in ("precision", "recall", "f1")}
-    n_pos, n_neg = c["tp"] + c["fn"], c["fp"] + c["tn"]
-    if n_pos and n_neg:
-        out |= {"auroc": round(metrics.auroc(rows, y, p).first()[0], 4), "auprc": round(metrics.average_precision(rows, y, p).first()[0], 4)}
-    return out | {"brier": round(metrics.brier(rows, y, p).first()[0] or 0.0, 4), "n": n_pos + n_neg, "n_pos": n_pos, "n_neg": n_neg}
+    m = metrics.summary(rows, y, p, threshold=threshold).first()
+    out = {k: round(m[k], 4) for k in ("precision", "recall", "f1")}
+    if m["n_pos"] and m["n_neg"]:
+        out |= {"auroc": round(m["auroc"], 4), "auprc": round(m["average_precision"], 4)}
+    return out | {"brier": round(m["brier"] or 0.0, 4), "n": m["n"], "n_pos": m["n_pos"], "n_neg": m["n_neg"]}
 
 
 def importance(model: GBTClassificationModel, names: list[str]) -> list[tuple[str, float, int]]:

@@ -55,3 +55,9 @@ def checkpoint_folder(spark) -> None:
     """Let the session write checkpoints below the shared folder, unless it does already."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def settled(df):
+    """``df`` written once to the shared folder, without its lineage."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

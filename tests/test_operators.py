@@ -126,3 +126,33 @@ def test_split_of_a_large_label(spark):
     for label, n in ((None, 429), (1, 2571)):
         assert abs(got[label, "train"] - 0.7 * n) < 1 and abs(got[label, "val"] - 0.15 * n) < 1
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, splits.stratified(df.repartition(7), ["k"]).collect()), key=str)
+
+
+def test_summary_agrees_with_single_metrics(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "b", None]), int(rng.random() < 0.3), rng.choice([0.0, 1.0, 1e-9, rng.random(), round(rng.random(), 1), -2.5, 1e6])) for _ in range(600)]
+    data += [("one", 1, 0.5), ("none", 0, 0.5), ("none", 0, None), ("a", None, 0.25)]
+    df = spark.createDataFrame(data, "g string, y int, p double")
+    got = {r.g: r for r in metrics.summary(df, by=["g"], threshold=0.4).collect()}
+    best = {r.g: r for r in metrics.summary(df, by=["g"]).collect()}
+    assert set(got) == {"a", "b", None, "one", "none"}
+    for g, r in got.items():
+        own = df.where(F.col("g").eqNullSafe(g))
+        c, t = metrics.confusion(own.where("y is not null and p is not null"), 0.4).first(), metrics.best_threshold(own).first()
+        assert tuple(r[k] for k in c.asDict()) == tuple(c) and (r.best_threshold, r.best_f1) == tuple(t)
+        area, alone = metrics.auroc(own).first()[0], metrics.summary(own, threshold=0.4).first()
+        assert (r.auroc is None and area is None) or math.isclose(r.auroc, area)
+        assert math.isclose(r.average_precision, metrics.average_precision(own).first()[0], abs_tol=1e-12) and math.isclose(r.brier, metrics.brier(own).first()[0])
+        assert {k: v for k, v in r.asDict().items() if k != "g"} == pytest.approx(alone.asDict())
+        at = metrics.confusion(own.where("y is not null and p is not null"), best[g].best_threshold).first()
+        assert (best[g].tp, best[g].fp, best[g].n) == (at.tp, at.fp, r.n)
+    none = metrics.summary(df.limit(0)).first()
+    assert (none.n, none.auroc, none.brier, none.best_threshold, none.tp) == (0, None, None, None, 0)
+
+
+def test_scores_at_both_ends(spark):
+    p = [float("inf"), float("-inf"), float("nan"), 0.0, -0.0, 5e-324, 1.7e308, -1.7e308, 1.0, 0.5]
+    df = spark.createDataFrame([(i % 2, x) for i, x in enumerate(p)], "y int, p double")
+    order = lambda x: (1, 0.0) if x != x else (0, x)
+    for r in metrics.curve(df).collect():
+        assert r.tp + r.fp == sum(order(x) >= order(r.p) for x in p)
