@@ -1,4 +1,7 @@
-"""Boosted trees with calibrated probabilities, and the bundle of files that holds them."""
+"""Boosted trees with calibrated probabilities, and the bundle of files that holds them.
+
+Models are grown leaf by leaf (``boosting``) and kept as text (``trees``). Spark's own trees, grown by level, can be fitted and bundled too.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import logistic
 from ..operators import metrics
 from ..sources import files
-from ..sources.files import exists, read_json, write_json
+from ..sources.files import exists, read_json, read_text, write_json, write_text
+from .trees import Ensemble, parse, written
 
 # Columns that are never features; of the first, none has to exist.
 DROPPED = ("softclip_mean_alt",)
@@ -21,6 +25,8 @@ ID_COLUMNS = ("chrom", "pos", "ref", "alt", "label", "split", "matched")
 ALIASES = {"read_pos_mean": "read_end_dist_mean", "read_pos_var": "read_end_dist_var"}
 DEFAULT_THRESHOLD = 0.5
 ROUNDS = 2000
+# Names that a model's text may have in its folder; the first is written.
+TEXTS = ("model.txt", "lgbm_model.txt")
 
 
 def feature_columns(rows: DataFrame) -> list[str]:
@@ -40,7 +46,7 @@ def with_features(rows: DataFrame, names: list[str]) -> DataFrame:
 
 @dataclass
 class Bundle:
-    model: GBTClassificationModel
+    model: Ensemble | GBTClassificationModel
     features: list[str]
     slope: float | None = None
     intercept: float | None = None
@@ -48,8 +54,11 @@ class Bundle:
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with raw and prob."""
-        out = self.model.transform(assembled(with_features(rows, self.features), self.features))
-        out = out.withColumn("raw", vector_to_array("probability")[1])
+        rows = with_features(rows, self.features)
+        if isinstance(self.model, Ensemble):
+            out = rows.withColumn("raw", self.model.probability(self.features))
+        else:
+            out = self.model.transform(assembled(rows, self.features)).withColumn("raw", vector_to_array("probability")[1])
         prob = logistic(F.col("raw"), self.slope, self.intercept) if self.slope is not None else logistic(F.col("raw"))
         return out.withColumn("prob", prob).drop("_features", "rawPrediction", "probability", "prediction")
 
@@ -112,7 +121,7 @@ def boost(train: DataFrame, validation: DataFrame, names: list[str], *, rounds:
 def platt(rows: DataFrame, raw: str = "raw", label: str = "label") -> tuple[float, float]:
     """(slope, intercept) of an unregularised logistic regression of the label on the raw score."""
     x = VectorAssembler(inputCols=[raw], outputCol="_x").transform(rows.select(F.col(raw), F.col(label).cast("double").alias("_y")))
-    fitted = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.0, standardization=False, maxIter=1000).fit(x)
+    fitted = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.0, standardization=False, maxIter=1000, tol=1e-12).fit(x)
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 
@@ -124,10 +133,12 @@ def evaluate(rows: DataFrame, threshold: float, y: str = "label", p: str = "prob
     return out | {"brier": round(m["brier"] or 0.0, 4), "n": m["n"], "n_pos": m["n_pos"], "n_neg": m["n_neg"]}
 
 
-def importance(model: GBTClassificationModel, names: list[str]) -> list[tuple[str, float, int]]:
-    """(feature, gain share, number of splits), largest gain first."""
+def importance(model: Ensemble | GBTClassificationModel, names: list[str]) -> list[tuple[str, float, int]]:
+    """(feature, gain, number of splits), largest gain first: the splits' total gain, or for Spark's trees a share."""
     import re
 
+    if isinstance(model, Ensemble):
+        return model.importance()
     splits = [0] * len(names)
     for tree in model.trees:
         for i in re.findall(r"If \(feature (\d+) ", tree.toDebugString):
@@ -136,7 +147,10 @@ def importance(model: GBTClassificationModel, names: list[str]) -> list[tuple[st
 
 
 def save(bundle: Bundle, path: str, results: dict) -> None:
-    bundle.model.write().overwrite().save(f"{path}/model")
+    if isinstance(bundle.model, Ensemble):
+        write_text(f"{path}/{TEXTS[0]}", written(bundle.model))
+    else:
+        bundle.model.write().overwrite().save(f"{path}/model")
     write_json(f"{path}/features.json", bundle.features)
     write_json(f"{path}/results.json", results | {"threshold": bundle.threshold, "features": bundle.features, "n_features": len(bundle.features)})
     write_json(f"{path}/threshold.json", {"tau": bundle.threshold})
@@ -158,5 +172,8 @@ def stored_threshold(path: str) -> float:
 
 
 def load(path: str) -> Bundle:
+    """A bundle of ``save``, or a folder with a model's text and the names of its features from elsewhere."""
     scaler = read_json(f"{path}/scaler.json") if exists(f"{path}/scaler.json") else {}
-    return Bundle(GBTClassificationModel.load(f"{path}/model"), read_json(f"{path}/features.json"), scaler.get("slope"), scaler.get("intercept"), stored_threshold(path))
+    texts = [f"{path}/{t}" for t in TEXTS if exists(f"{path}/{t}")]
+    fitted = parse(read_text(texts[0])) if texts else GBTClassificationModel.load(f"{path}/model")
+    return Bundle(fitted, read_json(f"{path}/features.json"), scaler.get("slope"), scaler.get("intercept"), stored_threshold(path))

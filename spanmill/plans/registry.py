@@ -16,7 +16,7 @@ from ..functions import sequence as S
 from ..functions.scalar import logistic, mean0, phred, ratio0, var0
 from ..operators import intervals, labels, metrics, pileup, splits
 from ..sources import files, text
-from . import model, sites, workflow
+from . import boosting, model, sites, workflow
 
 HOUR = 3_600_000_000
 BIN = 6 * HOUR
@@ -156,6 +156,14 @@ def extract_compat(spark, d):
     return sites.extracted(spark, d, "compat")
 
 
+@query(sites.COMPARE_SQL)
+def compare_haplotypes(spark, d):
+    """Calls against truth by the sequences they spell."""
+    calls, truth, bins = sites.call_sets(spark, d)
+    true, false = workflow.compare(calls, truth, bins=bins)
+    return true.withColumn("matched", F.lit(True)).unionByName(false.withColumn("matched", F.lit(False)))
+
+
 def _cigars(spark: SparkSession, d: str) -> DataFrame:
     li = t(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), F.col("l_quantity").cast("int").alias("m1"), (F.col("l_partkey") % 9 + 1).cast("int").alias("m2"),
@@ -430,14 +438,47 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gbt_fit_score(spark, d):
+    """Leaf-wise trees with all default parameters, fitted on the training part and scored on the test part."""
     rows = _training(spark, d)
     names = ["n_chars", "dots"]
     part = lambda s: rows.where(F.col("split") == s)
-    fitted, _, _ = model.boost(part("train"), part("val"), names, rounds=8, patience=3, minInstancesPerNode=5, maxDepth=3)
+    fitted, _, _, _ = boosting.boost(part("train"), part("val"), names)
     return model.Bundle(fitted, names).score(part("test")).select("doc_id", "label", "raw", "prob")
 
 
-@query()
+_STEP_FEATURES = ("d", "e", "f")
+_STEP = """with x as (select quality as label, n_chars // 200 as d, length(text) - length(replace(text, '.', '')) as e, case when doc_id % 4 > 0 then length(lang) + doc_id % 7 end as f from documents join labels using (doc_id)),
+w as (select count(*) filter (label = 0) / count(*) filter (label = 1) as k from x), g as (select d, e, f, case when label = 1 then -k * 0.5 else 0.5 end as g, case when label = 1 then k * 0.25 else 0.25 end as h from x, w)"""
+
+
+def _step_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").selectExpr("doc_id", "cast(n_chars div 200 as double) as d", "cast(length(text) - length(replace(text, '.', '')) as double) as e", "cast(if(doc_id % 4 > 0, length(lang) + doc_id % 7, null) as double) as f")
+    return docs.join(t(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+@query(_STEP + """, u as (select 'd' as feature, 0 as nth, d as v, g, h from g union all select 'e', 1, e, g, h from g union all select 'f', 2, f, g, h from g),
+b as (select feature, nth, v, sum(g) as g, sum(h) as h, count(*) as n from u group by all),
+c as (select *, sum(g) over o as gl, sum(h) over o as hl, sum(n) over o as nl, sum(g) over (partition by feature) as ga, sum(h) over (partition by feature) as ha, sum(n) over (partition by feature) as na
+from b window o as (partition by feature order by v nulls first)),
+s as (select *, gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) - ga * ga / ha as gain from c where nl >= 50 and na - nl >= 50),
+best as (select * from s qualify row_number() over (order by gain desc, nth, v nulls first) = 1)
+select feature, coalesce(v, -1.7976931348623157e308)::double as threshold, round(gain, 6) + 0 as gain, nl::bigint as n_left, (na - nl)::bigint as n_right, round(-0.05 * gl / hl, 6) + 0 as left_value, round(-0.05 * (ga - gl) / (ha - hl), 6) + 0 as right_value from best""")
+def boosted_split(spark, d):
+    """The first split of the first tree: the best of all places in all features, and the values on both sides."""
+    rows = _step_rows(spark, d)
+    fitted, _, _, _ = boosting.boost(rows, rows.limit(0), list(_STEP_FEATURES), rounds=1, maxLeaves=2, featureShare=1.0, subsamplingRate=1.0)
+    tree = fitted.trees[0]
+    row = (fitted.features[int(tree.feature[0])], float(tree.threshold[0]), float(tree.gain[0]), int(tree.count[0]), int(tree.count[1]), float(tree.value[0]), float(tree.value[1]))
+    out = spark.createDataFrame([row], "feature string, threshold double, gain double, n_left bigint, n_right bigint, left_value double, right_value double")
+    return out.withColumns({c: r6(F.col(c)) for c in ("gain", "left_value", "right_value")})
+
+
+# Newton's steps on sums over all rows, from 0
+@query(_YP.replace("with x", "with recursive x").replace("as (select quality as y", "as (select doc_id, quality as y") + """, r as (select 0 as k, 0::double as a, 0::double as b union all
+select k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) from
+(select k, a, b, sum((q - y) * p) as ga, sum(q - y) as gb, sum(q * (1 - q) * p * p) as haa, sum(q * (1 - q) * p) as hab, sum(q * (1 - q)) as hbb
+from (select k, a, b, y, p, 1 / (1 + exp(-(a * p + b))) as q from r, x where k < 12) group by k, a, b))
+select doc_id, round(1 / (1 + exp(-(a * p + b))), 5) + 0 as prob from x, r where k = 12""")
 def platt_fit(spark, d):
     slope, intercept = model.platt(_scored(spark, d).select(F.col("p").alias("raw"), F.col("y").alias("label")))
-    return _scored(spark, d).select("doc_id", logistic(F.col("p"), slope, intercept).alias("prob"))
+    return _scored(spark, d).select("doc_id", (F.round(logistic(F.col("p"), slope, intercept), 5) + 0.0).alias("prob"))

@@ -109,3 +109,52 @@ f as (select pq.* exclude (n), case when qp is not null then least(qp, pq.n - qp
 be as (select site, {entropy} as base_entropy from (select site, base, count(*) as c from f where base is not null group by all) group by site),
 se as (select site, max(c) / sum(c) as agreement, {entropy} as sig_entropy from (select site, sig, count(*) as c from f where sup group by all) group by site)
 select chrom, pos, ref, alt, {listed} from f left join be using (site) left join se using (site) group by site, chrom, pos, ref, alt"""
+
+
+# ---------------------------------------------------------------- two call sets
+
+# Each part is a place of its own, 320 bases from the next; calls and truth say the same, or not, in several ways.
+_BLOCK = f"translate(md5('chr' || cast(p % 3 + 1 as varchar(20)) || ':' || cast(p * 10 + N as varchar(20))), '{HEX}', '{SOFT}')"
+_PLACES = f"""select p, 'chr' || cast(p % 3 + 1 as varchar(20)) as chrom, 30 + p % 7 as o, {" || ".join(_BLOCK.replace("N", n) for n in "012")} as s from (select p_partkey as p from part)"""
+_AT = "substr(s, cast(o as int) + {} + 1, {})"
+_ROWS = [
+    ("0, 1", "p % 6 = 0", 0, _AT.format(0, 4), _AT.format(0, 1)),  # the same record
+    ("1", "p % 6 = 1", 0, _AT.format(0, 3), _AT.format(0, 1)),  # one deletion, called as two
+    ("0", "p % 6 = 1", 0, _AT.format(0, 2), _AT.format(0, 1)),
+    ("0", "p % 6 = 1", 2, _AT.format(2, 2), _AT.format(3, 1)),
+    ("1", "p % 6 = 2", 0, _AT.format(0, 1), _AT.format(0, 1) + " || 'ACG'"),  # one insertion, anchored on either side
+    ("0", "p % 6 = 2", 1, _AT.format(1, 1), "'ACG' || " + _AT.format(1, 1)),
+    ("1", "p % 6 = 3", 0, _AT.format(0, 3), _AT.format(0, 1)),  # another length
+    ("0", "p % 6 = 3", 0, _AT.format(0, 2), _AT.format(0, 1)),
+    ("1", "p % 6 = 4", 0, _AT.format(0, 2), _AT.format(0, 1)),  # a deletion and a changed base, called as one record
+    ("1", "p % 6 = 4", 5, _AT.format(5, 1), f"translate({_AT.format(5, 1)}, 'ACGT', 'CGTA')"),
+    ("0", "p % 6 = 4", 0, _AT.format(0, 6), f"{_AT.format(0, 1)} || {_AT.format(2, 3)} || translate({_AT.format(5, 1)}, 'ACGT', 'CGTA')"),
+    ("1", "p % 6 = 5", 0, _AT.format(0, 1), _AT.format(0, 1) + " || 'GG'"),  # one of two alleles
+    ("0", "p % 6 = 5", 0, _AT.format(0, 1), f"{_AT.format(0, 1)} || 'GG|' || {_AT.format(0, 1)} || 'T'"),
+    ("0", "p % 5 = 0", 20, _AT.format(20, 1), _AT.format(20, 1) + " || 'CA'"),  # true nowhere, but where repeats make it so
+]
+_SETS = " union all ".join(f"select {side} as side, p, chrom, s, o + {more} as place, {ref} as ref, {alts} as alts from places where {when}" for sides, when, more, ref, alts in _ROWS for side in sides.split(", "))
+
+
+def call_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, truth, fasta bins)."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    rows = spark.sql(f"with places as ({_PLACES.replace('from part', 'from {part}')}) {_SETS}", part=part)
+    rows = rows.select("side", "chrom", F.expr("p * 320 + place + 1").alias("pos"), "ref", F.split("alts", "[|]").alias("alt"))
+    ends = part.agg(F.max("p_partkey").alias("last")).select(F.explode(F.array(*[F.lit(f"chr{i}") for i in (1, 2, 3)])).alias("chrom"), F.explode(F.expr("sequence(0L, (last * 320 + 400) div 1000)")).alias("bin"))
+    base = f"translate(md5(concat(chrom, ':', b)), '{HEX}', '{SOFT}')"
+    bins = ends.withColumn("bin_start", F.expr(f"greatest(0L, bin * {pileup.FASTA_BIN} - {pileup.FASTA_MARGIN}) div 32 * 32"))
+    bins = bins.withColumn("seq", F.expr(f"array_join(transform(sequence(bin_start div 32, ((bin + 1) * {pileup.FASTA_BIN} + {pileup.FASTA_MARGIN}) div 32), b -> {base}), '')"))
+    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side"), bins
+
+
+# Every choice of records of either side is spelled out; the best pair of equal sequences stays.
+COMPARE_SQL = f"""with recursive places as ({_PLACES}), r as (select distinct side, p, chrom, s, place, ref, list_sort(string_split(alts, '|')) as alt from ({_SETS})),
+v as (select *, row_number() over (partition by side, p order by place, length(ref), ref, alt) as i from r),
+h as (select side, p, s, 0 as i, 0 as done, '' as hap, '' as mask from (select distinct side, p, s from v)
+union all select side, p, s, i + 1, case when a is null then done else place + length(ref) end, case when a is null then hap else hap || s[done + 1:place] || a end, mask || case when a is null then '0' else '1' end
+from (select h.*, v.place, v.ref, unnest([null] || v.alt) as a from h join v on v.side = h.side and v.p = h.p and v.i = h.i + 1) where a is null or place >= done),
+w as (select h.side, h.p, hap || s[done + 1:] as hap, mask, length(replace(mask, '0', '')) as n from h join (select side, p, max(i) as last from v group by all) using (side, p) where i = last),
+best as (select a.p, arg_max(a.mask, (a.n + b.n, a.n, a.mask, b.mask)) as mask from w a join w b on a.side = 0 and b.side = 1 and a.p = b.p and a.hap = b.hap group by a.p),
+k as (select chrom, p * 320 + place + 1 as pos, ref, unnest(alt) as alt, coalesce(mask[i], '0') = '1' as matched from v left join best using (p) where side = 0)
+select chrom, pos, ref, alt, bool_or(matched) as matched from k where length(ref) <> length(alt) group by all"""

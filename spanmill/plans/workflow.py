@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
-from ..operators import intervals, labels, metrics, pileup, splits
+from ..operators import haplotypes, intervals, labels, metrics, pileup, splits
 from ..sources import bam, fasta, files, text
-from . import model
+from . import boosting, model
 
 log = logging.getLogger(__name__)
 CHROMOSOMES = tuple(f"chr{i}" for i in range(1, 23))
@@ -51,58 +51,33 @@ def extract(spark: SparkSession, vcf: str, reads: str, ref: str, out: str, *, ch
     write_table(rows.sortWithinPartitions(*pileup.KEY), out)
 
 
-def trimmed(keys: DataFrame) -> DataFrame:
-    """Keys without shared last bases, then without shared first bases, at least one base left on both sides."""
-    rest = "array_max(filter(sequence(0, least(length(ref), length(alt)) - 1), n -> right(ref, n) = right(alt, n)))"
-    out = keys.withColumn("_n", F.expr(rest)).selectExpr("* except (ref, alt, _n)", "left(ref, length(ref) - _n) as ref", "left(alt, length(alt) - _n) as alt")
-    first = "array_max(filter(sequence(0, least(length(ref), length(alt)) - 1), n -> left(ref, n) = left(alt, n)))"
-    return out.withColumn("_n", F.expr(first)).selectExpr("* except (pos, ref, alt, _n)", "pos + _n as pos", "substring(ref, _n + 1) as ref", "substring(alt, _n + 1) as alt")
-
-
 def left_aligned(keys: DataFrame, bins: DataFrame) -> DataFrame:
-    """Trimmed keys moved to the left as far as the sequence allows: a lone inserted or deleted unit turns by one base a step.
-
-    ``bins``: (chrom, bin, bin_start, seq) as ``fasta_bins`` gives them. A key moves within its bin and margin; what reaches the
-    margin's start goes on in the next round, until nothing moves.
-    """
-    rows = trimmed(keys)
-    while True:
-        there = rows.withColumn("bin", F.expr(f"(pos - 1) div {pileup.FASTA_BIN}")).join(bins.select("chrom", "bin", "bin_start", F.upper("seq").alias("_seq")), ["chrom", "bin"], "left")
-        # the bases before the anchor, nearest first; the unit, last base first
-        there = there.withColumn("_left", F.expr("reverse(substring(_seq, 1, cast(pos - 1 - bin_start as int)))")).withColumn("_unit", F.expr("reverse(substring(if(length(ref) > length(alt), ref, alt), 2))"))
-        anchored = F.expr("least(length(ref), length(alt)) = 1 and length(ref) != length(alt) and left(ref, 1) = left(alt, 1) and _seq is not null")
-        # the unit's last base has to equal the anchor, then the base before it, and so on round the unit
-        run = F.expr("concat(left(ref, 1), _left)")
-        same = F.expr("aggregate(sequence(1, length(_run)), named_struct('n', 0, 'on', true), (a, i) -> named_struct('n', a.n + if(a.on and substring(_run, i, 1) = substring(_unit, (i - 1) % greatest(1, length(_unit)) + 1, 1), 1, 0), 'on', a.on and substring(_run, i, 1) = substring(_unit, (i - 1) % greatest(1, length(_unit)) + 1, 1)), a -> a.n)")
-        there = there.withColumn("_run", run).withColumn("_steps", F.when(anchored, F.least(F.coalesce(same, F.lit(0)), F.length("_left"))).otherwise(0))
-        turned = "concat(substring(_unit, _steps % greatest(1, length(_unit)) + 1), left(_unit, _steps % greatest(1, length(_unit))))"
-        moved = there.withColumn("_turned", F.expr(f"concat(substring(_run, _steps + 1, 1), reverse({turned}))")).withColumn("_anchor", F.expr("substring(_run, _steps + 1, 1)"))
-        out = moved.select(
-            *[c for c in rows.columns if c not in ("pos", "ref", "alt")], (F.col("pos") - F.col("_steps")).alias("pos"),
-            F.expr("if(_steps = 0, ref, if(length(ref) > length(alt), _turned, _anchor))").alias("ref"), F.expr("if(_steps = 0, alt, if(length(ref) > length(alt), _anchor, _turned))").alias("alt"),
-            (F.expr("_steps > 0 and _steps = length(_left) and pos - _steps > 1")).alias("_more"),
-        )
-        rows = out.drop("_more").select(*rows.columns)
-        if not out.where("_more").limit(1).count():
-            return rows
+    return haplotypes.left_aligned(keys, bins, files.settled)
 
 
 def compare(calls: DataFrame, truth: DataFrame, regions: DataFrame | None = None, bins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(true, false) keys of the calls, by equality of trimmed alleles, left-aligned if ``bins`` of the sequence are given; inside ``regions`` (BED) if given."""
-    own, known = labels.keys(calls), labels.keys(truth)
+    """(true, false) indel keys of the calls; inside ``regions`` (BED) if given.
+
+    With ``bins`` of the sequence a record is true if it belongs to the largest choice of calls and truth that spell one sequence
+    (other records than indels take part in that); without them keys are compared, alleles trimmed.
+    """
     if regions is not None:
         inside = lambda d: intervals.semi_range_join(d.withColumn("pos0", F.col("pos") - 1), regions, on=["chrom"], point="pos0", lo="start", hi="end").drop("pos0")
-        own, known = inside(own), inside(known)
-    own = own.withColumn("call", F.struct("pos", "ref", "alt"))
-    normal = (lambda d: left_aligned(d, bins)) if bins is not None else trimmed
-    t = normal(known).select(*labels.KEY).distinct()
-    back = lambda d: d.select("chrom", "call.*").select(*labels.KEY)
-    mine = normal(own)
-    return back(mine.join(t, labels.KEY, "left_semi")), back(mine.join(t, labels.KEY, "left_anti"))
+        calls, truth = inside(calls), inside(truth)
+    own = labels.keys(calls)
+    if bins is None:
+        known = haplotypes.trimmed(labels.keys(truth)).select(*labels.KEY).distinct()
+        mine = haplotypes.trimmed(own.withColumn("call", F.struct("pos", "ref", "alt")))
+        back = lambda d: d.select("chrom", "call.*").select(*labels.KEY)
+        return back(mine.join(known, labels.KEY, "left_semi")), back(mine.join(known, labels.KEY, "left_anti"))
+    found = haplotypes.matched(calls, truth, bins, files.settled).where("side = 0")
+    found = files.settled(found.select("chrom", "pos", "ref", F.explode("alt").alias("alt")).distinct())
+    same = [own["chrom"] == found["chrom"], own["pos"] == found["pos"], F.upper(own["ref"]) == found["ref"], F.upper(own["alt"]) == found["alt"]]
+    return own.join(found, same, "left_semi"), own.join(found, same, "left_anti")
 
 
 def build(spark: SparkSession, features: str, out: str, *, tp: str | None = None, fp: str | None = None, vcf: str | None = None, truth: str | None = None, bed: str | None = None, ref: str | None = None) -> dict:
-    """Labelled features, from a comparison's two VCFs or from calls and truth (left-aligned if ``ref`` is given); returns counts."""
+    """Labelled features, from a comparison's two VCFs or from calls and truth (by the sequences they spell if ``ref`` is given); returns counts."""
     if tp:
         true = labels.keys(text.read_vcf(spark, tp))
         false = labels.keys(text.read_vcf(spark, fp)) if fp else true.limit(0)
@@ -122,7 +97,7 @@ def train(spark: SparkSession, data: str, out: str, *, by_chromosome: bool = Fal
     names = model.feature_columns(rows)
     parted = splits.by_chromosome(rows) if by_chromosome else splits.stratified(rows, labels.KEY)
     part = lambda s: parted.where(F.col("split") == s)
-    fitted, kept, weight = model.boost(part("train"), part("val"), names, **how)
+    fitted, kept, weight, _ = boosting.boost(part("train"), part("val"), names, **how)
     bundle = model.Bundle(fitted, names)
     raw = bundle.score(part("val"))
     bundle.slope, bundle.intercept = model.platt(raw)

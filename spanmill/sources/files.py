@@ -26,16 +26,24 @@ def exists(path: str) -> bool:
     return store.get_file_info(at).type != fs.FileType.NotFound
 
 
-def read_json(path: str):
+def read_text(path: str) -> str:
     with opened(path) as f:
-        return json.loads(f.read())
+        return f.read().decode()
 
 
-def write_json(path: str, value) -> None:
+def write_text(path: str, value: str) -> None:
     store, at = _store(path)
     store.create_dir(at.rpartition("/")[0], recursive=True)
     with store.open_output_stream(at) as f:
-        f.write(json.dumps(value, indent=2).encode())
+        f.write(value.encode())
+
+
+def read_json(path: str):
+    return json.loads(read_text(path))
+
+
+def write_json(path: str, value) -> None:
+    write_text(path, json.dumps(value, indent=2))
 
 
 def remove(spark, folder: str) -> None:
