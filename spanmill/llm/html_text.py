@@ -55,12 +55,8 @@ BEFORE = frozenset("site page global main top bottom left right primary secondar
 BEHIND = frozenset("area bar block bottom box container inner item items left links list section slot top unit wrap wrapper".split())
 NAMED_ELEMENTS = frozenset("article aside center dd details div dl dt figure footer header iframe ins li main menu nav ol p section span table tbody td th tr ul".split())
 
-_ATTRS = r"""(?>[^>"']+|"[^"]*"|'[^']*')*"""
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?=[\s/>]){_ATTRS}|[^>]*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile(r"[>\"']")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
 _NAMED = re.compile(r"""\b(class|id|role)\b\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -96,6 +92,64 @@ def around(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+class Scanner:
+    """The tags of a page, front to back, in linear time.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one at all if no ``>`` follows outside quotes or a quote isn't
+    closed. What would be looked for in vain is remembered: the last ``>`` and the last quotes of the page, and the
+    quotes behind which no tag ends.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+        self.lost: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` of a tag whose attributes start at ``at``; there is one."""
+        page, first, opened = self.page, 0, []
+        i = at
+        while True:
+            m = _MARK.search(page, i)
+            if not m:
+                break
+            k, c = m.start(), m[0]
+            if c == ">":
+                return k + 1
+            if k in self.lost or k >= self.last[c]:
+                break
+            opened.append(k)
+            i = page.find(c, k + 1) + 1
+            if i > self.last[">"]:
+                break
+        self.lost.update(opened)
+        first = page.find(">", at)
+        return first + 1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name or nothing, whether it is an end tag, attributes) of the next tag, comment or declaration."""
+        page, last = self.page, self.last[">"]
+        while 0 <= (k := page.find("<", at) if at <= self.last["<"] else -1):
+            if page.startswith("<!--", k):
+                end = page.find("-->", k + 4)
+                return k, end + 3 if end >= 0 else len(page), "", False, ""
+            if page[k : k + 9].upper() == "<![CDATA[":
+                end = page.find("]]>", k + 9)
+                return k, end + 3 if end >= 0 else len(page), "", False, ""
+            if k < last:
+                if page[k + 1] in "!?":
+                    return k, page.find(">", k + 2) + 1, "", False, ""
+                if m := _NAME.match(page, k):
+                    e = m.end()
+                    if page[e] in "/>" or page[e].isspace():
+                        end = self._end(e)
+                    else:
+                        end = page.find(">", e) + 1
+                    return k, end, m[2].lower(), bool(m[1]), page[e : end - 1]
+            at = k + 1
+        return None
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links but for white space, in an article or main element) of each line."""
     out: list[tuple[str, int, bool]] = []
@@ -135,21 +189,20 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if k >= 0 and stack[k][0] == "head":
             close(k)
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if hidden and stack[-1][0] == "head" and page[at : m.start()].strip():
+    at, scanner = 0, Scanner(page)
+    while tag := scanner.next(at):
+        start, end, name, ends_one, attrs = tag
+        if hidden and stack[-1][0] == "head" and page[at:start].strip():
             close(len(stack) - 1)
-        if not hidden and m.start() > at:
-            text = page[at : m.start()]
+        if not hidden and start > at:
+            text = page[at:start]
             buffer.append(text)
             if not opened["a"]:
                 plain += len(_SPACE.sub("", html.unescape(text)))
-        at = m.end()
-        name = m["name"]
+        at = end
         if not name:
             continue
-        name = name.lower()
-        if m["end"]:
+        if ends_one:
             if name in BLOCKS and not hidden:
                 flush()
             if opened[name]:
@@ -167,10 +220,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if name == "hr" and not hidden:
                 flush()
             continue
-        attrs = m["attrs"] or ""
         closed = attrs.endswith("/") and (name in FOREIGN or opened["svg"] or opened["math"])
         if name in RAW and name not in endless and not closed:
-            if ends := _RAW_END[name].search(page, at):
+            if ends := _RAW_END[name].search(page, at, scanner.last[">"] + 1):
                 at = ends.end()
                 continue
             if name == "script":

@@ -141,3 +141,36 @@ UNCLOSED = {
 def test_unclosed_elements_end_with_their_parent(name):
     page, want = UNCLOSED[name]
     assert extract(page) == want
+
+
+OLD_TAG = (
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?=[\s/>])(?>[^>"']+|"[^"]*"|'[^']*')*|[^>]*)>"""
+)
+
+
+def test_scanner_equals_the_pattern():
+    """Random scraps of markup: the tags of one regular expression, which may take quadratic time."""
+    import re
+
+    from spanmill.llm.html_text import Scanner
+
+    token, rng = re.compile(OLD_TAG, re.DOTALL | re.IGNORECASE), random.Random(2)
+    scraps = ["<", ">", '"', "'", "<a ", "<div", "</div>", "<p>", "x", "=", " ", "/", "<!--", "-->", "<!", "<?", "<![CDATA[", "]]>", "</script ", 'class="ad"', "\n", "é", "<svg/>", '<b x="1>2">']
+    for _ in range(15_000):
+        page = "".join(rng.choice(scraps) for _ in range(rng.randrange(1, 30)))
+        want, got, at = [(m.start(), m.end(), (m["name"] or "").lower(), bool(m["end"]), m["attrs"] or "") for m in token.finditer(page)], [], 0
+        scanner = Scanner(page)
+        while t := scanner.next(at):
+            at = t[1]
+            got.append(t)
+        assert got == want
+
+
+@pytest.mark.parametrize("scrap", ['<div class="', "<a ", "<a b='", '<a ">" ', "<title>", "</title ", "<!", "<a \"><b '", '<p class="x\' ', "<script ", "<a '\">'\" "])
+def test_a_megabyte_of_unclosed_tags(scrap):
+    page = scrap * (1_000_000 // len(scrap))
+    for p in (page, f"<title>{page}>", f'<article>{page}"', f"<article><p>text</p>{page}"):
+        began = time.process_time()
+        extract(p)
+        assert time.process_time() - began < 5
