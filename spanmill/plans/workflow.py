@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar as C
 from ..operators import haplotypes, intervals, labels, metrics, pileup, splits
 from ..sources import bam, fasta, files, text
+from ..sources import vcf as vcf_source
 from . import boosting, model
 
 log = logging.getLogger(__name__)
@@ -30,8 +31,23 @@ def write_table(rows: DataFrame, path: str) -> None:
     out.parquet(path) if path.endswith(".parquet") else out.option("header", True).csv(path)
 
 
-def read_reads(spark: SparkSession, path: str, chroms: Sequence[str] | None = None) -> DataFrame:
-    """Reads by suffix; of an indexed BAM file only the parts that hold ``chroms`` are read."""
+def read_variants(spark: SparkSession, path: str, chroms: Sequence[str] | None = None) -> DataFrame:
+    """Records of a VCF; of a block-gzipped one with an index only those of ``chroms`` are read, by many tasks."""
+    if vcf_source.indexed(path):
+        return vcf_source.read_indexed(spark, path, **({"regions": ",".join(f"{c}:1-{1 << 29}" for c in chroms)} if chroms is not None else {}))
+    return text.read_vcf(spark, path)
+
+
+def site_regions(sites: DataFrame, chunk: int, most: int = 20_000) -> str | None:
+    """The tiles that hold sites, as regions; None if there are more than ``most``. There are as many as the sequences are long, at most."""
+    tiles = intervals.with_tile(sites, chunk).groupBy("chrom", "tile").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).limit(most + 1).collect()
+    return None if len(tiles) > most else ",".join(f"{r['chrom']}:{r['a']}-{r['b']}" for r in tiles)
+
+
+def read_reads(spark: SparkSession, path: str, chroms: Sequence[str] | None = None, regions: str | None = None) -> DataFrame:
+    """Reads by suffix; of an indexed BAM file only the parts that hold ``regions``, or else ``chroms``, are read."""
+    if path.endswith(".bam") and regions is not None and files.exists(path + ".bai"):
+        return bam.read_bam(spark, path, regions=regions)
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".bam"):
@@ -45,9 +61,12 @@ def extract(spark: SparkSession, vcf: str, reads: str, ref: str, out: str, *, ch
     for c in sorted(set(chroms) - set(known)):
         log.warning("%s is not in the index of %s: left out", c, ref)
     on = lambda d: d.where(F.col("chrom").isin(known))
-    aligned = on(read_reads(spark, reads, known))
+    variants = on(read_variants(spark, vcf, known))
+    # of an indexed file only reads over sites are read; a sweep's buffer holds no others either
+    regions = site_regions(pileup.indel_sites(variants), chunk) if reads.endswith(".bam") else None
+    aligned = on(read_reads(spark, reads, known, regions))
     size = intervals.good_bin_size(aligned.select("start", C.reference_end().alias("read_end")), "start", "read_end")
-    rows = pileup.extract(on(text.read_vcf(spark, vcf)), aligned, on(fasta.fasta_bins(spark, ref)), mode=mode, chunk=chunk, bin_size=size)
+    rows = pileup.extract(variants, aligned, on(fasta.fasta_bins(spark, ref)), mode=mode, chunk=chunk, bin_size=size)
     write_table(rows.sortWithinPartitions(*pileup.KEY), out)
 
 

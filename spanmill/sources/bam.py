@@ -1,12 +1,14 @@
 """BAM files as a Python data source: ``spark.read.format("bam").load(path)`` after ``register(spark)``.
 
 With an index (``path.bai``) a file is split at the record starts that its linear index names, about
-``split_bytes`` apart, and the option ``chroms`` (names with commas between) leaves out the ranges of other references;
-without one it is read by a single task. Rows have the columns of the SAM reader.
+``split_bytes`` apart, and the option ``chroms`` (names with commas between) leaves out the ranges of other references; the
+option ``regions`` (``chr1:100-200,chr2``) reads only the chunks that the index names for them, and only reads that reach into
+them. Without an index a file is read by a single task. Rows have the columns of the SAM reader.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,6 +20,7 @@ from .files import exists, opened
 
 SCHEMA = "qname string, flag int, chrom string, start bigint, mapq int, cigar string, isize bigint, seq string, quals array<int>, nm bigint, ord struct<file:string,block:bigint,line:bigint>"
 SPLIT_BYTES = 64 << 20
+CIGAR = re.compile(r"([0-9]+)([MIDNSHP=X])")
 # Codes of the BAM format.
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
@@ -132,11 +135,30 @@ def record(raw: bytes, names: list[str]) -> tuple:
     return raw[32 : 31 + n_name].decode(), flag, chrom, pos, mapq, text, isize, seq, quals, edit_distance(raw[k + n_seq :])
 
 
+def _reaches(row: tuple, spans: dict[str, list[tuple[int, int]]]) -> bool:
+    """Whether a read covers a base of some span of its chromosome."""
+    own = spans.get(row[2])
+    if not own:
+        return False
+    end = row[3] + max(1, sum(int(n) for n, op in CIGAR.findall(row[5]) if op in "MDN=X"))
+    return any(row[3] < b and a < end for a, b in own)
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.chroms = set(options["chroms"].split(",")) if options.get("chroms") is not None else None
+        self.regions = options.get("regions")
+
+    def _of_regions(self, names: list[str]):
+        from . import index
+
+        with opened(self.path + ".bai") as f:
+            contigs = index.read_bai(f.read(), names)
+        spans = [x for x in index.parse_regions(self.regions) if x[0] in contigs]
+        ranges = index.merged([r for c, a, b in spans for r in contigs[c].ranges(a, b)])
+        return [InputPartition(r) for r in index.cut(ranges, [p for c in contigs.values() for p in c.linear if p], self.split)]
 
     def partitions(self):
         """Byte ranges of some ``split_bytes``; with an index and ``chroms``, only those that may hold reads of these."""
@@ -146,6 +168,8 @@ class BamReader(DataSourceReader):
             first = blocks.offset()
         if not exists(self.path + ".bai"):
             return [InputPartition((first, 1 << 62))]
+        if self.regions is not None:
+            return self._of_regions(names)
         with opened(self.path + ".bai") as f:
             offsets = index_offsets(f.read())
         # a sorted file has one reference behind the other: each runs up to the next one's first record
@@ -170,6 +194,13 @@ class BamReader(DataSourceReader):
         if partition is None:  # no range holds what is asked for
             return
         start, end = partition.value
+        spans = None
+        if self.regions is not None:
+            from . import index
+
+            spans = {}
+            for c, a, b in index.parse_regions(self.regions):
+                spans.setdefault(c, []).append((a, b))
         with opened(self.path) as f:
             names = header(Blocks(f))
             blocks, line = Blocks(f, start), 0
@@ -177,7 +208,9 @@ class BamReader(DataSourceReader):
                 size = blocks.read(4)
                 if len(size) < 4:
                     return
-                yield (*record(blocks.read(struct.unpack("<i", size)[0]), names), (self.path, start, line))
+                row = record(blocks.read(struct.unpack("<i", size)[0]), names)
+                if spans is None or _reaches(row, spans):
+                    yield (*row, (self.path, start, line))
                 line += 1
 
 

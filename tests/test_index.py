@@ -1,0 +1,172 @@
+import random
+import struct
+
+import pytest
+from genome import bam, bgzf, fasta, genome, strict, vcf
+from pyspark.sql import functions as F
+from spanmill.operators import pileup
+from spanmill.plans import workflow
+from spanmill.sources import bam as bam_source
+from spanmill.sources import index, text
+from spanmill.sources import vcf as vcf_source
+
+BLOCK = 400
+
+
+def bin_of(start, end):
+    """The smallest bin that holds start..end, from the definition of the six levels."""
+    for level, shift in reversed(list(enumerate(index.SHIFTS))):
+        if start >> shift == (end - 1) >> shift:
+            return sum(1 << 3 * i for i in range(level)) + (start >> shift)
+
+
+def contig_bytes(spans):
+    """Index bytes of one contig from (start, end, offset, offset behind) of its records."""
+    bins, linear = {}, {}
+    for a, b, x, y in spans:
+        chunks = bins.setdefault(bin_of(a, b), [])
+        if chunks and chunks[-1][1] == x:
+            chunks[-1] = (chunks[-1][0], y)
+        else:
+            chunks.append((x, y))
+        for w in range(a >> 14, (b - 1 >> 14) + 1):
+            linear[w] = min(linear.get(w, x), x)
+    out = struct.pack("<i", len(bins) + 1) + struct.pack("<IiQQQQ", index.STATISTICS, 2, 1, 2, 3, 4)
+    for number, chunks in bins.items():
+        out += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+    n = max(linear, default=-1) + 1
+    return out + struct.pack("<i", n) + b"".join(struct.pack("<Q", linear.get(w, 0)) for w in range(n))
+
+
+def places(starts, blocks, size):
+    """Virtual offsets of byte places of the data."""
+    return [sum(map(len, blocks[: s // size])) << 16 | s % size for s in starts]
+
+
+@pytest.fixture(scope="module")
+def calls(tmp_path_factory):
+    """(path of a plain VCF, path of the same with an index, records)."""
+    rng = random.Random(1)
+    d = tmp_path_factory.mktemp("vcf")
+    sites = []
+    for c in ("chr1", "chr2", "chr10"):
+        for p in sorted(rng.sample(range(1, 3_000_000), 500)):
+            ref = "ACGT"[p % 4] * (40_000 if p % 211 == 0 else 1 + p % 3)
+            sites.append((c, p, ref, ["."] if p % 17 == 0 else ["G", "T" * (p % 5 + 1)][: 1 + p % 2]))
+    plain = vcf(sites).encode()
+    (d / "a.vcf").write_bytes(plain)
+    blocks = bgzf(plain, BLOCK)
+    (d / "a.vcf.gz").write_bytes(b"".join(blocks))
+    starts = [0]
+    for line in plain.split(b"\n")[:-1]:
+        starts.append(starts[-1] + len(line) + 1)
+    starts = starts[3:]
+    at = places(starts, blocks, BLOCK)
+    names = ["chr1", "chr2", "chr10"]
+    listed = "".join(n + "\0" for n in names).encode()
+    body = b"TBI\1" + struct.pack("<8i", len(names), 2, 1, 2, 0, ord("#"), 0, len(listed)) + listed
+    for n in names:
+        body += contig_bytes([(s[1] - 1, s[1] - 1 + len(s[2]), at[i], at[i + 1]) for i, s in enumerate(sites) if s[0] == n])
+    (d / "a.vcf.gz.tbi").write_bytes(b"".join(bgzf(body, 5000)))
+    return f"{d}/a.vcf", f"{d}/a.vcf.gz", sites
+
+
+def bare(df):
+    return sorted(map(str, df.drop("ord").collect()))
+
+
+def test_whole_file(spark, calls):
+    plain, packed, sites = calls
+    df = vcf_source.read_indexed(spark, packed, split_bytes=3_000)
+    assert df.rdd.getNumPartitions() > 10
+    assert bare(df) == bare(text.read_vcf(spark, plain)) and df.count() == len(sites)
+    # in the file's order by ord
+    assert [(r.chrom, r.pos) for r in df.orderBy("ord").collect()] == [(s[0], s[1]) for s in sites]
+
+
+@pytest.mark.parametrize("regions", ["chr1:1-1", "chr2:500000-600000", "chr10", "chr1:2990000-3000000,chr1:10-20000,chr10:7-7000", "chrX:1-100", "chr1:1000000-1000000", "", "chr2:5-4"])
+def test_regions(spark, calls, regions):
+    plain, packed, sites = calls
+    spans = [(c, a, b) for part in regions.split(",") if part for c, _, s in [part.partition(":")] for a, _, b in [(s or "1-999999999").partition("-")]]
+    want = [s for s in sites if any(s[0] == c and int(a) <= s[1] <= int(b) for c, a, b in spans)]
+    df = vcf_source.read_indexed(spark, packed, regions=regions)
+    assert sorted((r.chrom, r.pos, r.ref, r.alt) for r in df.collect()) == sorted((c, p, r, [] if a == ["."] else a) for c, p, r, a in want)
+
+
+def read_bytes(path, **options):
+    reader = vcf_source.VcfReader({"path": path, **options})
+    return reader, sum((p.value[1] >> 16) - (p.value[0] >> 16) for p in reader.partitions())
+
+
+def test_only_blocks_of_the_region_are_read(calls):
+    _, packed, _ = calls
+    whole = read_bytes(packed)[1]
+    assert whole > 20_000 and read_bytes(packed, regions="chr2:1000000-1100000")[1] < whole / 10 and read_bytes(packed, regions="chrX")[1] == 0
+
+
+def test_filters_are_handed_on(spark, calls):
+    plain, packed, sites = calls
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        cond = "chrom = 'chr2' and pos >= 700000 and pos < 800000"
+        df = vcf_source.read_indexed(spark, packed, split_bytes=1_000).where(cond)
+        assert bare(df) == bare(text.read_vcf(spark, plain).where(cond)) and df.count() > 5
+        assert df.rdd.getNumPartitions() < vcf_source.read_indexed(spark, packed, split_bytes=1_000).rdd.getNumPartitions() / 3
+        assert vcf_source.read_indexed(spark, packed).where("chrom in ('chr10', 'chr1') and pos = 5 and pos > 9").count() == 0
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_parsing_and_merging():
+    assert index.parse_regions("a:5-9,b,a:9-20,c:7") == [("a", 4, 20), ("b", 0, 1 << 29), ("c", 6, 7)]
+    assert index.merged([(5, 9), (1, 3), (3, 4), (8, 20)]) == [(1, 4), (5, 20)]
+    k = 1 << 16
+    assert index.cut([(0, 100 * k)], [10 * k, 30 * k, 35 * k, 200 * k], 20) == [(0, 30 * k), (30 * k, 100 * k)]
+    with pytest.raises(ValueError):
+        index.read_bai(b"BAM\1", [])
+
+
+@pytest.fixture(scope="module")
+def aligned(tmp_path_factory):
+    """A genome, its reads in a BAM file with all bins, and its sites."""
+    ref, reads, sites = genome(4)
+    d = tmp_path_factory.mktemp("bam")
+    reads = sorted(reads, key=lambda x: (list(ref).index(x["chrom"]), x["start"]))
+    data, short = bam(ref, reads, BLOCK)
+    starts = struct.unpack(f"<{len(reads)}Q", short[-8 * len(reads) :])
+    ends = [*starts[1:], 1 << 48]
+    body = b"BAI\1" + struct.pack("<i", len(ref))
+    for c in ref:
+        body += contig_bytes([(x["start"], x["start"] + max(1, sum(n for n, o in map(lambda y: (int(y[0]), y[1]), bam_source.CIGAR.findall(x["cigar"])) if o in "MDN=X")), a, b) for x, a, b in zip(reads, starts, ends, strict=True) if x["chrom"] == c])
+    (d / "a.bam").write_bytes(data)
+    (d / "a.bam.bai").write_bytes(body)
+    (d / "a.vcf").write_text(vcf(sites))
+    fa, fai = fasta(ref)
+    (d / "ref.fa").write_text(fa)
+    (d / "ref.fa.fai").write_text(fai)
+    return d, ref, reads, sites
+
+
+def test_reads_of_regions(spark, aligned):
+    d, ref, reads, _ = aligned
+    whole = bam_source.read_bam(spark, f"{d}/a.bam").drop("ord")
+    c = list(ref)[0]
+    for a, b in ((1, 50), (200, 201), (1, 10**8)):
+        end = F.expr("start + greatest(1, aggregate(regexp_extract_all(cigar, '(\\\\d+)[MDN=X]', 1), 0, (a, n) -> a + cast(n as int)))")
+        want = whole.where((F.col("chrom") == c) & (F.col("start") < b) & (end > a - 1))
+        assert bare(bam_source.read_bam(spark, f"{d}/a.bam", regions=f"{c}:{a}-{b}", split_bytes=500)) == bare(want.withColumn("ord", F.lit(1)))
+
+
+def test_extraction_reads_sites_only(spark, aligned):
+    d, ref, reads, sites = aligned
+    for mode in ("strict", "compat"):
+        workflow.extract(spark, f"{d}/a.vcf", f"{d}/a.bam", f"{d}/ref.fa", f"{d}/{mode}.parquet", chroms=list(ref), mode=mode, chunk=500)
+    got = spark.read.parquet(f"{d}/strict.parquet")
+    assert got.count() == len(list(strict(ref, reads, sites)))
+    plain = pileup.extract(text.read_vcf(spark, f"{d}/a.vcf"), bam_source.read_bam(spark, f"{d}/a.bam"), workflow.fasta.fasta_bins(spark, f"{d}/ref.fa"), mode="compat", chunk=500)
+    key = [F.round(c, 9).alias(c) if k == "double" else F.col(c) for c, k in plain.dtypes]
+    assert sorted(map(str, plain.select(*key).collect())) == sorted(map(str, spark.read.parquet(f"{d}/compat.parquet").select(*key).collect()))
+    assert workflow.site_regions(spark.createDataFrame([("c", 5), ("c", 9), ("d", 501)], "chrom string, pos long"), 500) in ("c:5-9,d:501-501", "d:501-501,c:5-9")
+    assert workflow.site_regions(spark.createDataFrame([("c", 5), ("c", 5000)], "chrom string, pos long"), 500, 1) is None
