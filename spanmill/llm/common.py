@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS, HOT_KEYS = 1_000, 10_000
 MEMO_BYTES = 16 << 20
+DOOR = 1 << 22  # places in the table of what came before
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -87,3 +88,30 @@ class Memo(dict):
             self.clear()
             self.room = self.limit
         self[key] = value
+
+
+class Chosen(Memo):
+    """A memo that keeps a key when it comes again: most words of a corpus come once, and would push out others.
+
+    A table of hashes, emptied when half full, says what came before.
+    """
+
+    def __init__(self, limit: int = MEMO_BYTES):
+        super().__init__(limit)
+        self.door, self.came = bytearray(DOOR), 0
+
+    def again(self, key: str):
+        value = self.older.get(key)
+        if value is not None:
+            super().keep(key, value)
+        return value
+
+    def keep(self, key: str, value) -> None:
+        place = hash(key) & DOOR - 1
+        if self.door[place]:
+            super().keep(key, value)
+            return
+        self.door[place] = 1
+        self.came += 1
+        if self.came > DOOR // 2:
+            self.door, self.came = bytearray(DOOR), 0

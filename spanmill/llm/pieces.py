@@ -18,6 +18,7 @@ space; rows are independent, so repeated rows give equal results and an empty ta
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_BYTES, Memo, table
+from .common import MEMO_BYTES, Chosen, Memo, table
 
 UNKNOWN = 10.0
+NEVER = float("-inf")
 LONGEST = 64
 REMEMBERED = 64 << 20  # bytes
 TEXTS_AT_ONCE = 64
@@ -60,6 +62,17 @@ class Codec:
 
     def viterbi(self, chunk: str) -> list[int]:
         n = len(chunk)
+        if self.single.issuperset(chunk):  # each character is a piece, so every place is reached
+            scores, last = [0.0] + [NEVER] * n, [None] * (n + 1)
+            for end, hit in self.automaton.iter(chunk):
+                score = scores[end + 1 - hit[1]] + hit[2]
+                if score > scores[end + 1]:
+                    scores[end + 1], last[end + 1] = score, hit
+            out = []
+            while n:
+                out.append(last[n][0])
+                n -= last[n][1]
+            return out[::-1]
         best, back = [0.0] + [None] * n, [None] * (n + 1)
         matches = self.automaton.iter(chunk)
         end, hit = next(matches, (n, None))
@@ -89,7 +102,8 @@ class Codec:
         found = self.known.again(chunk)
         if found is not None:
             return found
-        found = np.array(self.viterbi(chunk), "<i4").tobytes()
+        ids = self.viterbi(chunk)
+        found = struct.pack(f"<{len(ids)}i", *ids)
         if len(chunk) <= LONGEST:
             self.known.keep(chunk, found)
         return found
@@ -122,7 +136,7 @@ def load(path: str, remembered: int = MEMO_BYTES) -> Codec:
     byte_ids = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
     silent = frozenset(i for i in range(n) if sp.is_control(i) or sp.is_unused(i) or sp.is_unknown(i))
     codec = Codec([(names[i], sp.get_score(i)) for i in range(n)], byte_ids, silent, sp.unk_id())
-    codec.known = Memo(remembered)
+    codec.known = Chosen(remembered)
     return codec
 
 
