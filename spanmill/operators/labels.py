@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import phred
+from ..functions.scalar import exact_round, exact_text, phred
 
 KEY = ["chrom", "pos", "ref", "alt"]
 INFO_ID, FILTER_ID = "INDEL_PROB", "INDEL_FILTERED"
@@ -45,12 +45,13 @@ def annotate(variants: DataFrame, scores: DataFrame, threshold: float, *, info_i
     out = out.withColumn("_all", F.coalesce(of, F.array().cast("array<double>"))).drop("_known")
     out = out.withColumns({"_found": F.filter("_all", lambda x: x.isNotNull()), "n_miss": F.size(F.filter("_all", lambda x: x.isNull())).cast("long")})
     best, has = F.array_max("_found"), F.size("_found") > 0
-    text = F.concat(F.lit(f"{info_id}="), F.array_join(F.transform("_found", lambda x: F.format_string("%.4f", x)), ","))
+    text = F.concat(F.lit(f"{info_id}="), F.array_join(F.expr(f"transform(_found, p -> {exact_text('p', 4)})"), ","))
     empty = F.col("info").isNull() | F.col("info").isin("", ".")
+    out = out.withColumn("_phred", phred(best))
     out = out.withColumns(
         {
             "info": F.when(~has, F.col("info")).when(empty, text).otherwise(F.concat_ws(";", "info", text)),
-            "qual": F.when(has, F.round(phred(best), 2)).otherwise(F.col("qual")),
+            "qual": F.when(has, exact_round("_phred", 2)).otherwise(F.col("qual")),
             "filter": F.when(has & (best < threshold), F.lit(filter_id)).otherwise(F.col("filter")),
             "passed": F.when(has, best >= threshold),
         }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import sequence as S
-from ..functions.scalar import mean0, ratio0, var0
+from ..functions.scalar import ratio0
 from . import intervals
 
 SKIPPED_FLAGS = 4 | 256 | 1024 | 2048  # unmapped, secondary, duplicate, supplementary
@@ -100,36 +100,43 @@ def _features(pairs: DataFrame) -> DataFrame:
             "mq": F.col("mapq").cast("double"),
         }
     )
+    # what differs by read is summed by (site, signature) first, alternative reads only by signature; then the few sums of a site
     site = [*KEY, "site_ord"]
     same = ["indel_length", "is_insertion", "insert_entropy", "homopolymer_length", "gc_content_50bp", "tandem_repeat_unit", "tandem_repeat_length"]
-    alt = lambda c: F.when(F.col("is_alt"), F.col(c))
-    ref = lambda c: F.when(~F.col("is_alt"), F.col(c))
-    narrow = p.select(*site, *same, "is_alt", "sig", "ed", "base", "nbq", "fbq", "al", "mm", "fwd", "pp", "mate", "span", "mq", "bq", "sc", "nm")
-    n = F.count(F.lit(1))
-    bases = [(b, F.count_if(F.col("base") == b)) for b in "=ACMGRSVTWYHKDBN"]
-    seen = F.count("base")
-    entropy = sum((F.when(c > 0, -(c / seen) * F.log2(c / seen)).otherwise(0.0) for _, c in bases), F.lit(0.0)) + 0.0
-    main = narrow.groupBy(*site).agg(
+    summed = ["mq", "fwd", "ed", "sc", "bq", "nbq", "nm", "pp", "mate", "span", "fbq"]
+    spread = ["mq", "ed", "bq"]
+    bases = "=ACMGRSVTWYHKDBN"
+    narrow = p.select(*site, *same, "is_alt", F.when(F.col("is_alt"), F.col("sig")).alias("sig"), "base", "al", "mm", *summed)
+    parts = narrow.groupBy(*site, "is_alt", "sig").agg(
         *[F.first(c).alias(c) for c in same],
-        n.alias("total_depth"), F.count_if("is_alt").alias("alt_depth"),
-        mean0(alt("mq")).alias("mq_mean_alt"), var0(alt("mq")).alias("mq_var_alt"), mean0(ref("mq")).alias("mq_mean_ref"),
-        mean0(alt("fwd")).alias("strand_ratio_alt"), mean0(ref("fwd")).alias("strand_ratio_ref"),
-        mean0(F.col("ed")).alias("read_end_dist_mean"), var0(F.col("ed")).alias("read_end_dist_var"), mean0(alt("ed")).alias("read_end_dist_mean_alt"), mean0(ref("ed")).alias("read_end_dist_mean_ref"),
-        mean0(alt("sc")).alias("softclip_rate_alt"), mean0(ref("sc")).alias("softclip_rate_ref"),
-        mean0(alt("bq")).alias("bq_mean_alt"), var0(alt("bq")).alias("bq_var_alt"), mean0(ref("bq")).alias("bq_mean_ref"),
-        mean0(alt("nbq")).alias("nbq_alt"), mean0(ref("nbq")).alias("nbq_ref"),
-        ratio0(n.cast("double"), F.count_if(F.col("mq") >= 20)).alias("udp_dp_ratio"), F.when(seen > 0, entropy).otherwise(0.0).alias("pileup_entropy"),
-        mean0(alt("nm")).alias("nm_mean_alt"), mean0(ref("nm")).alias("nm_mean_ref"),
-        mean0(alt("pp")).alias("proper_pair_rate_alt"), mean0(ref("pp")).alias("proper_pair_rate_ref"), mean0(alt("mate")).alias("fragment_support_rate"),
-        mean0(alt("span")).alias("isize_mean_alt"), mean0(ref("span")).alias("isize_mean_ref"),
-        mean0(alt("fbq")).alias("flank_bq_alt"), mean0(ref("fbq")).alias("flank_bq_ref"),
-        F.coalesce(ratio0(F.sum(alt("mm")).cast("double"), F.sum(alt("al"))), F.lit(0.0)).alias("true_mismatch_rate_alt"),
-        mean0(F.when(F.col("mq") == 0, 1.0).otherwise(0.0)).alias("mq0_fraction"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("mq") >= 20).alias("high"), F.count_if(F.col("mq") == 0).alias("zero"), F.sum("al").alias("al"), F.sum("mm").alias("mm"), F.count("span").alias("n_span"),
+        *[F.sum(c).alias(c) for c in summed], *[F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in spread], *[F.count_if(F.col("base") == x).alias(f"b{i}") for i, x in enumerate(bases)],
+    )
+    sides = {"alt": F.col("is_alt"), "ref": ~F.col("is_alt")}
+    both = [*summed, "n", "n_span", "ed2"]
+    sums = parts.groupBy(*site).agg(
+        *[F.first(c).alias(c) for c in same], *[F.sum(F.when(when, F.col(c))).alias(f"{c}_{side}") for side, when in sides.items() for c in both],
+        *[F.sum(F.when(sides["alt"], F.col(c))).alias(f"{c}_alt") for c in ("mq2", "bq2", "al", "mm")], *[F.sum(f"b{i}").alias(f"b{i}") for i in range(len(bases))], F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("zero").alias("zero"),
+        F.max(F.when(sides["alt"], F.col("n"))).alias("most"), F.sum(F.when(sides["alt"], F.col("n") * F.log2("n"))).alias("n_log"),
+    )
+    sums = sums.fillna(0, [f"{c}_{side}" for side in sides for c in both] + ["mq2_alt", "bq2_alt", "al_alt", "mm_alt"])
+    mean = lambda c, side, n="n": ratio0(F.col(f"{c}_{side}"), F.col(f"{n}_{side}"))
+    var = lambda total, squares, n: F.when(n < 2, 0.0).otherwise(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)))
+    seen = sum((F.col(f"b{i}") for i in range(1, len(bases))), F.col("b0"))
+    shares = [F.col(f"b{i}") / F.col("seen") for i in range(len(bases))]
+    entropy = sum((F.when(x > 0, -x * F.log2(x)).otherwise(0.0) for x in shares), F.lit(0.0)) + 0.0
+    n, alts, ed = F.col("n"), F.col("n_alt").cast("double"), F.col("ed_alt") + F.col("ed_ref")
+    out = sums.withColumn("seen", seen).select(
+        *site, *same, n.alias("total_depth"), F.col("n_alt").alias("alt_depth"),
+        mean("mq", "alt").alias("mq_mean_alt"), var(F.col("mq_alt"), F.col("mq2_alt"), alts).alias("mq_var_alt"), mean("mq", "ref").alias("mq_mean_ref"), mean("fwd", "alt").alias("strand_ratio_alt"), mean("fwd", "ref").alias("strand_ratio_ref"),
+        (ed / n).alias("read_end_dist_mean"), var(ed, F.col("ed2_alt") + F.col("ed2_ref"), n.cast("double")).alias("read_end_dist_var"), mean("ed", "alt").alias("read_end_dist_mean_alt"), mean("ed", "ref").alias("read_end_dist_mean_ref"),
+        mean("sc", "alt").alias("softclip_rate_alt"), mean("sc", "ref").alias("softclip_rate_ref"), mean("bq", "alt").alias("bq_mean_alt"), var(F.col("bq_alt"), F.col("bq2_alt"), alts).alias("bq_var_alt"), mean("bq", "ref").alias("bq_mean_ref"),
+        mean("nbq", "alt").alias("nbq_alt"), mean("nbq", "ref").alias("nbq_ref"), ratio0(n.cast("double"), F.col("high")).alias("udp_dp_ratio"), F.when(F.col("seen") > 0, entropy).otherwise(0.0).alias("pileup_entropy"),
+        mean("nm", "alt").alias("nm_mean_alt"), mean("nm", "ref").alias("nm_mean_ref"), mean("pp", "alt").alias("proper_pair_rate_alt"), mean("pp", "ref").alias("proper_pair_rate_ref"), mean("mate", "alt").alias("fragment_support_rate"),
+        mean("span", "alt", "n_span").alias("isize_mean_alt"), mean("span", "ref", "n_span").alias("isize_mean_ref"), mean("fbq", "alt").alias("flank_bq_alt"), mean("fbq", "ref").alias("flank_bq_ref"),
+        ratio0(F.col("mm_alt").cast("double"), F.col("al_alt")).alias("true_mismatch_rate_alt"), (F.col("zero") / n).alias("mq0_fraction"),
+        F.when(alts > 0, F.col("most") / alts).alias("cigar_agreement"), F.when(alts > 0, F.log2(alts) - F.col("n_log") / alts + 0.0).alias("haplotype_entropy"),
     )
-    c = F.col("c").cast("double")
-    haplotypes = narrow.where("is_alt").groupBy(*site, "sig").agg(F.count(F.lit(1)).alias("c")).groupBy(*site)
-    haplotypes = haplotypes.agg((F.max(c) / F.sum(c)).alias("cigar_agreement"), (F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c) + 0.0).alias("haplotype_entropy"))
-    out = main.join(haplotypes, site, "left")
     out = out.withColumns(
         {
             "allele_balance": F.col("alt_depth") / F.col("total_depth"),

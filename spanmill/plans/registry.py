@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import sequence as S
-from ..functions.scalar import logistic, mean0, phred, ratio0, var0
+from ..functions.scalar import exact_round, exact_text, logistic, mean0, phred, ratio0, var0
 from ..operators import intervals, labels, metrics, pileup, splits
 from ..sources import files, text
 from . import boosting, model, sites, workflow
@@ -258,7 +258,7 @@ def last_wins_lookup(spark, d):
 @query("""with li as (select l_orderkey, l_linenumber, max(l_discount * 8 + 0.15) as prob from lineitem group by all),
 a as (select o_orderkey, unnest([1, 2, 3, 4]) as i from orders), j as (select a.o_orderkey, i, prob from a left join li on l_orderkey = o_orderkey and l_linenumber = i),
 g as (select o_orderkey, count(prob) as n, max(prob) as best, count(*) - count(prob) as miss from j group by 1)
-select o_orderkey, n, miss as n_miss, round(case when n > 0 then -10 * log10(1 - least(best, 1 - 1e-9)) else 0 end, 4) + 0 as qual, case when n > 0 and best < 0.5 then 'INDEL_FILTERED' else o_orderstatus end as filter from g join orders using (o_orderkey)""")
+select o_orderkey, n, miss as n_miss, printf('%.2f', case when n > 0 then -10 * log10(1 - least(best, 1 - 1e-9)) else 0 end)::double + 0 as qual, case when n > 0 and best < 0.5 then 'INDEL_FILTERED' else o_orderstatus end as filter from g join orders using (o_orderkey)""")
 def annotate_records(spark, d):
     orders = t(spark, d, "orders").select(
         F.lit("c").alias("chrom"), F.col("o_orderkey").alias("pos"), F.lit("").alias("ref"), F.array(*[F.lit(x) for x in ("1", "2", "3", "4")]).alias("alt"),
@@ -266,11 +266,9 @@ def annotate_records(spark, d):
     )
     scores = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_discount") * 8 + 0.15).alias("prob"))
     scores = scores.select(F.lit("c").alias("chrom"), F.col("l_orderkey").alias("pos"), F.lit("").alias("ref"), F.col("l_linenumber").cast("string").alias("alt"), "prob")
-    found = orders.withColumn("qual", F.lit(0.0))
-    out = labels.annotate(found, scores, 0.5)
+    out = labels.annotate(orders, scores, 0.5)
     n = F.when(F.col("info") == ".", 0).otherwise(F.size(F.split("info", ","))).cast("long")
-    best = scores.where("alt in ('1', '2', '3', '4')").groupBy("pos").agg(F.max("prob").alias("best"))
-    return out.join(best, "pos", "left").select(F.col("pos").alias("o_orderkey"), n.alias("n"), "n_miss", (F.round(F.when(F.col("best").isNotNull(), phred(F.col("best"))).otherwise(0.0), 4) + 0.0).alias("qual"), "filter")
+    return out.select(F.col("pos").alias("o_orderkey"), n.alias("n"), "n_miss", (F.col("qual") + 0.0).alias("qual"), "filter")
 
 
 @query("select doc_id, case when source in ('src1', 'src2') then 'val' when source = 'src3' then 'test' else 'train' end as split from documents")
@@ -340,6 +338,12 @@ def qual_transform(spark, d):
     return t(spark, d, "orders").select("o_orderkey", r6(phred(F.col("o_totalprice") / 500000)).alias("qual"))
 
 
+@query("select p_partkey, printf('%.2f', p_partkey / 200.0::double) as two, printf('%.4f', p_partkey / 20000.0::double) as four, printf('%.2f', p_partkey / 200.0::double)::double as rounded from part")
+def exact_decimals(spark, d):
+    """Doubles on both sides of half-way decimals, rounded from their exact values."""
+    return t(spark, d, "part").select("p_partkey", F.expr(exact_text("p_partkey / 200D", 2)).alias("two"), F.expr(exact_text("p_partkey / 20000D", 4)).alias("four"), exact_round("p_partkey / 200D", 2).alias("rounded"))
+
+
 @query("select c_custkey, round(1 / (1 + exp(-(c_acctbal / 1000))), 6) + 0 as p, round(1 / (1 + exp(-(c_acctbal / 1000 * 0.5 + 0.1))), 6) + 0 as calibrated from customer")
 def sigmoid(spark, d):
     x = F.col("c_acctbal") / 1000
