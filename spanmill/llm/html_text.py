@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped first: comments, scripts, styles and the head go, and so do menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments, known by their element, their role, or a class or id word that says only that. Each block
+forms and reader comments, known by their element, their role, or a class or id word that says only that. In an article a single word
+that may also name what it is about (a section called discussion, a table called menu) counts only if the part is mostly links. Each block
 element is a line. The lengths of text outside links are then summed over windows of ``WINDOW`` lines. A surge is the first line
 of a run of windows with text, a dive the line where the sums fall back to zero; a run counts if some window in it reaches
 ``SURGE`` characters, or a tenth of the page's fullest window if that is less. The text between surge and dive is kept, all
@@ -51,6 +52,7 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner breadcrumb breadcrumbs nav navbar navigation menu masthead topbar sidebar sidenav "
     "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login form comment comments commentlist discussion disqus replies header footer".split()
 )
+TOPICS = frozenset("banner cookie cookies discussion menu notice notices overlay promo replies".split())  # words that also name what an article is about
 BEFORE = frozenset("site page global main top bottom left right primary secondary user reader header footer side".split())
 BEHIND = frozenset("area bar block bottom box container inner item items left links list section slot top unit wrap wrapper".split())
 NAMED_ELEMENTS = frozenset("article aside center dd details div dl dt figure footer header iframe ins li main menu nav ol p section span table tbody td th tr ul".split())
@@ -76,9 +78,15 @@ def says_around(word: str, inside: bool) -> bool:
     return bool(own) and all(p in WORDS for p in parts)
 
 
+def may_be_topic(word: str) -> bool:
+    """Whether a class or id word is a single word that may as well name a part of an article."""
+    parts = _PART.findall(word)
+    return len(parts) == 1 and parts[0].lower() in TOPICS
+
+
 def around(name: str, attrs: str, inside: bool) -> bool:
     """Whether an element holds what is around an article; inside: it is in an article or main element."""
-    if name in AROUND or (name == "header" and not inside):
+    if name in AROUND and not (inside and name == "fieldset") or (name == "header" and not inside):
         return True
     if not attrs or name not in NAMED_ELEMENTS or name in ("article", "main") and not inside:
         return False
@@ -87,11 +95,16 @@ def around(name: str, attrs: str, inside: bool) -> bool:
         if key.lower() == "role":
             if value.strip().lower() in ROLES:
                 return True
-        elif any(says_around(word, inside) for word in value.split()):
+        elif any(says_around(word, inside) and not (inside and may_be_topic(word)) for word in value.split()):
             return True
     return False
 
 
+def doubtful(name: str, attrs: str) -> bool:
+    """Whether an element of an article has a name that only its text can confirm."""
+    return bool(attrs) and name in NAMED_ELEMENTS and any(may_be_topic(word) for key, a, b, c in _NAMED.findall(attrs) if key.lower() != "role" for word in (a or b or c).split())
+
+
 class Scanner:
     """The tags of a page, front to back, in linear time.
 
@@ -152,11 +165,11 @@ class Scanner:
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links but for white space, in an article or main element) of each line."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, hides, holds an article
+    out: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, hides, holds an article, begins a doubtful part
     opened: Counter[str] = Counter()
     endless: set[str] = set()  # raw elements without a further end tag
-    hidden = articles = plain = 0
+    hidden = articles = plain = parts = doubt = 0
     buffer: list[str] = []
 
     def flush() -> None:
@@ -164,16 +177,18 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
         buffer.clear()
         if text:
-            out.append((text, plain, articles > 0))
+            out.append((text, plain, articles > 0, doubt))
         plain = 0
 
     def close(upto: int) -> None:
-        nonlocal hidden, articles
+        nonlocal hidden, articles, doubt
         while len(stack) > upto:
-            name, hides, holds = stack.pop()
+            name, hides, holds, begins = stack.pop()
             opened[name] -= 1
-            if not hidden and (holds or name in BLOCKS):
+            if not hidden and (holds or begins or name in BLOCKS):
                 flush()
+            if begins:
+                doubt = 0
             articles -= holds
             hidden -= hides
 
@@ -237,9 +252,14 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not hidden and name in BLOCKS:
             flush()
         holds = name in ("article", "main") and not hides and not hidden
+        begins = articles > 0 and not hidden and not hides and not doubt and doubtful(name, attrs)
+        if begins:
+            flush()
+            parts += 1
+            doubt = parts
         articles += holds
         hidden += hides
-        stack.append((name, hides, holds))
+        stack.append((name, hides, holds, begins))
         opened[name] += 1
     if hidden and stack[-1][0] == "head" and page[at:].strip():
         close(len(stack) - 1)
@@ -247,7 +267,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         buffer.append(page[at:])
         plain += 0 if opened["a"] else len(_SPACE.sub("", html.unescape(page[at:])))
     flush()
-    return out
+    # a doubtful part goes if it is mostly links
+    whole, own = Counter(), Counter()
+    for text, n, _, part in out:
+        if part:
+            whole[part] += len(text.replace(" ", ""))
+            own[part] += n
+    return [x[:3] for x in out if not x[3] or own[x[3]] * 2 > whole[x[3]]]
 
 
 def ranges(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:

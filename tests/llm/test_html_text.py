@@ -174,3 +174,21 @@ def test_a_megabyte_of_unclosed_tags(scrap):
         began = time.process_time()
         extract(p)
         assert time.process_time() - began < 5
+
+
+TOPICS = {
+    "section": ("<article><p>a</p><section id='discussion'><p>We discuss the result.</p><p>More.</p></section><p>b</p></article>", "a\nWe discuss the result.\nMore.\nb"),
+    "menu of a meal": ("<article><section id='menu'><p>Soup, then fish.</p></section><table class='menu'><tr><td>Soup</td><td>5</td></tr></table></article>", "Soup, then fish.\nSoup\n5"),
+    "recipe": ("<article><div class='recipe cookies'><p>Mix flour and sugar.</p></div></article>", "Mix flour and sugar."),
+    "list and fields": ("<article><ol class='discussion'><li>One</li><li>Two</li></ol><fieldset><p>Inside</p></fieldset></article>", "One\nTwo\nInside"),
+    "menu of links": ("<article><p>a</p><div class='menu'><a href=x>Home</a> <a href=y>About</a></div><p>b</p></article>", "a\nb"),
+    "mostly links": ("<article><p>a</p><ul id='discussion'><li><a href=x>A long line of a thread</a> 3</li><li><a href=y>Another long line</a> 4</li></ul>b</article>", "a\nb"),
+    "two words": ("<article><p>a</p><div class='cookie-notice'>We use them</div><div class='menu comments'>no</div>b</article>", "a\nb"),
+    "unclosed": ("<article><p>a</p><div class=menu><a href=x>Home</a></article><article><p>b</p></article>", "a\nb"),
+}
+
+
+@pytest.mark.parametrize("name", TOPICS)
+def test_names_that_may_be_topics(name):
+    page, want = TOPICS[name]
+    assert extract(page) == want
