@@ -637,7 +637,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: of the smallest doc_id (nulls last), then of the smallest text hash.
 
-    A row is known by its doc_id and its text, so rows that share a doc_id but no group all stay, and of repeated rows one.
+    A row is known by its doc_id and its text, so rows that share a doc_id but no group all stay, and of repeated rows one; if these
+    differ in other columns, the first by their JSON text.
     """
     key = ["doc_id", "own"]
     rows = settled(near_copies(docs).groupBy(*key).agg(F.min("root").alias("root"), F.count("*").alias("n")))
@@ -649,7 +650,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = keyed.join(gone, same(keyed, gone), "left_anti")
     many = settled(rows.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own")))
     if many.count():
-        again = kept.join(many, same(kept, many), "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        again = kept.join(many, same(kept, many), "left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
         kept = kept.join(many, same(kept, many), "left_anti").select("row").unionByName(again.select("row"))
     return kept.select("row.*")
 

@@ -230,3 +230,12 @@ def test_query(spark, tmp_path):
         least[g] = min(least.get(g, 1 << 60), 1 << 60 if i is None else i)
     want = [(i, f"{p:016x}", least[g]) for (i, _), p, g in zip(rows, prints, root, strict=True)]
     assert sorted(map(tuple, op5_simhash(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, x, {"k": x}) for x in ("c", "a", "b")] + [(2, text + " more", "0", None), (3, "other words here", "z", None), (3, "other words here", "y", None), (None, None, "q", None), (None, None, "p", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,string>")
+    for parts in (1, 5):
+        got = sorted((str(r.doc_id), r.source) for r in simhash.deduplicate(df.repartition(parts)).collect())
+        assert got == [("1", "a"), ("3", "y"), ("None", "p")]
