@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, scratch, settled, table
+from .common import Chosen, scratch, settled, table
 
 ROWS_PER_FILE, BYTES_PER_FILE = 200_000, 256 << 20
 IDS_AT_ONCE = 1 << 20
@@ -61,13 +62,14 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.ids = Memo(REMEMBERED)
+        self.ids = Chosen(REMEMBERED)
         spaced = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.spaced[spaced] = True
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        coded, kind = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], "H" if self.width == 2 else "I"
+        return [struct.pack(f"<{len(x)}{kind}", *x) for x in coded]
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that each start with their only white space, a space."""
