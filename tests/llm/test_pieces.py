@@ -3,7 +3,8 @@ import random
 import public_tokenizers
 import pytest
 from spanmill.llm import pieces
-from spanmill.llm.common import Memo
+from spanmill.llm import common
+from spanmill.llm.common import Chosen, Memo
 from spanmill.llm.pieces import Codec, decode, encode, load, op2_sentencepiece
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -100,3 +101,53 @@ def test_query(spark, tmp_path):
     want = [(i, s, codec.viterbi("▁" + t.replace(" ", "▁")) if t else [], True) for i, t, s in rows]
     got = op2_sentencepiece(spark, str(tmp_path)).collect()
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.source, list(r.ids), r.round_trip)) for r in got) and all(r.n_tokens == len(r.ids) for r in got)
+
+
+def by_definition(text, known, lowest, byte_ids):
+    """Ids of the best segmentation of a whole text, from nothing but the model's pieces and scores: all substrings at all places."""
+    if not text:
+        return []
+    text = "▁" + text.replace(" ", "▁")
+    best = [(0.0, None)] + [None] * len(text)
+    for j in range(1, len(text) + 1):
+        for i in range(max(0, j - 64), j):  # longest first, so that ties stay with the longer last piece
+            if best[i] and (hit := known.get(text[i:j])) and (best[j] is None or best[i][0] + hit[1] > best[j][0]):
+                best[j] = (best[i][0] + hit[1], (i, [hit[0]]))
+        if text[j - 1] not in known and best[j - 1] and (best[j] is None or best[j - 1][0] + lowest - 10.0 > best[j][0]):
+            best[j] = (best[j - 1][0] + lowest - 10.0, (j - 1, [byte_ids[b] for b in text[j - 1].encode()]))
+    out, j = [], len(text)
+    while j:
+        j, ids = best[j][1]
+        out.append(ids)
+    return [i for ids in reversed(out) for i in ids]
+
+
+def test_query_by_definition(spark, tmp_path):
+    """The query's ids and a segmenter that shares no code with it."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    every = range(sp.get_piece_size())
+    own = [i for i in every if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unused(i) or sp.is_unknown(i))]
+    known, lowest = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in own}, min(sp.get_score(i) for i in own)
+    assert max(map(len, known)) <= 64
+    byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in every if sp.is_byte(i)}
+    rng = random.Random(8)
+    words = ["the", "unbelievable", "Straßenbahn", "aaaaaaaa", "x1y2", "  ", "😀😀", "中a文", "\n\n", "information", "▁", "it's", "\x01"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12))) + rng.choice(["", " ", "é", "."])) for i in range(120)] + [(500, "the information " * 900), (501, None)]
+    spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: list(r.ids) for r in op2_sentencepiece(spark, str(tmp_path)).collect()}
+    assert got == {i: by_definition(t, known, lowest, byte_ids) for i, t in rows}
+
+
+def test_memo_of_what_comes_again(monkeypatch):
+    monkeypatch.setattr(common, "DOOR", 1 << 8)
+    memo = Chosen(4_000)
+    memo.keep("once", b"1")
+    assert memo.get("once") is None and memo.again("once") is None
+    memo.keep("once", b"1")
+    assert memo.get("once") == b"1"
+    for i in range(3_000):  # the table of hashes is emptied, the bound holds
+        memo.keep(f"k{i}", b"x")
+        memo.keep(f"k{i}", b"x")
+        assert memo.came <= 128 and len(memo) + len(memo.older) <= 24
