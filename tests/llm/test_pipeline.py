@@ -57,3 +57,27 @@ def test_stages(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHES = "row own node root copies label score n size target taken spans ids best again rank h _id part key kept base".split()
+
+
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    """Further columns with the names of inner ones pass through all stages but the last, and change nothing."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("amber birch cedar dune".split()) + rng.choice("abcdefgh") for _ in range(30)), f"s{i % 3}") for i in range(40)]
+    rows += [(100, rows[3][1], "s0"), (101, " ".join(f"w{i % 977}x{i % 31}" for i in range(120_000)) + " mail me@x.org", "s1"), (102, None, None)]
+    write(spark, tmp_path, rows, [(i, 1, int(i % 9 == 0)) for i in range(0, 40, 2)])
+    d = str(tmp_path)
+    plain = spark.read.parquet(f"{d}/documents.parquet")
+    wide = plain.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in CLASHES})
+    texts = lambda df: sorted(str((r.doc_id, r.text)) for r in df.select("doc_id", "text").collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, before = stage(spark, plain, d), wide
+        plain.write.parquet(f"{d}/{name}-plain")
+        stage(spark, wide, d).write.parquet(f"{d}/{name}")
+        plain, wide = spark.read.parquet(f"{d}/{name}-plain"), spark.read.parquet(f"{d}/{name}")
+        assert wide.columns == before.columns and texts(wide) == texts(plain)
+        assert all(r[c] == f"{c}{r.doc_id}" for r in wide.collect() for c in CLASHES)
+    assert any(len(t) > 700_000 and "me@x.org" not in t for t in texts(wide))
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, d).where("round_trip").count() == wide.count()
