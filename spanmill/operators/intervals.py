@@ -55,9 +55,19 @@ def active_join(points: DataFrame, ranges: DataFrame, *, on: Sequence[str], grou
     A range enters at the first point it holds and stays while any range before it in (lo, order) reaches
     beyond the point. So the ranges that hold some point of a group (``group`` is a column of the points) are taken
     once, their ends replaced by the running maximum, and joined again.
+
+    Whether a range holds a point is asked of the points of a bin and group together, so no pairs are made for it and its work
+    doesn't grow with the depth; only the ranges' ends and order take part, and the other columns join once by them.
     """
     keys = [*on, group]
-    held = range_join(points.select(*keys, F.col(point).alias("_at")), ranges, on=on, point="_at", lo=lo, hi=hi, bin_size=bin_size)
-    entered = held.drop("_at").dropDuplicates([*keys, order])
+    lists = points.withColumn("_bin", F.expr(f"floor({point} / {bin_size})")).groupBy(*keys, "_bin").agg(F.sort_array(F.collect_set(point)).alias("_at"))
+    narrow = ranges.where(F.col(hi) > F.col(lo)).select(*on, lo, hi, order)
+    touched = narrow.withColumn("_bin", F.explode(F.expr(f"sequence(floor({lo} / {bin_size}), floor(({hi} - 1) / {bin_size}))"))).join(lists, [*on, "_bin"])
+    # of most bins the first or the last point decides
+    least, most = F.element_at("_at", 1), F.element_at("_at", -1)
+    inside = (least < F.col(hi)) & (most >= F.col(lo)) & ((least >= F.col(lo)) | (most < F.col(hi)) | F.exists("_at", lambda p: (p >= F.col(lo)) & (p < F.col(hi))))
+    entered = touched.where(inside).select(*keys, order, lo, hi).distinct()
     reach = F.max(hi).over(Window.partitionBy(*keys).orderBy(lo, order).rowsBetween(Window.unboundedPreceding, 0))
-    return range_join(points, entered.withColumn("_reach", reach), on=keys, point=point, lo=lo, hi="_reach", bin_size=bin_size).drop("_reach")
+    active = entered.withColumn("_reach", reach)
+    own = [*on, order, lo, hi]
+    return range_join(points, ranges.join(active, own), on=keys, point=point, lo=lo, hi="_reach", bin_size=bin_size).drop("_reach")

@@ -27,6 +27,30 @@ def test_range_joins(spark):
     assert intervals.good_bin_size(r, "lo", "hi", 10) == 130
 
 
+def test_active_join_makes_no_pairs_to_find_what_entered(spark):
+    """Many ranges over many points of one bin, against a sweep; columns of any kind don't bring in a sort of pairs."""
+    rng = random.Random(5)
+    points = sorted((rng.choice("ab"), rng.randrange(0, 300)) for _ in range(120))
+    ranges = [(rng.choice("ab"), i, s, s + rng.choice([0, 1, 2, 3, 60]), "x") for i, s in enumerate(rng.randrange(-20, 300) for _ in range(200))]
+    want = []
+    for k in "ab":
+        for g in range(3):
+            reads, held = sorted((r[2], r[1], r[3]) for r in ranges if r[0] == k), []
+            for i, (m, at) in enumerate(points):
+                if m == k and at // 100 == g:
+                    held += [r for r in reads if r[0] <= at < r[2] and r not in held]
+                    held.sort()
+                    while held and held[0][2] <= at:
+                        held.pop(0)
+                    want += [(i, r[1]) for r in held]
+    p = spark.createDataFrame([(k, i, at, at // 100) for i, (k, at) in enumerate(points)], "k string, i int, at long, g long")
+    r = spark.createDataFrame(ranges, "k string, j int, lo long, hi long, what string")
+    for size in (7, 1000):
+        out = intervals.active_join(p, r, on=["k"], group="g", point="at", lo="lo", hi="hi", order="j", bin_size=size)
+        assert sorted((x.i, x.j) for x in out.collect()) == sorted(want) and out.columns.count("what") == 1
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tiles(spark):
     got = intervals.tile_regions(spark.createDataFrame([("a", 10), ("b", 4), ("c", 0)], "name string, length long"), 4).collect()
     assert sorted(map(tuple, got)) == [("a", 1, 4), ("a", 5, 8), ("a", 9, 10), ("b", 1, 4)]
