@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
@@ -381,10 +381,9 @@ def vcf_roundtrip(spark, d):
     path = _folder(spark, "records")
     head = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]
     text.write_vcf(_annotated(spark, d).withColumn("ref", F.lit("X")), head, path)
-    back = text.read_vcf(spark, path)
-    nth = F.row_number().over(Window.orderBy("ord")).cast("long")
+    back = text.numbered(text.read_vcf(spark, path))
     return back.select(
-        "pos", "chrom", "id", "ref", F.array_join("alt", "|").alias("alts"), "filter", "info", (F.col("qual") == 7).alias("untouched"), nth.alias("nth"), F.lit(len(text.vcf_header(spark, path))).cast("long").alias("n_header")
+        "pos", "chrom", "id", "ref", F.array_join("alt", "|").alias("alts"), "filter", "info", (F.col("qual") == 7).alias("untouched"), "nth", F.lit(len(text.vcf_header(spark, path))).cast("long").alias("n_header")
     )
 
 

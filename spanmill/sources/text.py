@@ -6,12 +6,13 @@ large inputs to Parquet once. ``ord`` is a line's place: file, block, line; it s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.labels import FILTER_ID, INFO_ID
 
 ORD = "struct<file:string,block:bigint,line:bigint>"
+STRETCH = 1 << 16
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -37,6 +38,20 @@ def vcf_header(spark: SparkSession, path: str) -> list[str]:
     return [r.value for r in _lines(spark, path).where("value like '#%'").orderBy("ord").collect()]
 
 
+def numbered(rows: DataFrame, name: str = "nth") -> DataFrame:
+    """``rows`` with their number from 1 on in the order of ``ord``.
+
+    A row's number is the count of rows in earlier stretches of ``STRETCH`` lines, plus its place in its own; a window sees
+    one stretch, and one over all has a row for each stretch.
+    """
+    own = ["_file", "_block", "_stretch"]
+    placed = rows.withColumns({"_file": F.col("ord.file"), "_block": F.col("ord.block"), "_stretch": F.expr(f"ord.line div {STRETCH}")})
+    before = Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = placed.withColumn("_place", F.row_number().over(Window.partitionBy(*own).orderBy("ord.line"))).join(starts, own)
+    return out.select(*rows.columns, (F.col("_start") + F.col("_place")).alias(name))
+
+
 def write_vcf(records: DataFrame, header: list[str], path: str, *, info_id: str = INFO_ID, filter_id: str = FILTER_ID) -> None:
     """Header with the two added lines, then the records in input order, as text part files."""
     added = [

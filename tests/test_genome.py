@@ -76,6 +76,17 @@ def test_fasta(spark, folder):
         assert r.bin_start == lo and r.seq == REF[c][lo : b * 100 + 107]
 
 
+def test_numbers_of_lines(spark, tmp_path, monkeypatch):
+    """Numbers go on over stretches and files, without a window over all rows."""
+    monkeypatch.setattr(text, "STRETCH", 4)
+    for f in "ba":
+        (tmp_path / f"{f}.vcf").write_text("##x\n" + "".join(f"{f}\t{i}\t.\tA\tAT\t.\t.\t.\n" for i in range(30)) + "#y\n")
+    rows = text.numbered(text.read_vcf(spark, str(tmp_path)))
+    got = sorted((r.nth, r.chrom, r.pos) for r in rows.collect())
+    assert got == [(i + 1, "ab"[i // 30], i % 30) for i in range(60)]
+    assert "row_number() windowspecdefinition(_file" in rows._jdf.queryExecution().toString()
+
+
 def test_vcf(spark, folder):
     got = text.read_vcf(spark, f"{folder}/calls.vcf").orderBy("ord").collect()
     assert [(r.chrom, r.pos, r.ref, r.alt) for r in got] == SITES
