@@ -10,6 +10,10 @@ parent's sums kept between steps.) Splits are taken best first up to ``maxLeaves
 takes given what is known, and the tree is done when the order takes only nodes whose children are known, so the tree is that of
 one split at a time. The first step of a round also gives the validation loss of the model before it.
 
+A node of at most ``TASK_ROWS`` rows is finished in one pass: its rows' bins, gradients and hessians go to one task, which splits the node and what comes
+of it, best first, up to as many leaves as a tree may have. The tree's order takes such splits from their beginning, so more are never asked for.
+Those nodes wait until no larger one is open, so a tree is a few steps for its large nodes and one for all small ones.
+
 Missing values (null, NaN, minus infinity) go left. Ties go to the feature that stands first, then to the lower threshold.
 """
 
@@ -30,6 +34,7 @@ ROUNDS = 2000
 SETTLED = 20
 EDGES = 254
 TASK_ROWS = 50_000
+BATCHES = 16
 LEAST_HESSIAN = 1e-3
 IDLE = 5  # rounds in a row without a split, after which there is nothing to learn
 LOSS = -1  # node number of the validation loss
@@ -193,6 +198,84 @@ def _best(least: int):
     return run
 
 
+PACKED = "node int, bins binary, g binary, h binary"
+
+
+def _packed(n: int, base: float, weight: float, newer, arrays, numbers: list[int], bag: tuple[int, float], loss: bool):
+    """The bins, gradients and hessians of a task's rows in the nodes ``numbers``, and of the validation loss its parts."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            bins = np.frombuffer(b"".join(f["bins"]), np.uint8).reshape(-1, n)
+            y, m = f["y"].to_numpy(np.float64), base + _margin(f, bins, newer)
+            w, train = np.where(y == 1, weight, 1.0), f["part"].to_numpy() == 0
+            out = []
+            if loss and not train.all():
+                v = ~train
+                out.append((LOSS, b"", (w[v] * np.logaddexp(0.0, np.where(y[v] == 1, -m[v], m[v]))).sum().tobytes(), w[v].sum().tobytes()))
+            rows = np.flatnonzero(train & _in_bag(f["u"].to_numpy(np.int64), *bag))
+            at = _reached(arrays, bins[rows])
+            for k in numbers:
+                own = rows[at == k]
+                if own.size:
+                    p = 1.0 / (1.0 + np.exp(-m[own]))
+                    out.append((k, bins[own].tobytes(), (w[own] * (p - y[own])).tobytes(), (w[own] * p * (1 - p)).tobytes()))
+            yield pd.DataFrame(out, columns=["node", "bins", "g", "h"])
+
+    return run
+
+
+GROWN = "root int, node int, left int, right int, feature int, gain double, bin int, n bigint, g double, h double, n_left bigint, g_left double, h_left double"
+
+
+def _grown(n: int, features: list[int], size: int, least: int, leaves: int, depth: int | None, depths: dict[int, int]):
+    """All of one node's subtree that a tree of ``leaves`` leaves can take: a row for each node, numbered in the order of their making."""
+
+    def run(key, frame):
+        import pandas as pd
+
+        root, names = int(key[0]), [c.split()[0] for c in GROWN.split(", ")]
+        g, h = (np.frombuffer(b"".join(frame[c])) for c in ("g", "h"))
+        if root == LOSS:
+            return pd.DataFrame([(LOSS, 0, -1, -1, 0, float(g.sum()), 0, 0, float(h.sum()), 0.0, 0, 0.0, 0.0)], columns=names)
+        bins = np.frombuffer(b"".join(frame["bins"]), np.uint8).reshape(-1, n)
+        # added up batch by batch, as in a step, while these are few
+        sizes = [len(x) // 8 for x in frame["g"]]
+        batches = len(sizes) if len(sizes) <= BATCHES else 1
+        batch = np.repeat(np.arange(batches), sizes) if batches == len(sizes) else np.zeros(len(g), np.int64)
+
+        def best(rows: np.ndarray) -> dict:
+            top = None
+            for k in features:
+                code = batch[rows] * size + bins[rows, k]
+                sums = np.stack([np.bincount(code, x, batches * size).reshape(batches, size).sum(axis=0) for x in (g[rows], h[rows], None)])
+                gain, b = best_bin(sums, least)
+                if top is None or gain > top["gain"]:
+                    (g_all, h_all, _), (g_left, h_left, n_left) = (map(float, x) for x in (sums.sum(axis=1), sums[:, : b + 1].sum(axis=1)))
+                    top = {"feature": k, "gain": gain, "bin": b, "n": len(rows), "g": g_all, "h": h_all, "n_left": int(n_left), "g_left": g_left, "h_left": h_left}
+            return top
+
+        tree, members = Growing(), {0: np.arange(len(g))}
+        tree.depth[0], tree.best[0] = depths[root], best(members[0])
+        while True:
+            _, open_ = chosen(tree, leaves, depth)
+            if not open_:
+                break
+            for k in open_:
+                b, rows = tree.best[k], members.pop(k)
+                tree.split(k)
+                left = bins[rows, b["feature"]] <= b["bin"]
+                for c, own in ((tree.left[k], rows[left]), (tree.right[k], rows[~left])):
+                    if len(own) >= 2 * least and (depth is None or tree.depth[c] < depth):
+                        members[c], tree.best[c] = own, best(own)
+        empty = dict.fromkeys(("feature", "bin", "n_left", "g_left", "h_left"), 0)
+        return pd.DataFrame([{"root": root, "node": k, "left": tree.left[k], "right": tree.right[k], **empty, **b} for k, b in enumerate(tree.best)], columns=names)
+
+    return run
+
+
 def chosen(tree: Growing, leaves: int, depth: int | None) -> tuple[list[int], list[int]]:
     """(nodes that the best-first order splits, those among them whose children aren't known), by what is known."""
     can = lambda k: tree.best[k] is not None and tree.best[k]["gain"] > 1e-12 and (depth is None or tree.depth[k] < depth)
@@ -260,7 +343,26 @@ def boost(
             top = best.groupBy("node").agg(F.max_by(F.struct("gain", "feature", "bin", "n", "g", "h", "n_left", "g_left", "h_left"), order).alias("b"))
             return {r["node"]: r["b"].asDict() for r in top.collect()}  # one row a node
 
-        found = step([0], True)
+        def finish(numbers: list[int], loss: bool, tree=tree, features=features) -> dict:
+            """The nodes' whole subtrees into ``tree``; returns the loss by its number."""
+            bag = (seed * 1_000_003 + len(trees) // subsamplingEvery, subsamplingRate)
+            packed = rows.mapInPandas(_packed(n, base, weight, list(newer), tree.arrays(), numbers, bag, loss), PACKED)
+            depths = {k: tree.depth[k] for k in numbers}
+            grown = packed.groupBy("node").applyInPandas(_grown(n, features, size, minInstancesPerNode, maxLeaves, maxDepth, depths), GROWN).toPandas()
+            of = dict(tuple(grown.groupby("root")))
+            for k in (x for x in numbers if x in of):
+                found = {x["node"]: x for x in of[k].to_dict("records")}
+                here, tree.best[k] = {0: k}, found[0]
+                # in the order in which they were split
+                for x in sorted((x for x in found.values() if x["left"] >= 0), key=lambda x: x["left"]):
+                    tree.split(here[x["node"]])
+                    for c, made in ((x["left"], len(tree.feature) - 2), (x["right"], len(tree.feature) - 1)):
+                        here[c], tree.best[made] = made, found[c]
+            return {LOSS: of[LOSS].iloc[0].to_dict()} if LOSS in of else {}
+
+        # node 0 of few rows is finished at once
+        found = finish([0], True) if pos + neg <= TASK_ROWS else step([0], True)
+        found |= {0: tree.best[0]} if tree.best[0] else {}
         if LOSS in found and trees:
             lost = found[LOSS]
             losses.append(lost["gain"] / lost["g"] if lost["g"] else -len(trees))
@@ -268,16 +370,22 @@ def boost(
         if not found.get(0) or len(trees) == rounds or (losses and len(losses) - 1 - best_at >= patience):
             break
         tree.best[0] = found[0]
+        waiting: list[int] = []
         while True:
             taken, open_ = chosen(tree, maxLeaves, maxDepth)
-            if not open_:
+            if not open_ and not waiting:
                 break
+            if not open_:
+                finish(waiting, False)
+                waiting = []
+                continue
             for k in open_:
                 tree.split(k)
             # what is too small to be split needs no pass
             made = [c for k in open_ for c in (tree.left[k], tree.right[k]) if tree.best[c]["n"] >= 2 * minInstancesPerNode and (maxDepth is None or tree.depth[c] < maxDepth)]
-            if made:
-                for k, b in step(made, False).items():
+            waiting += [c for c in made if tree.best[c]["n"] <= TASK_ROWS]
+            if large := [c for c in made if tree.best[c]["n"] > TASK_ROWS]:
+                for k, b in step(large, False).items():
                     tree.best[k] = b
         idle = 0 if taken else idle + 1
         if idle == IDLE:

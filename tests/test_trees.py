@@ -198,6 +198,29 @@ def test_patience_and_warm_rounds(spark, monkeypatch):
     assert math.isclose(losses[kept - 1], (w * np.logaddexp(0, np.where(rows[:, 2] == 1, -m, m))).sum() / w.sum())
 
 
+@pytest.mark.parametrize("depth", [None, 3])
+def test_small_nodes_are_finished_in_one_pass(spark, monkeypatch, depth):
+    """The trees don't depend on where a node is finished; where all rows fit in a task, a round is one pass."""
+    x, y = samples(1500, 4)
+    df = frame(spark, x, y).repartition(3)
+    train, val = df.where("c < 70"), df.where("c >= 70")
+    texts, passes = [], []
+    pandas = type(df).toPandas
+    for rows in (1, 400, 50_000):
+        monkeypatch.setattr(boosting, "TASK_ROWS", rows)
+        ran = []
+        monkeypatch.setattr(type(df), "toPandas", lambda d, ran=ran: ran.append(1) or pandas(d))
+        e, kept, _, losses = boosting.boost(train, val, ["a", "b", "c"], rounds=2, minInstancesPerNode=20, maxLeaves=8, maxDepth=depth, stepSize=0.3)
+        passes.append(len(ran))
+        assert len(losses) == 2
+        texts.append([[(t.feature.tolist(), t.threshold.tolist(), t.left.tolist(), t.right.tolist(), np.round(t.value, 9).tolist(), t.count.tolist()) for t in e.trees], np.round(losses, 9).tolist()])
+        monkeypatch.undo()
+    # a pass for each of two trees, and one for the last loss
+    assert all(t[1] == texts[0][1] for t in texts) and passes[2] == 3
+    leaves = [[sorted(zip(t[4], t[5], strict=True)) for t in x[0]] for x in texts]
+    assert all(x == leaves[0] for x in leaves)
+
+
 def test_loss_beside_trees_by_level(spark):
     """As many rounds and leaves: the loss is no worse than that of Spark's trees, within a few hundredths."""
     x, y = samples(1600, 3)
