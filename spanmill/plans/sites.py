@@ -28,6 +28,15 @@ select p_partkey as ord, 'chr' || (p_partkey % 3 + 1) as chrom, p_partkey * 7 +
 """
 
 
+def _bins(part: DataFrame, every: int, more: int) -> DataFrame:
+    """The reference as fasta bins up to the last part, of 32 bases a block, made by all tasks."""
+    last = part.agg(F.max("p_partkey")).first()[0]
+    ends = part.sparkSession.range(0 if last is None else (last * every + more) // 1000 + 1).select(F.explode(F.array(*[F.lit(f"chr{i}") for i in (1, 2, 3)])).alias("chrom"), F.col("id").alias("bin"))
+    base = f"translate(md5(concat(chrom, ':', b)), '{HEX}', '{SOFT}')"
+    bins = ends.withColumn("bin_start", F.expr(f"greatest(0L, bin * {pileup.FASTA_BIN} - {pileup.FASTA_MARGIN}) div 32 * 32"))
+    return bins.withColumn("seq", F.expr(f"array_join(transform(sequence(bin_start div 32, ((bin + 1) * {pileup.FASTA_BIN} + {pileup.FASTA_MARGIN}) div 32), b -> {base}), '')"))
+
+
 def tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(variants, reads, fasta bins)."""
     lineitem, part = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/part.parquet")
@@ -37,12 +46,7 @@ def tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     )
     sites = spark.sql(_SITES.replace("from part", "from {part}"), part=part)
     variants = sites.select("chrom", "pos", "ref", F.array("alt", F.concat("alt", F.lit("A"))).alias("alt"), "ord")
-    # 32 bases a block
-    ends = part.agg(F.max("p_partkey").alias("last")).select(F.explode(F.array(*[F.lit(f"chr{i}") for i in (1, 2, 3)])).alias("chrom"), F.explode(F.expr("sequence(0L, (last * 7 + 100) div 1000)")).alias("bin"))
-    base = f"translate(md5(concat(chrom, ':', b)), '{HEX}', '{SOFT}')"
-    bins = ends.withColumn("bin_start", F.expr(f"greatest(0L, bin * {pileup.FASTA_BIN} - {pileup.FASTA_MARGIN}) div 32 * 32"))
-    bins = bins.withColumn("seq", F.expr(f"array_join(transform(sequence(bin_start div 32, ((bin + 1) * {pileup.FASTA_BIN} + {pileup.FASTA_MARGIN}) div 32), b -> {base}), '')"))
-    return variants, reads, bins
+    return variants, reads, _bins(part, 7, 100)
 
 
 def extracted(spark: SparkSession, d: str, mode: str) -> DataFrame:
@@ -141,11 +145,7 @@ def call_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     part = spark.read.parquet(f"{d}/part.parquet")
     rows = spark.sql(f"with places as ({_PLACES.replace('from part', 'from {part}')}) {_SETS}", part=part)
     rows = rows.select("side", "chrom", F.expr("p * 320 + place + 1").alias("pos"), "ref", F.split("alts", "[|]").alias("alt"))
-    ends = part.agg(F.max("p_partkey").alias("last")).select(F.explode(F.array(*[F.lit(f"chr{i}") for i in (1, 2, 3)])).alias("chrom"), F.explode(F.expr("sequence(0L, (last * 320 + 400) div 1000)")).alias("bin"))
-    base = f"translate(md5(concat(chrom, ':', b)), '{HEX}', '{SOFT}')"
-    bins = ends.withColumn("bin_start", F.expr(f"greatest(0L, bin * {pileup.FASTA_BIN} - {pileup.FASTA_MARGIN}) div 32 * 32"))
-    bins = bins.withColumn("seq", F.expr(f"array_join(transform(sequence(bin_start div 32, ((bin + 1) * {pileup.FASTA_BIN} + {pileup.FASTA_MARGIN}) div 32), b -> {base}), '')"))
-    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side"), bins
+    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side"), _bins(part, 320, 400)
 
 
 # Every choice of records of either side is spelled out; the best pair of equal sequences stays.

@@ -4,7 +4,7 @@ from itertools import product
 import pytest
 from spanmill.operators import haplotypes
 from spanmill.operators.haplotypes import replay
-from spanmill.plans import workflow
+from spanmill.plans import sites, workflow
 from spanmill.sources import files
 
 ROW = "chrom string, pos long, ref string, alt array<string>"
@@ -121,3 +121,11 @@ def test_records_that_say_the_same_together(spark):
     assert {r.pos for r in t.collect()} == {1400}
     t, f = workflow.compare(frames[0], frames[1].limit(0), bins=bins)
     assert t.count() == 0 and f.count() == 7
+
+
+def test_the_reference_is_made_by_all_tasks(spark, tmp_path):
+    spark.range(1, 900).selectExpr("id as p_partkey", "cast(id % 7 as int) as p_size", "'n' as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    bins = sites.call_sets(spark, str(tmp_path))[2]
+    rows = bins.select("chrom", "bin", "bin_start").collect()
+    assert sorted(tuple(r) for r in rows) == [(f"chr{c}", b, max(0, b * 1000 - 64) // 32 * 32) for c in (1, 2, 3) for b in range(289)]
+    assert bins.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
