@@ -48,6 +48,7 @@ SLICE = 1 << 15
 CHUNK_ROWS = 50_000
 FRONTIER = 40_000
 ROWS_AT_ONCE, PAIRED_AT_ONCE = 300_000, 60_000
+PAIRS_HELD = 250_000  # 8 MB: pairs that a task adds up before it hands them on
 EXPAND = 64
 SHINGLE = 5
 SAMPLED, SHARE = 12_000, 0.05  # texts that shingles are counted in: as many, or that share of them if that is more
@@ -456,31 +457,52 @@ def _candidates_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(names[moved], pa.int64()), pa.array(names[sets.root[moved]], pa.int64())], ["u", "v"])
 
 
+def _summed(u: np.ndarray, v: np.ndarray, shared: np.ndarray, need: np.ndarray) -> list[np.ndarray]:
+    """The columns with ``shared`` added up over equal (u, v, need)."""
+    order = np.lexsort((need, v, u))
+    u, v, shared, need = u[order], v[order], shared[order], need[order]
+    first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (need[1:] != need[:-1]))))
+    return [u[first], v[first], np.add.reduceat(shared, first), need[first]]
+
+
 def _pairs_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, shared, need): pairs with different labels, how many of these rows' shingles they share and how many they must in all.
 
+    Of the first ``need`` shingles that two similar sets share, none leaves too little of either behind it, so only such rows count. A task adds up a
+    pair's rows before it hands them on, up to PAIRS_HELD pairs at a time: else texts in large groups would come again for each slice.
     Neighbours in the chain of a shingle of many texts come with need 0; under it all pairs that are near enough in size stand.
     """
+    held: list[list[np.ndarray]] = []
+    last = 0
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["u", "v", "shared", "need"])
+
     for (token, node, sizes, label), chain in _by_shingle(batches, PAIRED_AT_ONCE):
-        n = sizes >> 32
+        n, rest = sizes >> 32, sizes & 0xFFFFFFFF
         found = []
         for lag in range(1, min(ALL_PAIRS, len(token))):
             same = (token[lag:] == token[:-lag]) & (5 * n[:-lag] >= 4 * n[lag:])
             if not same.any():
                 break
-            k = np.flatnonzero(same & ~chain[lag:] & (label[lag:] != label[:-lag]) & (node[lag:] != node[:-lag]))
+            left = 9 * (np.minimum(rest[lag:], rest[:-lag]) + n[:-lag] // SHARED) >= 4 * (n[lag:] + n[:-lag])
+            k = np.flatnonzero(same & left & ~chain[lag:] & (label[lag:] != label[:-lag]) & (node[lag:] != node[:-lag]))
             found.append((k, k + lag, 1 + n[k] // SHARED))
             if lag == 1:
                 k = np.flatnonzero(same & chain[lag:] & (node[lag:] != node[:-lag]))
                 found.append((k, k + 1, np.zeros(len(k), np.int64)))
-        if not found:
+        if not found or not sum(len(x[0]) for x in found):
             continue
         a, b, need = (np.concatenate(x) for x in zip(*found, strict=True))
-        u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
-        order = np.lexsort((need, v, u))
-        u, v, need = u[order], v[order], need[order]
-        first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (need[1:] != need[:-1])))) if len(u) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(np.diff(np.append(first, len(u)))), pa.array(need[first])], ["u", "v", "shared", "need"])
+        held.append(_summed(np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), np.ones(len(a), np.int64), need))
+        if sum(len(x[0]) for x in held) > last + PAIRS_HELD:
+            held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            last = len(held[0][0])
+            if last > PAIRS_HELD:
+                yield out(held[0])
+                held, last = [], 0
+    if held:
+        yield out(_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
 
 def _by_shingles(rows: DataFrame, n: int, read) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -239,3 +240,27 @@ def test_repeated_rows_that_differ_elsewhere(spark):
     for parts in (1, 5):
         got = sorted((str(r.doc_id), r.source) for r in simhash.deduplicate(df.repartition(parts)).collect())
         assert got == [("1", "a"), ("3", "y"), ("None", "p")]
+
+
+def pair_batches(copies, shingles):
+    """Rows of one group of similar sets under many shingles, in order, and what pairs of it must come to."""
+    size, rest = 1000, 1000 - np.arange(shingles)
+    token, node = np.repeat(np.arange(shingles), copies), np.tile(np.arange(copies), shingles)
+    columns = [token, node, np.repeat(size << 32 | rest, copies), node]
+    return [pa.RecordBatch.from_arrays([pa.array(c[at : at + 500]) for c in columns], ["token", "node", "sizes", "label"]) for at in range(0, len(token), 500)]
+
+
+@pytest.mark.parametrize("held", [250_000, 10])
+def test_a_pair_comes_once_from_a_task(monkeypatch, held):
+    """However many slices a task's rows make; and shingles that stand too far behind to count make none."""
+    monkeypatch.setattr(simhash, "PAIRED_AT_ONCE", 400)
+    monkeypatch.setattr(simhash, "PAIRS_HELD", held, raising=False)
+    need, counted = 1 + 1000 // simhash.SHARED, [r for r in range(1000, 784, -1) if 9 * (r + 1000 // simhash.SHARED) >= 8 * 1000]
+    got, rows = {}, 0
+    for b in simhash._pairs_of_partition(iter(pair_batches(20, 216))):
+        for u, v, shared, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows += 1
+            assert least == need
+            got[u, v] = got.get((u, v), 0) + shared
+    assert got == {(u, v): len(counted) for u in range(20) for v in range(u)}
+    assert rows == len(got) or held == 10
