@@ -33,7 +33,7 @@ log = logging.getLogger("jobs.quality_gate")
 def scored(documents: DataFrame, config: dict) -> DataFrame:
     """(doc_id, lang, text_score)"""
     rows = documents.select("doc_id", F.expr("nullif(lang, '')").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    x = sequence.entropy("text") - config["centre"]
+    x = sequence.text_entropy("text") - config["centre"]
     return rows.select("doc_id", "lang", (F.round(logistic(x, config["slope"]), config["digits"]) + 0.0).alias("text_score"))
 
 

@@ -194,3 +194,22 @@ def test_command_line(spark, tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read 150 events" in done.stderr
     same(features(spark, f"{tmp_path}/out"), by_definition(events))
+
+
+def test_texts_of_many_different_characters(spark):
+    """Scores of whole texts don't cost a pass for each different character; they are those of their characters' entropy."""
+    import math
+    import time
+    from collections import Counter
+
+    wide = "".join(chr(0x4E00 + i) for i in range(20_000))
+    texts = [None, "", "a", "aab", "\x00\x00b", "𝒳𝒳y", wide, *[wide[i:] + wide for i in range(1, 20)]]
+    config = settings(quality_gate.__file__) | {"digits": 12}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("x"))
+    began = time.perf_counter()
+    got = {r.doc_id: r.text_score for r in quality_gate.scored(df, config).collect()}
+    assert time.perf_counter() - began < 20
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        h = math.log2(n) - sum(k * math.log2(k) for k in Counter(t).values()) / n if n else 0
+        assert abs(got[i] - 1 / (1 + math.exp(-(h - config["centre"]) * config["slope"]))) < 1e-9
