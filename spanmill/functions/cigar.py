@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 BLOCKS = "array<struct<op:string,n:int,r:bigint,q:int>>"
 
 
+FEW = 5  # blocks whose places are added up without a loop
+
+
 def blocks(cigar: str = "cigar", start: str = "start") -> Column:
     """All blocks of a CIGAR string on a read that starts at ``start`` (0-based)."""
-    return F.expr(f"""
-        aggregate(
-            transform(regexp_extract_all({cigar}, '(\\\\d+)([MIDNSHP=X])', 0), s -> named_struct('op', right(s, 1), 'n', cast(left(s, length(s) - 1) as int))),
-            named_struct('r', cast({start} as bigint), 'q', 0, 'out', cast(array() as {BLOCKS})),
-            (a, s) -> named_struct(
-                'r', a.r + if(s.op in ('M', '=', 'X', 'D', 'N'), s.n, 0),
-                'q', a.q + if(s.op in ('M', '=', 'X', 'I', 'S'), s.n, 0),
-                'out', concat(a.out, array(named_struct('op', s.op, 'n', s.n, 'r', a.r, 'q', a.q)))),
-            a -> a.out)""")
+    parsed = f"""transform(regexp_extract_all({cigar}, '(\\\\d+)([MIDNSHP=X])', 0), s -> transform(array(named_struct('op', right(s, 1), 'n', cast(left(s, length(s) - 1) as int))),
+        s -> named_struct('op', s.op, 'n', s.n, 'r', if(instr('M=XDN', s.op) > 0, s.n, 0), 'q', if(instr('M=XIS', s.op) > 0, s.n, 0)))[0])"""
+    place = lambda i, c, first: " + ".join([first, *(f"get(b, {j}).{c}" for j in range(i))])
+    few = ", ".join(f"named_struct('op', get(b, {i}).op, 'n', get(b, {i}).n, 'r', {place(i, 'r', f'cast({start} as bigint)')}, 'q', {place(i, 'q', '0')})" for i in range(FEW))
+    return F.expr(f"""transform(array({parsed}), b -> if(array_size(b) <= {FEW}, slice(array({few}), 1, array_size(b)),
+        aggregate(b, named_struct('r', cast({start} as bigint), 'q', 0, 'out', cast(array() as {BLOCKS})),
+            (a, s) -> named_struct('r', a.r + s.r, 'q', a.q + s.q, 'out', concat(a.out, array(named_struct('op', s.op, 'n', s.n, 'r', a.r, 'q', a.q)))),
+            a -> a.out)))[0]""")
+
+
+def blocks_clipped(b: str = "blocks") -> Column:
+    """``soft_clipped`` from blocks that were made already."""
+    return F.expr(f"aggregate({b}, 0L, (a, x) -> if(x.op = 'S', a + x.n, a))")
 
 
 def reference_end(cigar: str = "cigar", start: str = "start") -> Column:
@@ -32,7 +39,7 @@ def soft_clipped(cigar: str = "cigar") -> Column:
 
 def supports(is_insertion: str, length: str, pos0: str, b: str = "blocks", near: int = 2) -> Column:
     """Whether some insertion or deletion block stands for the indel: near its place and of about its length."""
-    return F.expr(f"""exists({b}, x -> abs(x.n - {length}) <= greatest(1, {length} div 2) and
+    return F.expr(f"""exists({b}, x -> x.op in ('I', 'D') and abs(x.n - {length}) <= greatest(1, {length} div 2) and
         case when {is_insertion} then x.op = 'I' and abs(x.r - {pos0}) <= {near}
              else x.op = 'D' and x.r - {near} <= {pos0} and {pos0} <= x.r + x.n + {near} end)""")
 
@@ -51,16 +58,11 @@ def query_position(pos0: str, b: str = "blocks") -> Column:
     return F.expr(f"try_element_at(transform(filter({b}, x -> x.op in ('M', '=', 'X') and x.r <= {pos0} and {pos0} < x.r + x.n), x -> cast(x.q + {pos0} - x.r as int)), 1)")
 
 
-def aligned(values: str, lo: str, hi: str, b: str = "blocks") -> str:
-    """SQL: the elements of an array column that are aligned to the reference positions lo..hi."""
-    return f"""flatten(transform(filter({b}, x -> x.op in ('M', '=', 'X') and x.r <= {hi} and x.r + x.n > {lo}),
-        x -> slice({values}, cast(x.q + greatest(x.r, {lo}) - x.r + 1 as int), cast(least(x.r + x.n - 1, {hi}) - greatest(x.r, {lo}) + 1 as int))))"""
-
-
-def aligned_positions(lo: str, hi: str, b: str = "blocks") -> str:
-    """SQL: the reference positions of ``aligned``'s elements."""
-    return f"""flatten(transform(filter({b}, x -> x.op in ('M', '=', 'X') and x.r <= {hi} and x.r + x.n > {lo}),
-        x -> sequence(greatest(x.r, {lo}), least(x.r + x.n - 1, {hi}))))"""
+def near(lo: str, hi: str, b: str = "blocks") -> Column:
+    """The match blocks that hold some of the reference positions lo..hi, cut to those."""
+    match = f"filter({b}, x -> x.op in ('M', '=', 'X') and x.r <= {hi} and x.r + x.n > {lo})"
+    cut = f"transform(array(greatest(x.r, {lo})), f -> named_struct('r', f, 'q', cast(x.q + f - x.r as int), 'n', cast(least(x.r + x.n - 1, {hi}) - f + 1 as int)))[0]"
+    return F.expr(f"transform({match}, x -> {cut})")
 
 
 def mean(values: str) -> str:

@@ -66,4 +66,5 @@ def homopolymer(s: str, p: str) -> Column:
 def tandem(s: str, p: str) -> Column:
     """struct(unit, total) of the longest repeat through ``p`` of units of up to 6; a single copy counts, ties go to the shorter unit."""
     best = f"array_max(transform(sequence(1, {LONGEST_UNIT}), u -> named_struct('total', {_run(s, p, 'u')}, 'less', -u)))"
-    return F.expr(f"if(coalesce({best}.total, 0) > 1, named_struct('unit', cast(-{best}.less as bigint), 'total', cast({best}.total as bigint)), named_struct('unit', 1L, 'total', 1L))")
+    told = "if(coalesce(b.total, 0) > 1, named_struct('unit', cast(-b.less as bigint), 'total', cast(b.total as bigint)), named_struct('unit', 1L, 'total', 1L))"
+    return F.expr(f"transform(array({best}), b -> {told})[0]")  # all units are tried once

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import pileup
 
 TILE = 2_000
+LONG = 160
 HEX, DNA, SOFT = "0123456789abcdef", "ACGTTGCAAACCGGTT", "AAAAAACCCGGTTAAC"
 
 _READS = f"""
@@ -40,9 +41,14 @@ def _bins(part: DataFrame, every: int, more: int) -> DataFrame:
 def tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(variants, reads, fasta bins)."""
     lineitem, part = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/part.parquet")
-    reads = spark.sql(_READS.replace("from lineitem", "from {lineitem}"), lineitem=lineitem).selectExpr(
+    # the same rows, but for the flag: only whether the greatest is R is asked, and the greatest number needs no sort as that of texts does
+    rows = _READS.replace("max(l_returnflag) as rf", "if(max(case when l_returnflag > 'R' then 2 when l_returnflag = 'R' then 1 else 0 end) = 1, 'R', '') as rf")
+    # qualities repeat after 40 bases and start at 23 * (p + ln) % 40 of that cycle, as 7 * 23 % 40 = 1
+    cycle = f"array({', '.join(str(i * 7 % 40 + 2) for i in range(40 + LONG))})"
+    quals = f"if(n <= {LONG} and p + ln >= 0, slice({cycle}, cast((p + ln) % 40 * 23 % 40 + 1 as int), n), transform(sequence(0, n - 1), i -> cast((p + i * 7 + ln) % 40 + 2 as int))) as quals"
+    reads = spark.sql(rows.replace("from lineitem", "from {lineitem}"), lineitem=lineitem).selectExpr(
         "concat('r', ord) as qname", "cast(flag as int) as flag", "chrom", "start", "cast(mapq as int) as mapq", "concat(if(sc > 0, concat(sc, 'S'), ''), m1, 'M', ln, op, m2, 'M') as cigar", "isize",
-        "substr(repeat(dna, 3), 1, n) as seq", "transform(sequence(0, n - 1), i -> cast((p + i * 7 + ln) % 40 + 2 as int)) as quals", "nm", "ord",
+        "substr(repeat(dna, 3), 1, n) as seq", quals, "nm", "ord",
     )
     sites = spark.sql(_SITES.replace("from part", "from {part}"), part=part)
     variants = sites.select("chrom", "pos", "ref", F.array("alt", F.concat("alt", F.lit("A"))).alias("alt"), "ord")

@@ -1,11 +1,13 @@
 import math
 import random
+import re
 import struct
 from collections import Counter
 
 import pytest
-from genome import bam, fasta, genome, sam, strict, sweep, vcf
+from genome import bam, fasta, genome, is_support, pairs_of, sam, strict, sweep, vcf
 from pyspark.sql import functions as F
+from spanmill.functions import cigar as C
 from spanmill.operators import labels, pileup
 from spanmill.sources import bam as bam_source
 from spanmill.sources import fasta as fasta_source
@@ -124,6 +126,63 @@ def test_empty_inputs(spark, folder):
         pileup.extract(variants, reads, bins, mode="other")
 
 
+def test_pairs_run_in_small_methods(spark, folder):
+    """No part of the plan of an extraction is a method that the JVM would interpret (more than 8,000 bytes)."""
+    variants, reads, bins = text.read_vcf(spark, f"{folder}/calls.vcf"), text.read_sam(spark, f"{folder}/a.sam"), fasta_source.fasta_bins(spark, f"{folder}/ref.fa")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan isn't known before it runs
+    try:
+        out = pileup.extract(variants, reads, bins, mode="compat", chunk=90, bin_size=70)
+        told = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", told)]
+    assert sizes and max(sizes) <= 8_000
+
+
+@pytest.mark.parametrize("cigar", ["*", "7M", "3S4M", "2S3M1I2M1D4M", "1H2S3M1I2M2D4M3N2=1X5S", "3M0D0M2M", None])
+def test_blocks(spark, cigar):
+    want, r, q = [], 10, 0
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or ""):
+        want.append((op, int(n), r, q))
+        r, q = r + (int(n) if op in "M=XDN" else 0), q + (int(n) if op in "M=XIS" else 0)
+    df = spark.createDataFrame([(cigar, 10)], "cigar string, start long").withColumn("blocks", C.blocks())
+    got = df.select("blocks", C.blocks_clipped().alias("sc"), C.soft_clipped().alias("known")).first()
+    assert got.blocks == (None if cigar is None else want) and got.sc == got.known
+
+
+def test_windows_of_odd_reads(spark):
+    """Short qualities or sequences, empty blocks and several blocks in a window count as they would base by base."""
+    ref = "".join(random.Random(3).choice("ACGT") for _ in range(60))
+    reads = []
+    for i, cigar in enumerate(["30M", "8M3D9M2N8M", "9M1I4M0M5M", "10M2I1M2D2M9S", "4S6M1D20M", "12M30N2M"]):
+        n = sum(int(k) for k, op in re.findall(r"(\d+)([MIS=X])", cigar))
+        for seq, quals in [(n, n), (n - 9, n), (n, n - 9), (0, n), (n, 0)]:
+            reads.append((f"r{len(reads)}", 0, "c", 8 + i % 3, 30, cigar, 0, ("ACGTA" * 20)[:seq], [(7 * k + i) % 40 for k in range(quals)], 1, len(reads)))
+    frame = spark.createDataFrame(reads, "qname string, flag int, chrom string, start long, mapq int, cigar string, isize long, seq string, quals array<int>, nm int, ord long")
+    sites = spark.createDataFrame([("c", p, "A", ["AT"], p) for p in (12, 17, 20, 22, 25, 30)], "chrom string, pos long, ref string, alt array<string>, ord long")
+    bins = spark.createDataFrame([("c", 0, 0, ref[:27])], "chrom string, bin long, bin_start long, seq string")
+    got = {(r.pos): r for r in pileup.extract(sites, frame, bins).collect()}
+    for pos, row in got.items():
+        pos0, alt, other = pos - 1, [], []
+        for _, _, _, start, _, cigar, _, seq, quals, _, _ in reads:
+            pairs, end = pairs_of({"start": start, "cigar": cigar})
+            if not start <= pos0 < end:
+                continue
+            n = [quals[q] for p, q in pairs.items() if pos0 - 4 <= p <= pos0 + 6 and q < len(quals)]
+            f = [quals[q] for p, q in pairs.items() if pos0 - 5 <= p <= pos0 + 5 and q < len(quals)]
+            near, whole = [(p, q) for p, q in pairs.items() if pos0 - 5 <= p <= pos0 + 5], bool(quals and seq)
+            wrong = sum(p < 27 and q < len(seq) and seq[q] != ref[p] for p, q in near)
+            x = (sum(n) / len(n) if n else 0.0, sum(f) / len(f) if f and whole else 0.0, len(f) if whole else 0, wrong if whole else 0)
+            (alt if is_support({"start": start, "cigar": cigar}, True, 1, pos0) else other).append(x)
+        mean = lambda g, i: sum(x[i] for x in g) / len(g) if g else 0.0
+        al = sum(x[2] for x in alt)
+        want = [len(alt) + len(other), mean(alt, 0), mean(other, 0), mean(alt, 1), mean(other, 1), sum(x[3] for x in alt) / al if al else 0.0]
+        told = [row.total_depth, row.nbq_alt, row.nbq_ref, row.flank_bq_alt, row.flank_bq_ref, row.mismatch_rate_alt]
+        assert told == pytest.approx(want, abs=1e-9), pos
+    assert len(got) == 6 and any(r.mismatch_rate_alt > 0 for r in got.values())
+
+
 def test_labels(spark):
     key = "chrom string, pos long, ref string, alt string"
     rows = spark.createDataFrame([("c", 1, "A", "AT"), ("c", 2, "A", "AT"), ("c", 3, "A", "AT"), ("c", 4, "A", "NA")], key)
