@@ -58,13 +58,6 @@ def query_position(pos0: str, b: str = "blocks") -> Column:
     return F.expr(f"try_element_at(transform(filter({b}, x -> x.op in ('M', '=', 'X') and x.r <= {pos0} and {pos0} < x.r + x.n), x -> cast(x.q + {pos0} - x.r as int)), 1)")
 
 
-def near(lo: str, hi: str, b: str = "blocks") -> Column:
-    """The match blocks that hold some of the reference positions lo..hi, cut to those."""
-    match = f"filter({b}, x -> x.op in ('M', '=', 'X') and x.r <= {hi} and x.r + x.n > {lo})"
-    cut = f"transform(array(greatest(x.r, {lo})), f -> named_struct('r', f, 'q', cast(x.q + f - x.r as int), 'n', cast(least(x.r + x.n - 1, {hi}) - f + 1 as int)))[0]"
-    return F.expr(f"transform({match}, x -> {cut})")
-
-
 def mean(values: str) -> str:
     """SQL: the mean of an array, 0 if it is empty."""
     return f"coalesce(aggregate({values}, 0D, (a, v) -> a + v) / nullif(size({values}), 0), 0D)"

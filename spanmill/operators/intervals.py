@@ -37,8 +37,9 @@ def good_bin_size(ranges: DataFrame, lo: str, hi: str, least: int = BIN) -> int:
 def range_join(points: DataFrame, ranges: DataFrame, *, on: Sequence[str], point: str, lo: str, hi: str, bin_size: int = BIN) -> DataFrame:
     """Inner join of points and ranges with equal ``on`` columns and lo <= point < hi."""
     left = points.withColumn("_bin", F.expr(f"floor({point} / {bin_size})"))
-    right = ranges.where(F.col(hi) > F.col(lo)).withColumn("_bin", F.explode(F.expr(f"sequence(floor({lo} / {bin_size}), floor(({hi} - 1) / {bin_size}))")))
-    return left.join(right, [*on, "_bin"]).where((F.col(lo) <= F.col(point)) & (F.col(point) < F.col(hi))).drop("_bin")
+    # an empty range goes to one bin, where it holds nothing: a filter of its own would work out computed ends twice
+    right = ranges.withColumn("_bin", F.explode(F.expr(f"sequence(floor({lo} / {bin_size}), floor(greatest({lo}, {hi} - 1) / {bin_size}))")))
+    return left.join(right, ["_bin", *on]).where((F.col(lo) <= F.col(point)) & (F.col(point) < F.col(hi))).drop("_bin")  # a sort compares the first key's prefix
 
 
 def semi_range_join(points: DataFrame, ranges: DataFrame, *, on: Sequence[str], point: str, lo: str, hi: str, bin_size: int = BIN) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
+from ..functions import pairs as P
 from ..functions import sequence as S
 from ..functions.scalar import in_small_methods, ratio0
 from . import intervals
@@ -37,7 +38,8 @@ def indel_sites(variants: DataFrame) -> DataFrame:
 
 def with_context(sites: DataFrame, fasta_bins: DataFrame) -> DataFrame:
     """Adds flank (11 bases) with its start, and context (up to 100) with the site's place in it; empty if the sequence is missing."""
-    joined = sites.withColumn("bin", F.expr(f"pos0 div {FASTA_BIN}")).join(fasta_bins.select("chrom", "bin", "bin_start", F.upper("seq").alias("seq")), ["chrom", "bin"], "left")
+    binned = sites.withColumn("bin", F.expr(f"pos0 div {FASTA_BIN}")).repartition("chrom", "bin")  # else a small file of sites is one task, however many there are
+    joined = binned.join(fasta_bins.select("chrom", "bin", "bin_start", F.upper("seq").alias("seq")), ["chrom", "bin"], "left")
     joined = joined.withColumns({"flank_start": F.expr(f"greatest(0L, pos0 - {FLANK})"), "context_start": F.expr(f"greatest(0L, pos0 - {BEFORE})")})
     piece = lambda start, end: F.coalesce(F.expr(f"substring(seq, cast({start} - bin_start + 1 as int), cast({end} - {start} + 1 as int))"), F.lit(""))
     joined = joined.withColumns({"flank": piece("flank_start", f"pos0 + {FLANK}"), "context": piece("context_start", f"pos0 + {AFTER}"), "at": F.expr("cast(pos0 - context_start as int)")})
@@ -54,13 +56,9 @@ def with_context(sites: DataFrame, fasta_bins: DataFrame) -> DataFrame:
 
 
 def usable_reads(reads: DataFrame) -> DataFrame:
-    """Reads that count, with what doesn't depend on a site computed once."""
-    kept = reads.where(F.col("flag").bitwiseAND(SKIPPED_FLAGS) == 0).withColumn("blocks", C.blocks())
-    return kept.select(
-        "chrom", "start", "ord", "mapq", "flag", "isize", "seq", "quals",
-        "blocks", C.reference_end().alias("read_end"), C.blocks_clipped().cast("double").alias("sc"),
-        F.expr(C.mean("quals")).alias("bq"), F.coalesce("nm", F.lit(0)).cast("double").alias("nm"),
-    )
+    """Reads that count. What a join needs is their end; CIGARs and qualities are looked at in pairs."""
+    kept = reads.where(F.col("flag").bitwiseAND(SKIPPED_FLAGS) == 0)
+    return kept.select("chrom", "start", "ord", "mapq", "flag", "isize", "seq", "quals", "cigar", C.reference_end().alias("read_end"), F.coalesce("nm", F.lit(0)).cast("double").alias("nm"))
 
 
 def extract(variants: DataFrame, reads: DataFrame, fasta_bins: DataFrame, *, mode: str = "strict", chunk: int = CHUNK, bin_size: int = intervals.BIN) -> DataFrame:
@@ -80,34 +78,9 @@ def extract(variants: DataFrame, reads: DataFrame, fasta_bins: DataFrame, *, mod
 
 
 def _features(pairs: DataFrame) -> DataFrame:
-    """Sums of the pairs. A pair looks at its blocks near the site once; all else is taken from the few values found there."""
-    lo, end, size = f"pos0 - {FLANK}", f"pos0 + {FLANK + 1}", 2 * FLANK + 1
-    final = "get(near, size(near) - 1)"
-    read_size = "if(length(seq) > 0, length(seq), 150)"
-    p = pairs.withColumns({"is_alt": C.supports("is_insertion", "indel_size", "pos0"), "near": C.near(lo, end)})
-    p = p.withColumns(
-        {
-            "sig": F.when(F.col("is_alt"), C.signature("pos0")),
-            "q": F.expr("try_element_at(transform(filter(near, x -> x.r <= pos0 and pos0 < x.r + x.n), x -> cast(x.q + pos0 - x.r as int)), 1)"),
-            "w": F.expr("flatten(transform(near, x -> slice(quals, x.q + 1, x.n)))"),
-            "first": F.expr(f"if(get(near, 0).r = {lo}, get(quals, get(near, 0).q), null)"),  # the window's ends, of which each mean leaves one out
-            "last": F.expr(f"if({final}.r + {final}.n - 1 = {end}, get(quals, {final}.q + {final}.n - 1), null)"),
-            "own": F.expr("upper(array_join(transform(near, x -> substring(seq, x.q + 1, x.n)), ''))"),
-            "told": F.expr("array_join(transform(near, x -> substring(flank, cast(x.r - flank_start + 1 as int), x.n)), '')"),  # the flank ends before the window does
-        }
-    )
-    total = " + ".join(f"coalesce(get(w, {i}), 0)" for i in range(size + 1))
-    p = p.withColumns({"total": F.expr(f"cast({total} as double)"), "n_w": F.expr("coalesce(array_size(w), 0)"), "told_n": F.expr("least(length(own), length(told))"), "whole": F.expr("size(quals) > 0 and length(seq) > 0")})
-    less = lambda edge: f"coalesce((total - coalesce({edge}, 0)) / nullif(n_w - if({edge} is null, 0, 1), 0), 0D)"
-    differ = " + ".join(f"if({i} <= told_n and substring(own, {i}, 1) != substring(told, {i}, 1), 1, 0)" for i in range(1, size + 1))
-    p = p.withColumns(
+    """Sums of the pairs."""
+    p = pairs.withColumn("shown", P.shown(FLANK)).select("*", "shown.*").withColumns(
         {
-            "ed": F.expr(f"cast(if(q is not null, least(q, greatest({read_size} - q, 0)), {read_size} div 2) as double)"),
-            "base": F.expr("if(q < length(seq), substring(seq, q + 1, 1), null)"),
-            "nbq": F.expr(less("first")),
-            "fbq": F.expr(f"if(whole, {less('last')}, 0D)"),
-            "al": F.expr("if(whole, n_w - if(last is null, 0, 1), 0)"),
-            "mm": F.expr(f"if(whole and own != told, {differ}, 0)"),
             "fwd": F.expr("if(flag & 16 = 0, 1D, 0D)"),
             "pp": F.expr("if(flag & 2 != 0, 1D, 0D)"),
             "mate": F.expr("if(flag & 1 != 0 and flag & 8 = 0, 1D, 0D)"),
@@ -120,25 +93,25 @@ def _features(pairs: DataFrame) -> DataFrame:
     same = ["indel_length", "is_insertion", "insert_entropy", "homopolymer_length", "gc_content_50bp", "tandem_repeat_unit", "tandem_repeat_length"]
     summed = ["mq", "fwd", "ed", "sc", "bq", "nbq", "nm", "pp", "mate", "span", "fbq"]
     spread = ["mq", "ed", "bq"]
-    bases = "=ACMGRSVTWYHKDBN"
+    bases = len(P.BASES)
     narrow = p.select(*site, *same, "is_alt", "sig", "base", "al", "mm", *summed)
     parts = narrow.groupBy(*site, "is_alt", "sig").agg(
         *[F.first(c).alias(c) for c in same],
         F.sum(in_small_methods(F.lit(1))).alias("n"), F.count_if(F.col("mq") >= 20).alias("high"), F.count_if(F.col("mq") == 0).alias("zero"), F.sum("al").alias("al"), F.sum("mm").alias("mm"), F.count("span").alias("n_span"),
-        *[F.sum(c).alias(c) for c in summed], *[F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in spread], *[F.count_if(F.col("base") == x).alias(f"b{i}") for i, x in enumerate(bases)],
+        *[F.sum(c).alias(c) for c in summed], *[F.sum(F.col(c) * F.col(c)).alias(f"{c}2") for c in spread], *[F.count_if(F.col("base") == i).alias(f"b{i}") for i in range(bases)],
     )
     sides = {"alt": F.col("is_alt"), "ref": ~F.col("is_alt")}
     both = [*summed, "n", "n_span", "ed2"]
     sums = parts.groupBy(*site).agg(
         *[F.first(c).alias(c) for c in same], *[F.sum(F.when(when, F.col(c))).alias(f"{c}_{side}") for side, when in sides.items() for c in both],
-        *[F.sum(F.when(sides["alt"], F.col(c))).alias(f"{c}_alt") for c in ("mq2", "bq2", "al", "mm")], *[F.sum(f"b{i}").alias(f"b{i}") for i in range(len(bases))], F.sum(in_small_methods(F.col("n"))).alias("n"), F.sum("high").alias("high"), F.sum("zero").alias("zero"),
+        *[F.sum(F.when(sides["alt"], F.col(c))).alias(f"{c}_alt") for c in ("mq2", "bq2", "al", "mm")], *[F.sum(f"b{i}").alias(f"b{i}") for i in range(bases)], F.sum(in_small_methods(F.col("n"))).alias("n"), F.sum("high").alias("high"), F.sum("zero").alias("zero"),
         F.max(F.when(sides["alt"], F.col("n"))).alias("most"), F.sum(F.when(sides["alt"], F.col("n") * F.log2("n"))).alias("n_log"),
     )
     sums = sums.fillna(0, [f"{c}_{side}" for side in sides for c in both] + ["mq2_alt", "bq2_alt", "al_alt", "mm_alt"])
     mean = lambda c, side, n="n": ratio0(F.col(f"{c}_{side}"), F.col(f"{n}_{side}"))
     var = lambda total, squares, n: F.when(n < 2, 0.0).otherwise(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)))
-    seen = sum((F.col(f"b{i}") for i in range(1, len(bases))), F.col("b0"))
-    shares = [F.col(f"b{i}") / F.col("seen") for i in range(len(bases))]
+    seen = sum((F.col(f"b{i}") for i in range(1, bases)), F.col("b0"))
+    shares = [F.col(f"b{i}") / F.col("seen") for i in range(bases)]
     entropy = sum((F.when(x > 0, -x * F.log2(x)).otherwise(0.0) for x in shares), F.lit(0.0)) + 0.0
     n, alts, ed = F.col("n"), F.col("n_alt").cast("double"), F.col("ed_alt") + F.col("ed_ref")
     out = sums.withColumn("seen", seen).select(
