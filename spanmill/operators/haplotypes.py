@@ -16,9 +16,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pileup import FASTA_BIN
+from .pileup import FASTA_BIN, FASTA_MARGIN, shuffled
 
 BIN = 64
+NEAR = 64  # bases that all keys are held against; few go on from there
 RECORD = "struct<pos:bigint,ref:string,alt:array<string>>"
 
 
@@ -33,15 +34,16 @@ def trimmed(keys: DataFrame) -> DataFrame:
 def left_aligned(keys: DataFrame, bins: DataFrame, settle) -> DataFrame:
     """Trimmed keys moved to the left as far as the sequence allows: a lone inserted or deleted unit turns by one base a step.
 
-    ``bins``: (chrom, bin, bin_start, seq) as ``fasta_bins`` gives them. A key moves within its bin and margin; what reaches the
-    margin's start, and nothing else, goes on in the next round. ``settle`` writes a round's rows.
+    ``bins``: (chrom, bin, bin_start, seq) as ``fasta_bins`` gives them. A key moves by ``NEAR`` bases at most, in later rounds within its bin and
+    margin; what reaches their start, and nothing else, goes on in the next round. ``settle`` writes a round's rows.
     """
-    rows, done = settle(trimmed(keys)), None
+    rows, done, reach = settle(trimmed(keys)), None, NEAR
     names = rows.columns
     while True:
-        there = rows.withColumn("bin", F.expr(f"(pos - 1) div {FASTA_BIN}")).join(bins.select("chrom", "bin", "bin_start", F.upper("seq").alias("_seq")), ["chrom", "bin"], "left")
+        there = rows.withColumn("bin", F.expr(f"(pos - 1) div {FASTA_BIN}")).join(shuffled(bins).select("chrom", "bin", "bin_start", F.upper("seq").alias("_seq")), ["chrom", "bin"], "left")
         # the anchor and the bases before it, nearest first, against the unit, last base first, again and again
-        there = there.withColumn("_left", F.expr("reverse(substring(_seq, 1, cast(pos - 1 - bin_start as int)))")).withColumn("_unit", F.expr("reverse(substring(if(length(ref) > length(alt), ref, alt), 2))"))
+        there = there.withColumn("_n", F.expr("cast(pos - 1 - bin_start as int)"))
+        there = there.withColumn("_left", F.expr(f"reverse(substring(_seq, greatest(1, _n - {reach} + 1), least(_n, {reach})))")).withColumn("_unit", F.expr("reverse(substring(if(length(ref) > length(alt), ref, alt), 2))"))
         there = there.withColumn("_run", F.expr("concat(left(ref, 1), _left)")).withColumn("_same", F.expr("repeat(_unit, cast(length(_run) div greatest(1, length(_unit)) + 1 as int))"))
         anchored = F.expr("least(length(ref), length(alt)) = 1 and length(ref) != length(alt) and left(ref, 1) = left(alt, 1) and _seq is not null")
         common = F.expr("aggregate(transform(sequence(0, 10), k -> shiftleft(1, 10 - k)), 0, (n, s) -> if(n + s <= length(_run) and left(_run, n + s) = left(_same, n + s), n + s, n))")
@@ -58,6 +60,7 @@ def left_aligned(keys: DataFrame, bins: DataFrame, settle) -> DataFrame:
         done = still if done is None else done.unionByName(still)
         if rows.isEmpty():
             return done
+        reach = FASTA_BIN + FASTA_MARGIN
 
 
 # ---------------------------------------------------------------- one cluster
@@ -148,6 +151,7 @@ def matched(calls: DataFrame, truth: DataFrame, bins: DataFrame, settle) -> Data
     Alleles come in upper case, distinct and sorted. ``bins`` is the reference as ``fasta_bins`` gives it; ``settle`` writes a table once.
     """
     key = ["side", "chrom", "pos", "ref", "alt"]
+    bins = settle(bins)  # used in each round, and for the clusters
     records = settle(_records(calls, 0).unionByName(_records(truth, 1)))
     alleles = records.select("chrom", "pos", "ref", F.explode("alt").alias("alt"), F.struct(*key).alias("record"))
     first = left_aligned(alleles, bins, settle).groupBy("record").agg(F.min("pos").alias("first"))
@@ -162,7 +166,7 @@ def matched(calls: DataFrame, truth: DataFrame, bins: DataFrame, settle) -> Data
     clusters = settle(clusters.where("size(calls) > 0 and size(truth) > 0"))
 
     # the reference of a cluster, from the cores of its bins
-    pieces = clusters.select("chrom", "cluster", "lo", "hi", F.explode(F.expr(f"sequence(lo div {FASTA_BIN}, (hi - 1) div {FASTA_BIN})")).alias("bin")).join(bins.select("chrom", "bin", "bin_start", F.upper("seq").alias("_seq")), ["chrom", "bin"], "left")
+    pieces = clusters.select("chrom", "cluster", "lo", "hi", F.explode(F.expr(f"sequence(lo div {FASTA_BIN}, (hi - 1) div {FASTA_BIN})")).alias("bin")).join(shuffled(bins).select("chrom", "bin", "bin_start", F.upper("seq").alias("_seq")), ["chrom", "bin"], "left")
     pieces = pieces.withColumns({"_from": F.expr(f"greatest(lo, bin * {FASTA_BIN})"), "_to": F.expr(f"least(hi, (bin + 1) * {FASTA_BIN})")})
     pieces = pieces.withColumn("piece", F.expr("substring(_seq, cast(_from - bin_start + 1 as int), cast(_to - _from as int))"))
     listed = F.array_sort(F.collect_list(F.struct("bin", "piece")))

@@ -36,10 +36,15 @@ def indel_sites(variants: DataFrame) -> DataFrame:
     return sites.withColumns({"pos0": F.col("pos") - 1, "is_insertion": F.col("indel_length") > 0, "indel_size": F.abs("indel_length")})
 
 
+def shuffled(bins: DataFrame) -> DataFrame:
+    """The reference's bins for a join that shuffles them: Spark's estimate of rows that are made, not read, is far too low, and it would send them to every task."""
+    return bins.hint("merge")
+
+
 def with_context(sites: DataFrame, fasta_bins: DataFrame) -> DataFrame:
     """Adds flank (11 bases) with its start, and context (up to 100) with the site's place in it; empty if the sequence is missing."""
     binned = sites.withColumn("bin", F.expr(f"pos0 div {FASTA_BIN}")).repartition("chrom", "bin")  # else a small file of sites is one task, however many there are
-    joined = binned.join(fasta_bins.select("chrom", "bin", "bin_start", F.upper("seq").alias("seq")), ["chrom", "bin"], "left")
+    joined = binned.join(shuffled(fasta_bins).select("chrom", "bin", "bin_start", F.upper("seq").alias("seq")), ["chrom", "bin"], "left")
     joined = joined.withColumns({"flank_start": F.expr(f"greatest(0L, pos0 - {FLANK})"), "context_start": F.expr(f"greatest(0L, pos0 - {BEFORE})")})
     piece = lambda start, end: F.coalesce(F.expr(f"substring(seq, cast({start} - bin_start + 1 as int), cast({end} - {start} + 1 as int))"), F.lit(""))
     joined = joined.withColumns({"flank": piece("flank_start", f"pos0 + {FLANK}"), "context": piece("context_start", f"pos0 + {AFTER}"), "at": F.expr("cast(pos0 - context_start as int)")})

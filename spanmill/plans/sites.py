@@ -149,9 +149,16 @@ _SETS = " union all ".join(f"select {side} as side, p, chrom, s, o + {more} as p
 def call_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(calls, truth, fasta bins)."""
     part = spark.read.parquet(f"{d}/part.parquet")
-    rows = spark.sql(f"with places as ({_PLACES.replace('from part', 'from {part}')}) {_SETS}", part=part)
-    rows = rows.select("side", "chrom", F.expr("p * 320 + place + 1").alias("pos"), "ref", F.split("alts", "[|]").alias("alt"))
-    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side"), _bins(part, 320, 400)
+    # a small file of parts is one task, however many there are
+    places = spark.sql(_PLACES.replace("from part", "from {part}"), part=part.select("p_partkey").repartition("p_partkey"))
+
+    def rows(own: str) -> DataFrame:
+        """The rows of one side, all made in one pass over the places."""
+        made = [f"if({when}, array(named_struct('place', o + {more}, 'ref', {ref}, 'alts', {alts})), array())" for sides, when, more, ref, alts in _ROWS if own in sides.split(", ")]
+        out = places.select("p", "chrom", F.expr(f"inline(concat({', '.join(made)}))"))
+        return out.select("chrom", F.expr("p * 320 + place + 1").alias("pos"), "ref", F.split("alts", "[|]").alias("alt"))
+
+    return rows("0"), rows("1"), _bins(part, 320, 400)
 
 
 # Every choice of records of either side is spelled out; the best pair of equal sequences stays.

@@ -1,8 +1,10 @@
 import random
+import re
 from itertools import product
 
 import pytest
-from spanmill.operators import haplotypes
+from pyspark.sql import functions as F
+from spanmill.operators import haplotypes, pileup
 from spanmill.operators.haplotypes import replay
 from spanmill.plans import sites, workflow
 from spanmill.sources import files
@@ -129,3 +131,42 @@ def test_the_reference_is_made_by_all_tasks(spark, tmp_path):
     rows = bins.select("chrom", "bin", "bin_start").collect()
     assert sorted(tuple(r) for r in rows) == [(f"chr{c}", b, max(0, b * 1000 - 64) // 32 * 32) for c in (1, 2, 3) for b in range(289)]
     assert bins.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_the_reference_is_not_sent_to_every_task(spark, tmp_path):
+    """Its rows are made, and their size is estimated far too low; a driver failed when it held them all."""
+    spark.range(1, 900).selectExpr("id as p_partkey", "cast(id % 7 as int) as p_size", "concat('n', id) as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    plans = []
+
+    def settle(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return files.settled(df)
+
+    calls, truth, bins = sites.call_sets(spark, str(tmp_path))
+    settle(haplotypes.matched(calls, truth, bins, settle))
+    settle(pileup.with_context(pileup.indel_sites(calls.withColumn("ord", F.col("pos"))), bins))
+    assert sum(bool(re.search(r"\w+Join \[chrom#\d+, bin#\d+", p)) for p in plans) >= 3
+    assert not [p for p in plans if re.search(r"Broadcast\w*Join \[chrom#\d+, bin#\d+", p)]
+
+
+def test_left_aligned_over_long_repeats(spark):
+    """Units that turn within the first look, beyond it, beyond their bin, and up to the sequence's start."""
+    rng = random.Random(5)
+    body = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    s = "A" * 90 + "C" + body(300) + "G" + "T" * 40 + "C" + body(500) + "G" + "CA" * 80 + "T" + body(400) + "G" + "A" * 1500 + "C" + body(300)
+    want = lambda p, ref, alt: turned_left(s, p, ref, alt)
+    keys = []
+    for end in [s.index("AC", 80) + 1, s.index("T" * 40) + 40, s.index("CA" * 80) + 160, s.index("A" * 1500) + 1500]:
+        for unit in (1, 2):
+            for at in (end, end - 7):
+                keys += [("c", at - unit, s[at - unit - 1 : at], s[at - unit - 1]), ("c", at, s[at - 1], s[at - 1] + s[at - unit : at])]
+    got = haplotypes.left_aligned(spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "chrom string, pos long, ref string, alt string, i int"), reference(spark, {"c": s}), files.settled)
+    assert {r.i: (r.pos, r.ref, r.alt) for r in got.collect()} == {i: want(*k[1:]) for i, k in enumerate(keys)}
+
+
+def turned_left(s, pos, ref, alt):
+    """One base a step."""
+    while len(ref) != len(alt) and min(len(ref), len(alt)) == 1 and ref[0] == alt[0] and pos > 1 and max(ref, alt, key=len)[-1] == ref[0]:
+        first = s[pos - 2]
+        ref, alt, pos = first + ref[:-1] if len(ref) > 1 else first, first + alt[:-1] if len(alt) > 1 else first, pos - 1
+    return pos, ref, alt
