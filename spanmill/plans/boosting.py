@@ -33,7 +33,8 @@ from .trees import DEFAULT_LEFT, NAN_MISSING, Ensemble, Tree
 ROUNDS = 2000
 SETTLED = 20
 EDGES = 254
-TASK_ROWS = 50_000
+TASK_ROWS = 500_000  # of a node that a task finishes: 31 MB with 46 features
+PASS_ROWS = 25_000  # that a task of a pass takes at least
 BATCHES = 16
 LEAST_HESSIAN = 1e-3
 IDLE = 5  # rounds in a row without a split, after which there is nothing to learn
@@ -326,8 +327,8 @@ def boost(
     part = lambda d, k: d.where(F.col("label").isin(0, 1)).select(F.lit(k).alias("part"), F.col("label").cast("int").alias("y"), F.xxhash64("label", *[f"`{c}`" for c in names]).alias("u"), x)
     rows = part(train, 0).unionByName(part(validation, 1))
     rows = files.settled(rows.mapInPandas(_binned(edges), ROWS))
-    tasks = max(1, math.ceil(rows.count() / TASK_ROWS))
-    rows = rows.coalesce(tasks)  # small tables: one task a pass; large ones keep theirs
+    tasks = max(1, math.ceil(rows.count() / PASS_ROWS))
+    rows = rows.coalesce(tasks)  # small tables: few tasks a pass; large ones keep theirs
 
     trees, newer, losses, idle = [], [], [], 0
     rng = np.random.default_rng(seed)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from spanmill.operators import metrics
-from spanmill.plans import boosting, model
+from spanmill.plans import boosting, model, registry
 from spanmill.plans.trees import Ensemble, parse, written
 
 HAND = """tree
@@ -221,6 +221,32 @@ def test_small_nodes_are_finished_in_one_pass(spark, monkeypatch, depth):
     assert all(x == leaves[0] for x in leaves)
 
 
+def test_a_round_of_some_more_rows_is_one_pass_too(spark, monkeypatch):
+    """A hundred thousand rows of a few bytes are no reason for a pass a level."""
+    counted, grown = [], []
+    step, finish = boosting._counted, boosting._grown
+    monkeypatch.setattr(boosting, "_counted", lambda *a: counted.append(1) or step(*a))
+    monkeypatch.setattr(boosting, "_grown", lambda *a: grown.append(1) or finish(*a))
+    df = spark.range(60_000).selectExpr("cast(id % 97 as double) as a", "cast(id % 31 as double) as b", "cast((id % 97) * (id % 31) % 11 < 4 as int) as label")
+    e, kept, _, losses = boosting.boost(df, df.where("a < 20"), ["a", "b"], rounds=2)
+    assert len(losses) == 2 and len(e.trees) == kept and len(e.trees[0].value) > 8
+    assert not counted and len(grown) == 3
+
+
+def test_texts_are_read_once_for_training(spark, monkeypatch, tmp_path):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat(repeat('a. ', cast(id % 13 as int)), 'b') as text", "'en' as lang", "id % 50 as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(400).selectExpr("id as doc_id", "cast(id % 13 > 6 as int) as quality").write.parquet(f"{tmp_path}/labels.parquet")
+    got = []
+    fit = boosting.boost
+    monkeypatch.setattr(boosting, "boost", lambda *a: got.append(a) or fit(*a, rounds=2))
+    out = registry.QUERIES["gbt_fit_score"](spark, str(tmp_path))
+    frames = [*got[0][:2], out]
+    assert not [f for f in frames if "documents.parquet" in f._jdf.queryExecution().optimizedPlan().toString() or "Relation [" in f._jdf.queryExecution().optimizedPlan().toString()]
+    assert {r.doc_id % 13: r.dots for r in got[0][0].collect()} == {k: float(k) for k in range(13)}
+    assert out.count() == 60 and sum(f.count() for f in frames) == 400
+
+
 def test_loss_beside_trees_by_level(spark):
     """As many rounds and leaves: the loss is no worse than that of Spark's trees, within a few hundredths."""
     x, y = samples(1600, 3)
