@@ -49,7 +49,7 @@ CHUNK_ROWS = 50_000
 FRONTIER = 40_000
 ROWS_AT_ONCE, PAIRED_AT_ONCE = 300_000, 60_000
 PAIRS_HELD = 250_000  # 8 MB: pairs that a task adds up before it hands them on
-EXPAND = 64
+EXPAND, EXPANDED = 64, 8_000  # keys of a pair of nodes that are compared each with each, and such pairs at once
 SHINGLE = 5
 SAMPLED, SHARE = 12_000, 0.05  # texts that shingles are counted in: as many, or that share of them if that is more
 FREQUENT = 1_000_000  # counted shingles that every task gets
@@ -60,6 +60,8 @@ SEEN = 100_000  # texts of a task that are known to have been read
 TEXTS_A_PART = 4_000
 STAR_ROWS = 2_000
 FEW_EDGES = 500_000  # 8 MB: up to so many, one task merges them
+LINK_BYTES = 4 << 20  # of shingle sets: two parts of a large group, looked at together, hold some twice that
+CLASS = 1.26  # sizes of similar sets are less than this apart
 SHARED = 64  # a pair shares one shingle more among the first for so many shingles of its smaller set
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -158,13 +160,15 @@ def trie_forest(keys: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, bud
         n1, n2 = hi1 - lo1, hi2 - lo2
         small = n1 * n2 <= EXPAND
         if small.any():
-            a1, a2, m2, count = lo1[small], lo2[small], n2[small], (n1 * n2)[small]
-            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            m2 = np.repeat(m2, count)
-            x, y = np.repeat(a1, count) + k // m2, np.repeat(a2, count) + k % m2
-            near = (np.bitwise_count(keys[x] ^ keys[y]) <= budget) & (x != y)
-            x, y = x[near], y[near]
-            sets.join(x, y)
+            every = np.flatnonzero(small)
+            for part in (every[i : i + EXPANDED] for i in range(0, len(every), EXPANDED)):
+                a1, a2, m2, count = lo1[part], lo2[part], n2[part], (n1 * n2)[part]
+                k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                m2 = np.repeat(m2, count)
+                x, y = np.repeat(a1, count) + k // m2, np.repeat(a2, count) + k % m2
+                near = (np.bitwise_count(keys[x] ^ keys[y]) <= budget) & (x != y)
+                x, y = x[near], y[near]
+                sets.join(x, y)
         lo1, hi1, lo2, hi2, err, self_pair = (x[~small] for x in (lo1, hi1, lo2, hi2, err, self_pair))
         if not len(lo1):
             continue
@@ -480,27 +484,30 @@ def _pairs_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
     for (token, node, sizes, label), chain in _by_shingle(batches, PAIRED_AT_ONCE):
         n, rest = sizes >> 32, sizes & 0xFFFFFFFF
-        found = []
-        for lag in range(1, min(ALL_PAIRS, len(token))):
+        found, most = [], min(ALL_PAIRS, len(token)) - 1
+        for lag in range(1, most + 1):
             same = (token[lag:] == token[:-lag]) & (5 * n[:-lag] >= 4 * n[lag:])
-            if not same.any():
+            if same.any():
+                left = 9 * (np.minimum(rest[lag:], rest[:-lag]) + n[:-lag] // SHARED) >= 4 * (n[lag:] + n[:-lag])
+                k = np.flatnonzero(same & left & ~chain[lag:] & (label[lag:] != label[:-lag]) & (node[lag:] != node[:-lag]))
+                found.append((k, k + lag, 1 + n[k] // SHARED))
+                if lag == 1:
+                    k = np.flatnonzero(same & chain[lag:] & (node[lag:] != node[:-lag]))
+                    found.append((k, k + 1, np.zeros(len(k), np.int64)))
+            # where many shingles have many texts, a slice of rows makes up to ALL_PAIRS times as many pairs
+            ended = lag == most or not same.any()
+            if (many := sum(len(x[0]) for x in found)) and (ended or many > PAIRS_HELD):
+                a, b, need = (np.concatenate(x) for x in zip(*found, strict=True))
+                held.append(_summed(np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), np.ones(len(a), np.int64), need))
+                found = []
+                if sum(len(x[0]) for x in held) > last + PAIRS_HELD:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    last = len(held[0][0])
+                    if last > PAIRS_HELD:
+                        yield out(held[0])
+                        held, last = [], 0
+            if ended:
                 break
-            left = 9 * (np.minimum(rest[lag:], rest[:-lag]) + n[:-lag] // SHARED) >= 4 * (n[lag:] + n[:-lag])
-            k = np.flatnonzero(same & left & ~chain[lag:] & (label[lag:] != label[:-lag]) & (node[lag:] != node[:-lag]))
-            found.append((k, k + lag, 1 + n[k] // SHARED))
-            if lag == 1:
-                k = np.flatnonzero(same & chain[lag:] & (node[lag:] != node[:-lag]))
-                found.append((k, k + 1, np.zeros(len(k), np.int64)))
-        if not found or not sum(len(x[0]) for x in found):
-            continue
-        a, b, need = (np.concatenate(x) for x in zip(*found, strict=True))
-        held.append(_summed(np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), np.ones(len(a), np.int64), need))
-        if sum(len(x[0]) for x in held) > last + PAIRS_HELD:
-            held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-            last = len(held[0][0])
-            if last > PAIRS_HELD:
-                yield out(held[0])
-                held, last = [], 0
     if held:
         yield out(_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
@@ -613,8 +620,29 @@ def linked(sets: list[np.ndarray], labels: list[int] | None = None) -> list[int]
     return [find(i) for i in range(len(sets))]
 
 
+def in_bounded_groups(named: DataFrame) -> DataFrame:
+    """(group, node, label, set): rows of (whole, node, label, set) in groups of bounded size, and each pair of a whole that is near enough in size in one of them.
+
+    A large whole is split by size, similar sets being in one class or in neighbouring ones, and a class by a hash into parts of some LINK_BYTES;
+    each two parts of a class, or of neighbouring ones, are a group.
+    """
+    sized = named.withColumns({"_bytes": F.length("set"), "_class": F.floor(F.log(F.length("set") / 8.0) / F.log(F.lit(CLASS))).cast("int")})
+    classes = settled(sized.groupBy("whole", "_class").agg(F.sum("_bytes").alias("_bytes"), F.count("*").alias("_texts")))
+    large = classes.groupBy("whole").agg(F.sum("_bytes").alias("_all")).where(F.col("_all") > 2 * LINK_BYTES).select("whole")
+    cells = settled(classes.join(large, "whole").select("whole", "_class", F.least(F.ceil(F.col("_bytes") / LINK_BYTES), F.col("_texts")).cast("int").alias("_parts")))
+    if not cells.count():
+        return named.select(F.xxhash64("whole").alias("group"), "node", "label", "set")
+    beside = lambda step, name: cells.select("whole", (F.col("_class") - step).alias("_class"), F.col("_parts").alias(name))
+    cells = cells.join(beside(1, "_above"), ["whole", "_class"], "left").join(beside(-1, "_below"), ["whole", "_class"], "left")
+    rows = sized.join(cells, ["whole", "_class"], "left").withColumn("_part", F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("_parts", F.lit(1))).cast("int"))
+    own = "transform(sequence(0, _parts - 1), k -> xxhash64(whole, _class, least(_part, k), _class, greatest(_part, k)))"
+    above = "if(_above is null, array(), transform(sequence(0, _above - 1), k -> xxhash64(whole, _class, _part, _class + 1, k)))"
+    below = "if(_below is null, array(), transform(sequence(0, _below - 1), k -> xxhash64(whole, _class - 1, k, _class, _part)))"
+    return rows.select(F.explode(F.expr(f"if(_parts is null, array(xxhash64(whole)), concat({own}, {above}, {below}))")).alias("group"), "node", "label", "set")
+
+
 def _links_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) from the nodes of each component to their groups' first; rows come ordered by component, one is held at a time."""
+    """Edges (u, v) from the nodes of each group to those that they are alike with, first ones; rows come ordered by group, one is held at a time."""
     from itertools import groupby
 
     rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True))
@@ -648,7 +676,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     whole = components(found.where("chain").select("u", "v"))
     whole = settled(whole.unionByName(whole.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "node").withColumnRenamed("root", "whole"))
     named = sets.join(F.broadcast(whole) if known <= BROADCAST else whole, "node").select("whole", "node", "label", "set")
-    more = named.repartition("whole").sortWithinPartitions("whole").mapInArrow(_links_of_partition, "u long, v long")
+    more = in_bounded_groups(named).repartition("group").sortWithinPartitions("group").mapInArrow(_links_of_partition, "u long, v long")
     roots = components(sure.unionByName(more))
     named = settled(nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "copies", F.col("one.doc_id").alias("first"), F.coalesce("root", "node").alias("root")))
     ids = settled(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")))

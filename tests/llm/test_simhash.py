@@ -264,3 +264,69 @@ def test_a_pair_comes_once_from_a_task(monkeypatch, held):
             got[u, v] = got.get((u, v), 0) + shared
     assert got == {(u, v): len(counted) for u in range(20) for v in range(u)}
     assert rows == len(got) or held == 10
+
+
+@pytest.mark.parametrize("copies", [20, 60])
+def test_a_slice_of_frequent_shingles_makes_no_more_pairs_at_once(monkeypatch, copies):
+    """A slice's pairs are up to 64 times its rows: they are added up meanwhile, with the same sums."""
+    monkeypatch.setattr(simhash, "PAIRS_HELD", 1_000)
+    summed, most = simhash._summed, []
+    monkeypatch.setattr(simhash, "_summed", lambda u, *x: most.append(len(u)) or summed(u, *x))
+    got = {}
+    for b in simhash._pairs_of_partition(iter(pair_batches(copies, 216))):
+        for u, v, shared in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
+            got[u, v] = got.get((u, v), 0) + shared
+    counted = [r for r in range(1000, 784, -1) if 9 * (r + 1000 // simhash.SHARED) >= 8 * 1000]
+    assert got == {(u, v): len(counted) for u in range(copies) for v in range(u)}
+    # a shift of the slice by one row makes no more pairs than it has rows
+    assert max(most) <= 3 * (1_000 + copies * 216)
+
+
+@pytest.mark.parametrize("limit", [500, 2_000, 20_000])
+def test_a_large_chain_is_looked_at_in_groups(spark, monkeypatch, limit):
+    """Texts of one chain come in groups of bounded size, and no link between them is lost."""
+    monkeypatch.setattr(simhash, "LINK_BYTES", limit)
+    rng = random.Random(21)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(900)]
+    texts = []
+    for i in range(90):
+        n = rng.choice([40, 48, 60, 75, 200, 240, 290])
+        x = base[:n] if i % 3 else base[n : 2 * n]
+        for _ in range(rng.randrange(3)):
+            x = [*x[: (at := rng.randrange(n))], f"n{rng.randrange(10**6)}", *x[at + 1 :]]
+        texts.append(" ".join(x))
+    sets = [simhash.shingle_set(simhash._tokens(t)) for t in texts]
+    rows = [(7, i, 0 if i < 3 else i, x.tobytes()) for i, x in enumerate(sets)]
+    groups_ = simhash.settled(simhash.in_bounded_groups(spark.createDataFrame(rows, "whole long, node long, label long, set binary")))
+    edges = groups_.repartition("group").sortWithinPartitions("group").mapInArrow(simhash._links_of_partition, "u long, v long")
+    root = {r.u: r.root for r in components(edges).collect()}
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if want[i] != want[j] and (i < 3 or simhash.alike(sets[i], sets[j])):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert 2 < len(set(want)) < 80
+    # texts 0 to 2 are known to be connected: edges need not say so again
+    known = {root.get(i, i) for i in range(3)}
+    assert [0 if root.get(i, i) in known else root.get(i, i) for i in range(len(sets))] == want
+    sizes = groups_.groupBy("group").agg(F.sum(F.length("set")).alias("n"), F.max(F.length("set")).alias("most")).collect()
+    assert all(r.n <= 2 * limit + 12 * r.most for r in sizes) and len(sizes) > 10
+
+
+def test_groups_hold_every_pair_near_in_size(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LINK_BYTES", 6_000)
+    rng = random.Random(22)
+    sizes = [rng.choice([1, 2, 4, 5, 8, 10, 40, 50, 51, 64, 80, 100, 125, 156, 157]) for _ in range(150)]
+    rows = [(i % 2 if i < 140 else 9, i, i, bytes(8 * n)) for i, n in enumerate(sizes)]
+    got = simhash.in_bounded_groups(spark.createDataFrame(rows, "whole long, node long, label long, set binary")).select("group", "node").collect()
+    together, of = set(), {}
+    for r in got:
+        of.setdefault(r["group"], []).append(r.node)
+    for members in of.values():
+        assert len(members) == len(set(members))
+        together |= {(a, b) for a in members for b in members}
+    whole = {i: w for w, i, _, _ in rows}
+    assert {(a, b) for a in whole for b in whole if whole[a] == whole[b] and 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b])} <= together
+    assert len({g for g, m in of.items() if whole[m[0]] == 9}) == 1
+    assert all(whole[a] == whole[b] for a, b in together)
