@@ -344,15 +344,20 @@ def _node(tokens: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(tokens), SEED + 1)
 
 
-def marked_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, node, fp) of every row; own: a hash of the text; node: of its words, equal for copies."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of one text are held at a time: those of a batch take ten times its bytes."""
+    for b in batches:
+        nodes, prints = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+        for i, t in enumerate(b.column(2)):
+            tokens = _tokens(t.as_py())
+            nodes[i], prints[i] = _node(tokens), _print(tokens, SHINGLE)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(nodes), _signed(prints)], ["doc_id", "own", "node", "fp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = [_tokens(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed([_node(x) for x in tokens]), _signed([_print(x, SHINGLE) for x in tokens])], ["doc_id", "own", "node", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, own long, node long, fp long")
+def marked_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, node, fp) of every row; own: a hash of the text; node: of its words, equal for copies."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("own"), text).mapInArrow(_marks, "doc_id long, own long, node long, fp long")
 
 
 def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], None]]:

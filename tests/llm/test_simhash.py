@@ -330,3 +330,18 @@ def test_groups_hold_every_pair_near_in_size(spark, monkeypatch):
     assert {(a, b) for a in whole for b in whole if whole[a] == whole[b] and 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b])} <= together
     assert len({g for g, m in of.items() if whole[m[0]] == 9}) == 1
     assert all(whole[a] == whole[b] for a, b in together)
+
+
+def test_words_of_one_text_are_held_at_a_time():
+    import tracemalloc
+
+    texts = [" ".join(f"w{i * 7919 + k}" for k in range(400)) for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(range(500)), pa.array(texts)], ["doc_id", "own", "text"])
+    next(simhash._marks(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    out = next(simhash._marks(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all words of the batch are 200,000 objects of some 40 bytes
+    assert out.num_rows == 500 and peak < 2_000_000
+    assert out.column(3)[3].as_py() == int(np.array([simhash._print(simhash._tokens(texts[3]), 5)], np.uint64).view(np.int64)[0])
